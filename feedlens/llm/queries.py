@@ -8,12 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import bucket_of, table
+from feedlens.llm import langid, mixing, warc
 from feedlens.llm.simhash import simhash_components
 from feedlens.llm.toxicity import score_toxicity, train, training_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    index = warc.write_bundles(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("long")
+    return warc.read_bundles(index, folder).select(
+        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"), "intact"
+    )
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = bucket_of(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: Domains of the mixing query: sources are dealt to them by number.
+DOMAINS = ("web", "news", "books", "forum")
+MIX_WEIGHTS = {"domain": {"web": 4, "news": 3, "books": 2, "forum": 1}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 2}}
+
+
+def domain_of(source):
+    """web, news, books or forum by the source's number modulo four; other names are web, null stays null."""
+    number = F.coalesce(F.regexp_extract(source, r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    return F.when(source.isNotNull(), F.element_at(F.array(*map(F.lit, DOMAINS)), (number % 4 + 1).cast("int")))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels, MIX_WEIGHTS, share=0.6, max_epochs=3)
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, training_rows(table(spark, sf_dir, "labels")))
@@ -28,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
