@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import bucket_of, table
-from feedlens.llm import langid, mixing, warc
+from feedlens.llm import decontaminate, knn, langid, mixing, warc
 from feedlens.llm.simhash import simhash_components
 from feedlens.llm.toxicity import score_toxicity, train, training_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding"))).select("vec_id", knn.scaled(F.col("embedding")).alias("vector"))
+    found = knn.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, id_col="vec_id", vector_col="vector")
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
     index = warc.write_bundles(table(spark, sf_dir, "pages"), folder, least_bytes=0)
@@ -65,8 +75,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_knn": op1_knn, "op3_decontaminate": op3_decontaminate, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_knn": KNN_SQL, "op8_mix": MIX_SQL}
+
+
+KNN_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+MIX_SQL = """
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NOT NULL THEN ['web', 'news', 'books', 'forum'][CAST(coalesce(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT), 0) % 4 + 1 AS BIGINT)] END AS domain,
+    lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n FROM documents
+), leaf AS (SELECT domain, lang, source, sum(n) AS tokens, sum(n) * 3 AS cap FROM d GROUP BY ALL),
+root AS (SELECT least(CAST(floor(sum(tokens) * 0.6) AS BIGINT), sum(cap)) AS budget FROM leaf),
+n1 AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 4 WHEN 'news' THEN 3 WHEN 'books' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY domain),
+a1 AS (SELECT *, (SELECT budget FROM root) - coalesce(sum(cap) OVER o, 0) AS lft, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS rst
+  FROM n1 WINDOW o AS (ORDER BY cap / w, cap, domain NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b1 AS (SELECT *, max(CASE WHEN NOT cap * rst <= lft * w THEN {'rst': rst, 'lft': lft} END) OVER () AS lv FROM a1),
+g1 AS (SELECT domain, CASE WHEN cap * rst <= lft * w OR lv IS NULL THEN cap ELSE greatest(0, least(cap, lv.lft * w // lv.rst)) END AS budget FROM b1),
+n2 AS (SELECT domain, lang, sum(cap) AS cap, CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY domain, lang),
+a2 AS (SELECT n2.*, g1.budget - coalesce(sum(cap) OVER o, 0) AS lft, sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER o, 0) AS rst
+  FROM n2 JOIN g1 USING (domain) WINDOW o AS (PARTITION BY domain ORDER BY cap / w, cap, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b2 AS (SELECT *, max(CASE WHEN NOT cap * rst <= lft * w THEN {'rst': rst, 'lft': lft} END) OVER (PARTITION BY domain) AS lv FROM a2),
+g2 AS (SELECT domain, lang, CASE WHEN cap * rst <= lft * w OR lv IS NULL THEN cap ELSE greatest(0, least(cap, lv.lft * w // lv.rst)) END AS budget FROM b2),
+a3 AS (SELECT domain, lang, source, tokens, cap, 1 AS w, g2.budget - coalesce(sum(cap) OVER o, 0) AS lft, count(*) OVER (PARTITION BY domain, lang) - coalesce(count(*) OVER o, 0) AS rst
+  FROM leaf JOIN g2 USING (domain, lang) WINDOW o AS (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b3 AS (SELECT *, max(CASE WHEN NOT cap * rst <= lft THEN {'rst': rst, 'lft': lft} END) OVER (PARTITION BY domain, lang) AS lv FROM a3),
+g3 AS (SELECT domain, lang, source, tokens, CAST(CASE WHEN cap * rst <= lft OR lv IS NULL THEN cap ELSE greatest(0, least(cap, lv.lft // lv.rst)) END AS BIGINT) AS given FROM b3),
+x AS (SELECT d.*, CASE WHEN tokens > 0 THEN CAST(given // tokens AS BIGINT) ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest
+  FROM d JOIN g3 USING (domain, lang, source)),
+y AS (SELECT *, md5('mix-1-' || epochs || '-' || doc_id) AS ord FROM x),
+z AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY ord, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM y)
+SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(CASE WHEN n > 0 THEN epochs ELSE 0 END AS BIGINT) AS epochs, CAST(greatest(0, least(n, rest - bef)) AS BIGINT) AS part_tokens,
+  CAST(epochs * n + greatest(0, least(n, rest - bef)) AS BIGINT) AS taken_tokens FROM z
+"""
