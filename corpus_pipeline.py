@@ -1,9 +1,64 @@
-STAGES = []
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedlens.llm import decontaminate, queries, simhash, substrings, toxicity
+from feedlens.llm.common import shared_dir, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores below one half."""
+    model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
+    return toxicity.score_toxicity(docs, model, score_col="__score").where("__score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    groups = simhash.near_copies(docs, "doc_id", "text")
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat one of a document with a smaller id are cut out."""
+    return substrings.cut_passages(docs, substrings.near_passages(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, with the epochs and tokens taken of each."""
+    taken = queries.mixed(docs).where("taken_tokens > 0")
+    taken = taken.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("domain", "n_tokens", "epochs", "part_tokens", "taken_tokens")])
+    return docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("substrings", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+]
+
+#: Neither the fitted classifier nor the passage search can be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

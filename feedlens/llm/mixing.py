@@ -73,6 +73,7 @@ def prefix_shares(rows: DataFrame, leaf: list[str]) -> DataFrame:
     task orders a whole leaf.
     """
     rows = rows.withColumns({"__a": F.substring("order", 1, 2), "__b": F.substring("order", 3, 2)})
+    rows = rows.repartition(*[F.col(c) for c in [*leaf, "__a", "__b"]])  # else a partitioning by leaf alone would do for the windows below
     sums = rows.groupBy(*leaf, "__a", "__b").agg(F.sum("tokens").alias("__n"))
     before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     upper = sums.groupBy(*leaf, "__a").agg(F.sum("__n").alias("__m"))

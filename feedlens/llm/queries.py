@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import bucket_of, table
-from feedlens.llm import decontaminate, knn, langid, lm, mixing, substrings, warc
+from feedlens.llm import chat, decontaminate, knn, langid, lm, mixing, substrings, warc
 from feedlens.llm.simhash import simhash_components
 from feedlens.llm.toxicity import score_toxicity, train, training_rows
 
@@ -31,6 +31,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.near_passages(table(spark, sf_dir, "documents"), least_words=50, similarity=0.8)
 
@@ -85,7 +89,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
