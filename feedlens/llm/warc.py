@@ -27,6 +27,9 @@ from feedlens.llm.common import cut, shared_dir
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
+#: Tasks that read bundles at once; each then has several.
+MOST_READERS = 10_000
+
 INDEX = "record_id string, bundle string, frame int, frame_offset long, offset long, length long"
 RECORDS = "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes long, intact boolean"
 
@@ -187,7 +190,8 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                     for at, packed, plain in seek_table(stream):
                         yield pd.DataFrame([_described(*x) for x in parse_records(read_frame(stream, at, packed, plain))], columns=[x.split()[0] for x in RECORDS.split(", ")])
 
-    return index.select("bundle").distinct().mapInPandas(read, RECORDS)
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(max(1, min(MOST_READERS, bundles.count())), "bundle").mapInPandas(read, RECORDS)
 
 
 def fetch(index: DataFrame, folder: str) -> DataFrame:
