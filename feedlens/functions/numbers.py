@@ -64,3 +64,10 @@ def bucket_minutes(hours: int) -> int:
 def bucket_start(at: Column, minutes: int) -> Column:
     seconds = F.unix_seconds(at.cast("timestamp"))
     return F.timestamp_seconds(seconds - seconds % (minutes * 60)).cast("timestamp_ntz")
+
+
+def relative_age(at: Column, as_of: Column) -> Column:
+    """now, minutes, hours, days or weeks since, whole ones."""
+    m = F.floor((F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(at.cast("timestamp"))) / 60).cast("long")
+    whole = lambda n, unit: F.concat(F.floor(m / n).cast("string"), F.lit(unit))
+    return F.when(m < 1, "now").when(m < 60, whole(1, "m")).when(m < 1440, whole(60, "h")).when(m < 10080, whole(1440, "d")).otherwise(whole(10080, "w"))
