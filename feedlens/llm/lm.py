@@ -168,6 +168,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("c"))
 
 
+def head_count(counts: DataFrame, most: int) -> float:
+    """A count that at most `most` words reach, from a histogram over steps of the logarithm (a few thousand rows)."""
+    step = F.floor(F.log(F.col("c").cast("double")) * 64)
+    seen, edge = 0, float("inf")
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():
+        seen += row["n"]
+        if seen > most:
+            break
+        edge = float(row["least"])
+    return edge
+
+
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, learning from the texts of training.
 
@@ -182,7 +194,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     totals = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n_words, n_types = totals["n"] or 0, totals["v"]
     n_all, types = n_words + ends, n_types + (ends > 0)
-    head = counts.orderBy(F.desc("c"), "token").limit(shape.head).toPandas()
+    head = counts.where(F.col("c") >= head_count(counts, shape.head)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     head_words = [w.encode("utf-8", "surrogatepass") for w in head["token"]]
     head_counts = head["c"].to_numpy(np.int64)
     coder = Coder(head_words[: shape.words], shape.suffixes)
