@@ -81,10 +81,10 @@ def article_scores(r: Reader) -> DataFrame:
     return the_scores(r).select("id", F.round("score", 6).alias("score"))
 
 
-@query("K09", f"""WITH {SCORES} SELECT id, term, round(contribution, 6) AS contribution FROM (UNPIVOT (SELECT id, topic::DOUBLE AS topic, type::DOUBLE AS type, region::DOUBLE AS region, secondary::DOUBLE AS secondary, fresh::DOUBLE AS fresh, vote::DOUBLE AS vote, exposure::DOUBLE AS exposure FROM t)
+@query("K09", f"""WITH {SCORES} SELECT id, term, round(contribution, 6) + 0.0 AS contribution FROM (UNPIVOT (SELECT id, topic::DOUBLE AS topic, type::DOUBLE AS type, region::DOUBLE AS region, secondary::DOUBLE AS secondary, fresh::DOUBLE AS fresh, vote::DOUBLE AS vote, exposure::DOUBLE AS exposure FROM t)
  ON topic, type, region, secondary, fresh, vote, exposure INTO NAME term VALUE contribution)""")
 def score_terms(r: Reader) -> DataFrame:
-    return scoring.terms(the_scores(r)).withColumn("contribution", F.round("contribution", 6))
+    return scoring.terms(the_scores(r)).withColumn("contribution", F.round("contribution", 6) + 0.0)  # no negative zero
 
 
 @query("K04", f"""WITH {WEIGHTS}, p AS (SELECT axis, label, greatest(0.02, exp(effective) / sum(exp(effective)) OVER (PARTITION BY axis)) AS p FROM w)
