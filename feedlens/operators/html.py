@@ -314,3 +314,56 @@ def public_literal(url: str | None) -> bool:
         return ipaddress.ip_address(host).is_global
     except ValueError:
         return True
+
+
+#: Fixed values of the date search in text: words that announce a date, and the spellings that are tried in order.
+DATE_WORDS = ("published", "posted", "updated", "date", "発行", "公開", "发布", "發布", "日期")
+DATE_FORMS = (
+    r"\d{4}-\d{2}-\d{2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{4}\.\d{1,2}\.\d{1,2}", r"\d{4}年\d{1,2}月\d{1,2}日",
+    r"(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}",
+    r"\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4}", r"\d{1,2}/\d{1,2}/\d{4}",
+)
+
+
+def date_text(text: str | None, reach: int = 100) -> str | None:
+    """The first date near a word that announces one, else the first in the text, as it is spelled there."""
+    text = text or ""
+    low = text.lower()
+    for form in DATE_FORMS:
+        for word in DATE_WORDS:
+            at = low.find(word)
+            while at >= 0:
+                if found := re.search(form, text[max(0, at - reach) : at + len(word) + reach]):
+                    return found[0]
+                at = low.find(word, at + 1)
+    return next((found[0] for form in DATE_FORMS if (found := re.search(form, text))), None)
+
+
+def with_images(body: str, shots: list[dict], key: int = 20) -> str:
+    """A body with images put after the paragraph that has the end of their anchor text; others at the end. Images it has stay."""
+    root = tree(body)
+    have = {n.attrs.get("src") for n in root.walk() if n.tag == "img"}
+    paragraphs = [n for n in root.walk() if n.tag in BLOCKS]
+    said = [n.text() for n in paragraphs]
+    for shot in shots:
+        if shot["src"] in have:
+            continue
+        image = Node("img", {"src": shot["src"], "alt": shot.get("alt", "")})
+        tail = shot.get("anchor", "")[-key:].strip()
+        place = next((p for p, t in zip(paragraphs, said) if tail and tail in t), root)
+        place.children.append(image)
+        have.add(shot["src"])
+    return markup(root)
+
+
+def restore_attributes(translated: str, original: str) -> str:
+    """The translated markup with the attributes of the original: its n-th tag of a name gets those of the n-th there."""
+    kept: dict[str, list[dict]] = {}
+    for node in tree(original).walk():
+        kept.setdefault(node.tag, []).append(node.attrs)
+    root, seen = tree(translated), {}
+    for node in root.walk():
+        n = seen[node.tag] = seen.get(node.tag, -1) + 1
+        if n < len(kept.get(node.tag, ())):
+            node.attrs = {**node.attrs, **kept[node.tag][n]}
+    return markup(root)

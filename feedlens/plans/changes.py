@@ -183,3 +183,20 @@ def interaction_pairs(r: Reader) -> DataFrame:
     pairs = [("Gaming", "region", "Germany", 0.5), ("Travel", "article_type", "Deal", -0.5)]
     boost = sum((F.when((F.col("primary_topic") == t) & (F.col(c) == v), b).otherwise(0.0) for t, c, v, b in pairs), F.lit(0.0))
     return r.feed_articles.select("id", boost.cast("double").alias("boost")).fillna(0.0, ["boost"])
+
+
+@query("T01 T02", """
+SELECT e.article_id, count(*) AS n, max(e.created_at) AS last_seen_at FROM user_article_events e WHERE e.event_type = 'impression' GROUP BY 1""")
+def stream_ingest(r: Reader) -> DataFrame:
+    """Impression counters kept by a stream over the event files, up to what has landed."""
+    from feedlens.sources.shared import scratch
+    from feedlens.streaming import ingest
+
+    folder, n = scratch(r.spark, "ingest"), r.documents.count()
+    r.events.write.parquet(f"{folder}/landed")
+    raw = r.spark.readStream.schema(r.events.schema).parquet(f"{folder}/landed")
+    kind = F.when(F.col("event_type") == "view", "impression").otherwise(F.col("event_type"))
+    events = raw.select((F.col("event_id") % n).alias("article_id"), kind.alias("event_type"), F.col("ts").alias("created_at"))
+    done = ingest.count_impressions(events, f"{folder}/state", f"{folder}/checkpoint")
+    done.awaitTermination()
+    return r.spark.read.parquet(f"{folder}/state/v{done.lastProgress['batchId']}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from feedlens.functions import urls
+from feedlens.functions import markup, text, urls
 from feedlens.operators import html, localize
 from feedlens.operators import relational as rel
 from feedlens.plans.registry import query
@@ -123,3 +123,44 @@ def embedded_json(r: Reader) -> DataFrame:
     raw = F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     data = F.from_json(raw, "title string, blocks array<struct<t:string>>")
     return r.pages.select("page_id", data["title"].alias("title"), F.array_join(F.transform(data["blocks"], lambda b: b["t"]), "\n").alias("content"))
+
+
+@query("F19")
+def content_dates(r: Reader) -> DataFrame:
+    @pandas_udf("string")
+    def of(batch):
+        return batch.map(html.date_text)
+
+    said = F.concat(F.lit("Posted on "), F.date_format(F.date_sub(F.to_date(F.lit("2024-01-31")), (F.col("page_id") % 60).cast("int")), "MMMM d, yyyy"), F.lit(" "), F.regexp_replace("html", "<[^>]+>", " "))
+    return r.pages.select("page_id", markup.parse_date(of(said)).alias("published"))
+
+
+@query("D10")
+def merged_images(r: Reader) -> DataFrame:
+    @pandas_udf("string")
+    def of(bodies, urls_):
+        import pandas as pd
+
+        return pd.Series([html.with_images(b, [{"src": u, "anchor": html.tree(b).text()[:60]}]) for b, u in zip(bodies, urls_)])
+
+    return html.extract_articles(r.pages).join(r.pages.select("page_id", "url"), "page_id").select("page_id", of("body", "url").alias("body"))
+
+
+@query("F54")
+def restored_attributes(r: Reader) -> DataFrame:
+    @pandas_udf("string")
+    def of(pages):
+        import re
+
+        import pandas as pd
+
+        return pd.Series([html.restore_attributes(re.sub(r"<(\w+)[^>]*>", r"<\1>", p), p) for p in pages])
+
+    return r.pages.select("page_id", of("html").alias("html"))
+
+
+@query("F49", r"""
+SELECT id, trim(regexp_replace('Translated by Qwen: ' || title, '(?i)🌐?\s*Translated by\s+[a-zA-Z0-9\s()_,.-]*[:—–\s-]*', '', 'g')) AS title, regexp_replace('TOP > News > ' || title, '^(?:[^>＞›»。.!?！？\n]{1,24}\s*[>＞›»]\s*){2,}', '') AS plain FROM feed_articles""")
+def display_texts(r: Reader) -> DataFrame:
+    title = F.col("title")
+    return r.feed_articles.select("id", text.clean_translation_tag(F.concat(F.lit("Translated by Qwen: "), title)).alias("title"), text.strip_breadcrumb(F.concat(F.lit("TOP > News > "), title)).alias("plain"))

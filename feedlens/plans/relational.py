@@ -343,3 +343,29 @@ def eviction_order(r: Reader) -> DataFrame:
     by = Window.partitionBy("source_id")
     n = F.row_number().over(by.orderBy("is_saved", F.desc("is_read"), "created_at", "id"))
     return r.feed_articles.select("id", n.alias("n"), F.count("*").over(by).alias("c")).where("n <= c - 20").select("id")
+
+
+@query("P29", r"""
+WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www[.]', '') AS h FROM pages)
+SELECT page_id, h = (SELECT h FROM p WHERE page_id = 0) AS same_site FROM p""")
+def same_site_links(r: Reader) -> DataFrame:
+    rows = r.pages.select("page_id", urls.host(F.col("url")).alias("h"))
+    first = rows.where("page_id = 0").agg(F.max("h").alias("home"))  # one row
+    return rows.crossJoin(F.broadcast(first)).select("page_id", (F.col("h") == F.col("home")).alias("same_site"))
+
+
+@query("O11", """
+SELECT 'provider' AS kind, translator AS name, count(*) AS n, min(created_at) AS oldest FROM feed_articles a JOIN feed_sources s ON s.id = a.source_id GROUP BY 2
+UNION ALL SELECT 'queue', 'all', count(*), min(created_at) FROM feed_articles WHERE parse_status = 'pending'""")
+def provider_order(r: Reader) -> DataFrame:
+    sources = r.feed_sources.select(F.col("id").alias("source_id"), F.col("translator").alias("name"))
+    told = [F.count("*").alias("n"), F.min("created_at").alias("oldest")]
+    providers = r.feed_articles.join(sources, "source_id").groupBy("name").agg(*told).select(F.lit("provider").alias("kind"), "name", "n", "oldest")
+    queue = r.feed_articles.where("parse_status = 'pending'").agg(*told).select(F.lit("queue").alias("kind"), F.lit("all").alias("name"), "n", "oldest")
+    return providers.unionByName(queue).orderBy("kind", F.desc("n"), "name")
+
+
+@query("F08", "SELECT id, TIMESTAMP '2024-01-31 00:00:00' AS now, (epoch(TIMESTAMP '2024-01-31 00:00:00' - created_at) / 3600)::BIGINT AS hours FROM feed_articles")
+def clock(r: Reader) -> DataFrame:
+    hours = (F.unix_seconds(r.as_of.cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))) / 3600
+    return r.feed_articles.select("id", r.as_of.alias("now"), hours.cast("long").alias("hours"))
