@@ -209,16 +209,19 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col)).alias("p")).select("id", "p.*")
 
 
-def _sized_pairs(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Pairs of tiles whose numbers of shingles can have the similarity: lists of ids, fps, ns, labels of a, and of b or null."""
-    step = float(-np.log(similarity))
+def _sized_pairs(texts: DataFrame, similarity: float, tile: int, tile_bytes: int | None = None) -> DataFrame:
+    """Pairs of tiles whose numbers of shingles can have the similarity: lists of texts' columns of a, and of b or null.
+
+    A tile has about `tile` texts, fewer where they are long and their shingles would take more than tile_bytes.
+    """
+    columns, step = texts.columns, float(-np.log(similarity))
     bucket = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / step).cast("int")
     sized = texts.withColumn("bucket", bucket)
     counts = {r["bucket"]: r["c"] for r in sized.groupBy("bucket").agg(F.count("*").alias("c")).collect()}  # one row for each step of the logarithm
-    parts = F.array(*[F.lit(max(1, -(-counts.get(k, 0) // tile))) for k in range(max(counts, default=0) + 2)])
-    named = lambda s: [F.collect_list(c).alias(f"{c}_{s}") for c in ("id", "fp", "n", "label")]
+    most = lambda k: tile if tile_bytes is None else max(1, min(tile, int(tile_bytes / (8 * np.exp((k + 1) * step)))))
+    parts = F.array(*[F.lit(max(1, -(-counts.get(k, 0) // most(k)))) for k in range(max(counts, default=0) + 2)])
     tiles = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("bucket") + 1).cast("long")).cast("int"))
-    tiles = cut(tiles.groupBy("bucket", "part").agg(*named("a")))
+    tiles = cut(tiles.groupBy("bucket", "part").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
     mine = F.struct("bucket", "part")
     near = lambda lo, hi: F.flatten(
         F.transform(
@@ -228,46 +231,98 @@ def _sized_pairs(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
     )
     left = tiles.select("*", mine.alias("k"), F.explode(near(F.col("bucket"), F.col("bucket") + 1)).alias("o")).where("o > k")
     right = tiles.select(
-        *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("id", "fp", "n", "label")], mine.alias("o"),
+        *[F.col(f"{c}_a").alias(f"{c}_b") for c in columns], mine.alias("o"),
         F.explode(near(F.greatest(F.col("bucket") - 1, F.lit(0)), F.col("bucket"))).alias("k"),
     ).where("o > k")
-    columns = [f"{c}_{s}" for s in "ab" for c in ("id", "fp", "n", "label")]
-    own = tiles.select(*columns[:4], *[F.lit(None).cast("array<bigint>").alias(c) for c in columns[4:]])
-    return left.join(right, ["k", "o"]).select(*columns).union(own)
+    names = [f"{c}_{s}" for s in "ab" for c in columns]
+    own = tiles.select(*names[: len(columns)], *[F.lit(None).cast(tiles.schema[f"{c}_a"].dataType).alias(f"{c}_b") for c in columns])
+    return left.join(right, ["k", "o"]).select(*names).union(own)
+
+
+def _near_in_tiles(row: tuple, width: int, radius: int, similarity: float):
+    """(columns of a, columns of b, i, j, bits apart, whether a is b) of the pairs with different labels in a pair of tiles."""
+    own = row[width] is None
+    side = lambda k: [np.asarray(x, np.int64) if c < 4 else np.array(x, object) for c, x in enumerate(row[k : k + width])]
+    def ordered(columns: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.argsort(np.bitwise_count(columns[1].view(np.uint64) & LOW_HALF), kind="stable")
+        return [c[order] for c in columns]
+
+    a = ordered(side(0))
+    b = a if own else ordered(side(width))
+    none = np.empty(0, np.int64)
+    kept = [(none, none, none)]
+    for i, j, apart in close_pairs(a[1].view(np.uint64), b[1].view(np.uint64), radius):
+        n, m = a[2][i], b[2][j]
+        ok = (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (a[3][i] != b[3][j])
+        ok &= (i < j) if own else True
+        kept.append((i[ok], j[ok], apart[ok]))
+    i, j, apart = (np.concatenate(x) for x in zip(*kept))
+    return a, b, i, j, apart, own
+
 
+def _forest_rows(a: list, b: list, i: np.ndarray, j: np.ndarray, apart: np.ndarray, own: bool) -> pd.DataFrame:
+    ids = a[0] if own else np.concatenate([a[0], b[0]])
+    i, j = spanning_pairs(len(ids), i, j if own else j + len(a[0]), apart)
+    return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
-def _candidates(texts: DataFrame, radius: int, similarity: float, tile: int, all_pairs: bool) -> DataFrame:
-    """(a, b) ids of texts with different labels within the radius: a spanning forest of each tile pair, or all."""
+
+def _candidates(texts: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(a, b) ids: of the texts with different labels within the radius, a spanning forest for each pair of tiles."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                side = lambda k: [np.asarray(x, np.int64) for x in row[k : k + 4]]
-                a = side(0)
-                own = row[4] is None
-                b = a if own else side(4)
-                order = np.argsort(np.bitwise_count(b[1].view(np.uint64) & LOW_HALF), kind="stable")
-                b = [x[order] for x in b]
-                a = b if own else [x[np.argsort(np.bitwise_count(a[1].view(np.uint64) & LOW_HALF), kind="stable")] for x in a]
-                kept = []
-                for i, j, apart in close_pairs(a[1].view(np.uint64), b[1].view(np.uint64), radius):
-                    n, m = a[2][i], b[2][j]
-                    ok = (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (a[3][i] != b[3][j])
-                    ok &= (i < j) if own else True
-                    kept.append((i[ok], j[ok], apart[ok]))
-                if not kept:
-                    continue
-                i, j, apart = (np.concatenate(x) for x in zip(*kept))
-                if not all_pairs:
-                    ids = a[0] if own else np.concatenate([a[0], b[0]])
-                    i, j = spanning_pairs(len(ids), i, j if own else j + len(a[0]), apart)
-                    yield pd.DataFrame({"a": ids[i], "b": ids[j]})
-                else:
-                    yield pd.DataFrame({"a": a[0][i], "b": b[0][j]})
+                yield _forest_rows(*_near_in_tiles(row, 4, radius, similarity))
 
     return _sized_pairs(texts, similarity, tile).mapInPandas(solve, "a long, b long")
 
 
+def _undecided(texts: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(id) of the texts that have a text with another label within the radius."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                a, b, i, j, _, _ = _near_in_tiles(row, 4, radius, similarity)
+                yield pd.DataFrame({"id": np.concatenate([np.unique(a[0][i]), np.unique(b[0][j])])})
+
+    return _sized_pairs(texts, similarity, tile).mapInPandas(solve, "id long").distinct()
+
+
+def overlaps(one: list[bytes], many: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of each packed set of `one` with each of `many`."""
+    sets = [np.frombuffer(x, np.uint64) for x in (*one, *many)]
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(at, np.cumsum([len(x) for x in sets])[:-1])
+    other = np.concatenate(parts[len(one) :])
+    begins = np.cumsum([0] + [len(x) for x in parts[len(one) : -1]])
+    out, mark = np.empty((len(one), len(many)), np.int64), np.zeros(len(names), np.int64)
+    for n, own in enumerate(parts[: len(one)]):
+        mark[own] = 1
+        out[n] = np.add.reduceat(mark[other], begins)
+        mark[own] = 0
+    return out
+
+
+def _verified_in_tiles(texts: DataFrame, radius: int, similarity: float, tile: int = 256, tile_bytes: int = 1 << 22) -> DataFrame:
+    """(a, b) ids: of the texts with different labels within the radius whose shingle sets (column set) have the
+    similarity, a spanning forest for each pair of tiles. No pair leaves its task before it is verified."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                a, b, i, j, apart, own = _near_in_tiles(row, 5, radius, similarity)
+                if len(i):
+                    rows, cols = np.unique(i), np.unique(j)
+                    both = overlaps([a[4][x] for x in rows], [b[4][x] for x in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+                    size = lambda side, at: np.array([len(x) // 8 for x in side[4]])[at]
+                    ok = both >= similarity * (size(a, i) + size(b, j) - both)
+                    i, j, apart = i[ok], j[ok], apart[ok]
+                yield _forest_rows(a, b, i, j, apart, own)
+
+    return _sized_pairs(texts, similarity, tile, tile_bytes).mapInPandas(solve, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose texts' shingle sets have that Jaccard similarity."""
 
@@ -299,7 +354,8 @@ def near_copies(
 
     Texts with equal words are one text. Candidates are texts within the radius whose numbers of shingles allow the similarity;
     all links that count are verified on the shingles themselves. First each pair of tiles gives a spanning forest of
-    its candidates, closest first; then, between the groups that these make, all candidates there are. Texts without
+    its candidates, closest first. Texts that then have candidates in another group are compared again, all of these
+    candidates, with their shingle sets in the tiles; no list of all pairs is ever written. Texts without
     words are alike. Rows with a null id are left out, repeated rows are repeated; component_id is the group's
     smallest id. Other columns aren't read. Fingerprints of texts at a similarity of 0.8
     differ in 9.7 bits with a deviation of 2.9, so the default radius finds 19 of 20 such links, and more above.
@@ -308,10 +364,17 @@ def near_copies(
     texts = cut(profile.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")))
     words_of = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
     labelled = texts.select("id", "fp", "n", F.col("id").alias("label"))
-    links_ = cut(_verified(_candidates(labelled, radius, similarity, tile, False), words_of, words, similarity))
+    links_ = cut(_verified(_candidates(labelled, radius, similarity, tile), words_of, words, similarity))
     groups = cut(components(links_))
-    labelled = texts.join(groups, texts["id"] == groups["node"], "left").select("id", "fp", "n", F.coalesce("root", "id").alias("label"))
-    rest = cut(_verified(_candidates(labelled, radius, similarity, tile, True), words_of, words, similarity))
+    labelled = cut(texts.join(groups, texts["id"] == groups["node"], "left").select("id", "fp", "n", F.coalesce("root", "id").alias("label")))
+    left = cut(_undecided(labelled, radius, similarity, tile))
+
+    @pandas_udf("binary")
+    def packed(batch: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(byte_words(t), words).tobytes() for t in batch], dtype=object)
+
+    sets = labelled.join(left, "id").join(words_of, "id").select("id", "fp", "n", "label", packed("text").alias("set"))
+    rest = cut(_verified_in_tiles(sets, radius, similarity))
     if rest.limit(1).count():
         groups = cut(components(links_.union(rest)))
     named = texts.join(groups, texts["id"] == groups["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
