@@ -93,7 +93,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn": KNN_SQL, "op8_mix": MIX_SQL}
+    return {"op1_knn": KNN_SQL, "op6_warc": WARC_SQL, "op8_mix": MIX_SQL}
 
 
 KNN_SQL = """
@@ -108,6 +108,16 @@ WITH v AS (
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+#: Base32 of a hexadecimal digest: five digits are twenty bits, four letters.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to, true AS intact
+FROM p JOIN m USING (h)
+"""
+
 MIX_SQL = """
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NOT NULL THEN ['web', 'news', 'books', 'forum'][CAST(coalesce(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT), 0) % 4 + 1 AS BIGINT)] END AS domain,
