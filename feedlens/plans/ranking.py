@@ -9,6 +9,7 @@ from feedlens.functions import numbers, text
 from feedlens.operators import relational as rel
 from feedlens.operators import rerank, scoring, status, weights
 from feedlens.plans.registry import query
+from feedlens.sources.shared import settled
 from feedlens.sources.tables import Reader
 
 CANON = "CASE doc WHEN 0 THEN ['smartphone', 'tv series'] WHEN 1 THEN ['smartphone'] WHEN 2 THEN ['watch'] ELSE []::VARCHAR[] END"
@@ -43,8 +44,10 @@ def the_weights(r: Reader) -> DataFrame:
     return weights.label_weights(r.article_votes, r.user_article_events, r.feed_articles, r.as_of)
 
 
-def the_scores(r: Reader) -> DataFrame:
-    return scoring.scores(r.feed_articles, the_weights(r), r.article_votes, status.impressions(r.user_article_events), r.as_of)
+def the_scores(r: Reader, known: DataFrame | None = None) -> DataFrame:
+    """Scores of all articles. The weights, a row a label, are written once: four joins read them."""
+    known = settled(the_weights(r), "weights") if known is None else known
+    return scoring.scores(r.feed_articles, known, r.article_votes, status.impressions(r.user_article_events), r.as_of)
 
 
 @query("A14 F01 F07", f"WITH {AXES} SELECT axis, label, votes, round(tally, 6) AS tally FROM vt")
@@ -143,9 +146,10 @@ def saturation_curve(r: Reader) -> DataFrame:
 def page_of(r: Reader, most: int = 200) -> tuple[DataFrame, dict]:
     """Candidates by category (uncategorised: 0), the best rows of each, and the weights as dictionaries (a row a label)."""
     sources = r.feed_sources.select(F.col("id").alias("source_id"), F.coalesce("category_id", F.lit(0)).alias("page"))
-    rows = rel.top_per_group(the_scores(r).join(sources, "source_id"), ["page"], [F.desc("score"), F.col("id")], most)
+    known = settled(the_weights(r), "weights")
+    rows = rel.top_per_group(the_scores(r, known).join(sources, "source_id"), ["page"], [F.desc("score"), F.col("id")], most)
     found: dict[str, dict[str, float]] = {}
-    closed = the_weights(r).where("axis <> 'secondary'").orderBy(F.desc(F.abs("effective")), "label").limit(1000)
+    closed = known.where("axis <> 'secondary'").orderBy(F.desc(F.abs("effective")), "label").limit(1000)
     for row in closed.collect():
         found.setdefault(row["axis"], {})[row["label"]] = row["effective"] * (scoring.REGION_FACTOR if row["axis"] == "region" else 1.0)
     return rows, found
