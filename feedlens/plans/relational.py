@@ -317,11 +317,10 @@ def fever_feeds_groups(r: Reader) -> DataFrame:
     return r.feed_sources.groupBy(F.coalesce("category_id", F.lit(0)).alias("group_id")).agg(ids.alias("feed_ids"))
 
 
-@query("O04", "SELECT id, row_number() OVER (ORDER BY saved_at DESC NULLS LAST, created_at DESC, id DESC) AS place FROM (SELECT *, CASE WHEN id % 2 = 0 THEN created_at END AS saved_at FROM feed_articles WHERE is_saved = 1)")
+@query("O04", "SELECT id, saved_at, created_at FROM (SELECT *, CASE WHEN id % 2 = 0 THEN created_at END AS saved_at FROM feed_articles WHERE is_saved = 1) ORDER BY saved_at DESC NULLS LAST, created_at DESC, id DESC LIMIT 50")
 def saved_articles_order(r: Reader) -> DataFrame:
     saved = r.feed_articles.where("is_saved = 1").withColumn("saved_at", F.when(F.col("id") % 2 == 0, F.col("created_at")))
-    order = Window.orderBy(F.col("saved_at").desc_nulls_last(), F.desc("created_at"), F.desc("id"))
-    return saved.select("id", F.row_number().over(order).alias("place"))
+    return rel.page(saved.select("id", "saved_at", "created_at"), [F.col("saved_at").desc_nulls_last(), F.desc("created_at"), F.desc("id")], 50)
 
 
 @query("O07 F39", "SELECT id, epoch(created_at)::BIGINT AS unix_ts FROM feed_articles ORDER BY unix_ts DESC, id DESC LIMIT 100")
@@ -350,8 +349,8 @@ WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A
 SELECT page_id, h = (SELECT h FROM p WHERE page_id = 0) AS same_site FROM p""")
 def same_site_links(r: Reader) -> DataFrame:
     rows = r.pages.select("page_id", urls.host(F.col("url")).alias("h"))
-    first = rows.where("page_id = 0").agg(F.max("h").alias("home"))  # one row
-    return rows.crossJoin(F.broadcast(first)).select("page_id", (F.col("h") == F.col("home")).alias("same_site"))
+    home = rows.where("page_id = 0").agg(F.max("h")).first()[0]
+    return rows.select("page_id", (F.col("h") == F.lit(home)).alias("same_site"))
 
 
 @query("O11", """
