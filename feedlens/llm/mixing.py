@@ -52,15 +52,18 @@ def share_out(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
     return out.withColumn("given", F.greatest(F.lit(0), given).cast("long")).drop("__left", "__rest", "__full", "__level")
 
 
-def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: Column) -> DataFrame:
-    """leaves (level columns, tokens, cap) with `given`; budget: tokens to give in all, as a column of one-row totals."""
-    nodes = leaves.agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    parents = nodes.select(F.least(budget.cast("long"), F.col("cap")).alias("budget"))
+def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: float) -> DataFrame:
+    """leaves (level columns, tokens, cap) with `given`; share: of all tokens, what there is to give."""
+    parents = None
     for depth, level in enumerate(levels):
         up, here = levels[:depth], levels[: depth + 1]
         nodes = leaves.groupBy(*here).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", weight_of(F.col(level), weights.get(level, {})))
-        nodes = nodes.join(parents, up) if up else nodes.crossJoin(F.broadcast(parents))  # one row: the root's budget
+        if up:
+            nodes = nodes.join(parents, up)
+        else:  # the root's children, a few rows, share its budget
+            all_of = lambda c: F.sum(c).over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("budget", F.least(F.floor(all_of("tokens") * F.lit(share)).cast("long"), all_of("cap")))
         nodes = share_out(nodes, up or [F.lit(0)], level)
         parents = nodes.select(*here, F.col("given").alias("budget"))
     return nodes.select(*levels, "tokens", "cap", "given")
@@ -101,7 +104,7 @@ def mix(
     rows = cut(docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in keys.items()], n_tokens(F.col(text_col)).alias("tokens")))
     leaves = rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
     named = {f"__k{n}": weights.get(name, {}) for n, name in enumerate(names)}
-    given = cut(leaf_budgets(leaves, list(keys), named, F.floor(F.col("tokens") * F.lit(float(share)))))
+    given = cut(leaf_budgets(leaves, list(keys), named, float(share)))
     given = given.withColumns(
         {
             "epochs": F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(0)).cast("long"),
