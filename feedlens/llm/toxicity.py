@@ -199,9 +199,10 @@ def train(
     n = known.count()
     share = min(1.0, sample / max(1, n))
     known = known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # The sample's ids, bounded by `sample`, go to the tasks, so no other text is shuffled.
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-        .join(known, "id").groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.*")
+        .join(F.broadcast(known), "id").groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.*")
     )
     rows = cut(rows)
     sizes = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
