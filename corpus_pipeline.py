@@ -37,10 +37,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with the epochs and tokens taken of each."""
+    """The documents that the mixture takes, with the epochs and tokens taken of each; columns of those names are replaced."""
+    added = ("domain", "n_tokens", "epochs", "part_tokens", "taken_tokens")
     taken = queries.mixed(docs).where("taken_tokens > 0")
-    taken = taken.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("domain", "n_tokens", "epochs", "part_tokens", "taken_tokens")])
-    return docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(*[F.max(c).alias(c) for c in added])
+    return docs.drop(*added).join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
 STAGES = [

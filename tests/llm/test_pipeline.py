@@ -10,7 +10,7 @@ import corpus_pipeline
 from feedlens.llm.decontaminate import folded
 from feedlens.llm.simhash import jaccard
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, epochs string"
 
 
 def corpus():
@@ -28,8 +28,8 @@ def corpus():
     toxic = set(range(1, 150, 9))
     for n in toxic:
         rows[n].insert(4, "grobulant")
-    docs = [(n, " ".join(w), "en", f"src{n % 4}", len(" ".join(w)), "clash") for n, w in enumerate(rows)]
-    docs += [(500, "", "en", "src1", 0, "x"), (501, None, None, None, None, None), (None, "no id here", "en", "src1", 10, "x")]
+    docs = [(n, " ".join(w), "en", f"src{n % 4}", len(" ".join(w)), "clash", "clash") for n, w in enumerate(rows)]
+    docs += [(500, "", "en", "src1", 0, "x", "x"), (501, None, None, None, None, None, None), (None, "no id here", "en", "src1", 10, "x", "x")]
     labels = [(n, 1, int(n in toxic)) for n in range(150)]
     return docs, labels, [(0, " ".join(item)), (1, None)], toxic
 
