@@ -209,17 +209,13 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col)).alias("p")).select("id", "p.*")
 
 
-def _sized_pairs(texts: DataFrame, similarity: float, tile: int, tile_bytes: int | None = None) -> DataFrame:
-    """Pairs of tiles whose numbers of shingles can have the similarity: lists of texts' columns of a, and of b or null.
-
-    A tile has about `tile` texts, fewer where they are long and their shingles would take more than tile_bytes.
-    """
+def _sized_pairs(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Pairs of tiles whose numbers of shingles can have the similarity: lists of texts' columns of a, and of b or null."""
     columns, step = texts.columns, float(-np.log(similarity))
     bucket = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / step).cast("int")
     sized = texts.withColumn("bucket", bucket)
     counts = {r["bucket"]: r["c"] for r in sized.groupBy("bucket").agg(F.count("*").alias("c")).collect()}  # one row for each step of the logarithm
-    most = lambda k: tile if tile_bytes is None else max(1, min(tile, int(tile_bytes / (8 * np.exp((k + 1) * step)))))
-    parts = F.array(*[F.lit(max(1, -(-counts.get(k, 0) // most(k)))) for k in range(max(counts, default=0) + 2)])
+    parts = F.array(*[F.lit(max(1, -(-counts.get(k, 0) // tile))) for k in range(max(counts, default=0) + 2)])
     tiles = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("bucket") + 1).cast("long")).cast("int"))
     tiles = cut(tiles.groupBy("bucket", "part").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
     mine = F.struct("bucket", "part")
@@ -277,18 +273,6 @@ def _candidates(texts: DataFrame, radius: int, similarity: float, tile: int) ->
     return _sized_pairs(texts, similarity, tile).mapInPandas(solve, "a long, b long")
 
 
-def _undecided(texts: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
-    """(id) of the texts that have a text with another label within the radius."""
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                a, b, i, j, _, _ = _near_in_tiles(row, 4, radius, similarity)
-                yield pd.DataFrame({"id": np.concatenate([np.unique(a[0][i]), np.unique(b[0][j])])})
-
-    return _sized_pairs(texts, similarity, tile).mapInPandas(solve, "id long").distinct()
-
-
 def overlaps(one: list[bytes], many: list[bytes]) -> np.ndarray:
     """Sizes of the intersections of each packed set of `one` with each of `many`."""
     sets = [np.frombuffer(x, np.uint64) for x in (*one, *many)]
@@ -305,22 +289,42 @@ def overlaps(one: list[bytes], many: list[bytes]) -> np.ndarray:
 
 
 def _verified_in_tiles(texts: DataFrame, radius: int, similarity: float, tile: int = 256, tile_bytes: int = 1 << 22) -> DataFrame:
-    """(a, b) ids: of the texts with different labels within the radius whose shingle sets (column set) have the
-    similarity, a spanning forest for each pair of tiles. No pair leaves its task before it is verified."""
+    """(a, b) ids: of the texts of one family with different labels within the radius whose shingle sets have the
+    similarity, a spanning forest for each pair of tiles. No pair leaves its task before it is verified.
+
+    texts: id, fp, n, label, set (packed shingle hashes), family. A family has one tile, more if it has more than `tile`
+    texts or tile_bytes of sets; so most sets move once.
+    """
+    columns = ["id", "fp", "n", "label", "set"]
+    sizes = texts.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes)).cast("int").alias("parts")
+    )
+    dealt = texts.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    tiles = cut(dealt.groupBy("family", "part", "parts").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
+    several = tiles.where("parts > 1")
+    left = several.where("part < parts - 1").select("family", F.col("part").alias("k"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("o"), *[f"{c}_a" for c in columns])
+    right = several.where("part > 0").select("family", F.col("part").alias("o"), F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("k"), *[F.col(f"{c}_a").alias(f"{c}_b") for c in columns])
+    names = [f"{c}_{s}" for s in "ab" for c in columns]
+    own = tiles.select(*names[:5], *[F.lit(None).cast(tiles.schema[f"{c}_a"].dataType).alias(f"{c}_b") for c in columns])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for row in batch.itertuples(index=False):
                 a, b, i, j, apart, own = _near_in_tiles(row, 5, radius, similarity)
-                if len(i):
-                    rows, cols = np.unique(i), np.unique(j)
-                    both = overlaps([a[4][x] for x in rows], [b[4][x] for x in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-                    size = lambda side, at: np.array([len(x) // 8 for x in side[4]])[at]
-                    ok = both >= similarity * (size(a, i) + size(b, j) - both)
-                    i, j, apart = i[ok], j[ok], apart[ok]
-                yield _forest_rows(a, b, i, j, apart, own)
+                if not len(i):
+                    continue
+                rows, cols = np.unique(i), np.unique(j)
+                both = overlaps([a[4][x] for x in rows], [b[4][x] for x in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+                size = lambda side, at: np.array([len(x) // 8 for x in side[4]])[at]
+                ok = both >= similarity * (size(a, i) + size(b, j) - both)
+                if ok.any():
+                    found.append(_forest_rows(a, b, i[ok], j[ok], apart[ok], own))
+            if found:
+                yield pd.concat(found)
 
-    return _sized_pairs(texts, similarity, tile, tile_bytes).mapInPandas(solve, "a long, b long")
+    pairs = left.join(right, ["family", "k", "o"]).select(*names)
+    return pairs.union(own).mapInPandas(solve, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -349,13 +353,14 @@ def shingle_set(own: list[bytes], words: int) -> np.ndarray:
 
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 14, tile: int = 2048,
+    family_tile: int = 256,
 ) -> DataFrame:
     """(id, component_id): groups of texts whose word shingles have a Jaccard similarity of at least `similarity`.
 
     Texts with equal words are one text. Candidates are texts within the radius whose numbers of shingles allow the similarity;
     all links that count are verified on the shingles themselves. First each pair of tiles gives a spanning forest of
     its candidates, closest first. Texts that then have candidates in another group are compared again, all of these
-    candidates, with their shingle sets in the tiles; no list of all pairs is ever written. Texts without
+    candidates, with their shingle sets, family by family; no list of all pairs is ever written. Texts without
     words are alike. Rows with a null id are left out, repeated rows are repeated; component_id is the group's
     smallest id. Other columns aren't read. Fingerprints of texts at a similarity of 0.8
     differ in 9.7 bits with a deviation of 2.9, so the default radius finds 19 of 20 such links, and more above.
@@ -367,14 +372,16 @@ def near_copies(
     links_ = cut(_verified(_candidates(labelled, radius, similarity, tile), words_of, words, similarity))
     groups = cut(components(links_))
     labelled = cut(texts.join(groups, texts["id"] == groups["node"], "left").select("id", "fp", "n", F.coalesce("root", "id").alias("label")))
-    left = cut(_undecided(labelled, radius, similarity, tile))
+    # Texts whose candidates belong to other groups, by family: the candidates of a text are all in its family.
+    families = cut(components(_candidates(labelled, radius, similarity, tile)))
+    families = families.select(F.col("node").alias("id"), F.col("root").alias("family"))
 
     @pandas_udf("binary")
     def packed(batch: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(byte_words(t), words).tobytes() for t in batch], dtype=object)
 
-    sets = labelled.join(left, "id").join(words_of, "id").select("id", "fp", "n", "label", packed("text").alias("set"))
-    rest = cut(_verified_in_tiles(sets, radius, similarity))
+    sets = labelled.join(families, "id").join(words_of, "id").select("id", "fp", "n", "label", "family", packed("text").alias("set"))
+    rest = cut(_verified_in_tiles(sets, radius, similarity, family_tile))
     if rest.limit(1).count():
         groups = cut(components(links_.union(rest)))
     named = texts.join(groups, texts["id"] == groups["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
