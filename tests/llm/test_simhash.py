@@ -66,9 +66,10 @@ def test_near_copies_match_brute_force(spark):
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows += [(300 + n, " ".join(base[:k] + ["x"] + base[k + 1 :])) for n, k in enumerate(range(0, 120, 3))]
     df = spark.createDataFrame([(*r, "clash") for r in rows + [(None, "a b c"), rows[5]]], SCHEMA)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     linked = [(a, b) for a, x in rows for b, y in rows if a < b and simhash.jaccard(x, y, 5) >= 0.8]
-    assert got == groups([i for i, _ in rows], linked)
+    for more in ({}, {"tile": 5, "family_tile": 3}):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, **more).collect()}
+        assert got == groups([i for i, _ in rows], linked)
 
 
 def test_components_of_a_path_and_of_stars(spark):
