@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import numbers, text
 from feedlens.operators.relational import rank_share, small
-from feedlens.operators.weights import usable
 
 #: Fixed values of the score.
 REGION_FACTOR, SECONDARY_FACTOR, SECONDARY_CAP = 0.3, 0.3, 1.0
@@ -56,7 +55,3 @@ def target_distribution(weights: DataFrame, floor: float = TARGET_FLOOR) -> Data
     p = F.exp("effective") / F.sum(F.exp("effective")).over(by)
     out = weights.withColumn("p", p).withColumn("p", F.greatest(F.col("p"), F.lit(floor)))
     return out.select("axis", "label", (F.col("p") / F.sum("p").over(by)).alias("share"))
-
-
-def present(labels: Column) -> Column:
-    return usable(labels)
