@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from feedlens.llm.common import byte_words, cut, shingle_bounds
-from feedlens.llm.components import components
+from feedlens.llm.components import components, forest
 from feedlens.llm.substrings import shingle_hashes as rolling_hashes
 
 LOW_HALF = np.uint64(0xFFFFFFFF)
@@ -69,20 +69,6 @@ def by_low_half(values: np.ndarray) -> np.ndarray:
     return values[np.argsort(np.bitwise_count(values & LOW_HALF), kind="stable")]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links i-j, the least node that each reaches."""
-    root = np.arange(n)
-    while len(i):
-        least = np.minimum(root[i], root[j])
-        np.minimum.at(root, root[i], least)
-        np.minimum.at(root, root[j], least)
-        while not np.array_equal(root, again := root[root]):
-            root = again
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-    return root
-
-
 def _tiles(fps: DataFrame, tile: int) -> DataFrame:
     """(pc, part, n_parts, fps array): tiles of about `tile` fingerprints of one population count."""
     counts = {r["pc"]: r["n"] for r in fps.groupBy(F.bit_count("fp").alias("pc")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most

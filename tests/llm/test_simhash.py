@@ -74,8 +74,9 @@ def test_near_copies_match_brute_force(spark):
 
 def test_components_of_a_path_and_of_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 140)] + [(5, 5), (None, 3)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(51)} | {x: 100 for x in range(100, 140)}
+    for chunk in (250_000, 16):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), chunk=chunk).collect()}
+        assert got == {i: 0 for i in range(51)} | {x: 100 for x in range(100, 140)}
     assert not components(spark.createDataFrame([], "a long, b long")).collect()
 
 
