@@ -274,19 +274,24 @@ def overlaps(one: list[bytes], many: list[bytes]) -> np.ndarray:
     return out
 
 
-def _verified_in_tiles(texts: DataFrame, radius: int, similarity: float, tile: int = 256, tile_bytes: int = 1 << 22) -> DataFrame:
+def _dealt(texts: DataFrame, tile: int, tile_bytes: int = 1 << 22) -> DataFrame:
+    """texts with the number of tiles of its family, and its own: one tile, more if the family has more than `tile` texts
+    or tile_bytes of sets."""
+    sizes = texts.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes), F.lit(1)).cast("int").alias("parts")
+    )
+    return texts.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+
+
+def _verified_in_tiles(texts: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(a, b) ids: of the texts of one family with different labels within the radius whose shingle sets have the
     similarity, a spanning forest for each pair of tiles. No pair leaves its task before it is verified.
 
-    texts: id, fp, n, label, set (packed shingle hashes), family. A family has one tile, more if it has more than `tile`
-    texts or tile_bytes of sets; so most sets move once.
+    texts: id, fp, n, label, set (packed shingle hashes), family, and part of so many parts. Most families have one part,
+    so most sets move once; the parts of a large one go to as many tasks.
     """
     columns = ["id", "fp", "n", "label", "set"]
-    sizes = texts.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes)).cast("int").alias("parts")
-    )
-    dealt = texts.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    tiles = cut(dealt.groupBy("family", "part", "parts").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
+    tiles = cut(texts.repartition("family", "part").groupBy("family", "part", "parts").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
     several = tiles.where("parts > 1")
     left = several.where("part < parts - 1").select("family", F.col("part").alias("k"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("o"), *[f"{c}_a" for c in columns])
     right = several.where("part > 0").select("family", F.col("part").alias("o"), F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("k"), *[F.col(f"{c}_a").alias(f"{c}_b") for c in columns])
@@ -366,8 +371,9 @@ def near_copies(
     def packed(batch: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(byte_words(t), words).tobytes() for t in batch], dtype=object)
 
-    sets = labelled.join(families, "id").join(words_of, "id").select("id", "fp", "n", "label", "family", packed("text").alias("set"))
-    rest = cut(_verified_in_tiles(sets, radius, similarity, family_tile))
+    dealt = cut(_dealt(labelled.join(families, "id"), family_tile))
+    sets = dealt.join(words_of, "id").select("id", "fp", "n", "label", "family", "part", "parts", packed("text").alias("set"))
+    rest = cut(_verified_in_tiles(sets, radius, similarity))
     if rest.limit(1).count():
         groups = cut(components(links_.union(rest)))
     named = texts.join(groups, texts["id"] == groups["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
