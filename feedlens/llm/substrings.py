@@ -6,6 +6,9 @@ one at c; nodes that hold no subsequence of the least length are left out. Nodes
 min-hash overlap, aligned at c, in an interval; intervals of a document pair in which several hash functions agree are
 joined and verified on the words themselves.
 
+A group's leader may share the min-hash but not the passage. So exact repeats have a pass of their own (exact_repeats), by
+the hashes of the passages of the least length.
+
 Equal nodes of one batch are linked to that batch's least document before the shuffle, so a passage that a third of
 all documents share costs the shuffle a row a batch. Nodes of a group link to the group's least document, never all to all.
 """
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import WORD, byte_words, shingle_bounds
+from feedlens.llm.common import WORD, byte_words, cut, shingle_bounds
 
 WORDS = re.compile(WORD)
 
@@ -40,6 +43,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def of_function(hashes: np.ndarray, f: int) -> np.ndarray:
+    return mixed(hashes ^ np.uint64((f + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
+
+
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """A 64-bit hash of each run of `size` words; none for fewer words."""
     if len(words) < size:
@@ -105,7 +112,7 @@ def _nodes(ids: list[int], texts: list[list[bytes]], least: int, functions: int)
     doc, begin = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
     every, out = np.concatenate(hashes), []
     for f in range(functions):
-        own = mixed(every ^ np.uint64((f + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))
+        own = of_function(every, f)
         c, left, right = compact_windows(own, doc, least)
         ext = np.minimum(c - left, EXT_MOST) << EXT_BITS | np.minimum(right - c, EXT_MOST)
         out.append((own[c].view(np.int64), ids[doc[c]], c - begin[doc[c]], ext))
@@ -203,6 +210,110 @@ def similar_runs(a: np.ndarray, b: np.ndarray, least: int, similarity: float) ->
             todo += [places[: len(places) // 2], places[len(places) // 2 :]]
 
 
+def window_runs(hashes: np.ndarray, doc: np.ndarray, least: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last): runs of windows of `least` places with the same min-hash place under every function, for documents
+    laid end to end. Equal windows have equal keys wherever they are: a key is of the min-hashes and their distances."""
+    empty = np.empty(0, np.int64)
+    if len(hashes) < least:
+        return empty, empty, empty
+    inside = np.flatnonzero(doc[: len(doc) - least + 1] == doc[least - 1 :])
+    if not len(inside):
+        return empty, empty, empty
+    bits = np.uint64(max(1, int(len(hashes) - 1).bit_length()))
+    key, changed, first_at = np.zeros(len(inside), np.uint64), np.diff(inside, prepend=-2) != 1, None
+    changed[1:] |= doc[inside[1:]] != doc[inside[:-1]]
+    for f in range(functions):
+        own = of_function(hashes, f)
+        least_of = pivots((own >> bits << bits) | np.arange(len(own), dtype=np.uint64), least)[inside]
+        at = (least_of & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        first_at = at if first_at is None else first_at
+        key = mixed(key ^ own[at] ^ mixed((at - first_at).view(np.uint64) + np.uint64(f)))
+        changed[1:] |= at[1:] != at[:-1]
+    run = np.flatnonzero(changed)
+    return key[run].view(np.int64), inside[run], inside[np.append(run[1:], len(inside)) - 1]
+
+
+def exact_repeats(rows: DataFrame, known: DataFrame, least_words: int, functions: int, chunk: int = 1 << 19) -> DataFrame:
+    """(doc, start, end, rdoc, rstart, rend, jaccard 1): runs of at least least_words words that a document with a smaller id
+    has, where known (doc, start, end) does not hold them; equal runs of least_words words all link to one document.
+
+    rows: id and text. Equal runs lie in window runs of equal keys, so only those whose key two documents have and of
+    which one is not known are hashed word by word.
+    """
+    least = least_words - SHINGLE + 1
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, hashes, held = [], [], 0
+
+            def runs() -> pd.DataFrame:
+                sizes = np.array([len(h) for h in hashes], np.int64)
+                begin = np.cumsum(sizes) - sizes
+                doc = np.repeat(np.arange(len(ids)), sizes)
+                k, i, j = window_runs(np.concatenate(hashes), doc, least, functions)
+                return pd.DataFrame({"k": k, "doc": np.array(ids, np.int64)[doc[i]], "i": i - begin[doc[i]], "j": j - begin[doc[i]]})
+
+            for row, text in zip(batch["id"], batch["text"]):
+                ids.append(row), hashes.append(shingle_hashes(byte_words(text)))
+                held += len(hashes[-1])
+                if held >= chunk:
+                    yield runs()
+                    ids, hashes, held = [], [], 0
+            if ids:
+                yield runs()
+
+    runs = cut(rows.mapInPandas(keys, "k long, doc long, i int, j int"))
+    shared = runs.groupBy("k").agg(F.min("doc").alias("m"), F.max("doc").alias("most")).where("m < most").drop("most")
+    runs = cut(runs.join(shared, "k"))
+    spans = known.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    held = F.exists("spans", lambda x: (x["start"] <= F.col("i")) & (x["end"] >= F.col("j") + least_words))
+    missing = runs.where("doc > m").join(spans, "doc", "left").where(~F.coalesce(held, F.lit(False))).select("k").distinct()
+    wanted = runs.join(missing, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("i", "j")).alias("ranges")).join(spans, "doc", "left")
+
+    def inside(ranges, n: int) -> np.ndarray:
+        """For each of n places, whether one of the ranges (first, last) holds it."""
+        on = np.zeros(n + 1, np.int64)
+        for i, j in ranges:
+            if i < n and i <= j:
+                on[i] += 1
+                on[min(j + 1, n)] -= 1
+        return np.cumsum(on)[:-1] > 0
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            w, d, c, old = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+            for row, text, ranges, spans in zip(batch["id"], batch["text"], batch["ranges"], batch["spans"]):
+                words = byte_words(text)
+                if len(words) < least_words:
+                    continue
+                every = shingle_hashes(words, least_words).view(np.int64)
+                at = np.flatnonzero(inside(((x["i"], x["j"]) for x in ranges), len(every)))
+                told = inside(((x["start"], x["end"] - least_words) for x in spans), len(every)) if spans is not None else np.zeros(len(every), bool)
+                w.append(every[at]), d.append(np.full(len(at), row, np.int64)), c.append(at), old.append(told[at])
+            w, d, c, old = (np.concatenate(x) for x in (w, d, c, old))
+            if not len(w):
+                continue
+            order = np.lexsort((c, d, w))
+            w, d, c, old = w[order], d[order], c[order], old[order]
+            first = np.maximum.accumulate(np.where(np.diff(w, prepend=w[:1] ^ 1) != 0, np.arange(len(w)), 0))
+            linked = first != np.arange(len(w))
+            keep = ~linked | ((d[first] != d) & ~old)
+            other = lambda x: pd.arrays.IntegerArray(x[first], ~linked)[keep]
+            spread = np.where(linked, mixed((w ^ (d << 20) ^ c).view(np.uint64)).view(np.int64), w)
+            yield pd.DataFrame({"w": spread[keep], "doc": d[keep], "c": c[keep], "old": old[keep], "rdoc": other(d), "rc": other(c)})
+
+    found = rows.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "ranges", "spans").mapInPandas(windows, "w long, doc long, c long, old boolean, rdoc long, rc long")
+    found = found.withColumn("g", F.first(F.struct("doc", "c")).over(Window.partitionBy("w").orderBy("doc", "c")))
+    found = found.where("not old").select("doc", "c", F.coalesce("rdoc", "g.doc").alias("rdoc"), F.coalesce("rc", "g.c").alias("rc")).where("rdoc < doc").distinct()
+    place = F.row_number().over(Window.partitionBy("doc", "rdoc", F.col("c") - F.col("rc")).orderBy("c"))
+    joined = found.withColumn("run", F.col("c") - place).groupBy("doc", "rdoc", (F.col("c") - F.col("rc")).alias("shift"), "run")
+    joined = joined.agg(F.min("c").alias("s"), F.max("c").alias("e"), F.min("rc").alias("rs"), F.max("rc").alias("re"))
+    return joined.select(
+        "doc", F.col("s").cast("int").alias("start"), (F.col("e") + least_words).cast("int").alias("end"), "rdoc",
+        F.col("rs").cast("int").alias("rstart"), (F.col("re") + least_words).cast("int").alias("rend"), F.lit(1.0).alias("jaccard"),
+    )
+
+
 FOUND = "doc long, start int, end int, rdoc long, rstart int, rend int, jaccard double"
 
 
@@ -212,8 +323,10 @@ def near_passages(
     """(id, start, end, other_id, other_start, other_end, jaccard), in words, ends exclusive: passages of at least
     least_words words that are near-duplicates (Jaccard of five-word shingles) of one in a document with a smaller id.
 
-    Each passage that repeats is linked to a document that has it and comes first in its batch or in all, so the copies of a
-    passage hang together as a star of stars; the document with the smallest id is linked to none. Words are lower
+    A passage is compared with the document that comes first in its batch or in all among those with one of its min-hashes,
+    so the copies of a passage hang together as a star of stars; the document with the smallest id is linked to none. Exact
+    repeats that these links leave out have a pass of their own, so all are found. Near-duplicates (Jaccard under 1) whose
+    leader has the min-hash but not the passage can be missed, unless they hold an exact run of least_words words. Words are lower
     case in A-Z. Null ids, null texts and texts of fewer words take no part. Rows that share an id are one document:
     passages repeated among them, as inside one text, are not reported. Other columns aren't read.
     """
@@ -260,6 +373,9 @@ def near_passages(
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     right = left.join(texts, F.col("rdoc") == F.col("key")).drop("key").mapInPandas(verify, FOUND)
+    right = cut(right.distinct())
+    rows = texts.withColumnRenamed("key", "id")
+    right = right.unionByName(exact_repeats(rows, right.select("doc", "start", "end"), least_words, functions))
     return right.select(
         F.col("doc").alias(id_col), "start", "end", F.col("rdoc").alias(f"other_{id_col}"),
         F.col("rstart").alias("other_start"), F.col("rend").alias("other_end"), "jaccard",

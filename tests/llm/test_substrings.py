@@ -79,6 +79,27 @@ def test_whole_copies_go_and_one_is_kept(spark):
     assert {r["doc_id"] for r in sub.cut_passages(docs, found).collect()} == {0, 77}
 
 
+def test_exact_repeats_behind_a_variant_or_a_common_line(spark):
+    rng = random.Random(11)
+    line, rows, want = words(rng, 18), [], set()
+    for n in range(60):
+        passage = words(rng, 34) + line if n % 2 else words(rng, 56)
+        first = line if n % 2 else [x if k % 16 else f"y{n}" for k, x in enumerate(passage)]
+        for k, part in enumerate((first, passage, passage)):
+            rows.append((k * 100 + n, " ".join(words(rng, 60) + part + words(rng, 60))))
+        want.add(200 + n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sub.near_passages(docs).collect()
+    for n in want:
+        size = 52 if n % 2 else 56
+        assert any(r["doc_id"] == n and r["start"] <= 60 and r["end"] >= 60 + size and r["other_doc_id"] == n - 100 for r in got), n
+    text = dict(rows)
+    for r in got:
+        if r["jaccard"] == 1.0:
+            one, two = text[r["doc_id"]].split(), text[r["other_doc_id"]].split()
+            assert one[r["start"] : r["end"]] == two[r["other_start"] : r["other_end"]]
+
+
 def test_empty_table(spark):
     assert not sub.near_passages(spark.createDataFrame([], "doc_id long, text string")).collect()
 
