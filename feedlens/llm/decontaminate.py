@@ -115,8 +115,8 @@ class Screen:
             i = lo // bands
             base = 2 * len(gap) + int(self.sizes.max())
             begin, end = lo % bands * self.width - base, (hi % bands + 2) * self.width - base + int(self.sizes[i] + self.edits[i])
-            d = int(np.searchsorted(starts, max(begin + self.width, 0), "right") - 1)
-            for d in range(max(0, d - 1), min(len(texts), d + 3)):
+            least = max(0, int(np.searchsorted(starts, max(begin, 0), "right") - 1))
+            for d in range(least, int(np.searchsorted(starts, max(end, 0), "left"))):  # a run can span many texts
                 a, b = max(0, begin - int(starts[d])), min(len(texts[d]), end - int(starts[d]))
                 if b - a < self.sizes[i] - self.edits[i]:
                     continue

@@ -42,6 +42,15 @@ def test_matches_brute_force(spark):
     assert sum(r["doc_id"] == 3 for r in got) == 2 * sum(d == 3 for d, _, _ in want)  # repeated rows
 
 
+def test_copies_in_neighbouring_texts_beside_a_long_item(spark):
+    rng = random.Random(8)
+    item = sentence(rng, 30)
+    items = spark.createDataFrame([(1, item), (2, sentence(rng, 900))], "item_id long, text string")
+    docs = spark.createDataFrame([(n, item) for n in range(50)], "doc_id long, text string").coalesce(1)
+    got = find_benchmark(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_edits"]) for r in got) == [(n, 1, 0) for n in range(50)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert not find_benchmark(docs, items).collect()
