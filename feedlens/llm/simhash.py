@@ -32,7 +32,10 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash as a signed long; a bit is 1 if set in over half the shingle hashes, repeats included. No words: 0."""
-    hashes = shingle_hashes(text, words, seed)
+    return print_of(shingle_hashes(text, words, seed))
+
+
+def print_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -180,7 +183,7 @@ def spanning_pairs(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> t
 
 
 def _profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp, n shingles, h1, h2): h1 and h2 are 64-bit hashes of the words."""
+    """(id, fp, n, h1, h2): fp and n are of the distinct shingles; h1 and h2 are 64-bit hashes of the words."""
 
     @pandas_udf("fp long, n int, h1 long, h2 long")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -189,7 +192,8 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             own = byte_words(text)
             joined = b" ".join(own)
             pair = [xxhash.xxh64_intdigest(joined, seed) - (1 << 63) for seed in (1, 2)]
-            rows.append((fingerprint(text, words), max(len(own) - words + 1, min(1, len(own))), *pair))
+            distinct = np.unique(shingle_hashes(text, words))
+            rows.append((print_of(distinct), len(distinct), *pair))
         return pd.DataFrame(rows, columns=["fp", "n", "h1", "h2"]).astype({"n": "int32"})
 
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col)).alias("p")).select("id", "p.*")

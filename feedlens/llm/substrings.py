@@ -240,7 +240,7 @@ def exact_repeats(rows: DataFrame, known: DataFrame, least_words: int, functions
     rows: id and text. Equal runs lie in window runs of equal keys, so only those whose key two documents have and of
     which one is not known are hashed word by word.
     """
-    least = least_words - SHINGLE + 1
+    least, functions = least_words - SHINGLE + 1, min(functions, 2)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -251,7 +251,14 @@ def exact_repeats(rows: DataFrame, known: DataFrame, least_words: int, functions
                 begin = np.cumsum(sizes) - sizes
                 doc = np.repeat(np.arange(len(ids)), sizes)
                 k, i, j = window_runs(np.concatenate(hashes), doc, least, functions)
-                return pd.DataFrame({"k": k, "doc": np.array(ids, np.int64)[doc[i]], "i": i - begin[doc[i]], "j": j - begin[doc[i]]})
+                i, j, d = i - begin[doc[i]], j - begin[doc[i]], np.array(ids, np.int64)[doc[i]]
+                # Within the batch, the least document of each key stands for it, with the greatest; the others are known to be shared.
+                order = np.lexsort((i, d, k))
+                k, d, i, j = k[order], d[order], i[order], j[order]
+                starts = np.diff(k, prepend=k[:1] ^ 1) != 0
+                first = np.maximum.accumulate(np.where(starts, np.arange(len(k)), 0))
+                last = np.append(np.flatnonzero(starts)[1:], len(k))[np.cumsum(starts) - 1] - 1
+                return pd.DataFrame({"k": k, "doc": d, "i": i, "j": j, "m": pd.arrays.IntegerArray(d[first], d[first] == d[last])})
 
             for row, text in zip(batch["id"], batch["text"]):
                 ids.append(row), hashes.append(shingle_hashes(byte_words(text)))
@@ -262,9 +269,13 @@ def exact_repeats(rows: DataFrame, known: DataFrame, least_words: int, functions
             if ids:
                 yield runs()
 
-    runs = cut(rows.mapInPandas(keys, "k long, doc long, i int, j int"))
-    shared = runs.groupBy("k").agg(F.min("doc").alias("m"), F.max("doc").alias("most")).where("m < most").drop("most")
-    runs = cut(runs.join(shared, "k"))
+    # Keys that a batch has in two documents are dealt out by document; only one row a batch stands for them.
+    runs = rows.mapInPandas(keys, "k long, doc long, i int, j int, m long")
+    spread = F.when(F.col("m").isNull() | (F.col("m") == F.col("doc")), F.col("k")).otherwise(F.xxhash64("k", "doc"))
+    runs = runs.withColumn("at", spread)
+    over = Window.partitionBy("at")
+    runs = runs.withColumns({"low": F.min("doc").over(over), "high": F.max("doc").over(over)})
+    runs = cut(runs.where("m is not null or low < high").select("k", "doc", "i", "j", F.coalesce(F.least("m", "low"), "low").alias("m")))
     spans = known.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     held = F.exists("spans", lambda x: (x["start"] <= F.col("i")) & (x["end"] >= F.col("j") + least_words))
     missing = runs.where("doc > m").join(spans, "doc", "left").where(~F.coalesce(held, F.lit(False))).select("k").distinct()

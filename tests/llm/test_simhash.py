@@ -72,6 +72,15 @@ def test_near_copies_match_brute_force(spark):
         assert got == groups([i for i, _ in rows], linked)
 
 
+def test_near_copies_with_repeated_shingles(spark):
+    rng = random.Random(12)
+    base, line = [f"w{rng.randrange(5000)}" for _ in range(200)], [f"v{n}" for n in range(12)]
+    rows = [(1, " ".join(base)), (2, " ".join(base * 2)), (3, " ".join(line * 10 + base[::-1])), (4, " ".join(line * 100 + base[::-1])), (5, "other words that are here alone")]
+    assert min(simhash.jaccard(rows[0][1], rows[1][1], 5), simhash.jaccard(rows[2][1], rows[3][1], 5)) > 0.9
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_components_of_a_path_and_of_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 140)] + [(5, 5), (None, 3)]
     for chunk in (250_000, 16):
