@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -346,19 +346,67 @@ def shingle_set(own: list[bytes], words: int) -> np.ndarray:
     return np.unique(rolling_hashes(own, words))
 
 
+def _frequent(words_of: DataFrame, words: int, texts: int = 5000, most: int = 200_000) -> np.ndarray:
+    """Shingles that several texts of a sample hold, sorted: they come last in the order of prefixes. Any choice gives the same pairs."""
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *(shingle_set(byte_words(t), words).view(np.int64) for t in batch["text"])])})
+
+    n = words_of.count()
+    sample = words_of.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // texts))) == 0).select("text").mapInPandas(some, "h long")
+    rows = sample.groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(most).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def _by_prefix(words_of: DataFrame, labelled: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) ids, a > b: every pair of texts with different labels that can have the similarity, without regard to fingerprints.
+
+    Two sets with that Jaccard similarity share a shingle of the first n - ceil(similarity n) + 1 of each in any order
+    that holds for all texts. The order here is by hash, frequent shingles last. labelled: id, n, label.
+    """
+    frequent = _frequent(words_of, words)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, held = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for row, text in zip(batch["id"], batch["text"]):
+                own = shingle_set(byte_words(text), words)
+                size = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                late = np.zeros(len(own), bool)
+                if len(frequent):
+                    late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+                own = np.concatenate([own[~late], own[late]])[:size]
+                ids.append(np.full(len(own), row, np.int64)), held.append(own)
+            yield pd.DataFrame({"id": np.concatenate(ids), "h": np.concatenate(held).view(np.int64)})
+
+    def several(rows: DataFrame, of: str) -> DataFrame:
+        over = Window.partitionBy("h")
+        rows = rows.withColumns({"__low": F.min(of).over(over), "__high": F.max(of).over(over)})
+        return rows.where("__low < __high").drop("__low", "__high")
+
+    rows = cut(several(words_of.mapInPandas(prefixes, "id long, h long"), "id"))
+    rows = cut(several(rows.join(labelled.select("id", "n", "label"), "id"), "label"))
+    left = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)
+    return left.join(right, "h").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 14, tile: int = 2048,
     family_tile: int = 256,
 ) -> DataFrame:
     """(id, component_id): groups of texts whose word shingles have a Jaccard similarity of at least `similarity`.
 
-    Texts with equal words are one text. Candidates are texts within the radius whose numbers of shingles allow the similarity;
+    Texts with equal words are one text. First candidates are texts within the radius whose numbers of shingles allow the similarity;
     all links that count are verified on the shingles themselves. First each pair of tiles gives a spanning forest of
     its candidates, closest first. Texts that then have candidates in another group are compared again, all of these
     candidates, with their shingle sets, family by family; no list of all pairs is ever written. Texts without
     words are alike. Rows with a null id are left out, repeated rows are repeated; component_id is the group's
     smallest id. Other columns aren't read. Fingerprints of texts at a similarity of 0.8
-    differ in 9.7 bits with a deviation of 2.9, so the default radius finds 19 of 20 such links, and more above.
+    differ in 9.7 bits with a deviation of 2.9, so the default radius finds 19 of 20 such links, and more above. Then
+    a prefix filter gives every pair that is not yet in one group and can have the similarity, so no link is lost.
     """
     profile = cut(_profile(docs, id_col, text_col, words))
     texts = cut(profile.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")))
@@ -379,6 +427,11 @@ def near_copies(
     sets = dealt.join(words_of, "id").select("id", "fp", "n", "label", "family", "part", "parts", packed("text").alias("set"))
     rest = cut(_verified_in_tiles(sets, radius, similarity))
     if rest.limit(1).count():
-        groups = cut(components(links_.union(rest)))
+        links_ = links_.union(rest)
+        groups = cut(components(links_))
+    labelled = texts.join(groups, texts["id"] == groups["node"], "left").select("id", "n", F.coalesce("root", "id").alias("label"))
+    far = cut(_verified(_by_prefix(words_of, labelled, words, similarity), words_of, words, similarity))
+    if far.limit(1).count():
+        groups = cut(components(links_.union(far)))
     named = texts.join(groups, texts["id"] == groups["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
     return profile.join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
