@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: as cut(), but compressed, read by column and of known size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def one_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id long, text): one row for each id, of rows that share it the least text. Null ids and null texts are left out."""
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    several = stored(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not several.limit(1).count():
+        return rows
+    least = rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return rows.join(several, "id", "left_anti").union(least)
+
+
+def heavy_keys(rows: DataFrame, key: str, least: int = 1, share: int = 4096) -> DataFrame | None:
+    """(key, n) of the keys with more than `least` rows and more than 1 / share of all, so `share` keys at most; None if none."""
+    bound = max(least, rows.count() // share)
+    found = stored(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound))
+    return found if found.limit(1).count() else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,29 +1,34 @@
 """Near-duplicate passages by compact windows.
 
-A document is the sequence of its five-word shingles. Under each of a few hash functions the Cartesian tree of the
-sequence's hashes has a node (l, c, r) for every set of subsequences [i, j], l <= i <= c <= j <= r, whose min-hash is the
-one at c; nodes that hold no subsequence of the least length are left out. Nodes of different documents with the same
-min-hash overlap, aligned at c, in an interval; intervals of a document pair in which several hash functions agree are
-joined and verified on the words themselves.
-
-A group's leader may share the min-hash but not the passage. So exact repeats have a pass of their own (exact_repeats), by
-the hashes of the passages of the least length.
-
-Equal nodes of one batch are linked to that batch's least document before the shuffle, so a passage that a third of
-all documents share costs the shuffle a row a batch. Nodes of a group link to the group's least document, never all to all.
+A document is the sequence of its five-word shingles. Under a hash function the Cartesian tree of the sequence's hashes
+has a node (l, c, r) for every set of subsequences [i, j], l <= i <= c <= j <= r, whose min-hash is the one at c. Each
+node thus groups a run of the windows of `seed` shingles; the runs of two functions are joined as intervals, and the
+windows of a joined run share their signature: both min-hashes and the distance between their places. Two passages that
+are near-duplicates hold an exact run of `seed` shingles (seed_places says how long it is), whose windows have equal
+signatures wherever they are.
+
+Of the places with one signature the first (least document, then least place) leads, and each other place is compared
+with it: intervals of a document pair that meet are joined, and verified on the words. A leader may have a signature but
+not the passage. So places that stay unfound are grouped again by several signatures in a row, under new leaders, until that
+finds no more (regrouped), and at last exact repeats are searched by the hashes of whole passages (exact_repeats). What is
+found depends neither on partitions nor on batches.
+
+Places of one signature in one chunk of text meet there; the first of them alone goes to the signature's task, so a
+passage that a third of all documents share costs that task a row a chunk.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import WORD, byte_words, cut, shingle_bounds
+from feedlens.llm.common import WORD, byte_words, heavy_keys, one_text, shingle_bounds, stored
 
 WORDS = re.compile(WORD)
 
@@ -31,9 +36,14 @@ SHINGLE = 5
 _MUL = 0x100000001B3 | 1
 _INV = np.uint64(pow(_MUL, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-NODES = "v long, doc long, c long, ext long, rdoc long, rc long, rext long"
-EXT_BITS = 31
-EXT_MOST = (1 << EXT_BITS) - 1
+#: A run of windows in one long: first window, number of further windows, places from the first window to its pivot.
+RUN_BITS = 10
+RUN_MOST = (1 << RUN_BITS) - 1
+#: Rows of ids, or of ids and short lists, that may be broadcast.
+SMALL = 200_000
+PLACES = "k long, doc long, at long, bdoc long, bat long, several boolean"
+INTERVALS = "doc long, s long, e long, rdoc long, rs long, re long"
+FOUND = "doc long, start int, end int, rdoc long, rstart int, rend int, jaccard double, text_hash long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +69,21 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def seed_places(least: int, similarity: float) -> int:
+    """How many shingles in a row two near-duplicates of at least `least` shingles share exactly, whatever words were replaced.
+
+    e replaced words leave n - 5e of n shingles shared in n + 5e, so the similarity bounds e; they part the words into
+    e + 1 runs, and the longest is no shorter than the average. One place is left for words added or taken out.
+    """
+    found = least
+    for e in range(1, least + 1):
+        n = max(least, ceil(SHINGLE * e * (1 + similarity) / (1 - similarity) - 1e-9)) if similarity < 1 else 0
+        if not n:
+            break
+        found = min(found, ceil((n + SHINGLE - 1 - e) / (e + 1)) - SHINGLE + 1 - 1)
+    return max(2, min(found, RUN_MOST))
+
+
 def pivots(keys: np.ndarray, least: int) -> np.ndarray:
     """For each window of `least` keys the smallest key."""
     out, width = keys, 1
@@ -102,66 +127,94 @@ def compact_windows(hashes: np.ndarray, doc: np.ndarray, least: int) -> tuple[np
     return at, left, right
 
 
-def _nodes(ids: list[int], texts: list[list[bytes]], least: int, functions: int) -> pd.DataFrame:
-    hashes = [shingle_hashes(w) for w in texts]
-    sizes = np.array([len(h) for h in hashes])
-    ids, hashes = np.array(ids, np.int64)[sizes >= least], [h for h in hashes if len(h) >= least]
-    if not hashes:
-        return pd.DataFrame({c.split()[0]: pd.Series(dtype="Int64") for c in NODES.split(", ")})
-    sizes = sizes[sizes >= least]
-    doc, begin = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
-    every, out = np.concatenate(hashes), []
-    for f in range(functions):
-        own = of_function(every, f)
-        c, left, right = compact_windows(own, doc, least)
-        ext = np.minimum(c - left, EXT_MOST) << EXT_BITS | np.minimum(right - c, EXT_MOST)
-        out.append((own[c].view(np.int64), ids[doc[c]], c - begin[doc[c]], ext))
-    v, d, c, ext = (np.concatenate(x) for x in zip(*out))
-    # Within the batch: the first of each v in order of document and place stands for it; the others link to it here.
-    order = np.lexsort((c, d, v))
-    v, d, c, ext = v[order], d[order], c[order], ext[order]
-    first = np.maximum.accumulate(np.where(np.diff(v, prepend=v[:1] ^ 1) != 0, np.arange(len(v)), 0))
-    linked = first != np.arange(len(v))
-    keep = ~linked | (d[first] != d)  # repeats inside a document link nothing
-    other = lambda x: pd.arrays.IntegerArray(x[first], ~linked)[keep]
-    spread = np.where(linked, mixed((v ^ (d << 20) ^ c).view(np.uint64)).view(np.int64), v)
-    return pd.DataFrame({"v": spread[keep], "doc": d[keep], "c": c[keep], "ext": ext[keep], "rdoc": other(d), "rc": other(c), "rext": other(ext)})
-
-
-def overlaps(docs: DataFrame, id_col: str, text_col: str, least: int, functions: int, chunk: int = 1 << 19) -> DataFrame:
-    """(doc, s, e, rdoc, rs, re, f pivot c): aligned intervals of two documents' nodes with equal min-hash, rdoc < doc."""
-
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def signature_runs(hashes: np.ndarray, doc: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, first, last, pivot): runs of windows of `seed` places with the same compact window under both of two
+    functions, for documents laid end to end. pivot is the first function's; equal windows have equal signatures."""
+    sides = []
+    for f in range(2):
+        own = of_function(hashes, f)
+        c, left, right = compact_windows(own, doc, seed)
+        sides.append((own, c, np.maximum(left, c - seed + 1), np.minimum(c, right - seed + 1)))
+    if not len(sides[0][1]):
+        return (np.empty(0, np.int64),) * 4
+    # Both functions' runs part the same windows, so every run of the join begins where one of them does.
+    first = np.union1d(sides[0][2], sides[1][2])
+    at = [np.searchsorted(s[2], first, "right") - 1 for s in sides]
+    last = np.minimum(sides[0][3][at[0]], sides[1][3][at[1]])
+    one, two = (s[1][n] for s, n in zip(sides, at))
+    key = mixed(sides[0][0][one] ^ mixed(sides[1][0][two] + (two - one).astype(np.int64).view(np.uint64)))
+    return key.view(np.int64), first, last, one
+
+
+def chunk_places(k: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """PLACES: the first of the chunk's places with each key stands for it; the others name it in bdoc and bat."""
+    order = np.lexsort((at, doc, k))
+    k, doc, at = k[order], doc[order], at[order]
+    starts = np.diff(k, prepend=k[:1] ^ 1) != 0
+    begin = np.flatnonzero(starts)
+    group = np.cumsum(starts) - 1
+    first, last = begin[group], np.append(begin[1:], len(k))[group] - 1
+    named = lambda x: pd.arrays.IntegerArray(x[first], starts)
+    return pd.DataFrame({"k": k, "doc": doc, "at": at, "bdoc": named(doc), "bat": named(at), "several": doc[first] != doc[last]})
+
+
+def led(places: DataFrame) -> DataFrame:
+    """(k, doc, at, ldoc, lat) of the PLACES whose key two documents have; the leader is the key's least (doc, at)."""
+    deal = F.when(F.col("bdoc").isNull(), F.col("k")).otherwise(F.xxhash64("k", "bdoc", "bat"))
+    over = Window.partitionBy("__p", F.col("bdoc").isNull())
+    rows = places.withColumn("__p", deal).withColumns({"lead": F.min(F.struct("doc", "at")).over(over), "high": F.max("doc").over(over)})
+    rows = rows.where("bdoc is not null or several or lead.doc < high")
+    kept = stored(rows.select("k", "doc", "at", "bdoc", "bat", F.col("lead.doc").alias("ldoc"), F.col("lead.at").alias("lat")))
+    own, others = kept.where("bdoc is null"), kept.where("bdoc is not null").drop("ldoc", "lat")
+    firsts = own.select("k", F.col("doc").alias("bdoc"), F.col("at").alias("bat"), "ldoc", "lat")
+    columns = ["k", "doc", "at", "ldoc", "lat"]
+    return own.select(*columns).union(others.join(firsts, ["k", "bdoc", "bat"]).select(*columns))
+
+
+def _first(at: Column) -> Column:
+    return F.shiftright(at, 2 * RUN_BITS)
+
+
+def _more(at: Column) -> Column:
+    return F.shiftright(at, RUN_BITS).bitwiseAND(RUN_MOST)
+
+
+def _ahead(at: Column) -> Column:
+    return at.bitwiseAND(RUN_MOST)
+
+
+def signatures(texts: DataFrame, seed: int, chunk: int = 1 << 19) -> DataFrame:
+    """PLACES of the signature runs of texts (id, text)."""
+
+    def runs(ids: list[int], hashes: list[np.ndarray]) -> pd.DataFrame:
+        sizes = np.array([len(h) for h in hashes], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        k, i, j, c = signature_runs(np.concatenate(hashes), np.repeat(np.arange(len(ids)), sizes), seed)
+        d = np.searchsorted(begin, i, "right") - 1
+        at = (i - begin[d]) << 2 * RUN_BITS | (j - i) << RUN_BITS | (c - i)
+        return chunk_places(k, np.array(ids, np.int64)[d], at)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, hashes, held = [], [], 0
         for batch in batches:
-            ids, texts, held = [], [], 0
             for row, text in zip(batch["id"], batch["text"]):
-                words = byte_words(text)
-                ids.append(row), texts.append(words)
-                held += len(words)
+                own = shingle_hashes(byte_words(text))
+                if len(own) >= seed:
+                    ids.append(row), hashes.append(own)
+                    held += len(own)
                 if held >= chunk:
-                    yield _nodes(ids, texts, least, functions)
-                    ids, texts, held = [], [], 0
-            if ids:
-                yield _nodes(ids, texts, least, functions)
-
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInPandas(nodes, NODES)
-    lead = Window.partitionBy("v").orderBy("doc", "c")
-    found = found.withColumns({"g": F.first(F.struct("doc", "c", "ext")).over(lead)})
-    for name, of in (("rdoc", "doc"), ("rc", "c"), ("rext", "ext")):
-        found = found.withColumn(name, F.coalesce(F.col(name), F.col(f"g.{of}")))
-    found = found.where(F.col("rdoc") < F.col("doc"))
-    left = F.least(F.shiftright("ext", EXT_BITS), F.shiftright("rext", EXT_BITS))
-    right = F.least(F.col("ext").bitwiseAND(EXT_MOST), F.col("rext").bitwiseAND(EXT_MOST))
-    return found.where(left + right + 1 >= least).select(
-        "doc", (F.col("c") - left).alias("s"), (F.col("c") + right).alias("e"), "rdoc", (F.col("rc") - left).alias("rs"), (F.col("rc") + right).alias("re"), "c"
-    )
+                    yield runs(ids, hashes)
+                    ids, hashes, held = [], [], 0
+        if ids:
+            yield runs(ids, hashes)
 
+    return texts.select("id", "text").mapInPandas(of, PLACES)
 
-def joined_intervals(rows: pd.DataFrame, slack: int) -> pd.DataFrame:
-    """Intervals of each document pair that meet in both documents, as one; those with two pivots or more."""
-    rows = rows.sort_values(["doc", "rdoc", "s", "e"], kind="stable")
-    d, r, s, e, rs, re_, c = (rows[x].to_numpy() for x in ("doc", "rdoc", "s", "e", "rs", "re", "c"))
+
+def joined_intervals(rows: pd.DataFrame, slack: int, gap: int) -> pd.DataFrame:
+    """Intervals of each document pair that meet, or nearly so, at about the same shift, as one."""
+    rows = rows.sort_values(["doc", "rdoc", "s", "e", "rs"], kind="stable")
+    d, r, s, e, rs, re_ = (rows[x].to_numpy() for x in ("doc", "rdoc", "s", "e", "rs", "re"))
     apart = np.ones(len(d), bool)
     if len(d) > 1:
         same = (d[1:] == d[:-1]) & (r[1:] == r[:-1])
@@ -170,22 +223,60 @@ def joined_intervals(rows: pd.DataFrame, slack: int) -> pd.DataFrame:
         pair = np.cumsum(np.concatenate([[True], ~same]))
         span = int(e.max()) + 2
         reach = np.maximum.accumulate(pair * span + e) - pair * span
-        apart[1:] = ~(same & shift & (s[1:] <= reach[:-1] + slack))
+        apart[1:] = ~(same & shift & (s[1:] <= reach[:-1] + gap))
     first = np.flatnonzero(apart)
     if not len(first):
-        return rows.iloc[:0].drop(columns="c")
-    out = pd.DataFrame({"doc": d[first], "s": s[first], "e": np.maximum.reduceat(e, first), "rdoc": r[first], "rs": np.minimum.reduceat(rs, first), "re": np.maximum.reduceat(re_, first)})
-    several = np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)
-    return out[several]
-
-
-def similar_runs(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(s, e, rs, re, Jaccard), ends exclusive, in shingles: runs of a that are near-duplicates of a run of b."""
-    order = np.argsort(b, kind="stable")
-    at = np.searchsorted(b[order], a)
-    at[at == len(b)] = 0
-    partner = order[at] if len(b) else np.zeros(len(a), int)
-    match = b[partner] == a if len(b) else np.zeros(len(a), bool)
+        return rows.iloc[:0]
+    return pd.DataFrame({"doc": d[first], "s": s[first], "e": np.maximum.reduceat(e, first), "rdoc": r[first], "rs": np.minimum.reduceat(rs, first), "re": np.maximum.reduceat(re_, first)})
+
+
+def intervals(places: DataFrame, seed: int) -> DataFrame:
+    """INTERVALS, in shingles, ends inclusive: where a document (doc) may repeat the leaders (rdoc) of its signatures."""
+    begin, lbegin = -_ahead(F.col("at")), -_ahead(F.col("lat"))
+    low, high = F.greatest(begin, lbegin), F.least(begin + _more(F.col("at")), lbegin + _more(F.col("lat")))
+    pivot, lpivot = _first(F.col("at")) + _ahead(F.col("at")), _first(F.col("lat")) + _ahead(F.col("lat"))
+    met = places.where("ldoc < doc").select("doc", pivot.alias("c"), F.col("ldoc").alias("rdoc"), lpivot.alias("rc"), low.alias("low"), high.alias("high")).where("low <= high")
+    rows = met.select(
+        "doc", (F.col("c") + F.col("low")).alias("s"), (F.col("c") + F.col("high") + seed - 1).alias("e"),
+        "rdoc", (F.col("rc") + F.col("low")).alias("rs"), (F.col("rc") + F.col("high") + seed - 1).alias("re"),
+    )
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch])
+            last = batch["doc"].iloc[-1] if len(batch) else None
+            rest = batch[batch["doc"] == last]
+            yield joined_intervals(batch[batch["doc"] != last], 8, seed + 2 * SHINGLE)
+        if rest is not None and len(rest):
+            yield joined_intervals(rest, 8, seed + 2 * SHINGLE)
+
+    return rows.repartition("doc").sortWithinPartitions("doc").mapInPandas(join_up, INTERVALS)
+
+
+def partners(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether b has a's value, where): for each place of a the place of b with its value nearest to place + shift."""
+    if not len(b):
+        return np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    values, rank = np.unique(b, return_inverse=True)
+    mine = np.minimum(np.searchsorted(values, a), len(values) - 1)
+    match = values[mine] == a
+    n = len(b)
+    held = np.sort(rank * n + np.arange(n))
+    wish = np.clip(np.arange(len(a)) + shift, 0, n - 1)
+    at = np.searchsorted(held, mine * n + wish)
+    before, after = held[np.maximum(at - 1, 0)], held[np.minimum(at, n - 1)]
+    near = lambda x: np.where(x // n == mine, np.abs(x % n - wish), n + 1)
+    return match, np.where(near(before) <= near(after), before, after) % n
+
+
+def similar_runs(a: np.ndarray, b: np.ndarray, least: int, similarity: float, shift: int = 0) -> Iterator[tuple[int, int, int, int, float]]:
+    """(s, e, rs, re, Jaccard), ends exclusive, in shingles: runs of a that are near-duplicates of a run of b.
+
+    Of places of b with one value that nearest to the shift counts. A run that is not similar is parted at its widest gap.
+    """
+    match, partner = partners(a, b, shift)
     todo = [np.flatnonzero(match)]
     while todo:
         places = todo.pop()
@@ -203,160 +294,22 @@ def similar_runs(a: np.ndarray, b: np.ndarray, least: int, similarity: float) ->
             yield s, e, rs, re_, jaccard
             continue
         gaps = np.diff(places)
+        steps = np.abs(np.diff(partner[places] - places))
         if gaps.max(initial=1) > 1:
             cut = int(gaps.argmax()) + 1
-            todo += [places[:cut], places[cut:]]
-        elif len(places) > least:
-            todo += [places[: len(places) // 2], places[len(places) // 2 :]]
-
-
-def window_runs(hashes: np.ndarray, doc: np.ndarray, least: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, last): runs of windows of `least` places with the same min-hash place under every function, for documents
-    laid end to end. Equal windows have equal keys wherever they are: a key is of the min-hashes and their distances."""
-    empty = np.empty(0, np.int64)
-    if len(hashes) < least:
-        return empty, empty, empty
-    inside = np.flatnonzero(doc[: len(doc) - least + 1] == doc[least - 1 :])
-    if not len(inside):
-        return empty, empty, empty
-    bits = np.uint64(max(1, int(len(hashes) - 1).bit_length()))
-    key, changed, first_at = np.zeros(len(inside), np.uint64), np.diff(inside, prepend=-2) != 1, None
-    changed[1:] |= doc[inside[1:]] != doc[inside[:-1]]
-    for f in range(functions):
-        own = of_function(hashes, f)
-        least_of = pivots((own >> bits << bits) | np.arange(len(own), dtype=np.uint64), least)[inside]
-        at = (least_of & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        first_at = at if first_at is None else first_at
-        key = mixed(key ^ own[at] ^ mixed((at - first_at).view(np.uint64) + np.uint64(f)))
-        changed[1:] |= at[1:] != at[:-1]
-    run = np.flatnonzero(changed)
-    return key[run].view(np.int64), inside[run], inside[np.append(run[1:], len(inside)) - 1]
-
-
-def exact_repeats(rows: DataFrame, known: DataFrame, least_words: int, functions: int, chunk: int = 1 << 19) -> DataFrame:
-    """(doc, start, end, rdoc, rstart, rend, jaccard 1): runs of at least least_words words that a document with a smaller id
-    has, where known (doc, start, end) does not hold them; equal runs of least_words words all link to one document.
-
-    rows: id and text. Equal runs lie in window runs of equal keys, so only those whose key two documents have and of
-    which one is not known are hashed word by word.
-    """
-    least, functions = least_words - SHINGLE + 1, min(functions, 2)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, hashes, held = [], [], 0
-
-            def runs() -> pd.DataFrame:
-                sizes = np.array([len(h) for h in hashes], np.int64)
-                begin = np.cumsum(sizes) - sizes
-                doc = np.repeat(np.arange(len(ids)), sizes)
-                k, i, j = window_runs(np.concatenate(hashes), doc, least, functions)
-                i, j, d = i - begin[doc[i]], j - begin[doc[i]], np.array(ids, np.int64)[doc[i]]
-                # Within the batch, the least document of each key stands for it, with the greatest; the others are known to be shared.
-                order = np.lexsort((i, d, k))
-                k, d, i, j = k[order], d[order], i[order], j[order]
-                starts = np.diff(k, prepend=k[:1] ^ 1) != 0
-                first = np.maximum.accumulate(np.where(starts, np.arange(len(k)), 0))
-                last = np.append(np.flatnonzero(starts)[1:], len(k))[np.cumsum(starts) - 1] - 1
-                return pd.DataFrame({"k": k, "doc": d, "i": i, "j": j, "m": pd.arrays.IntegerArray(d[first], d[first] == d[last])})
-
-            for row, text in zip(batch["id"], batch["text"]):
-                ids.append(row), hashes.append(shingle_hashes(byte_words(text)))
-                held += len(hashes[-1])
-                if held >= chunk:
-                    yield runs()
-                    ids, hashes, held = [], [], 0
-            if ids:
-                yield runs()
-
-    # Keys that a batch has in two documents are dealt out by document; only one row a batch stands for them.
-    runs = rows.mapInPandas(keys, "k long, doc long, i int, j int, m long")
-    spread = F.when(F.col("m").isNull() | (F.col("m") == F.col("doc")), F.col("k")).otherwise(F.xxhash64("k", "doc"))
-    runs = runs.withColumn("at", spread)
-    over = Window.partitionBy("at")
-    runs = runs.withColumns({"low": F.min("doc").over(over), "high": F.max("doc").over(over)})
-    runs = cut(runs.where("m is not null or low < high").select("k", "doc", "i", "j", F.coalesce(F.least("m", "low"), "low").alias("m")))
-    spans = known.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    held = F.exists("spans", lambda x: (x["start"] <= F.col("i")) & (x["end"] >= F.col("j") + least_words))
-    missing = runs.where("doc > m").join(spans, "doc", "left").where(~F.coalesce(held, F.lit(False))).select("k").distinct()
-    wanted = runs.join(missing, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("i", "j")).alias("ranges")).join(spans, "doc", "left")
-
-    def inside(ranges, n: int) -> np.ndarray:
-        """For each of n places, whether one of the ranges (first, last) holds it."""
-        on = np.zeros(n + 1, np.int64)
-        for i, j in ranges:
-            if i < n and i <= j:
-                on[i] += 1
-                on[min(j + 1, n)] -= 1
-        return np.cumsum(on)[:-1] > 0
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            w, d, c, old = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-            for row, text, ranges, spans in zip(batch["id"], batch["text"], batch["ranges"], batch["spans"]):
-                words = byte_words(text)
-                if len(words) < least_words:
-                    continue
-                every = shingle_hashes(words, least_words).view(np.int64)
-                at = np.flatnonzero(inside(((x["i"], x["j"]) for x in ranges), len(every)))
-                told = inside(((x["start"], x["end"] - least_words) for x in spans), len(every)) if spans is not None else np.zeros(len(every), bool)
-                w.append(every[at]), d.append(np.full(len(at), row, np.int64)), c.append(at), old.append(told[at])
-            w, d, c, old = (np.concatenate(x) for x in (w, d, c, old))
-            if not len(w):
-                continue
-            order = np.lexsort((c, d, w))
-            w, d, c, old = w[order], d[order], c[order], old[order]
-            first = np.maximum.accumulate(np.where(np.diff(w, prepend=w[:1] ^ 1) != 0, np.arange(len(w)), 0))
-            linked = first != np.arange(len(w))
-            keep = ~linked | ((d[first] != d) & ~old)
-            other = lambda x: pd.arrays.IntegerArray(x[first], ~linked)[keep]
-            spread = np.where(linked, mixed((w ^ (d << 20) ^ c).view(np.uint64)).view(np.int64), w)
-            yield pd.DataFrame({"w": spread[keep], "doc": d[keep], "c": c[keep], "old": old[keep], "rdoc": other(d), "rc": other(c)})
-
-    found = rows.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "ranges", "spans").mapInPandas(windows, "w long, doc long, c long, old boolean, rdoc long, rc long")
-    found = found.withColumn("g", F.first(F.struct("doc", "c")).over(Window.partitionBy("w").orderBy("doc", "c")))
-    found = found.where("not old").select("doc", "c", F.coalesce("rdoc", "g.doc").alias("rdoc"), F.coalesce("rc", "g.c").alias("rc")).where("rdoc < doc").distinct()
-    place = F.row_number().over(Window.partitionBy("doc", "rdoc", F.col("c") - F.col("rc")).orderBy("c"))
-    joined = found.withColumn("run", F.col("c") - place).groupBy("doc", "rdoc", (F.col("c") - F.col("rc")).alias("shift"), "run")
-    joined = joined.agg(F.min("c").alias("s"), F.max("c").alias("e"), F.min("rc").alias("rs"), F.max("rc").alias("re"))
-    return joined.select(
-        "doc", F.col("s").cast("int").alias("start"), (F.col("e") + least_words).cast("int").alias("end"), "rdoc",
-        F.col("rs").cast("int").alias("rstart"), (F.col("re") + least_words).cast("int").alias("rend"), F.lit(1.0).alias("jaccard"),
-    )
-
-
-FOUND = "doc long, start int, end int, rdoc long, rstart int, rend int, jaccard double"
+        elif steps.max(initial=0) > 0:
+            cut = int(steps.argmax()) + 1
+        else:
+            continue
+        todo += [places[:cut], places[cut:]]
 
 
-def near_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, similarity: float = 0.8, functions: int = 4,
-) -> DataFrame:
-    """(id, start, end, other_id, other_start, other_end, jaccard), in words, ends exclusive: passages of at least
-    least_words words that are near-duplicates (Jaccard of five-word shingles) of one in a document with a smaller id.
+def verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float, margin: int) -> DataFrame:
+    """FOUND: the near-duplicates in the intervals and up to `margin` shingles around them. pairs is read several times.
 
-    A passage is compared with the document that comes first in its batch or in all among those with one of its min-hashes,
-    so the copies of a passage hang together as a star of stars; the document with the smallest id is linked to none. Exact
-    repeats that these links leave out have a pass of their own, so all are found. Near-duplicates (Jaccard under 1) whose
-    leader has the min-hash but not the passage can be missed, unless they hold an exact run of least_words words. Words are lower
-    case in A-Z. Null ids, null texts and texts of fewer words take no part. Rows that share an id are one document:
-    passages repeated among them, as inside one text, are not reported. Other columns aren't read.
+    The words of the document's side are sliced where its text is, then compared where the leader's text is. Leaders of
+    more than a 4096th of the pairs (so 4096 at most) are copied, and their pairs dealt out among the copies.
     """
-    least = least_words - SHINGLE + 1
-    found = overlaps(docs, id_col, text_col, least, functions)
-
-    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch])
-            last = batch["doc"].iloc[-1] if len(batch) else None
-            rest = batch[batch["doc"] == last]
-            yield joined_intervals(batch[batch["doc"] != last], 8)
-        if rest is not None and len(rest):
-            yield joined_intervals(rest, 8)
-
-    pairs = found.repartition("doc").sortWithinPartitions("doc", "rdoc").mapInPandas(join_up, "doc long, s long, e long, rdoc long, rs long, re long")
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
 
     def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,33 +317,184 @@ def near_passages(
             for row, text, s, e in zip(batch["doc"], batch["text"], batch["s"], batch["e"]):
                 if cache[0] != row:
                     cache = row, byte_words(text)
-                out.append(b" ".join(cache[1][s : e + SHINGLE]))
+                out.append(b" ".join(cache[1][max(0, s - margin) : e + margin + SHINGLE]))
             batch = batch.drop(columns=["text"])
             batch["passage"] = out
             yield batch
 
-    left = pairs.join(texts, F.col("doc") == F.col("key")).drop("key").mapInPandas(sliced, "doc long, s long, e long, rdoc long, rs long, re long, passage binary")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cache, out = (None, []), []
-            for doc, s, rdoc, rs, re_, passage, text in zip(*(batch[c] for c in ("doc", "s", "rdoc", "rs", "re", "passage", "text"))):
+            for doc, s, rdoc, rs, re_, passage, text, named in zip(*(batch[c] for c in ("doc", "s", "rdoc", "rs", "re", "passage", "text", "text_hash"))):
                 if cache[0] != rdoc:
                     cache = rdoc, byte_words(text)
+                shift, s, rs = rs - s, max(0, s - margin), max(0, rs - margin)
                 a = shingle_hashes(bytes(passage).split(b" "))
-                b = shingle_hashes(cache[1][rs : re_ + SHINGLE])
-                for x, y, rx, ry, jaccard in similar_runs(a, b, least, similarity):
-                    out.append((doc, s + x, s + y + SHINGLE - 1, rdoc, rs + rx, rs + ry + SHINGLE - 1, jaccard))
+                b = shingle_hashes(cache[1][rs : re_ + margin + SHINGLE])
+                for x, y, rx, ry, jaccard in similar_runs(a, b, least, similarity, shift + s - rs):
+                    out.append((doc, s + x, s + y + SHINGLE - 1, rdoc, rs + rx, rs + ry + SHINGLE - 1, jaccard, named))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    right = left.join(texts, F.col("rdoc") == F.col("key")).drop("key").mapInPandas(verify, FOUND)
-    right = cut(right.distinct())
-    rows = texts.withColumnRenamed("key", "id")
-    right = right.unionByName(exact_repeats(rows, right.select("doc", "start", "end"), least_words, functions))
-    return right.select(
+    def passages(some: DataFrame) -> DataFrame:
+        return some.join(texts, F.col("doc") == F.col("id")).drop("id").mapInPandas(sliced, INTERVALS + ", text_hash long, passage binary")
+
+    plain = texts.select("id", "text", "text_hash")
+    heavy = heavy_keys(pairs, "rdoc", least=1024)
+    if heavy is None:
+        return passages(pairs).join(plain.drop("text_hash"), F.col("rdoc") == F.col("id")).drop("id").mapInPandas(compare, FOUND)
+    light = passages(pairs.join(F.broadcast(heavy), "rdoc", "left_anti").select(*pairs.columns))
+    light = light.join(plain.drop("text_hash"), F.col("rdoc") == F.col("id")).drop("id")
+    parts = heavy.withColumn("parts", F.ceil(F.col("n") / 512).cast("int"))
+    dealt = pairs.join(F.broadcast(parts), "rdoc").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts").cast("long")).cast("int")).select(*pairs.columns, "part")
+    with_part = dealt.join(texts, F.col("doc") == F.col("id")).drop("id").mapInPandas(sliced, INTERVALS + ", part int, text_hash long, passage binary")
+    copies = texts.drop("text_hash").join(F.broadcast(parts), F.col("id") == F.col("rdoc")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("rdoc", "part", "text")
+    many = with_part.join(copies, ["rdoc", "part"]).select(*light.columns)
+    return light.union(many).mapInPandas(compare, FOUND)
+
+
+def regrouped(places: DataFrame, found: DataFrame, seed: int, runs: int) -> DataFrame:
+    """PLACES of the runs that follow a leader and of which no window lies in a found passage, by the signatures and distances of
+    `runs` shared runs of the document in a row: a longer agreement than one signature, under which others lead."""
+    mine = places.groupBy("doc").agg(F.collect_list(F.struct("at", "k", (F.col("doc") > F.col("ldoc")).alias("follows"))).alias("runs"))
+    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            k, d, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for doc, own, spans in zip(batch["doc"], batch["runs"], batch["spans"]):
+                own = sorted((x["at"], x["k"], x["follows"]) for x in own)
+                if len(own) < runs:
+                    continue
+                place, key, follows = np.array([x[0] for x in own]), np.array([x[1] for x in own]).view(np.uint64), np.array([x[2] for x in own])
+                first = place >> 2 * RUN_BITS
+                last = first + (place >> RUN_BITS & RUN_MOST)
+                for x in spans if spans is not None else ():
+                    follows &= ~((np.maximum(first, x["start"]) <= last) & (np.maximum(first, x["start"]) + seed + SHINGLE - 1 <= x["end"]))
+                n = len(own) - runs + 1
+                joint = key[:n]
+                for t in range(1, runs):
+                    joint = mixed(joint ^ mixed(key[t : t + n] + (first[t : t + n] - first[:n]).view(np.uint64)))
+                use = np.flatnonzero(follows[:n])
+                k.append(joint[use].view(np.int64)), d.append(np.full(len(use), doc, np.int64)), at.append(place[use])
+            if sum(map(len, k)):
+                yield chunk_places(np.concatenate(k), np.concatenate(d), np.concatenate(at))
+
+    return mine.join(spans, "doc", "left").mapInPandas(of, PLACES)
+
+
+def asked_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the documents of the pairs; where those are few, the rest isn't shuffled."""
+    ids = stored(pairs.select(F.col("doc").alias("id")).union(pairs.select("rdoc")).distinct())
+    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= SMALL else texts
+
+
+def _marked(ranges, n: int) -> np.ndarray:
+    """For each of n places, whether one of the ranges (first, last) holds it."""
+    on = np.zeros(n + 1, np.int64)
+    for i, j in ranges:
+        if i < n and 0 <= j and i <= j:
+            on[max(i, 0)] += 1
+            on[min(j + 1, n)] -= 1
+    return np.cumsum(on)[:-1] > 0
+
+
+def unfound(places: DataFrame, found: DataFrame, seed: int, least: int) -> DataFrame:
+    """(k, doc, follows, first, last): runs of the windows of `least` shingles all of whose signatures two documents have and
+    that no found passage holds, by the signature of a window they begin with; follows: the document doesn't lead it."""
+    mine = places.groupBy("doc").agg(F.collect_list(F.struct("k", "at", (F.col("doc") > F.col("ldoc")).alias("follows"))).alias("runs"))
+    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, runs, spans in zip(batch["doc"], batch["runs"], batch["spans"]):
+                firsts = [x["at"] >> 2 * RUN_BITS for x in runs]
+                lasts = [i + (x["at"] >> RUN_BITS & RUN_MOST) for i, x in zip(firsts, runs)]
+                n = max(lasts) + 1
+                shared = np.concatenate([[0], np.cumsum(_marked(zip(firsts, lasts), n))])
+                width = least - seed + 1
+                if n < width:
+                    continue
+                whole = shared[width:] - shared[:-width] == width
+                if spans is not None:
+                    whole &= ~_marked(((x["start"], x["end"] - least - SHINGLE + 1) for x in spans), len(whole))
+                if whole.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], whole, [False]])))
+                    begins, ends = edges[::2], edges[1::2] - 1
+                    for x, i, j in zip(runs, firsts, lasts):
+                        for n in range(int(np.searchsorted(ends, i)), int(np.searchsorted(begins, j, "right"))):
+                            out.append((x["k"], doc, x["follows"], max(i, int(begins[n])), min(j, int(ends[n]))))
+            yield pd.DataFrame(out, columns=["k", "doc", "follows", "first", "last"])
+
+    return mine.join(spans, "doc", "left").mapInPandas(of, "k long, doc long, follows boolean, first int, last int")
+
+
+def exact_repeats(texts: DataFrame, places: DataFrame, found: DataFrame, least_words: int, seed: int) -> DataFrame | None:
+    """FOUND, jaccard 1: runs of at least least_words words that a document with a smaller id has and that found doesn't hold;
+    of equal runs the first leads. None where there are none."""
+    least = least_words - SHINGLE + 1
+    left = stored(unfound(places, found, seed, least))
+    asked = left.where("follows").select("k").distinct()
+    wanted = stored(left.join(asked, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
+    n = wanted.count()
+    if not n:
+        return None
+    if n <= SMALL:
+        wanted = F.broadcast(wanted)
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            w, d, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row, text, ranges in zip(batch["id"], batch["text"], batch["ranges"]):
+                every = shingle_hashes(byte_words(text), least_words).view(np.int64)
+                at = np.flatnonzero(_marked(((x["first"], x["last"]) for x in ranges), len(every)))
+                w.append(every[at]), d.append(np.full(len(at), row, np.int64)), c.append(at)
+            w, d, c = (np.concatenate(x) for x in (w, d, c))
+            if len(w):
+                yield chunk_places(w, d, c)
+
+    rows = texts.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "ranges").mapInPandas(windows, PLACES)
+    met = led(rows).where("ldoc < doc").select("doc", F.col("at").alias("c"), F.col("ldoc").alias("rdoc"), F.col("lat").alias("rc"))
+    shift = F.col("c") - F.col("rc")
+    place = F.row_number().over(Window.partitionBy("doc", "rdoc", shift).orderBy("c"))
+    joined = met.withColumn("run", F.col("c") - place).groupBy("doc", "rdoc", shift.alias("shift"), "run")
+    joined = joined.agg(F.min("c").alias("s"), F.max("c").alias("e"), F.min("rc").alias("rs"), F.max("rc").alias("re"))
+    hashed = texts.select("id", "text_hash").join(wanted.select("doc"), F.col("id") == F.col("doc")).select("doc", "text_hash")
+    return joined.join(hashed, "doc").select(
+        "doc", F.col("s").cast("int").alias("start"), (F.col("e") + least_words).cast("int").alias("end"), "rdoc",
+        F.col("rs").cast("int").alias("rstart"), (F.col("re") + least_words).cast("int").alias("rend"), F.lit(1.0).alias("jaccard"), "text_hash",
+    )
+
+
+def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, similarity: float = 0.8) -> DataFrame:
+    """(id, start, end, other_id, other_start, other_end, jaccard, text_hash), in words, ends exclusive: passages of at least
+    least_words words that are near-duplicates (Jaccard of five-word shingles) of one in a document with a smaller id.
+
+    The copies of a passage link to the first document that has the signature, not to each other, and the document with the smallest
+    id to none. All exact repeats are found. A near-duplicate (Jaccard under 1) is missed only if each of the signatures that it
+    shares with another document is led by a third that has the signature but not the passage. The rows are the same however
+    docs is partitioned. Words are lower case in A-Z. Null ids, null texts and texts of fewer words take no part. Of rows that share an id the
+    least text counts (equal rows are one), and passages inside one text are not reported. text_hash is xxhash64 of
+    the document's text. Other columns aren't read; an empty table gives no rows.
+    """
+    least = least_words - SHINGLE + 1
+    seed = min(seed_places(least, similarity), least)
+    texts = one_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    places = led(signatures(texts, seed))
+    pairs = stored(intervals(places, seed))
+    found = stored(verified(pairs, texts, least, similarity, seed + SHINGLE).distinct())
+    runs, before, now = 2, 0, found.count()
+    while now > before:
+        again = stored(intervals(led(regrouped(places, found, seed, runs)), seed))
+        found = stored(found.union(verified(again, asked_texts(texts, again), least, similarity, seed + SHINGLE)).distinct())
+        runs, before, now = runs * 2, now, found.count()
+    more = exact_repeats(texts, places, found.select("doc", "start", "end"), least_words, seed)
+    if more is not None:
+        found = found.unionByName(more)
+    return found.select(
         F.col("doc").alias(id_col), "start", "end", F.col("rdoc").alias(f"other_{id_col}"),
-        F.col("rstart").alias("other_start"), F.col("rend").alias("other_end"), "jaccard",
-    ).distinct()
+        F.col("rstart").alias("other_start"), F.col("rend").alias("other_end"), "jaccard", "text_hash",
+    )
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -413,15 +517,16 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that repeat one of a document with a smaller id; documents of which nothing is left go.
 
-    Columns and other rows stay as they were.
+    A row is cut if its id and text_hash are a passage's, so of rows that share an id only those with the text that was
+    searched are. Columns and other rows stay as they were, rows with a null id or text among them.
     """
-    spans = passages.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    spans = passages.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
 
     @F.pandas_udf("string")
     def shorter(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_words(t, [(x["start"], x["end"]) for x in s]) if s is not None and t is not None else t for t, s in zip(texts, spans)], dtype=object)
 
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left")
+    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(shorter(F.col(text_col), F.col("__spans")))
     done = joined.withColumn("__text", text).where(F.col("__spans").isNull() | (F.trim(F.col("__text")) != ""))
     return done.withColumn(text_col, F.col("__text")).select(*docs.columns)

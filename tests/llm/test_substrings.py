@@ -92,7 +92,8 @@ def test_exact_repeats_behind_a_variant_or_a_common_line(spark):
     got = sub.near_passages(docs).collect()
     for n in want:
         size = 52 if n % 2 else 56
-        assert any(r["doc_id"] == n and r["start"] <= 60 and r["end"] >= 60 + size and r["other_doc_id"] == n - 100 for r in got), n
+        for i in range(60, 60 + size - 49):
+            assert any(r["doc_id"] == n and r["start"] <= i and r["end"] >= i + 50 and r["other_doc_id"] == n - 100 for r in got), (n, i)
     text = dict(rows)
     for r in got:
         if r["jaccard"] == 1.0:
@@ -100,6 +101,88 @@ def test_exact_repeats_behind_a_variant_or_a_common_line(spark):
             assert one[r["start"] : r["end"]] == two[r["other_start"] : r["other_end"]]
 
 
+def brute_windows_of(texts, size=50):
+    """For each document, the starts of its windows of `size` words that a document with a smaller id has."""
+    seen, out = {}, {}
+    for doc, text in sorted(texts.items()):
+        w = text.lower().split()
+        own = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        out[doc] = {i for i, x in enumerate(own) if x in seen}
+        for x in own:
+            seen.setdefault(x, doc)
+    return out
+
+
+def triples():
+    """Pairs that share 60 words, behind a third document, first by id, that quotes 44 of them; every third pair is a near-duplicate."""
+    rng, rows, near = random.Random(21), [], set()
+    for n in range(150):
+        passage = words(rng, 60)
+        at = rng.randint(0, 16)
+        other = list(passage)
+        if n % 3 == 0:
+            other[rng.randint(5, 55)] = "changed"
+            near.add(n)
+        for k, part in enumerate((passage[at : at + 44], passage, other)):
+            rows.append((k * 1000 + n, " ".join(words(rng, rng.randint(30, 90)) + part + words(rng, rng.randint(30, 90)))))
+    return rows, near
+
+
+def test_pairs_behind_a_partial_quote_are_found_alike_for_any_partitions(spark):
+    rows, near = triples()
+    random.Random(3).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(tuple(r) for r in sub.near_passages(docs.repartition(n)).collect()) for n in (1, 8, 64)]
+    assert got[0] == got[1] == got[2]
+    pairs = {(r[0], r[3]) for r in got[0]}
+    exact = [n for n in range(150) if n not in near]
+    assert all((2000 + n, 1000 + n) in pairs for n in exact)
+    assert sum((2000 + n, 1000 + n) in pairs for n in near) >= 0.9 * len(near)
+    assert all(a % 1000 == b % 1000 and a >= 2000 for a, b in pairs)
+
+
+def test_every_repeated_window_lies_in_a_passage_and_passages_are_alike(spark):
+    rng, texts = random.Random(8), {}
+    pool = [words(rng, rng.randint(40, 120)) for _ in range(12)]
+    for n in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(pool)
+            i = rng.randint(0, 20)
+            parts += words(rng, rng.randint(0, 40)) + part[i : rng.randint(i + 20, len(part))]
+        texts[n] = " ".join(parts)
+    texts[80] = " ".join(words(rng, 3) * 40)  # repeats inside one text
+    texts[81] = texts[80]
+    texts[82] = " ".join(w for _ in range(300) for w in words(rng, 60)) + " " + texts[0]  # very long
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = sub.near_passages(docs).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        one, two = texts[r["doc_id"]].lower().split()[r["start"] : r["end"]], texts[r["other_doc_id"]].lower().split()[r["other_start"] : r["other_end"]]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+        assert len(x & y) >= 0.8 * len(x | y) and r["end"] - r["start"] >= 50
+    for doc, starts in brute_windows_of(texts).items():
+        for i in starts:
+            assert any(s <= i and i + 50 <= e for s, e in spans.get(doc, ())), (doc, i)
+
+
+def test_seed_lengths():
+    assert sub.seed_places(46, 0.8) == 20 and sub.seed_places(46, 1.0) == 46
+    assert sub.seed_places(46, 0.5) < 20
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(5)
+    one, two = " ".join(words(rng, 80)), " ".join(words(rng, 80))
+    least, most = sorted((one, two))
+    docs = spark.createDataFrame([(1, least), (2, least), (2, most), (2, most), (3, most), (None, most)], "doc_id long, text string")
+    found = sub.near_passages(docs)
+    assert [(r["doc_id"], r["other_doc_id"]) for r in found.collect()] == [(2, 1)]
+    kept = sub.cut_passages(docs, found)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, least), (2, most), (2, most), (3, most), (0, most)])
+
+
 def test_empty_table(spark):
     assert not sub.near_passages(spark.createDataFrame([], "doc_id long, text string")).collect()
 
