@@ -9,9 +9,9 @@ signatures wherever they are.
 
 Of the places with one signature the first (least document, then least place) leads, and each other place is compared
 with it: intervals of a document pair that meet are joined, and verified on the words. A leader may have a signature but
-not the passage. So places that stay unfound are grouped again by several signatures in a row, under new leaders, until that
-finds no more (regrouped), and at last exact repeats are searched by the hashes of whole passages (exact_repeats). What is
-found depends neither on partitions nor on batches.
+not the passage. So places that stay unfound are grouped again by two and by four signatures in a row, under new leaders,
+and what may be an exact repeat is searched by the hashes of whole passages (left_over, exact_repeats). What is found depends
+neither on partitions nor on batches.
 
 Places of one signature in one chunk of text meet there; the first of them alone goes to the signature's task, so a
 passage that a third of all documents share costs that task a row a chunk.
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import WORD, byte_words, heavy_keys, one_text, shingle_bounds, stored
+from feedlens.llm.common import SMALL, WORD, byte_words, heavy_keys, one_text, shingle_bounds, stored
 
 WORDS = re.compile(WORD)
 
@@ -39,8 +39,6 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A run of windows in one long: first window, number of further windows, places from the first window to its pivot.
 RUN_BITS = 10
 RUN_MOST = (1 << RUN_BITS) - 1
-#: Rows of ids, or of ids and short lists, that may be broadcast.
-SMALL = 200_000
 PLACES = "k long, doc long, at long, bdoc long, bat long, several boolean"
 INTERVALS = "doc long, s long, e long, rdoc long, rs long, re long"
 FOUND = "doc long, start int, end int, rdoc long, rstart int, rend int, jaccard double, text_hash long"
@@ -352,34 +350,81 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int, similarity: float,
     return light.union(many).mapInPandas(compare, FOUND)
 
 
-def regrouped(places: DataFrame, found: DataFrame, seed: int, runs: int) -> DataFrame:
-    """PLACES of the runs that follow a leader and of which no window lies in a found passage, by the signatures and distances of
-    `runs` shared runs of the document in a row: a longer agreement than one signature, under which others lead."""
-    mine = places.groupBy("doc").agg(F.collect_list(F.struct("at", "k", (F.col("doc") > F.col("ldoc")).alias("follows"))).alias("runs"))
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+LEFT_OVER = "kind int, follows boolean, first long, last long, " + PLACES
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def left_over(places: DataFrame, found: DataFrame, seed: int, least: int) -> DataFrame:
+    """What the found passages leave, in one pass over the places: rows of two kinds.
+
+    Kind 0 has PLACES: runs that follow a leader and of which no window lies in a found passage, under the signatures and
+    distances of two and of four shared runs of the document in a row; that is a longer agreement, under which others lead.
+    Kind 1 has k, doc, follows, first, last: windows of `least` shingles, by the run that they begin in, all of whose signatures two
+    documents have and that no found passage holds.
+    """
+    rows = places.select("doc", F.lit(1).alias("t"), F.col("at").alias("a"), F.col("k").alias("b"), (F.col("doc") > F.col("ldoc")).alias("follows"))
+    spans = found.select("doc", F.lit(0).alias("t"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"), F.lit(False).alias("follows"))
+
+    def of(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        batch = batch.sort_values(["doc", "t", "a"], kind="stable")
+        doc, a, b, is_run = (batch[x].to_numpy() for x in ("doc", "a", "b", "t"))
+        is_run = is_run == 1
+        number = np.cumsum(np.diff(doc, prepend=doc[:1] - 1) != 0) - 1
+        at, k, follows, doc = a[is_run], b[is_run].view(np.uint64), batch["follows"].to_numpy()[is_run], doc[is_run]
+        if not len(at):
+            return
+        first = at >> 2 * RUN_BITS
+        last = first + (at >> RUN_BITS & RUN_MOST)
+        # documents laid end to end, far enough apart
+        span = int(max(last.max(), b[~is_run].max(initial=0))) + 2 * least + SHINGLE
+        first, last = first + number[is_run] * span, last + number[is_run] * span
+        start, reach = a[~is_run] + number[~is_run] * span, np.maximum.accumulate(b[~is_run] + number[~is_run] * span)
+
+        def held(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """Whether a passage that starts at begin or before ends at end or later."""
+            n = np.searchsorted(start, begin, "right") - 1
+            return (n >= 0) & (reach[n] >= end) if len(start) else np.zeros(len(begin), bool)
+
+        alone = follows & ~held(last, first + seed + SHINGLE - 1)
+        for runs in (2, 4):
+            n = len(at) - runs + 1
+            if n < 1:
+                continue
+            joint = mixed(k[:n] + np.uint64(runs))
+            for t in range(1, runs):
+                joint = mixed(joint ^ mixed(k[t : t + n] + (first[t : t + n] - first[:n]).view(np.uint64)))
+            use = np.flatnonzero(alone[:n] & (doc[:n] == doc[runs - 1 :]))
+            if len(use):
+                yield chunk_places(joint[use].view(np.int64), doc[use], at[use]).assign(kind=0, follows=True, first=0, last=0)
+        # The last run of each chain without gaps says how far windows of `least` can go.
+        chain = np.append(np.flatnonzero(first[1:] != last[:-1] + 1), len(first) - 1)
+        to = np.minimum(last, last[chain[np.searchsorted(chain, np.arange(len(first)))]] - (least - seed))
+        some = np.flatnonzero(to >= first)
+        if not len(some):
+            return
+        sizes = to[some] - first[some] + 1
+        begins = np.cumsum(sizes) - sizes
+        x = np.repeat(first[some] - begins, sizes) + np.arange(sizes.sum())
+        free = ~held(x, x + least + SHINGLE - 1)
+        low = np.minimum.reduceat(np.where(free, x, np.iinfo(np.int64).max), begins)
+        high = np.maximum.reduceat(np.where(free, x, -1), begins)
+        keep = high >= low
+        some, offset = some[keep], number[is_run][some[keep]] * span
+        yield pd.DataFrame({"kind": 1, "follows": follows[some], "first": low[keep] - offset, "last": high[keep] - offset, "k": k[some].view(np.int64), "doc": doc[some], "at": 0, "bdoc": None, "bat": None, "several": False})
+
+    def by_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, names = None, [c.split()[0] for c in LEFT_OVER.split(", ")]
         for batch in batches:
-            k, d, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc, own, spans in zip(batch["doc"], batch["runs"], batch["spans"]):
-                own = sorted((x["at"], x["k"], x["follows"]) for x in own)
-                if len(own) < runs:
-                    continue
-                place, key, follows = np.array([x[0] for x in own]), np.array([x[1] for x in own]).view(np.uint64), np.array([x[2] for x in own])
-                first = place >> 2 * RUN_BITS
-                last = first + (place >> RUN_BITS & RUN_MOST)
-                for x in spans if spans is not None else ():
-                    follows &= ~((np.maximum(first, x["start"]) <= last) & (np.maximum(first, x["start"]) + seed + SHINGLE - 1 <= x["end"]))
-                n = len(own) - runs + 1
-                joint = key[:n]
-                for t in range(1, runs):
-                    joint = mixed(joint ^ mixed(key[t : t + n] + (first[t : t + n] - first[:n]).view(np.uint64)))
-                use = np.flatnonzero(follows[:n])
-                k.append(joint[use].view(np.int64)), d.append(np.full(len(use), doc, np.int64)), at.append(place[use])
-            if sum(map(len, k)):
-                yield chunk_places(np.concatenate(k), np.concatenate(d), np.concatenate(at))
-
-    return mine.join(spans, "doc", "left").mapInPandas(of, PLACES)
+            batch = batch if rest is None else pd.concat([rest, batch])
+            mark = batch["doc"] == batch["doc"].iloc[-1]
+            rest = batch[mark]
+            if not mark.all():
+                for out in of(batch[~mark]):
+                    yield out[names]
+        if rest is not None:
+            for out in of(rest):
+                yield out[names]
+
+    return rows.union(spans).repartition("doc").sortWithinPartitions("doc").mapInPandas(by_document, LEFT_OVER)
 
 
 def asked_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -398,42 +443,9 @@ def _marked(ranges, n: int) -> np.ndarray:
     return np.cumsum(on)[:-1] > 0
 
 
-def unfound(places: DataFrame, found: DataFrame, seed: int, least: int) -> DataFrame:
-    """(k, doc, follows, first, last): runs of the windows of `least` shingles all of whose signatures two documents have and
-    that no found passage holds, by the signature of a window they begin with; follows: the document doesn't lead it."""
-    mine = places.groupBy("doc").agg(F.collect_list(F.struct("k", "at", (F.col("doc") > F.col("ldoc")).alias("follows"))).alias("runs"))
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, runs, spans in zip(batch["doc"], batch["runs"], batch["spans"]):
-                firsts = [x["at"] >> 2 * RUN_BITS for x in runs]
-                lasts = [i + (x["at"] >> RUN_BITS & RUN_MOST) for i, x in zip(firsts, runs)]
-                n = max(lasts) + 1
-                shared = np.concatenate([[0], np.cumsum(_marked(zip(firsts, lasts), n))])
-                width = least - seed + 1
-                if n < width:
-                    continue
-                whole = shared[width:] - shared[:-width] == width
-                if spans is not None:
-                    whole &= ~_marked(((x["start"], x["end"] - least - SHINGLE + 1) for x in spans), len(whole))
-                if whole.any():
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], whole, [False]])))
-                    begins, ends = edges[::2], edges[1::2] - 1
-                    for x, i, j in zip(runs, firsts, lasts):
-                        for n in range(int(np.searchsorted(ends, i)), int(np.searchsorted(begins, j, "right"))):
-                            out.append((x["k"], doc, x["follows"], max(i, int(begins[n])), min(j, int(ends[n]))))
-            yield pd.DataFrame(out, columns=["k", "doc", "follows", "first", "last"])
-
-    return mine.join(spans, "doc", "left").mapInPandas(of, "k long, doc long, follows boolean, first int, last int")
-
-
-def exact_repeats(texts: DataFrame, places: DataFrame, found: DataFrame, least_words: int, seed: int) -> DataFrame | None:
-    """FOUND, jaccard 1: runs of at least least_words words that a document with a smaller id has and that found doesn't hold;
-    of equal runs the first leads. None where there are none."""
-    least = least_words - SHINGLE + 1
-    left = stored(unfound(places, found, seed, least))
+def exact_repeats(texts: DataFrame, left: DataFrame, least_words: int) -> DataFrame | None:
+    """FOUND, jaccard 1: runs of at least least_words words, beginning in the windows left (kind 1 of left_over), that a document
+    with a smaller id has; of equal runs the first leads. None where there are none."""
     asked = left.where("follows").select("k").distinct()
     wanted = stored(left.join(asked, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
     n = wanted.count()
@@ -483,14 +495,14 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = led(signatures(texts, seed))
     pairs = stored(intervals(places, seed))
     found = stored(verified(pairs, texts, least, similarity, seed + SHINGLE).distinct())
-    runs, before, now = 2, 0, found.count()
-    while now > before:
-        again = stored(intervals(led(regrouped(places, found, seed, runs)), seed))
-        found = stored(found.union(verified(again, asked_texts(texts, again), least, similarity, seed + SHINGLE)).distinct())
-        runs, before, now = runs * 2, now, found.count()
-    more = exact_repeats(texts, places, found.select("doc", "start", "end"), least_words, seed)
+    left = stored(left_over(places, found, seed, least))
+    again = stored(intervals(led(left.where("kind = 0")), seed))
+    if again.limit(1).count():
+        found = found.union(verified(again, asked_texts(texts, again), least, similarity, seed + SHINGLE))
+    more = exact_repeats(texts, left.where("kind = 1"), least_words)
     if more is not None:
         found = found.unionByName(more)
+    found = found.distinct()
     return found.select(
         F.col("doc").alias(id_col), "start", "end", F.col("rdoc").alias(f"other_{id_col}"),
         F.col("rstart").alias("other_start"), F.col("rend").alias("other_end"), "jaccard", "text_hash",
