@@ -56,6 +56,23 @@ def heavy_keys(rows: DataFrame, key: str, least: int = 1, share: int = 4096) ->
     return found if found.limit(1).count() else None
 
 
+def lookup(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of names, which has one row a key; rows is read several times.
+
+    Keys with more than a 4096th of the rows, 4096 at most, are looked up by broadcast, the others by a shuffled join.
+    """
+    heavy = heavy_keys(rows, key)
+    if heavy is None:
+        return rows.join(names, key)
+    keys = F.broadcast(heavy.select(key))
+    light = rows.join(keys, key, "left_anti").join(names.join(keys, key, "left_anti"), key)
+    return light.unionByName(rows.join(F.broadcast(names.join(keys, key, "left_semi")), key))
+
+
+#: Rows of ids, or of ids and short lists, that may be broadcast.
+SMALL = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

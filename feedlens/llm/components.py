@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import cut
+from feedlens.llm.common import stored
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", chunk: int = 250_00
     """(node, root) for every node of an edge list of longs; root is the least node of its component.
 
     Edges with a null end and loops are ignored; an empty list gives no rows. Tasks first contract their edges, at most
-    `chunk` of them in memory, so that rounds over all edges have less to do. Each round is cut, and rounds go on
+    `chunk` of them in memory, so that rounds over all edges have less to do. Each round is written out, and rounds go on
     until the edges no longer change, so the result is exact at any diameter.
     """
     edges = (
@@ -81,13 +81,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", chunk: int = 250_00
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    edges = cut(edges)
+    edges = stored(edges)
     while n := edges.count():
-        edges = cut(_contracted(edges, chunk, -(-n // chunk)).distinct() if n > chunk else _contracted(edges, chunk, 1))
+        edges = stored(_contracted(edges, chunk, -(-n // chunk)).distinct() if n > chunk else _contracted(edges, chunk, 1))
         if n <= chunk:  # one task has seen all edges
             break
         before = _signature(edges)
-        edges = cut(_star(_star(edges, True), False))
+        edges = stored(_star(_star(edges, True), False))
         if _signature(edges) == before:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -13,12 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from feedlens.llm.common import byte_words, cut, shingle_bounds
+from feedlens.llm.common import SMALL, byte_words, lookup, shingle_bounds, stored
 from feedlens.llm.components import components, forest
+from feedlens.llm.substrings import of_function
 from feedlens.llm.substrings import shingle_hashes as rolling_hashes
 
 LOW_HALF = np.uint64(0xFFFFFFFF)
@@ -91,7 +92,7 @@ def tile_pairs(fps: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
     b is null where a tile meets itself. fps has distinct fingerprints in column fp.
     """
     tiles, counts, parts = _tiles(fps, tile)
-    tiles = cut(tiles)
+    tiles = stored(tiles)
     mine = F.struct(F.col("pc"), F.col("part"))
     others = F.flatten(
         F.transform(
@@ -148,15 +149,13 @@ def simhash_components(
     takes part, but never names a component unless all its members have null ids (then null). Other columns of docs
     are not read. An empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, words, seed))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = cut(components(links(distinct.select("fp"), radius, tile))).withColumnRenamed("node", "fp")
-    named = (
-        distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-        .join(roots, "root").select("fp", "component_id")
-    )
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select(
+    prints = stored(fingerprints(docs, id_col, text_col, words, seed))
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = stored(components(links(distinct.select("fp"), radius, tile))).withColumnRenamed("node", "fp")
+    named = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = stored(lookup(named.select("fp", "root"), least, "root").select("fp", "component_id"))
+    return lookup(prints, named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -182,21 +181,30 @@ def spanning_pairs(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> t
     return np.concatenate([none, *chosen_i]), np.concatenate([none, *chosen_j])
 
 
-def _profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp, n, h1, h2): fp and n are of the distinct shingles; h1 and h2 are 64-bit hashes of the words."""
+#: Fingerprints of near_copies: four of 64 bits. Sets at a Jaccard similarity of 0.8 differ in 9.7 bits of 64 and 38.8 of 256
+#: on average, with deviations of 2.9 and 5.7; independent ones in 32 and 128, with deviations of 4 and 8.
+PRINTS, FIRST_RADIUS, RADIUS = 4, 22, 64
+NUMBERS = ["node", "n", "label", *(f"f{k}" for k in range(PRINTS))]
+
+
+def wide_print(shingles: np.ndarray) -> list[int]:
+    """PRINTS SimHashes of 64 bits of a set of shingle hashes, as signed longs."""
+    return [print_of(of_function(shingles, 100 + k)) for k in range(PRINTS)]
+
 
-    @pandas_udf("fp long, n int, h1 long, h2 long")
+def _profile(rows: DataFrame, words: int) -> DataFrame:
+    """(id, node, n, f0, ...): the number of distinct shingles and the fingerprints of each row's text."""
+
+    @pandas_udf("n long, " + ", ".join(f"f{k} long" for k in range(PRINTS)))
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        found = []
         for text in texts:
             own = byte_words(text)
-            joined = b" ".join(own)
-            pair = [xxhash.xxh64_intdigest(joined, seed) - (1 << 63) for seed in (1, 2)]
-            distinct = np.unique(shingle_hashes(text, words))
-            rows.append((print_of(distinct), len(distinct), *pair))
-        return pd.DataFrame(rows, columns=["fp", "n", "h1", "h2"]).astype({"n": "int32"})
+            distinct = shingle_set(own, words) if own else np.empty(0, np.uint64)
+            found.append((len(distinct), *wide_print(distinct)))
+        return pd.DataFrame(found, columns=["n", *(f"f{k}" for k in range(PRINTS))]).astype("int64")
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col)).alias("p")).select("id", "p.*")
+    return rows.select("id", "node", of("text").alias("p")).select("id", "node", "p.*")
 
 
 def _sized_pairs(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
@@ -206,8 +214,8 @@ def _sized_pairs(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
     sized = texts.withColumn("bucket", bucket)
     counts = {r["bucket"]: r["c"] for r in sized.groupBy("bucket").agg(F.count("*").alias("c")).collect()}  # one row for each step of the logarithm
     parts = F.array(*[F.lit(max(1, -(-counts.get(k, 0) // tile))) for k in range(max(counts, default=0) + 2)])
-    tiles = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("bucket") + 1).cast("long")).cast("int"))
-    tiles = cut(tiles.groupBy("bucket", "part").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
+    tiles = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.element_at(parts, F.col("bucket") + 1).cast("long")).cast("int"))
+    tiles = stored(tiles.groupBy("bucket", "part").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
     mine = F.struct("bucket", "part")
     near = lambda lo, hi: F.flatten(
         F.transform(
@@ -225,42 +233,51 @@ def _sized_pairs(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
     return left.join(right, ["k", "o"]).select(*names).union(own)
 
 
-def _near_in_tiles(row: tuple, width: int, radius: int, similarity: float):
-    """(columns of a, columns of b, i, j, bits apart, whether a is b) of the pairs with different labels in a pair of tiles."""
-    own = row[width] is None
-    side = lambda k: [np.asarray(x, np.int64) if c < 4 else np.array(x, object) for c, x in enumerate(row[k : k + width])]
+def _near_in_tiles(row: tuple, width: int, similarity: float):
+    """(columns of a, columns of b, i, j, bits apart, whether a is b) of the pairs with different labels in a pair of tiles.
+
+    The columns are NUMBERS, and the sets where width is one more. Pairs within FIRST_RADIUS in the first fingerprint are
+    compared in all of them.
+    """
+    own, k = row[width] is None, len(NUMBERS)
+    side = lambda at: [np.asarray(x, np.int64) if c < k else np.array(x, object) for c, x in enumerate(row[at : at + width])]
+
     def ordered(columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.argsort(np.bitwise_count(columns[1].view(np.uint64) & LOW_HALF), kind="stable")
+        order = np.argsort(np.bitwise_count(columns[3].view(np.uint64) & LOW_HALF), kind="stable")
         return [c[order] for c in columns]
 
     a = ordered(side(0))
     b = a if own else ordered(side(width))
     none = np.empty(0, np.int64)
     kept = [(none, none, none)]
-    for i, j, apart in close_pairs(a[1].view(np.uint64), b[1].view(np.uint64), radius):
-        n, m = a[2][i], b[2][j]
-        ok = (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (a[3][i] != b[3][j])
+    for i, j, apart in close_pairs(a[3].view(np.uint64), b[3].view(np.uint64), FIRST_RADIUS):
+        n, m = a[1][i], b[1][j]
+        ok = (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (a[2][i] != b[2][j])
         ok &= (i < j) if own else True
+        i, j, apart = i[ok], j[ok], apart[ok].astype(np.int64)
+        for f in range(4, k):
+            apart += np.bitwise_count((a[f][i] ^ b[f][j]).view(np.uint64))
+        ok = apart <= RADIUS
         kept.append((i[ok], j[ok], apart[ok]))
     i, j, apart = (np.concatenate(x) for x in zip(*kept))
     return a, b, i, j, apart, own
 
 
 def _forest_rows(a: list, b: list, i: np.ndarray, j: np.ndarray, apart: np.ndarray, own: bool) -> pd.DataFrame:
-    ids = a[0] if own else np.concatenate([a[0], b[0]])
-    i, j = spanning_pairs(len(ids), i, j if own else j + len(a[0]), apart)
-    return pd.DataFrame({"a": ids[i], "b": ids[j]})
+    nodes = a[0] if own else np.concatenate([a[0], b[0]])
+    i, j = spanning_pairs(len(nodes), i, j if own else j + len(a[0]), apart)
+    return pd.DataFrame({"a": nodes[i], "b": nodes[j]})
 
 
-def _candidates(texts: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
-    """(a, b) ids: of the texts with different labels within the radius, a spanning forest for each pair of tiles."""
+def _candidates(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(a, b) nodes: of the texts with different labels within the radius, a spanning forest for each pair of tiles."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield _forest_rows(*_near_in_tiles(row, 4, radius, similarity))
+                yield _forest_rows(*_near_in_tiles(row, len(NUMBERS), similarity))
 
-    return _sized_pairs(texts, similarity, tile).mapInPandas(solve, "a long, b long")
+    return _sized_pairs(texts.select(*NUMBERS), similarity, tile).mapInPandas(solve, "a long, b long")
 
 
 def overlaps(one: list[bytes], many: list[bytes]) -> np.ndarray:
@@ -281,37 +298,38 @@ def overlaps(one: list[bytes], many: list[bytes]) -> np.ndarray:
 def _dealt(texts: DataFrame, tile: int, tile_bytes: int = 1 << 22) -> DataFrame:
     """texts with the number of tiles of its family, and its own: one tile, more if the family has more than `tile` texts
     or tile_bytes of sets."""
-    sizes = texts.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes), F.lit(1)).cast("int").alias("parts")
+    sizes = stored(
+        texts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes), F.lit(1)).cast("int").alias("parts"))
     )
-    return texts.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    return lookup(texts, sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
 
 
-def _verified_in_tiles(texts: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b) ids: of the texts of one family with different labels within the radius whose shingle sets have the
+def _verified_in_tiles(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) nodes: of the texts of one family with different labels within the radius whose shingle sets have the
     similarity, a spanning forest for each pair of tiles. No pair leaves its task before it is verified.
 
-    texts: id, fp, n, label, set (packed shingle hashes), family, and part of so many parts. Most families have one part,
+    texts: NUMBERS, set (packed shingle hashes), family, and part of so many parts. Most families have one part,
     so most sets move once; the parts of a large one go to as many tasks.
     """
-    columns = ["id", "fp", "n", "label", "set"]
-    tiles = cut(texts.repartition("family", "part").groupBy("family", "part", "parts").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
+    columns = [*NUMBERS, "set"]
+    width = len(columns)
+    tiles = stored(texts.repartition("family", "part").groupBy("family", "part", "parts").agg(*[F.collect_list(c).alias(f"{c}_a") for c in columns]))
     several = tiles.where("parts > 1")
     left = several.where("part < parts - 1").select("family", F.col("part").alias("k"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("o"), *[f"{c}_a" for c in columns])
     right = several.where("part > 0").select("family", F.col("part").alias("o"), F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("k"), *[F.col(f"{c}_a").alias(f"{c}_b") for c in columns])
     names = [f"{c}_{s}" for s in "ab" for c in columns]
-    own = tiles.select(*names[:5], *[F.lit(None).cast(tiles.schema[f"{c}_a"].dataType).alias(f"{c}_b") for c in columns])
+    own = tiles.select(*names[:width], *[F.lit(None).cast(tiles.schema[f"{c}_a"].dataType).alias(f"{c}_b") for c in columns])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for row in batch.itertuples(index=False):
-                a, b, i, j, apart, own = _near_in_tiles(row, 5, radius, similarity)
+                a, b, i, j, apart, own = _near_in_tiles(row, width, similarity)
                 if not len(i):
                     continue
                 rows, cols = np.unique(i), np.unique(j)
-                both = overlaps([a[4][x] for x in rows], [b[4][x] for x in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-                size = lambda side, at: np.array([len(x) // 8 for x in side[4]])[at]
+                both = overlaps([a[-1][x] for x in rows], [b[-1][x] for x in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+                size = lambda side, at: np.array([len(x) // 8 for x in side[-1]])[at]
                 ok = both >= similarity * (size(a, i) + size(b, j) - both)
                 if ok.any():
                     found.append(_forest_rows(a, b, i[ok], j[ok], apart[ok], own))
@@ -322,18 +340,6 @@ def _verified_in_tiles(texts: DataFrame, radius: int, similarity: float) -> Data
     return pairs.union(own).mapInPandas(solve, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose texts' shingle sets have that Jaccard similarity."""
-
-    @pandas_udf("boolean")
-    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(one, two)])
-
-    with_a = pairs.distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.where(alike("ta", "tb")).select("a", "b")
-
-
 def jaccard(one: str | None, two: str | None, words: int) -> float:
     x, y = (shingle_set(byte_words(t), words) for t in (one, two))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -341,97 +347,83 @@ def jaccard(one: str | None, two: str | None, words: int) -> float:
 
 
 def shingle_set(own: list[bytes], words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; of fewer words the hash of them all."""
     if len(own) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(own), 3)], np.uint64)
     return np.unique(rolling_hashes(own, words))
 
 
-def _frequent(words_of: DataFrame, words: int, texts: int = 5000, most: int = 200_000) -> np.ndarray:
-    """Shingles that several texts of a sample hold, sorted: they come last in the order of prefixes. Any choice gives the same pairs."""
-
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *(shingle_set(byte_words(t), words).view(np.int64) for t in batch["text"])])})
+def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node, id), each once; where those are few, no other text is shuffled."""
+    asked = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
+    return rows.join(asked, ["id", "node"]).select("node", "text").dropDuplicates(["node"])
 
-    n = words_of.count()
-    sample = words_of.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // texts))) == 0).select("text").mapInPandas(some, "h long")
-    rows = sample.groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(most).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
+def _verified(pairs: DataFrame, words_of: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' shingle sets have that Jaccard similarity."""
 
-def _by_prefix(words_of: DataFrame, labelled: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) ids, a > b: every pair of texts with different labels that can have the similarity, without regard to fingerprints.
-
-    Two sets with that Jaccard similarity share a shingle of the first n - ceil(similarity n) + 1 of each in any order
-    that holds for all texts. The order here is by hash, frequent shingles last. labelled: id, n, label.
-    """
-    frequent = _frequent(words_of, words)
+    @pandas_udf("boolean")
+    def alike(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(one, two)])
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, held = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for row, text in zip(batch["id"], batch["text"]):
-                own = shingle_set(byte_words(text), words)
-                size = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
-                late = np.zeros(len(own), bool)
-                if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-                own = np.concatenate([own[~late], own[late]])[:size]
-                ids.append(np.full(len(own), row, np.int64)), held.append(own)
-            yield pd.DataFrame({"id": np.concatenate(ids), "h": np.concatenate(held).view(np.int64)})
-
-    def several(rows: DataFrame, of: str) -> DataFrame:
-        over = Window.partitionBy("h")
-        rows = rows.withColumns({"__low": F.min(of).over(over), "__high": F.max(of).over(over)})
-        return rows.where("__low < __high").drop("__low", "__high")
-
-    rows = cut(several(words_of.mapInPandas(prefixes, "id long, h long"), "id"))
-    rows = cut(several(rows.join(labelled.select("id", "n", "label"), "id"), "label"))
-    left = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)
-    return left.join(right, "h").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
+    with_a = pairs.join(words_of.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = with_a.join(words_of.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return both.where(alike("ta", "tb")).select("a", "b")
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 14, tile: int = 2048,
-    family_tile: int = 256,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = 2048, family_tile: int = 256,
 ) -> DataFrame:
-    """(id, component_id): groups of texts whose word shingles have a Jaccard similarity of at least `similarity`.
-
-    Texts with equal words are one text. First candidates are texts within the radius whose numbers of shingles allow the similarity;
-    all links that count are verified on the shingles themselves. First each pair of tiles gives a spanning forest of
-    its candidates, closest first. Texts that then have candidates in another group are compared again, all of these
-    candidates, with their shingle sets, family by family; no list of all pairs is ever written. Texts without
-    words are alike. Rows with a null id are left out, repeated rows are repeated; component_id is the group's
-    smallest id. Other columns aren't read. Fingerprints of texts at a similarity of 0.8
-    differ in 9.7 bits with a deviation of 2.9, so the default radius finds 19 of 20 such links, and more above. Then
-    a prefix filter gives every pair that is not yet in one group and can have the similarity, so no link is lost.
+    """(id, text_hash, component_id, first): groups of texts whose word shingles have a Jaccard similarity of at least `similarity`.
+
+    Equal texts are one node, named by text_hash (xxhash64, a null text counting as empty); component_id is the smallest id
+    of the group, and first says whether the row's id, then text_hash, is the group's least. Texts without words are alike.
+    Rows that share an id are told apart by their texts; repeated rows are repeated; rows with a null id are left out;
+    other columns aren't read; an empty table gives no rows.
+
+    Candidates lie within a quarter of the 256 bits of four fingerprints of the distinct shingles (and 22 of the first 64) and
+    have numbers of shingles that allow the similarity. Sets at a similarity of just 0.8 differ in more with a probability of
+    0.00002, more similar ones more seldom, and independent ones in no more with one of 1e-15, so neither links get lost nor
+    chance ones grow with the corpus. All links are verified on the shingles themselves: first each pair of tiles gives a
+    spanning forest of its candidates, closest first. Texts that then have candidates in another group are compared
+    again, all of these candidates, with their shingle sets, family by family; no list of all pairs is ever written.
     """
-    profile = cut(_profile(docs, id_col, text_col, words))
-    texts = cut(profile.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")))
-    words_of = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
-    labelled = texts.select("id", "fp", "n", F.col("id").alias("label"))
-    links_ = cut(_verified(_candidates(labelled, radius, similarity, tile), words_of, words, similarity))
-    groups = cut(components(links_))
-    labelled = cut(texts.join(groups, texts["id"] == groups["node"], "left").select("id", "fp", "n", F.coalesce("root", "id").alias("label")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"),
+    )
+    profile = stored(_profile(rows, words))
+    numbers = [c for c in NUMBERS if c not in ("node", "label")]
+    texts = stored(profile.groupBy("node").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in numbers]))
+    named = texts.select("node", "id")
+
+    def among(found: DataFrame, *columns: str) -> DataFrame:
+        nodes = found.select(F.col(columns[0]).alias("node"))
+        for c in columns[1:]:
+            nodes = nodes.union(found.select(c))
+        return _texts_of(rows, stored(named.join(nodes.distinct(), "node", "left_semi")))
+
+    pairs = stored(_candidates(texts.withColumn("label", F.col("node")), similarity, tile).distinct())
+    links_ = stored(_verified(pairs, among(pairs, "a", "b"), words, similarity))
+    groups = stored(components(links_))
+    labelled = stored(texts.join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
     # Texts whose candidates belong to other groups, by family: the candidates of a text are all in its family.
-    families = cut(components(_candidates(labelled, radius, similarity, tile)))
-    families = families.select(F.col("node").alias("id"), F.col("root").alias("family"))
+    families = stored(components(_candidates(labelled, similarity, tile))).withColumnRenamed("root", "family")
 
     @pandas_udf("binary")
     def packed(batch: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(byte_words(t), words).tobytes() for t in batch], dtype=object)
 
-    dealt = cut(_dealt(labelled.join(families, "id"), family_tile))
-    sets = dealt.join(words_of, "id").select("id", "fp", "n", "label", "family", "part", "parts", packed("text").alias("set"))
-    rest = cut(_verified_in_tiles(sets, radius, similarity))
-    if rest.limit(1).count():
-        links_ = links_.union(rest)
-        groups = cut(components(links_))
-    labelled = texts.join(groups, texts["id"] == groups["node"], "left").select("id", "n", F.coalesce("root", "id").alias("label"))
-    far = cut(_verified(_by_prefix(words_of, labelled, words, similarity), words_of, words, similarity))
-    if far.limit(1).count():
-        groups = cut(components(links_.union(far)))
-    named = texts.join(groups, texts["id"] == groups["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
-    return profile.join(named, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
+    members = stored(labelled.select(*NUMBERS).join(families, "node"))
+    if members.limit(1).count():
+        dealt = stored(_dealt(members, family_tile))
+        sets = dealt.join(among(dealt, "node"), "node").select(*dealt.columns, packed("text").alias("set"))
+        rest = stored(_verified_in_tiles(sets, similarity))
+        if rest.limit(1).count():
+            groups = stored(components(links_.union(rest)))
+    grouped = stored(texts.join(groups, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
+    least = stored(grouped.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least")).select("root", F.col("least.id").alias("component_id"), F.col("least.node").alias("first_node")))
+    of_node = stored(lookup(grouped.select("node", "root"), least, "root"))
+    found = lookup(profile.select("id", "node"), of_node.select("node", "component_id", "first_node"), "node")
+    return found.select(
+        F.col("id").alias(id_col), F.col("node").alias("text_hash"), "component_id", ((F.col("id") == F.col("component_id")) & (F.col("node") == F.col("first_node"))).alias("first"),
+    )
