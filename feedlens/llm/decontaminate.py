@@ -25,13 +25,19 @@ def folded(text: str | None) -> bytes:
 
 
 def codes_of(data: np.ndarray, q: int) -> np.ndarray:
-    """The q-gram at each place as a number (q of 8 at most)."""
+    """The q-gram at each place as a number (q of 8 at most), put together from q-grams of half the length."""
     n = max(0, len(data) - q + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(q):
-        out <<= np.uint64(8)
-        out |= data[j : j + n]
-    return out
+    code, width = data, 1
+    for wider in (np.uint16, np.uint32, np.uint64):
+        if width * 2 > q:
+            break
+        code = code[:-width].astype(wider) << wider(8 * width) | code[width:]
+        width *= 2
+    rest = np.uint64(q - width)
+    if not rest:
+        return code[:n].astype(np.uint64)
+    mask = (np.uint64(1) << np.uint64(8) * rest) - np.uint64(1)
+    return code[:n].astype(np.uint64) << np.uint64(8) * rest | (code[int(rest) : int(rest) + n].astype(np.uint64) & mask)
 
 
 def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -57,7 +63,7 @@ def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int]
 class Screen:
     """A block of benchmark items, ready to be searched for in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = 7, max_error: float = 0.12):
+    def __init__(self, items: list[tuple[int, str]], q: int = 7, max_error: float = 0.12, common: int = 64):
         self.q, kept = q, []
         for item_id, text in items:
             data = folded(text)
@@ -68,65 +74,104 @@ class Screen:
         self.edits = np.minimum((max_error * self.sizes).astype(np.int64), (self.sizes - q) // q)
         self.bound = self.sizes - q + 1 - self.edits * q
         self.width = int(max(self.edits.max(initial=0), 8)) + 1
+        self.margin = 2 * (q + self.width) + int(self.sizes.max(initial=0))
         grams = [codes_of(d, q) for d in self.items]
         code = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+        # An item needn't count its q-grams that many places of the items hold, if it is left with half its bound without them:
+        # each q-gram place that isn't counted lowers the bound by one, so no occurrence is lost.
+        names, at, times = np.unique(code, return_inverse=True, return_counts=True)
+        hot = times[at] > common
+        hot_places = np.bincount(owner[hot], minlength=len(grams)) if len(grams) else np.empty(0, np.int64)
+        spared = self.bound - hot_places >= np.maximum(1, self.bound // 2)
+        self.bound = np.where(spared, self.bound - hot_places, self.bound)
+        counted = ~(hot & spared[owner]) if len(owner) else np.empty(0, bool)
+        code, owner, place = code[counted], owner[counted], place[counted]
         order = np.argsort(code, kind="stable")
         self.code, first, count = np.unique(code[order], return_index=True, return_counts=True)
         self.first, self.count, self.owner, self.place = first, count, owner[order], place[order]
         self.seen = np.zeros(1 << PLACES, bool)
         self.seen[(self.code * SPREAD) >> np.uint64(64 - PLACES)] = True
 
-    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(text, item id, edits, item length, start, end) of the best occurrence of each item in each folded text."""
-        if not self.items or not texts:
+    def hits(self, data: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """(place, index into self.code) of the q-grams of data that an item counts, block by block."""
+        places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for begin in range(0, len(data), block):
+            codes = codes_of(data[begin : begin + block + self.q - 1], self.q)
+            hit = np.flatnonzero(self.seen[(codes * SPREAD) >> np.uint64(64 - PLACES)])
+            at = np.minimum(np.searchsorted(self.code, codes[hit]), len(self.code) - 1)
+            true = self.code[at] == codes[hit]
+            places.append(hit[true] + begin), found.append(at[true])
+        return np.concatenate(places), np.concatenate(found)
+
+    def search(self, texts: list[bytes], piece: int = 1 << 21, most: int = 1 << 22) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item id, edits, item length, start, end) of the best occurrence of each item in each folded text.
+
+        Texts longer than a piece are searched in pieces that overlap by all that an occurrence can span, so memory is
+        bounded by a piece, and by the places of the items that share q-grams with one.
+        """
+        if not len(self.code) or not texts:
             return
+        pieces = []
+        for n, text in enumerate(texts):
+            for at in range(0, max(1, len(text) - self.margin), piece):
+                pieces.append((n, at, text if len(text) <= piece else text[at : at + piece + self.margin]))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         gap = b"\x00" * (self.q + self.width)
-        data = np.frombuffer(gap.join(texts), np.uint8)
-        starts = np.cumsum([0] + [len(t) + len(gap) for t in texts[:-1]])
-        codes = codes_of(data, self.q)
-        hit = np.flatnonzero(self.seen[(codes * SPREAD) >> np.uint64(64 - PLACES)])
-        at = np.searchsorted(self.code, codes[hit])
-        at[at == len(self.code)] = 0
-        true = self.code[at] == codes[hit]
-        hit, at = hit[true], at[true]
+        data = np.frombuffer(gap.join(p[2] for p in pieces), np.uint8)
+        starts = np.cumsum([0] + [len(p[2]) + len(gap) for p in pieces[:-1]])
+        hit, at = self.hits(data)
+        doc = np.searchsorted(starts, hit, "right") - 1
+        # whole pieces, as many at once as share about `most` places with items
+        shared = np.cumsum(np.bincount(doc, self.count[at], minlength=len(pieces)).astype(np.int64)) if len(hit) else np.zeros(len(pieces), np.int64)
+        begin = 0
+        while begin < len(pieces):
+            end = max(begin + 1, int(np.searchsorted(shared, (shared[begin - 1] if begin else 0) + most, "right")))
+            lo, hi = np.searchsorted(doc, begin), np.searchsorted(doc, end)
+            for d, i, found in self._banded(pieces, starts, len(gap), hit[lo:hi], at[lo:hi], doc[lo:hi]):
+                key = pieces[d][0], i
+                found = found[0], found[1] + pieces[d][1], found[2] + pieces[d][1]
+                if found < best.get(key, (1 << 30, 0, 0)):
+                    best[key] = found
+            begin = end
+        for (n, i), (edits, start, end) in sorted(best.items()):
+            yield n, self.ids[i], edits, int(self.sizes[i]), start, end
+
+    def _banded(self, pieces: list, starts: np.ndarray, gap: int, hit: np.ndarray, at: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
         if not len(hit):
             return
         n_items = len(self.items)
-        doc = np.searchsorted(starts, hit, "right") - 1
-        # A text that has fewer shared q-grams than an item's bound in all has no band that reaches it.
         times = self.count[at]
         spot = np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
         item = self.owner[spot]
-        pair = np.repeat(doc, times) * n_items + item
-        keep = np.bincount(pair, minlength=len(texts) * n_items)[pair] >= self.bound[item]
+        # A piece that has fewer shared q-grams than an item's bound in all has no band that reaches it.
+        pair = np.repeat(doc - doc[0], times) * n_items + item
+        if (int(doc[-1] - doc[0]) + 1) * n_items > 8 * len(pair):
+            pair = np.unique(pair, return_inverse=True)[1]
+        keep = np.bincount(pair)[pair] >= self.bound[item]
         if not keep.any():
             return
-        item, pair = item[keep], pair[keep]
+        item = item[keep]
         diagonal = np.repeat(hit, times)[keep] - self.place[spot[keep]]
-        band = (diagonal + 2 * len(gap) + int(self.sizes.max())) // self.width
+        base = 2 * gap + int(self.sizes.max())
+        band = (diagonal + base) // self.width
         bands = int(band.max()) + 2
         key, n = np.unique(np.concatenate([item * bands + band, item * bands + band - 1]), return_counts=True)
         key = key[n >= self.bound[key // bands]]
         run = np.flatnonzero(np.diff(key, prepend=-2) != 1)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for lo, hi in zip(key[run].tolist(), key[np.append(run[1:], len(key)) - 1].tolist()):
             i = lo // bands
-            base = 2 * len(gap) + int(self.sizes.max())
             begin, end = lo % bands * self.width - base, (hi % bands + 2) * self.width - base + int(self.sizes[i] + self.edits[i])
             least = max(0, int(np.searchsorted(starts, max(begin, 0), "right") - 1))
             for d in range(least, int(np.searchsorted(starts, max(end, 0), "left"))):  # a run can span many texts
-                a, b = max(0, begin - int(starts[d])), min(len(texts[d]), end - int(starts[d]))
+                text = pieces[d][2]
+                a, b = max(0, begin - int(starts[d])), min(len(text), end - int(starts[d]))
                 if b - a < self.sizes[i] - self.edits[i]:
                     continue
-                found = self._verify(i, texts[d][a:b])
+                found = self._verify(i, text[a:b])
                 if found:
-                    found = found[0], found[1] + a, found[2] + a
-                    if found < best.get((d, i), (1 << 30, 0, 0)):
-                        best[d, i] = found
-        for (d, i), (edits, start, end) in sorted(best.items()):
-            yield d, self.ids[i], edits, int(self.sizes[i]), start, end
+                    yield d, i, (found[0], found[1] + a, found[2] + a)
 
     def _verify(self, i: int, region: bytes) -> tuple[int, int, int] | None:
         exact = region.find(self.items[i].tobytes())
@@ -144,7 +189,8 @@ def find_benchmark(
     An item may have max_error of its length as edits, fewer if it is so short that the lemma would ask for no shared
     q-gram. Ties go to the first place; start and end count bytes of the folded text. Items that fold to less than q bytes, null ones
     among them, match nothing; null and empty texts hold nothing. Repeated rows give repeated rows. The items go to
-    the tasks in blocks of about block_chars characters, each a pass over the documents; other columns aren't read.
+    the tasks in blocks of about block_chars characters, each a pass over the documents, so what travels is bounded by a block.
+    Texts of any length are searched whole, in overlapping pieces. Other columns aren't read.
     """
     total = benchmark.agg(F.sum(F.length(item_text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
