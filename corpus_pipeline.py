@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import decontaminate, queries, simhash, substrings, toxicity
-from feedlens.llm.common import shared_dir, table
+from feedlens.llm.common import shared_dir, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +18,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id.
+
+    Of rows that share it, that with the least text hash stays, once if it is repeated. Rows with a null id stay as they are.
+    """
     groups = simhash.near_copies(docs, "doc_id", "text")
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = groups.where("not first").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    hashed = docs.withColumn("__of", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__of") == F.col("__hash")), "left_anti")
+    again = stored(groups.where("first").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id"))
+    if again.limit(1).count():
+        once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "__of"])
+        kept = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+    return kept.drop("__of")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
