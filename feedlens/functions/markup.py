@@ -84,3 +84,19 @@ def is_boilerplate_image(src: Column, width: Column, height: Column) -> Column:
     for part in AD_PARTS:
         marked |= F.contains(F.lower(src), F.lit(part))
     return marked | (width < 150) | (height < 10) | (width > 15 * F.greatest(height, F.lit(1)))
+
+
+def escaped(text: Column, quotes: bool = False) -> Column:
+    """text as XML character data, or as an attribute's value."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"),) if quotes else ())):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def channel_link(feed: Column, base: Column) -> Column:
+    """The site that an RSS or Atom document names as its own, absolute; null if it names none but itself."""
+    rss = F.xpath_string(feed, F.lit("/rss/channel/link[not(@rel='self')]"))
+    atom = F.xpath_string(feed, F.lit("/feed/link[not(@rel='self')]/@href"))
+    link = F.coalesce(F.nullif(F.trim(rss), F.lit("")), F.nullif(F.trim(atom), F.lit("")))
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.when(link.startswith("/"), F.concat(root, link)).otherwise(link)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlens.sources.shared import settled
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group; Spark limits groups before the shuffle as well as after it."""
@@ -48,12 +50,54 @@ def without(df: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
 
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows, as it is beyond; the count is one cheap job."""
+    """df with a broadcast hint if it has at most most_rows rows, as it is beyond. The count runs df's plan: give it a settled df."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, total: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """df with `name`: 1, 2, ... in each group by order, however large a group is.
+
+    Rows are dealt out in ranges of group and order, so a large group takes several tasks; a range's rows are numbered by
+    themselves and moved on by the rows of the ranges before it. total: also the group's number of rows. sums: for
+    {name: column} also the sum of the column over the rows before, and under name + "_all" over the group. The order must end in
+    a key that is unique in the group. Null groups are a group.
+    """
+    sums = sums or {}
+    placed = settled(df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn("__p", F.spark_partition_id()), "order")
+    parts = placed.groupBy(*group, "__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    offsets = parts.select(
+        *[F.col(c).alias(f"__g_{c}") for c in group], F.col("__p").alias("__q"), zero(F.sum("__n").over(before)).alias("__o"), F.sum("__n").over(whole).alias("__t"),
+        *[zero(F.sum(f"__s_{n}").over(before)).alias(f"__o_{n}") for n in sums], *[F.sum(f"__s_{n}").over(whole).alias(f"__t_{n}") for n in sums],
+    )  # a row a group and range
+    on = F.col("__p") == F.col("__q")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    local = Window.partitionBy(*group, "__p").orderBy(*order)
+    found = placed.join(offsets, on)
+    out = {name: F.row_number().over(local) + F.col("__o")}
+    if total:
+        out[total] = F.col("__t")
+    for n, c in sums.items():
+        out[n] = F.col(f"__o_{n}") + zero(F.sum(c).over(local.rowsBetween(Window.unboundedPreceding, -1)))
+        out[f"{n}_all"] = F.col(f"__t_{n}")
+    return found.withColumns(out).select(*df.columns, *out)
+
+
+def neighbours(df: DataFrame, group: list[str], order: list[Column], key: str, steps: int) -> DataFrame:
+    """(group, key, before1, ..., after1, ...): the keys of the rows up to `steps` before and after each row of its group."""
+    rows = settled(numbered(df.select(*group, key, *[c for c in df.columns if c not in (*group, key)]), group, order, "__i").select(*group, key, "__i"), "places")
+    # every row is sent to the places around its own, where the row that stands there gathers them
+    step = F.explode(F.array(*[F.lit(k) for k in range(-steps, steps + 1)])).alias("__d")
+    sent = rows.select(*group, key, "__i", step).withColumn("__at", F.col("__i") - F.col("__d"))
+    at = lambda k, n: F.max(F.when(F.col("__d") == k, F.col(key))).alias(n)
+    found = sent.groupBy(*group, "__at").agg(at(0, key), *[at(-k, f"before{k}") for k in range(1, steps + 1)], *[at(k, f"after{k}") for k in range(1, steps + 1)])
+    return found.where(F.col(key).isNotNull()).drop("__at")
+
+
 def rank_share(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Place in the group from 0 to 1: (row - 1) / max(1, rows - 1). Unlike percent_rank, ties get different places."""
-    by = Window.partitionBy(*group)
-    share = (F.row_number().over(by.orderBy(*order)) - 1) / F.greatest(F.lit(1), F.count("*").over(by) - 1)
-    return df.withColumn(name, share)
+    rows = numbered(df, group, order, "__i", "__c")
+    return rows.withColumn(name, (F.col("__i") - 1) / F.greatest(F.lit(1), F.col("__c") - 1)).drop("__i", "__c")

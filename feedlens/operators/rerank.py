@@ -14,12 +14,12 @@ EPS = 0.01
 FLOOR = 0.02
 
 
-def target(values: np.ndarray, weight: dict | None) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the values, wanted share of each code): softmax of weights with a floor; uniform without weights."""
-    names, codes = np.unique(values, return_inverse=True)
+def target(values: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the values, wanted share of each code): softmax of the values' weights with a floor; uniform without weights."""
+    names, first, codes = np.unique(values, return_index=True, return_inverse=True)
     if weight is None:
         return codes, np.full(len(names), 1 / len(names))
-    logits = np.array([float(weight.get(n, 0.0)) for n in names])
+    logits = weight[first]
     p = np.exp(logits - logits.max())
     p = np.maximum(p / p.sum(), FLOOR)
     return codes, p / p.sum()
@@ -50,40 +50,44 @@ def calibrated(score: np.ndarray, dimensions: list[tuple[np.ndarray, np.ndarray]
 
 
 def explore(order: list[int], score: np.ndarray, eligible: np.ndarray, feed: np.ndarray, votes: np.ndarray, every: int = 10) -> list[int]:
-    """Moves unseen articles of the page's lower half up to every tenth place, a new feed each time while there is one."""
+    """Every tenth place goes to an unseen article of the page's lower half, unless it already stands higher.
+
+    Articles take turns by score, then fewest votes for their topic, then where they stand; each slot takes one of a feed that
+    had none yet while there is such a feed. So the turns are: first the best of each feed, then all others.
+    """
     n = len(order)
     if n <= every:
         return order
-    pool = sorted((i for i in order[n // 2 :] if eligible[i]), key=lambda i: (-score[i], votes[i]))
-    out, used = list(order), set()
-    for slot in range(every - 1, n, every):
-        if not pool:
-            break
-        chosen = next((i for i in pool if feed[i] not in used), pool[0])
-        pool.remove(chosen)
-        used.add(feed[chosen])
-        at = out.index(chosen)
-        if at > slot:
-            out.insert(slot, out.pop(at))
+    lower = np.array([i for i in order[n // 2 :] if eligible[i]], int)
+    ranked = lower[np.lexsort((np.arange(len(lower)), votes[lower], -score[lower]))]
+    leads = np.zeros(len(ranked), bool)
+    leads[np.unique(feed[ranked], return_index=True)[1]] = True
+    turns = np.concatenate([ranked[leads], ranked[~leads]])
+    out = list(order)
+    for slot, chosen in zip(range(every - 1, n, every), turns.tolist()):
+        if out.index(chosen) > slot:
+            out.remove(chosen)
+            out.insert(slot, chosen)
     return out
 
 
-def rerank_pages(candidates: DataFrame, weights: dict[str, dict[str, float]], page: str = "page", strength: float = 0.3, every: int = 0) -> DataFrame:
-    """candidates (page, id, source_id, primary_topic, region, article_type, vote, times, score) with `place` within the page.
+def rerank_pages(candidates: DataFrame, page: str = "page", strength: float = 0.3, every: int = 0) -> DataFrame:
+    """candidates (page, id, source_id, primary_topic, region, article_type, vote, times, topic_votes, score, and the weights of
+    their labels t_topic, t_region, t_type) with `place` within the page.
 
-    weights: effective weight by axis and label, region's already scaled; every > 0 adds exploration slots.
+    A label's wanted share follows from the weight that its articles carry; every > 0 adds exploration slots.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         label = lambda c: rows[c].fillna("unknown").to_numpy(str)
         dims = [target(rows["source_id"].to_numpy(), None)]
-        dims += [target(label(c), weights.get(a, {})) for a, c in (("topic", "primary_topic"), ("region", "region"), ("type", "article_type"))]
+        dims += [target(label(c), rows[w].to_numpy(float)) for w, c in (("t_topic", "primary_topic"), ("t_region", "region"), ("t_type", "article_type"))]
         score = rows["score"].to_numpy(float)
         order = calibrated(score, dims, strength)
         if every:
             fresh = (rows["vote"].fillna("") != "show_less").to_numpy() & (rows["times"].fillna(0) == 0).to_numpy()
-            order = explore(order, score, fresh, rows["source_id"].to_numpy(), np.zeros(len(rows)), every)
+            order = explore(order, score, fresh, rows["source_id"].to_numpy(), rows["topic_votes"].fillna(0).to_numpy(), every)
         return pd.DataFrame({page: rows[page].iloc[order].to_numpy(), "id": rows["id"].iloc[order].to_numpy(), "place": np.arange(1, len(rows) + 1)})
 
     kind = candidates.schema[page].dataType.simpleString()

@@ -21,7 +21,8 @@ def scores(articles: DataFrame, weights: DataFrame, votes: DataFrame, shown: Dat
     have no exposure. The weights are one row a label, broadcast while they are small.
     """
     known = small(weights.select("axis", "label", "effective"))
-    ranked = rank_share(articles, ["source_id"], [F.desc("pub_date"), F.desc("id")], "pct")
+    narrow = articles.select("id", "source_id", "pub_date", "primary_topic", "region", "article_type", "is_saved")
+    ranked = rank_share(narrow, ["source_id"], [F.desc("pub_date"), F.desc("id")], "pct")
     for axis, column in (("topic", "primary_topic"), ("type", "article_type"), ("region", "region")):
         own = known.where(F.col("axis") == axis).select(F.col("label").alias(column), F.col("effective").alias(f"w_{axis}"))
         ranked = ranked.join(own, column, "left").fillna(0.0, [f"w_{axis}"])

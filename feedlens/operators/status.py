@@ -43,3 +43,22 @@ def series(rows: DataFrame, at: str, hours: int, as_of: str) -> DataFrame:
     grid = rows.sparkSession.range(1).select(F.explode(F.sequence(begin, numbers.bucket_start(now, step), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(step)))).alias("bucket"))
     counts = rows.where((F.col(at) >= begin)).groupBy(numbers.bucket_start(F.col(at), step).alias("bucket")).agg(F.count("*").alias("n"))
     return grid.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("arrived"))
+
+
+#: The votes there are.
+VOTES = ("show_more", "show_less")
+
+
+def recorded_votes(articles: DataFrame, votes: DataFrame, batch: DataFrame) -> DataFrame:
+    """(kind, article_id, value, topic): the votes, events and read states that a batch of votes leaves, from one reading of it.
+
+    articles: article_id, primary_topic, is_read. votes: article_id, vote. batch: n (a unique number), article_id, vote. A null vote takes a vote
+    back; votes that aren't one of VOTES, and votes on unknown articles, are refused.
+    """
+    valid = batch.where(F.col("vote").isNull() | F.col("vote").isin(*VOTES)).join(articles.select("article_id", F.col("primary_topic").alias("topic")), "article_id")
+    events = valid.where("vote is not null").select(F.lit("event").alias("kind"), "article_id", F.col("vote").alias("value"), "topic")
+    last = valid.groupBy("article_id").agg(F.max_by(F.coalesce("vote", F.lit("")), "n").alias("last"), (F.count("vote") > 0).alias("voted"))
+    state = articles.join(votes, "article_id", "left").join(last, "article_id", "left").withColumnRenamed("primary_topic", "topic")
+    now = state.select(F.lit("vote").alias("kind"), "article_id", F.nullif(F.coalesce("last", "vote"), F.lit("")).alias("value"), "topic").where("value is not null")
+    read = state.select(F.lit("read").alias("kind"), "article_id", F.when(F.col("voted"), 1).otherwise(F.col("is_read")).cast("string").alias("value"), "topic")
+    return now.unionByName(events).unionByName(read)

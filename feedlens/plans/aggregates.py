@@ -96,10 +96,14 @@ def seeded_articles(r: Reader) -> DataFrame:
     return r.user_article_events.where("event_type = 'open'").select("article_id").distinct()
 
 
-@query("A27", "SELECT source_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM feed_articles WHERE is_saved = 1 GROUP BY 1")
+@query("A27", """
+SELECT source_id, block, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, source_id, CAST(floor((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) / 500) AS BIGINT) AS block
+ FROM feed_articles WHERE is_saved = 1) GROUP BY 1, 2""")
 def saved_by_source(r: Reader) -> DataFrame:
+    """Saved ids by source, in rows of up to 500 ids, so no source's list grows without bound."""
+    saved = rel.numbered(r.feed_articles.where("is_saved = 1").select("id", "source_id"), ["source_id"], [F.col("id")], "i")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",")
-    return r.feed_articles.where("is_saved = 1").groupBy("source_id").agg(F.count("*").alias("n"), ids.alias("ids"))
+    return saved.groupBy("source_id", F.floor((F.col("i") - 1) / 500).alias("block")).agg(F.count("*").alias("n"), ids.alias("ids"))
 
 
 @query("A32", """
@@ -184,17 +188,15 @@ def feed_age_percentile(r: Reader) -> DataFrame:
 SELECT id FROM (SELECT id, is_saved, row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, id DESC) AS n FROM feed_articles WHERE is_saved = 0) WHERE n > 20""")
 def prunable_articles(r: Reader) -> DataFrame:
     loose = r.feed_articles.where("is_saved = 0").select("id", "source_id", "created_at")
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("created_at"), F.desc("id")))
-    return loose.withColumn("n", n).where("n > 20").select("id")
+    return rel.numbered(loose, ["source_id"], [F.desc("created_at"), F.desc("id")], "n").where("n > 20").select("id")
 
 
 @query("W04", """
 SELECT source_id, min(x) AS threshold FROM (SELECT source_id, length(content) AS x, row_number() OVER (PARTITION BY source_id ORDER BY length(content) DESC, id) AS n, count(*) OVER (PARTITION BY source_id) AS c FROM feed_articles)
 WHERE n <= ceil(0.1 * c) GROUP BY 1""")
 def top_share_threshold(r: Reader) -> DataFrame:
-    by = Window.partitionBy("source_id")
     scored = r.feed_articles.select("id", "source_id", F.length("content").cast("long").alias("x"))
-    ranked = scored.withColumns({"n": F.row_number().over(by.orderBy(F.desc("x"), "id")), "c": F.count("*").over(by)})
+    ranked = rel.numbered(scored, ["source_id"], [F.desc("x"), F.col("id")], "n", "c")
     return ranked.where("n <= ceil(0.1 * c)").groupBy("source_id").agg(F.min("x").alias("threshold"))
 
 
@@ -276,9 +278,11 @@ def secondary_display(r: Reader) -> DataFrame:
     return counts.groupBy(text.canonical_label(F.col("label")).alias("canon")).agg(F.max_by("label", F.struct("n", "label")).alias("display"))
 
 
-@query("A40", None)
+@query("A40", """
+SELECT id, source_id FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY md5('7-' || id), id) AS n FROM feed_articles) WHERE n <= 5""")
 def stratified_sample(r: Reader) -> DataFrame:
-    return rel.top_per_group(r.feed_articles.select("id", "source_id"), ["source_id"], [F.xxhash64("id", F.lit(7)), F.col("id")], 5)
+    seeded = F.md5(F.concat(F.lit("7-"), F.col("id").cast("string")))
+    return rel.top_per_group(r.feed_articles.select("id", "source_id"), ["source_id"], [seeded, F.col("id")], 5)
 
 
 @query("F36 F37", """

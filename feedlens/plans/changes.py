@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedlens.operators import relational as rel
 from feedlens.operators import status
 from feedlens.plans.registry import query
+from feedlens.sources.shared import settled
 from feedlens.sources.tables import Reader
 
 LATE = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -38,7 +39,28 @@ def impression_upsert(r: Reader) -> DataFrame:
     return rel.upsert(old, new, ["article_id"], {"n": count, "last_seen_at": F.greatest("old.last_seen_at", "new.last_seen_at")})
 
 
-@query("U05 K11", """
+@query("K11", """
+WITH v AS (SELECT event_id AS n, event_id % (SELECT count(*) + 20 FROM feed_articles) AS article_id, CASE event_id % 5 WHEN 0 THEN 'show_less' WHEN 1 THEN NULL WHEN 2 THEN 'maybe' ELSE 'show_more' END AS vote FROM events WHERE event_id % 3 = 0),
+ok AS (SELECT v.* FROM v JOIN feed_articles a ON a.id = v.article_id WHERE vote IS NULL OR vote IN ('show_more', 'show_less')),
+l AS (SELECT article_id, arg_max(coalesce(vote, ''), n) AS vote, count(vote) > 0 AS voted FROM ok GROUP BY 1),
+a AS (SELECT id, primary_topic, is_read FROM feed_articles)
+SELECT 'vote' AS kind, CAST(a.id AS BIGINT) AS article_id, coalesce(nullif(l.vote, ''), o.vote) AS value, a.primary_topic AS topic FROM a LEFT JOIN article_votes o ON o.article_id = a.id LEFT JOIN l ON l.article_id = a.id WHERE l.vote <> '' OR (l.vote IS NULL AND o.vote IS NOT NULL)
+UNION ALL SELECT 'event', article_id, vote, primary_topic FROM ok JOIN a ON a.id = ok.article_id WHERE vote IS NOT NULL
+UNION ALL SELECT 'read', a.id, CAST(CASE WHEN l.voted THEN 1 ELSE a.is_read END AS VARCHAR), a.primary_topic FROM a LEFT JOIN l ON l.article_id = a.id""")
+def recorded_votes(r: Reader) -> DataFrame:
+    """A batch of votes as one write: the votes, the events and the read states after it.
+
+    A vote of none takes the vote back and leaves no event; other unknown values and unknown articles are refused; the last
+    vote of an article counts, each one is an event, and any marks the article read. Labels come from the article.
+    """
+    n = r.feed_articles.count() + 20
+    key = F.col("event_id")
+    given = F.element_at(F.array(F.lit("show_less"), F.lit(None), F.lit("maybe"), F.lit("show_more"), F.lit("show_more")), (key % 5 + 1).cast("int"))
+    batch = r.events.where(key % 3 == 0).select(key.alias("n"), (key % n).alias("article_id"), given.alias("vote"))
+    return status.recorded_votes(r.feed_articles.select(F.col("id").alias("article_id"), "primary_topic", "is_read"), r.article_votes.select("article_id", "vote"), batch)
+
+
+@query("U05", """
 WITH o AS (SELECT article_id, vote, CASE WHEN article_id % 2 = 0 THEN 'kept' END AS topic FROM article_votes WHERE article_id % 3 < 2), n AS (SELECT article_id, 'show_less' AS vote, CASE WHEN article_id % 4 = 0 THEN 'new' END AS topic FROM article_votes WHERE article_id % 3 > 0)
 SELECT article_id, coalesce(n.vote, o.vote) AS vote, coalesce(n.topic, o.topic) AS topic FROM o FULL JOIN n USING (article_id)""")
 def vote_upsert(r: Reader) -> DataFrame:
@@ -48,13 +70,25 @@ def vote_upsert(r: Reader) -> DataFrame:
     return rel.upsert(old, new, ["article_id"], {c: F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")) for c in ("vote", "topic")})
 
 
-@query("U06 U13 T11 T12", """
+@query("U06 U13 T12", """
 SELECT user_id, article_id, arg_max(event_type, (created_at, id)) AS state, max(created_at) AS changed FROM user_article_events GROUP BY 1, 2""")
 def last_state(r: Reader) -> DataFrame:
     last = rel.last_write(r.user_article_events, ["user_id", "article_id"], [F.col("created_at"), F.col("id")], ["event_type", "created_at"])
     return last.select("user_id", "article_id", F.col("event_type").alias("state"), F.col("created_at").alias("changed"))
 
 
+@query("T11", """
+WITH o AS (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS place, id % 97 = 96 AS fails FROM user_article_events WHERE event_type IN ('open', 'read_complete')),
+f AS (SELECT user_id, min(place) AS stop FROM o WHERE fails GROUP BY 1)
+SELECT id, user_id, place < coalesce(stop, place + 1) AS sent FROM o LEFT JOIN f USING (user_id)""")
+def offline_flush(r: Reader) -> DataFrame:
+    """Each reader's waiting actions in order: those before the first that fails are sent, it and all after it stay."""
+    waiting = r.user_article_events.where(F.col("event_type").isin("open", "read_complete")).select("id", "user_id", "created_at", (F.col("id") % 97 == 96).alias("fails"))
+    order = lambda: F.struct("created_at", "id")
+    stops = waiting.where("fails").groupBy("user_id").agg(F.min(order()).alias("stop"))
+    return waiting.join(stops, "user_id", "left").select("id", "user_id", (F.col("stop").isNull() | (order() < F.col("stop"))).alias("sent"))
+
+
 @query("U07", """
 SELECT 'article' AS kind, id FROM feed_articles WHERE source_id NOT IN (3, 5) UNION ALL SELECT 'event', id FROM user_article_events""")
 def delete_cascade(r: Reader) -> DataFrame:
@@ -116,12 +150,23 @@ def delta_sync(r: Reader) -> DataFrame:
 
 
 @query("T06", """
-SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, id DESC) AS place FROM feed_articles WHERE parse_status = 'pending'""")
+WITH q AS (SELECT id, source_id, created_at, id % 4 <> 0 AS done, length(content) / 100.0 AS cost, row_number() OVER w AS place, coalesce(sum(length(content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100.0 AS spent
+ FROM feed_articles WHERE parse_status = 'pending' WINDOW w AS (PARTITION BY source_id ORDER BY created_at DESC, id DESC)),
+t AS (SELECT *, max(CASE WHEN done THEN place ELSE 0 END) OVER (PARTITION BY source_id ORDER BY place) AS last_done FROM q),
+s AS (SELECT source_id, min(place) AS stop FROM t WHERE place - last_done >= 3 GROUP BY 1)
+SELECT id, source_id, place, CASE WHEN place > coalesce(stop, place) OR spent > 1200 THEN 'queued' WHEN done THEN 'done' ELSE 'failed' END AS outcome FROM t LEFT JOIN s USING (source_id)""")
 def deferred_queue(r: Reader) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("created_at"), F.desc("id")))
-    return r.feed_articles.where("parse_status = 'pending'").select("id", "source_id", place.alias("place"))
+    """A pass over each source's queue: it ends when its time is spent, or after three failures in a row; what it doesn't reach
+    stays queued. Text length stands for an article's time, and every fourth article fails."""
+    waiting = r.feed_articles.where("parse_status = 'pending'").select("id", "source_id", "created_at", (F.col("id") % 4 != 0).alias("done"), F.length("content").cast("long").alias("size"))
+    queue = settled(rel.numbered(waiting, ["source_id"], [F.desc("created_at"), F.desc("id")], "place", sums={"spent": "size"}), "queue")
+    # three failures in a row: a failure at this place and the two before it
+    bad = queue.where("not done").select("source_id", F.explode(F.array(*[F.col("place") + k for k in range(3)])).alias("stop"))
+    stops = bad.groupBy("source_id", "stop").agg(F.count("*").alias("n")).where("n = 3")
+    stops = stops.join(queue.where("not done").select("source_id", F.col("place").alias("stop")), ["source_id", "stop"]).groupBy("source_id").agg(F.min("stop").alias("stop"))
+    late_ = (F.col("place") > F.coalesce("stop", "place")) | (F.col("spent") / 100 > 1200)
+    outcome = F.when(late_, "queued").when(F.col("done"), "done").otherwise("failed")
+    return queue.join(stops, "source_id", "left").select("id", "source_id", "place", outcome.alias("outcome"))
 
 
 @query("T07", """
@@ -158,7 +203,10 @@ def event_windows(r: Reader) -> DataFrame:
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "event_type", "n")
 
 
-@query("T13")
+@query("T13", """
+WITH s AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY user_id, article_id ORDER BY created_at, id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM user_article_events WHERE event_type = 'impression'),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, article_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS n FROM s)
+SELECT min(id) AS id, user_id, article_id FROM g GROUP BY user_id, article_id, n""")
 def impression_dedupe(r: Reader) -> DataFrame:
     shown = r.user_article_events.where("event_type = 'impression'")
     first = shown.groupBy("user_id", "article_id", F.session_window(F.col("created_at").cast("timestamp"), "30 minutes")).agg(F.min("id").alias("id"))

@@ -1,4 +1,4 @@
-"""Pages into articles, links and batches: rows that SQL can't check; tests hold them against literals."""
+"""Pages and feeds, read and written. Rows that SQL can't check are held against literals by tests."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from feedlens.functions import markup, text, urls
 from feedlens.operators import html, localize
 from feedlens.operators import relational as rel
 from feedlens.plans.registry import query
+from feedlens.sources import sinks
 from feedlens.sources.tables import Reader
 
 
@@ -18,12 +19,12 @@ def extract_articles(r: Reader) -> DataFrame:
     return html.extract_articles(r.pages)
 
 
-@query("F10 J11 T09")
+@query("F10")
 def snippets(r: Reader) -> DataFrame:
     return html.extract_articles(r.pages).select("page_id", "snippet", "featured")
 
 
-@query("D15 S06 A19 F33")
+@query("D15 A19 F33")
 def link_discovery(r: Reader) -> DataFrame:
     found = html.discover_links(r.pages).where(urls.is_article_link(F.col("link")))
     found = rel.top_per_group(found, ["page_id", "link"], [F.desc(F.length("title")), F.col("place")])
@@ -49,14 +50,17 @@ def text_blocks(r: Reader) -> DataFrame:
     return r.pages.select("page_id", F.posexplode(of("html")).alias("idx", "b")).select("page_id", "idx", "b.tag", "b.text")
 
 
-@query("D19")
+@query("D19", """
+WITH b AS (SELECT id, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '') AS o FROM feed_articles)
+SELECT id, CAST(len(o) AS INTEGER) AS n, array_to_string(list_transform(o, lambda x: x || chr(10) || translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')), chr(10)) AS both FROM b""")
 def bilingual_blocks(r: Reader) -> DataFrame:
     blocks = r.feed_articles.select("id", F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "").alias("orig"))
-    both = F.zip_with("orig", F.transform("orig", F.upper), lambda a, b: F.concat(a, F.lit("\n"), b))
+    both = F.zip_with("orig", F.transform("orig", lambda x: F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), lambda a, b: F.concat(a, F.lit("\n"), b))
     return blocks.select("id", F.size("orig").alias("n"), F.array_join(both, "\n").alias("both"))
 
 
-@query("D17")
+@query("D17", r"""
+SELECT page_id, regexp_replace(html, '(<img[^>]+src=["''])(https?://[^"'']+)', '\1/cache?u=\2', 'g') AS html FROM pages""")
 def rewritten_sources(r: Reader) -> DataFrame:
     return r.pages.select("page_id", F.regexp_replace("html", r"""(<img[^>]+src=["'])(https?://[^"']+)""", "$1/cache?u=$2").alias("html"))
 
@@ -68,9 +72,9 @@ def glossary_localize(r: Reader) -> DataFrame:
 
 @query("J13")
 def fuzzy_url_match(r: Reader) -> DataFrame:
-    rows = r.pages.select(F.substring_index(urls.path(F.col("url")), "/", 2).alias("site"), "page_id", "url")
-    rows = rel.top_per_group(rows, ["site"], [F.col("page_id")], 60)  # the newest of a site's page, as the reader shows it
-    return localize.fuzzy_urls(rows.where("page_id % 2 = 0").select("site", "url"), rows.where("page_id % 2 = 1").select("site", "url"), "site")
+    """Of the links of each page every second one is looked for among the others of the page."""
+    links = r.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""href=["']([^"']+)"""), F.lit(1))).alias("at", "url"))
+    return localize.fuzzy_urls(links.where("at % 2 = 0").select("page_id", "url"), links.where("at % 2 = 1").select("page_id", "url"), "page_id")
 
 
 @query("P20")
@@ -82,33 +86,83 @@ def public_hosts(r: Reader) -> DataFrame:
     return r.pages.select("page_id", of("url").alias("public"))
 
 
-@query("S03 S04 S05")
+@query("S03 S04")
 def feed_scan(r: Reader) -> DataFrame:
+    """Every article, out of feed documents of up to 50 items."""
     item = F.concat(F.lit("<item><title>"), F.col("id").cast("string"), F.lit("</title><link>"), "url", F.lit("</link></item>"))
-    texts = rel.top_per_group(r.feed_articles.select("id", "source_id", "url"), ["source_id"], [F.desc("id")], 20).groupBy("source_id").agg(
+    document = F.xxhash64("source_id", F.floor(F.col("id") / 50))
+    texts = r.feed_articles.groupBy(document.alias("feed")).agg(
         F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("text")
     )
-    return html.scan_feeds(texts, "source_id", "text")
+    return html.scan_feeds(texts, "feed", "text")
 
 
-@query("S09")
-def rss_sink(r: Reader) -> DataFrame:
-    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), F.lit(f"</{n}>"))
-    top = rel.top_per_group(r.feed_articles, ["source_id"], [F.desc("created_at"), F.desc("id")], 50)
-    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("url")), tag("pubDate", F.date_format("created_at", "EEE, dd MMM yyyy HH:mm:ss")), F.lit("</item>"))
-    rows = top.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(-F.unix_seconds(F.col("created_at").cast("timestamp")), -F.col("id"), item.alias("x")))).alias("items"))
-    return rows.select("source_id", F.concat(F.lit('<rss version="2.0"><channel>'), F.array_join(F.transform("items", lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+@query("S05", """
+SELECT id AS source_id, CASE id % 4 WHEN 0 THEN 'https://site' || id || '.example/' WHEN 1 THEN 'https://' || name || '.example/home' WHEN 2 THEN 'https://atom' || id || '.example' END AS site_url FROM feed_sources""")
+def channel_links(r: Reader) -> DataFrame:
+    """The site that a feed belongs to: the channel's own link, not the one to itself, made absolute."""
+    key, n = F.col("id").cast("string"), F.col("id") % 4
+    own = F.concat(F.lit('<atom:link rel="self" href="'), "url", F.lit('"/>'))
+    rss = lambda link: F.concat(F.lit("<rss><channel>"), own, F.lit("<title>t</title>"), link, F.lit("<item><link>https://else.example/1</link></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed><link rel="self" href="'), "url", F.lit('"/><link rel="alternate" href="https://atom'), key, F.lit('.example"/><entry><link href="https://else.example/1"/></entry></feed>'))
+    text = F.when(n == 0, rss(F.concat(F.lit("<link>https://site"), key, F.lit(".example/</link>")))).when(n == 1, rss(F.lit("<link> /home </link>"))).when(n == 2, atom).otherwise(rss(F.lit("")))
+    feeds = r.feed_sources.select(F.col("id").alias("source_id"), F.col("url").alias("base"), text.alias("text"))
+    return feeds.select("source_id", markup.channel_link(F.col("text"), F.col("base")).alias("site_url"))
 
 
-@query("S10")
-def opml_sink(r: Reader) -> DataFrame:
-    names = r.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    line = F.concat(F.lit('<outline text="'), "name", F.lit('" xmlUrl="'), "url", F.lit('"/>'))
-    found = r.feed_sources.join(names, "category_id", "left").groupBy(F.coalesce("category", F.lit("Uncategorized")).alias("category"))
-    return found.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("outlines"))
+XML_SQL = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("S09", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, id DESC) AS n FROM feed_articles),
+i AS (SELECT source_id, n, '<item><title>' || {XML_SQL.format("coalesce(nullif(title, ''), 'Untitled')")} || '</title><link>' || {XML_SQL.format('url')} || '</link><guid>' || {XML_SQL.format('url')} || '</guid><pubDate>'
+ || strftime(created_at, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><content:encoded>' || {XML_SQL.format('content')} || '</content:encoded>'
+ || CASE id % 3 WHEN 0 THEN '<enclosure url="' || url || '/a.png?x=1&amp;y=&quot;2&quot;" type="image/png" length="0"/>' WHEN 1 THEN '<enclosure url="' || url || '/b" type="image/jpeg" length="0"/>' ELSE '' END || '</item>' AS x FROM t WHERE n <= 50)
+SELECT s.id AS source_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" version="2.0"><channel><title>' || {XML_SQL.format('s.name')} || '</title><link>' || {XML_SQL.format('s.url')}
+ || '</link><description>RSS feed for ' || {XML_SQL.format('s.name')} || '</description>' || coalesce(string_agg(x, '' ORDER BY n), '') || '</channel></rss>' AS xml
+FROM feed_sources s LEFT JOIN i ON i.source_id = s.id GROUP BY s.id, s.name, s.url""")
+def rss_sink(r: Reader) -> DataFrame:
+    """An RSS document for each source, of its newest 50 articles; sinks.write_documents puts such rows into files."""
+    image = F.when(F.col("id") % 3 == 0, F.concat("url", F.lit('/a.png?x=1&y="2"'))).when(F.col("id") % 3 == 1, F.concat("url", F.lit("/b")))
+    return sinks.rss_documents(r.feed_sources, r.feed_articles.withColumn("main_image", image), 50)
 
 
-@query("X08")
+@query("S10", f"""
+WITH f AS (SELECT coalesce(c.name, 'Uncategorized') AS category, s.* FROM feed_sources s LEFT JOIN categories c ON c.id = s.category_id WHERE enabled = 1)
+SELECT '' AS category, 0 AS part, 0 AS source_id, '<?xml version="1.0" encoding="utf-8"?><opml version="2.0"><head><title>Feeds</title></head><body>' AS line
+UNION ALL SELECT DISTINCT category, 1, 0, '<outline text="' || {XML_SQL.format('category')} || '" title="' || {XML_SQL.format('category')} || '">' FROM f
+UNION ALL SELECT category, 2, id, '<outline type="rss" text="' || {XML_SQL.format('name')} || '" title="' || {XML_SQL.format('name')} || '" xmlUrl="https://reader.example/feed/' || id || '/rss" htmlUrl="' || {XML_SQL.format('url')} || '"/>' FROM f
+UNION ALL SELECT DISTINCT category, 3, 0, '</outline>' FROM f UNION ALL SELECT '', 4, 0, '</body></opml>'""")
+def opml_sink(r: Reader) -> DataFrame:
+    """The lines of the outline document, in the order of sinks.OPML_ORDER, which sinks.write_lines keeps."""
+    return sinks.opml_lines(r.feed_sources, r.categories, "https://reader.example")
+
+
+@query("J11 T09", r"""
+SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN 'kept ' || id END, trim(substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 160))) AS snippet, id % 3 = 0 AS filled FROM feed_articles""".replace("\\\\", "\\"))
+def snippet_fallback(r: Reader) -> DataFrame:
+    """Snippets as stored; contents are read for those rows alone that have none yet."""
+    stored = r.feed_articles.select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("kept "), F.col("id").cast("string"))).alias("snippet"))
+    missing = stored.where("snippet is null").select("id")
+    made = r.feed_articles.select("id", "content").join(missing, "id", "left_semi")
+    made = made.select("id", F.trim(F.substring(F.regexp_replace("content", r"\s+", " "), 1, 160)).alias("made"))
+    return stored.join(made, "id", "left").select("id", F.coalesce("snippet", "made").alias("snippet"), F.col("made").isNotNull().alias("filled"))
+
+
+@query("J12", r"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT path, arg_min(url || '?token=new' || page_id, page_id) AS fresh FROM p WHERE page_id % 3 < 2 AND path <> '' GROUP BY 1)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce(fresh, url || '?token=old') ELSE url END AS src, page_id % 2 = 0 AND fresh IS NOT NULL AS swapped FROM p LEFT JOIN f USING (path)""")
+def fresh_signed_images(r: Reader) -> DataFrame:
+    """Stored images whose URL is signed take the fresh URL with the same path, the first that has it; others stay."""
+    rows = r.pages.select("page_id", "url", urls.path(F.col("url")).alias("path"))
+    fresh = rows.where("page_id % 3 < 2 and path <> ''").groupBy("path").agg(F.min_by(F.concat("url", F.lit("?token=new"), F.col("page_id").cast("string")), "page_id").alias("fresh"))
+    stored = rows.select("page_id", "path", F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("?token=old"))).otherwise(F.col("url")).alias("src"))
+    swap = urls.is_signed(F.col("src")) & F.col("fresh").isNotNull()
+    return stored.join(fresh, "path", "left").select("page_id", F.when(swap, F.col("fresh")).otherwise(F.col("src")).alias("src"), swap.alias("swapped"))
+
+
+@query("X08", "SELECT l_orderkey, l_orderkey % 5 <> 0 OR NOT list_contains(list(l_linenumber), 1) AS accepted FROM lineitem GROUP BY 1")
 def marker_reassembly(r: Reader) -> DataFrame:
     """Batches come back with markers; one whose markers aren't exactly those sent is refused."""
     sent = r.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("sent"))
@@ -117,7 +171,7 @@ def marker_reassembly(r: Reader) -> DataFrame:
     return back.select("l_orderkey", (ids == F.col("sent")).alias("accepted"))
 
 
-@query("S07 X03")
+@query("S07", "SELECT page_id, CAST(page_id AS VARCHAR) AS title, 'a' || chr(10) || 'b' AS content FROM pages")
 def embedded_json(r: Reader) -> DataFrame:
     page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"title":"'), F.col("page_id").cast("string"), F.lit('","blocks":[{"t":"a"},{"t":"b"}]}</script>'), "html")
     raw = F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
@@ -160,7 +214,10 @@ def restored_attributes(r: Reader) -> DataFrame:
 
 
 @query("F49", r"""
-SELECT id, trim(regexp_replace('Translated by Qwen: ' || title, '(?i)🌐?\s*Translated by\s+[a-zA-Z0-9\s()_,.-]*[:—–\s-]*', '', 'g')) AS title, regexp_replace('TOP > News > ' || title, '^(?:[^>＞›»。.!?！？\n]{1,24}\s*[>＞›»]\s*){2,}', '') AS plain FROM feed_articles""")
+WITH t AS (SELECT id, 'Translated by Qwen: ' || title AS a, 'TOP > News > ' || title AS b FROM feed_articles), p AS (SELECT id, a, b, string_split_regex(b, '[>＞›»]') AS parts FROM t),
+k AS (SELECT *, coalesce(list_min(list_filter(range(1, len(parts)), lambda i: NOT (length(trim(parts[i])) BETWEEN 1 AND 24 AND NOT regexp_matches(parts[i], '[。.!?！？\n]')))), len(parts)) - 1 AS steps FROM p)
+SELECT id, trim(ltrim(ltrim(substr(a, 15), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789()_,.- ' || chr(9) || chr(10) || chr(13)), ':—–- ' || chr(9) || chr(10) || chr(13))) AS title,
+ CASE WHEN steps < 2 THEN b ELSE ltrim(substr(b, CAST(list_sum(list_transform(parts[1:steps], lambda x: length(x) + 1)) AS BIGINT) + 1)) END AS plain FROM k""")
 def display_texts(r: Reader) -> DataFrame:
     title = F.col("title")
     return r.feed_articles.select("id", text.clean_translation_tag(F.concat(F.lit("Translated by Qwen: "), title)).alias("title"), text.strip_breadcrumb(F.concat(F.lit("TOP > News > "), title)).alias("plain"))

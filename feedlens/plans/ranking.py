@@ -115,19 +115,27 @@ def ranking_scores(r: Reader) -> DataFrame:
     return the_scores(r).select("id", F.round("score", 6).alias("score")).join(rows, "id")
 
 
-@query("K13 P32", """
+@query("K13", """
 SELECT id, CASE WHEN primary_topic IN ('Travel', 'Gaming', 'Science', 'Politics') THEN primary_topic ELSE 'unknown' END AS topic, CASE WHEN article_type IN ('News', 'Review') THEN article_type ELSE 'unknown' END AS kind FROM feed_articles""")
 def closed_vocabulary(r: Reader) -> DataFrame:
     keep = lambda c, names: F.when(F.col(c).isin(*names), F.col(c)).otherwise("unknown")
     return r.feed_articles.select("id", keep("primary_topic", ("Travel", "Gaming", "Science", "Politics")).alias("topic"), keep("article_type", ("News", "Review")).alias("kind"))
 
 
-@query("K14", "SELECT id, floor((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) / 8)::BIGINT AS batch FROM feed_articles")
+@query("K14", """
+WITH b AS (SELECT id, source_id, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 8 AS batch, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) % 8 AS place FROM feed_articles),
+a AS (SELECT *, count(*) OVER (PARTITION BY source_id, batch) AS n FROM b), x AS (SELECT *, CASE WHEN n <= 5 THEN 0 WHEN place < greatest(1, n // 2) THEN 1 WHEN place - greatest(1, n // 2) < greatest(1, (n - greatest(1, n // 2)) // 4) THEN 2 END AS attempt FROM a)
+SELECT id, source_id, CAST(batch AS BIGINT) AS batch, CAST(attempt AS BIGINT) AS attempt FROM x""")
 def tagging_batches(r: Reader) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy("id"))
-    return r.feed_articles.select("id", F.floor((n - 1) / 8).alias("batch"))
+    """Batches of eight, and the attempt that tags each article where a request of more than five comes back empty: the whole batch
+    first, then half of what is left, then a quarter of the rest; null where none of the three does."""
+    rows = rel.numbered(r.feed_articles.select("id", "source_id"), ["source_id"], [F.col("id")], "i")
+    rows = rows.select("id", "source_id", F.floor((F.col("i") - 1) / 8).alias("batch"), ((F.col("i") - 1) % 8).alias("place"))
+    sizes = rows.groupBy("source_id", "batch").agg(F.count("*").alias("n"))
+    second = F.greatest(F.lit(1), F.expr("n div 2"))
+    third = F.greatest(F.lit(1), F.floor((F.col("n") - second) / 4))
+    attempt = F.when(F.col("n") <= 5, 0).when(F.col("place") < second, 1).when(F.col("place") - second < third, 2).cast("long")
+    return rows.join(sizes, ["source_id", "batch"]).select("id", "source_id", "batch", attempt.alias("attempt"))
 
 
 @query("F59", """
@@ -143,58 +151,65 @@ def saturation_curve(r: Reader) -> DataFrame:
     return r.orders.select(key.alias("id"), F.round(numbers.saturate(key % 40 - 20, 4.0, 17.0), 6).alias("explicit"), F.round(numbers.decay((key % 400).cast("double")), 6).alias("decay"))
 
 
-def page_of(r: Reader, most: int = 200) -> tuple[DataFrame, dict]:
-    """Candidates by category (uncategorised: 0), the best rows of each, and the weights as dictionaries (a row a label)."""
+def page_of(r: Reader, most: int = 200) -> DataFrame:
+    """Candidates by category (uncategorised: 0): the best rows of each, with the votes that their topics have."""
     sources = r.feed_sources.select(F.col("id").alias("source_id"), F.coalesce("category_id", F.lit(0)).alias("page"))
     known = settled(the_weights(r), "weights")
     rows = rel.top_per_group(the_scores(r, known).join(sources, "source_id"), ["page"], [F.desc("score"), F.col("id")], most)
-    found: dict[str, dict[str, float]] = {}
-    closed = known.where("axis <> 'secondary'").orderBy(F.desc(F.abs("effective")), "label").limit(1000)
-    for row in closed.collect():
-        found.setdefault(row["axis"], {})[row["label"]] = row["effective"] * (scoring.REGION_FACTOR if row["axis"] == "region" else 1.0)
-    return rows, found
+    votes = rel.small(known.where("axis = 'topic'").select(F.col("label").alias("primary_topic"), F.col("votes").alias("topic_votes")))
+    return rows.join(votes, "primary_topic", "left")
 
 
-@query("K05 K06 W09")
+@query("K05 K06")
 def calibrated_rerank(r: Reader) -> DataFrame:
-    rows, w = page_of(r)
-    return rerank.rerank_pages(rows, w)
+    return rerank.rerank_pages(page_of(r))
 
 
 @query("K07")
 def exploration_slots(r: Reader) -> DataFrame:
-    rows, w = page_of(r)
-    return rerank.rerank_pages(rows, w, every=10)
+    return rerank.rerank_pages(page_of(r), every=10)
 
 
 @query("K12 W05")
 def feature_cards(r: Reader) -> DataFrame:
     from pyspark.sql import Window
 
-    rows, _ = page_of(r)
+    rows = page_of(r)
     by = Window.partitionBy("page")
     placed = rows.select("page", "id", "score", F.row_number().over(by.orderBy(F.desc("score"), "id")).alias("place"), F.count("*").over(by).alias("n"))
     wanted = placed.select("page", "id", "place", (F.col("id") % 3 == 0).alias("wanted"))
     return rerank.spaced(wanted, "page", "place", "wanted", 4)
 
 
-@query("W07")
+@query("W07", """
+WITH RECURSIVE b AS (SELECT l_orderkey AS doc, l_linenumber AS idx, CAST(sum(l_quantity) * 40 AS BIGINT) AS size FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx, size) AS n FROM b),
+p AS (SELECT doc, idx, n, 0 AS batch, size AS used FROM o WHERE n = 1 UNION ALL
+ SELECT o.doc, o.idx, o.n, CASE WHEN p.used > 0 AND p.used + o.size > 2400 THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.used > 0 AND p.used + o.size > 2400 THEN o.size ELSE p.used + o.size END FROM p JOIN o ON o.doc = p.doc AND o.n = p.n + 1)
+SELECT doc, CAST(idx AS BIGINT) AS idx, batch FROM p""")
 def char_budget_batches(r: Reader) -> DataFrame:
     blocks = r.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx")).agg((F.sum("l_quantity") * 40).alias("size"))
     return rerank.packed(blocks, "doc", "idx", "size", 2400)
 
 
-@query("O05")
+@query("O05", "SELECT id, md5('seed-1-' || id) AS key FROM feed_articles ORDER BY key, id LIMIT 100")
 def seeded_random_page(r: Reader) -> DataFrame:
-    return r.feed_articles.select("id", F.xxhash64("id", F.lit("seed-1")).alias("key")).orderBy("key", "id").limit(100)
+    key = F.md5(F.concat(F.lit("seed-1-"), F.col("id").cast("string")))
+    return r.feed_articles.select("id", key.alias("key")).orderBy("key", "id").limit(100)
 
 
-@query("O10")
-def budget_eviction(r: Reader) -> DataFrame:
-    from pyspark.sql import Window
+@query("W09", """
+SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY md5('visit-1-' || id), id) AS place FROM feed_articles WHERE is_read = 0""")
+def seeded_shuffle(r: Reader) -> DataFrame:
+    """Unread articles of each source in an order that a visit's seed fixes, so that pages of it fit together."""
+    unread = r.feed_articles.where("is_read = 0").select("id", "source_id", F.md5(F.concat(F.lit("visit-1-"), F.col("id").cast("string"))).alias("key"))
+    return rel.numbered(unread, ["source_id"], [F.col("key"), F.col("id")], "place").drop("key")
+
 
-    order = Window.partitionBy("source_id").orderBy("is_saved", F.desc("is_read"), "created_at", "id")
-    run = F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum(F.length("content")).over(Window.partitionBy("source_id"))
-    kept = r.feed_articles.select("id", "source_id", F.coalesce(run, F.lit(0)).alias("run"), total.alias("total"))
-    return kept.where("total - run > 100000").select("id", "source_id")
+@query("O10", """
+SELECT id, source_id FROM (SELECT id, source_id, coalesce(sum(length(content)) OVER (PARTITION BY source_id ORDER BY is_saved, is_read DESC, created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run,
+ sum(length(content)) OVER (PARTITION BY source_id) AS total FROM feed_articles) WHERE total - run > 100000""")
+def budget_eviction(r: Reader) -> DataFrame:
+    rows = r.feed_articles.select("id", "source_id", "is_saved", "is_read", "created_at", F.length("content").cast("long").alias("size"))
+    order = [F.col("is_saved"), F.desc("is_read"), F.col("created_at"), F.col("id")]
+    return rel.numbered(rows, ["source_id"], order, "n", sums={"run": "size"}).where("run_all - run > 100000").select("id", "source_id")

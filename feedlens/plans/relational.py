@@ -92,7 +92,7 @@ def badge_patterns(r: Reader) -> DataFrame:
     return r.feed_articles.select("id", (badge.ilike("%deepl%") | badge.ilike("%google%")).alias("other_provider"), (~badge.ilike("%translated by%")).alias("unbadged"))
 
 
-@query("P12 P28", """
+@query("P12", """
 SELECT id, strpos(coalesce(content, ''), 'the') > 0 AS has_ref, strpos(substr(content, 1, 400), 'the') = 0 AND is_read = 0 AS needs FROM feed_articles""")
 def content_references(r: Reader) -> DataFrame:
     content = F.col("content")
@@ -101,6 +101,18 @@ def content_references(r: Reader) -> DataFrame:
     )
 
 
+@query("P28", """
+WITH a AS (SELECT id, CASE WHEN id % 13 = 0 THEN '   ' ELSE coalesce(badge, '') || content END AS content, CASE WHEN id % 9 = 0 THEN '[queued] ' ELSE '' END || title AS title, id % 5 = 0 AS pending FROM feed_articles)
+SELECT id, trim(content) <> '' AND NOT contains(substr(content, 1, 400), 'Translated by') AND (pending OR contains(title, '[queued]') OR contains(content, '[queued]')) AS needed FROM a""")
+def needs_translation(r: Reader) -> DataFrame:
+    """Articles for the translation queue: with a text that isn't translated yet, and pending or marked as queued."""
+    key, content = F.col("id"), F.when(F.col("id") % 13 == 0, "   ").otherwise(F.concat(F.coalesce("badge", F.lit("")), "content"))
+    rows = r.feed_articles.select("id", content.alias("content"), F.concat(F.when(key % 9 == 0, "[queued] ").otherwise(""), "title").alias("title"), (key % 5 == 0).alias("pending"))
+    marked = F.col("pending") | F.contains("title", F.lit("[queued]")) | F.contains("content", F.lit("[queued]"))
+    done = F.contains(F.substring("content", 1, 400), F.lit("Translated by"))
+    return rows.select("id", ((F.trim("content") != "") & ~done & marked).alias("needed"))
+
+
 @query("P13 P24", """
 SELECT id, retry_count + 1 AS retry_count, CASE WHEN retry_count + 1 >= 10 THEN 'failed' ELSE 'pending' END AS next_status
 FROM feed_articles WHERE parse_status = 'pending' AND retry_count > 0 AND retry_count < 11""")
@@ -242,12 +254,32 @@ def focal_lookup(r: Reader) -> DataFrame:
 
 
 @query("J14 A23 D16", r"""
-WITH p AS (SELECT page_id, regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/([^/]*)', 1) AS seg, page_id % 3 = 0 AS excluded FROM pages)
-SELECT seg, count(*) AS n FROM p WHERE excluded AND seg <> '' AND seg NOT IN (SELECT seg FROM p WHERE NOT excluded AND page_id % 3 = 1) GROUP BY seg""")
+WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, page_id % 3 AS k FROM pages),
+s AS (SELECT page_id, '/' || unnest(list_filter(string_split(path, '/'), lambda x: x <> '')) || '/' AS value FROM p WHERE k = 0),
+f AS (SELECT page_id, '/' || regexp_extract(path, '^/+([^/]+)', 1) || '/' AS value FROM p WHERE k = 0 AND regexp_extract(path, '^/+([^/]+)', 1) <> ''),
+pre AS (SELECT value, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE k = 1 AND starts_with(path, f.value)) GROUP BY 1),
+rest AS (SELECT page_id FROM p WHERE k = 0 AND NOT EXISTS (SELECT 1 FROM pre WHERE starts_with(p.path, pre.value))),
+seg AS (SELECT value, count(*) AS n FROM s JOIN rest USING (page_id) WHERE NOT EXISTS (SELECT 1 FROM p WHERE k = 1 AND contains(path, s.value)) GROUP BY 1)
+SELECT 'path_prefix' AS kind, value, n FROM pre UNION ALL SELECT 'path_contains', value, n FROM seg""")
 def derived_exclusions(r: Reader) -> DataFrame:
-    paths = r.pages.select("page_id", urls.first_segment(F.col("url")).alias("seg"))
-    kept = paths.where("page_id % 3 = 1").select("seg").distinct()
-    return rel.without(paths.where("page_id % 3 = 0 AND seg <> ''"), kept, ["seg"]).groupBy("seg").agg(F.count("*").alias("n"))
+    """Patterns that excluded URLs (numbers 0 modulo 3) have and no included one (1 modulo 3): first segments, then inner ones.
+
+    A path matches a pattern by the segments it ends with a slash, so both tests are joins on segments.
+    """
+    parts = F.filter(F.split(urls.path(F.col("url")), "/"), lambda x: x != "")
+    paths = r.pages.select("page_id", urls.path(F.col("url")).alias("path"), parts.alias("parts"))
+    slashed = lambda c: F.concat(F.lit("/"), c, F.lit("/"))
+    # what included paths begin with or hold: a segment with a slash on both sides
+    closed = F.filter("parts", lambda x: F.contains(F.col("path"), slashed(x)))
+    held = paths.where("page_id % 3 = 1").select(F.explode(closed).alias("x")).select(slashed(F.col("x")).alias("value")).distinct()
+    led = paths.where("page_id % 3 = 1 and size(parts) > 0").select(slashed(F.col("parts")[0]).alias("value"), "path").where("startswith(path, value)").select("value").distinct()
+    out = paths.where("page_id % 3 = 0")
+    first = out.where("size(parts) > 0").select("page_id", "path", slashed(F.col("parts")[0]).alias("value"))
+    prefixes = rel.without(first, led, ["value"])
+    done = prefixes.where("startswith(path, value)").select("page_id")
+    inner = rel.without(out, done, ["page_id"]).select("page_id", F.explode("parts").alias("x")).select("page_id", slashed(F.col("x")).alias("value"))
+    counted = lambda rows, kind: rows.groupBy("value").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    return counted(prefixes, "path_prefix").unionByName(counted(rel.without(inner, held, ["value"]), "path_contains"))
 
 
 @query("J15", r"""
@@ -286,9 +318,7 @@ def tag_agreement(r: Reader) -> DataFrame:
 SELECT id, source_id, lag(id, 1) OVER w AS before1, lag(id, 2) OVER w AS before2, lag(id, 3) OVER w AS before3, lead(id, 1) OVER w AS after1, lead(id, 2) OVER w AS after2, lead(id, 3) OVER w AS after3
 FROM feed_articles WINDOW w AS (PARTITION BY source_id ORDER BY created_at DESC, id DESC)""")
 def adjacent_rows(r: Reader) -> DataFrame:
-    w = Window.partitionBy("source_id").orderBy(F.desc("created_at"), F.desc("id"))
-    near = [F.lag("id", k).over(w).alias(f"before{k}") for k in (1, 2, 3)] + [F.lead("id", k).over(w).alias(f"after{k}") for k in (1, 2, 3)]
-    return r.feed_articles.select("id", "source_id", *near)
+    return rel.neighbours(r.feed_articles.select("id", "source_id", "created_at"), ["source_id"], [F.desc("created_at"), F.desc("id")], "id", 3)
 
 
 @query("J21", """
@@ -339,9 +369,9 @@ def custom_category_order(r: Reader) -> DataFrame:
 @query("O09 T20", """
 SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY is_saved, is_read DESC, created_at, id) AS n, count(*) OVER (PARTITION BY source_id) AS c FROM feed_articles) WHERE n <= c - 20""")
 def eviction_order(r: Reader) -> DataFrame:
-    by = Window.partitionBy("source_id")
-    n = F.row_number().over(by.orderBy("is_saved", F.desc("is_read"), "created_at", "id"))
-    return r.feed_articles.select("id", n.alias("n"), F.count("*").over(by).alias("c")).where("n <= c - 20").select("id")
+    rows = r.feed_articles.select("id", "source_id", "is_saved", "is_read", "created_at")
+    order = [F.col("is_saved"), F.desc("is_read"), F.col("created_at"), F.col("id")]
+    return rel.numbered(rows, ["source_id"], order, "n", "c").where("n <= c - 20").select("id")
 
 
 @query("P29", r"""

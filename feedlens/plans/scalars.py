@@ -203,7 +203,7 @@ def boilerplate_images(r: Reader) -> DataFrame:
     return rows.select("page_id", "src", markup.is_boilerplate_image(F.col("src"), F.col("w"), F.col("h")).alias("boilerplate"))
 
 
-@query("D13 D14", """
+@query("", """
 SELECT page_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN '' ELSE url END, ''), 'none') AS url, CASE WHEN length(html) < 2000 AND length(html || url) > length(html) THEN 'rendered' ELSE 'plain' END AS kept FROM pages""")
 def override_and_retry(r: Reader) -> DataFrame:
     given = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("url"))
