@@ -451,8 +451,8 @@ def exact_repeats(texts: DataFrame, left: DataFrame, least_words: int) -> DataFr
     n = wanted.count()
     if not n:
         return None
-    if n <= SMALL:
-        wanted = F.broadcast(wanted)
+    if n <= SMALL:  # ids alone
+        texts = texts.join(F.broadcast(wanted.select(F.col("doc").alias("id"))), "id", "left_semi")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
