@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import cut, shared_dir
+from feedlens.llm.common import SMALL, lookup, qualified, shared_dir, stored
 
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -118,12 +118,22 @@ def read_frame(stream, at: int, packed: int, plain: int) -> bytes:
 
 
 def roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int = 0) -> DataFrame:
-    """(id, url, payload, digest, refers): refers is set for revisits, to the largest id of that payload."""
+    """(id, url, payload, digest, refers): refers is set for revisits, to the largest id of that payload.
+
+    Ids and digests alone are grouped. Payloads stay where they are while the digests that occur twice are few; else
+    they are joined by id and digest, so no frequent page gathers its copies in one task.
+    """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    largest = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("largest"))
+    named = rows.where(F.octet_length("payload") >= least_bytes).select("id", "digest")
+    twice = stored(named.groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    if twice.count() <= SMALL:
+        found = rows.join(F.broadcast(twice), "digest", "left")
+    else:
+        marks = lookup(stored(named.distinct()), twice, "digest").withColumnsRenamed({"id": "__id", "digest": "__digest"})
+        found = rows.join(marks, rows["id"].eqNullSafe(marks["__id"]) & (rows["digest"] == marks["__digest"]), "left")
     other = F.col("largest").isNotNull() & ~F.col("largest").eqNullSafe(F.col("id"))
-    return rows.join(largest, "digest", "left").select("id", "url", "payload", "digest", F.when(other, F.col("largest")).alias("refers"))
+    return found.select("id", "url", "payload", "digest", F.when(other, F.col("largest")).alias("refers"))
 
 
 def write_bundles(
@@ -138,8 +148,10 @@ def write_bundles(
     urn:x-page:<id>; repeated rows have equal ones, each with an index row. Other columns aren't read.
     """
 
+    folder = qualified(pages.sparkSession, folder)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
         n, written, writer, name = 0, 0, None, ""
@@ -163,11 +175,11 @@ def write_bundles(
 
     whole = lambda c: F.col(c).cast("decimal(20,0)").cast("string").alias(c)  # noqa: E731  longs with nulls pass pandas as text
     rows = roles(pages, id_col, url_col, html_col, least_bytes).select(whole("id"), "url", "payload", whole("refers"))
-    return cut(rows.mapInPandas(write, INDEX))
+    return stored(rows.mapInPandas(write, INDEX))
 
 
 def _open(folder: str, name: str):
-    fs, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    fs, base = pafs.FileSystem.from_uri(folder)
     return fs.open_input_file(f"{base}/{name}")
 
 
@@ -182,6 +194,7 @@ def _described(fields: dict[str, str], block: bytes) -> tuple:
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """Every record of every bundle of the index, frame by frame: RECORDS. intact: length and digest hold for the payload."""
+    folder = qualified(index.sparkSession, folder)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,12 +203,14 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                     for at, packed, plain in seek_table(stream):
                         yield pd.DataFrame([_described(*x) for x in parse_records(read_frame(stream, at, packed, plain))], columns=[x.split()[0] for x in RECORDS.split(", ")])
 
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(max(1, min(MOST_READERS, bundles.count())), "bundle").mapInPandas(read, RECORDS)
+    bundles = stored(index.select("bundle").distinct())
+    # by range, so that each of the readers has a bundle
+    return bundles.repartitionByRange(max(1, min(MOST_READERS, bundles.count())), "bundle").mapInPandas(read, RECORDS)
 
 
 def fetch(index: DataFrame, folder: str) -> DataFrame:
     """(record_id, data binary) of the index rows given, each by seeking to its frame alone."""
+    folder = qualified(index.sparkSession, folder)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
