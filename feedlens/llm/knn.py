@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import cut
+from feedlens.llm.common import stored
 
 SLACK = 1e-6
 
@@ -64,14 +64,15 @@ def tour(pivots: np.ndarray) -> list[int]:
 
 def top_k(
     data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector",
-    n_pivots: int = 64, group: int = 512, part: int = 2048,
+    n_pivots: int | None = None, group: int = 512, part: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, id, score): for each query the k rows of data with the largest inner product, all if fewer.
 
     Both tables have longs id and arrays of longs; a query's own id is no candidate, ties go to the smaller id, and the
-    shorter of two vectors counts as padded with zeros. Null ids and null vectors take no part. Rows with equal id and vector count
-    once; of queries with equal ids, the one with the largest vector counts. Components must be below 2^26 or so, so
-    that products stay within a long. Other columns aren't read. No queries or no data give no rows.
+    shorter of two vectors counts as padded with zeros. Null ids and null vectors take no part. Rows of data that share an id
+    count each, as often as they are there; of queries with equal ids, the one with the largest vector counts. Components must be below 2^26 or so, so
+    that products stay within a long. Other columns aren't read. No queries or no data give no rows. n_pivots: by default
+    one for 256 queries, from 64 to 1024.
     """
     keep = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     data, queries = keep(data), keep(queries).groupBy("id").agg(F.max("v").alias("v"))
@@ -83,6 +84,7 @@ def top_k(
     result = "query_id long, rank int, id long, score long"
     if seen["dim"] is None or not shape["n"]:
         return spark.createDataFrame([], result)
+    n_pivots = n_pivots or min(1024, max(64, shape["n"] // 256))
     chosen = data.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n_pivots).toPandas()  # the pivots: a bounded sample
     pivots = lifted(padded(chosen["v"], dim), top)
     apart = distances(pivots, pivots)
@@ -104,19 +106,17 @@ def top_k(
     near = data.mapInPandas(nearest, "cell int, far double, id long").groupBy("cell", "id").agg(F.min("far").alias("far"))
     near = near.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))).where(F.col("nth") <= k + 1)
     heads = near.select("cell", "far", "id").toPandas()  # pivots times k + 1 rows
-    at_cell = cut(queries.mapInPandas(placed, "cell int, far double, id long, q binary"))
+    at_cell = stored(queries.mapInPandas(placed, "cell int, far double, id long, q binary"))
     cells = at_cell.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toPandas().set_index("cell")
 
+    head_cell, head_far, head_id = heads["cell"].to_numpy(), heads["far"].to_numpy(), heads["id"].to_numpy()
     limit = {}
     for cell, far in cells["far"].items():
-        reach = sorted(zip(apart[cell, heads["cell"]] + heads["far"], heads["id"]))
-        ids, bound = set(), np.inf
-        for distance, row in reach:
-            ids.add(row)
-            if len(ids) == k + 1:
-                bound = distance
-                break
-        limit[cell] = far + bound  # no query of the cell has its k nearest beyond this
+        reach = apart[cell, head_cell] + head_far
+        order = np.argsort(reach, kind="stable")
+        ids = np.sort(np.unique(head_id[order], return_index=True)[1])  # where each id comes first
+        # no query of the cell has its k nearest, other than its own id, beyond this
+        limit[cell] = far + (float(reach[order[ids[k]]]) if len(ids) > k else np.inf)
     # Groups of neighbouring cells with about `group` queries; a cell with more is split into blocks.
     groups: list[list[int]] = []
     blocks_of: dict[int, tuple[int, int]] = {}
@@ -143,29 +143,52 @@ def top_k(
     at_group = at_cell.withColumn("grp", (first + F.pmod(F.xxhash64("id"), many.cast("long"))).cast("int"))
     packed = at_group.groupBy("grp").agg(F.collect_list(F.struct("id", "q")).alias("qs"))  # about `group` queries each
 
-    n_rows = data.count()
-    parts = max(1, -(-n_rows // part))
+    def needed_by(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, which rows) for the groups that need some of them: |q - x| >= |pivot - x| - |pivot - q|."""
+        d = distances(lifted(rows, top), pivots)
+        for g, own in enumerate(groups):
+            needed = np.zeros(len(rows), bool)
+            for cell in own:
+                needed |= d[:, cell] - cells["far"][cell] <= limit[cell] * (1 + SLACK) + SLACK
+            if needed.any():
+                yield g, needed
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(len(groups), np.int64)
+        for batch in batches:
+            for g, needed in needed_by(padded(batch["v"], dim)):
+                sums[g] += needed.sum()
+        some = np.flatnonzero(sums)
+        yield pd.DataFrame({"grp": some.astype(np.int32), "n": sums[some]})
+
+    # Each group's rows in as many parts as their number takes: a group that the bound spares most rows is copied to few.
+    sizes = data.mapInPandas(tally, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).collect()  # a row a group
+    parts = np.ones(len(groups), np.int64)
+    for row in sizes:
+        parts[row["grp"]] = -(-row["n"] // part)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = padded(batch["v"], dim)
-            d = distances(lifted(rows, top), pivots)
-            blobs = np.array([r.tobytes() for r in rows], object)
-            for g, own in enumerate(groups):
-                # |q - x| >= |pivot - x| - |pivot - q|
-                needed = np.zeros(len(rows), bool)
-                for cell in own:
-                    needed |= d[:, cell] - cells["far"][cell] <= limit[cell] * (1 + SLACK) + SLACK
-                if needed.any():
-                    yield pd.DataFrame({"grp": np.int32(g), "id": batch["id"][needed].to_numpy(), "x": blobs[needed]})
-
-    sent = data.mapInPandas(replicate, "grp int, id long, x binary").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int"))
-    asked = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<int>")))
+            blobs, ids = np.array([r.tobytes() for r in rows], object), batch["id"].to_numpy()
+            dealt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for g, needed in needed_by(rows):
+                at = (dealt[needed] % np.uint64(parts[g])).astype(np.int32)
+                yield pd.DataFrame({"grp": np.int32(g), "part": at, "id": ids[needed], "x": blobs[needed]})
+
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, qs in zip(batch["grp"], batch["qs"]):
+                for at in range(parts[g]):
+                    yield pd.DataFrame({"grp": np.int32(g), "part": np.int32(at), "qs": [qs]})
+
+    sent = data.mapInPandas(replicate, "grp int, part int, id long, x binary")
+    asked = packed.mapInPandas(copied, "grp int, part int, qs array<struct<id:bigint,q:binary>>")
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        right = right.drop_duplicates(["id", "x"]).sort_values("id")
+        right = right.sort_values("id")
         ids = right["id"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(right["x"]), np.int64).reshape(-1, dim)
         found = []

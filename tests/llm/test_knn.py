@@ -10,9 +10,9 @@ def brute(rows, k=5, every=50):
     found = {}
     usable = [(i, v) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     dim = max((len(v) for _, v in usable), default=0)
-    whole = {(i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)) for i, v in usable}
+    whole = [(i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)) for i, v in usable]
     pad = lambda v: list(v) + [0] * (dim - len(v))
-    for q, qv in whole:
+    for q, qv in sorted(whole):
         if q % every == 0:
             best = sorted((-int(np.dot(pad(qv), pad(v))), i) for i, v in whole if i != q)[:k]
             found[q] = [(i, -s) for s, i in best]
@@ -33,7 +33,7 @@ def test_matches_brute_force_with_bad_vectors_ties_and_repeats(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)], "x") for i in range(400)]
     rows += [(400 + i, rows[7][1], "copy") for i in range(12)]  # ties
-    rows += [rows[3], rows[50]]  # repeated rows
+    rows += [rows[3], rows[50], rows[7]]  # repeated rows, one of them among the ties
     rows += [(450, None, "x"), (500, [1.0, None], "x"), (550, [float("nan")], "x"), (600, [float("inf")], "x"), (650, [], "x"), (700, [0.5, 0.25], "x"), (None, [1.0], "x")]
     for more in ({}, {"n_pivots": 5, "group": 3, "part": 40}):
         assert run(spark, rows, **more) == brute(rows)
