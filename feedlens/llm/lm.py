@@ -219,11 +219,10 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words_known, log_counts, coder, a, b, z, log_class = shared.value
         place = {w: n for n, w in enumerate(words_known)}
-        key = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list[tuple] = []
             tails: list[tuple[int, list[bytes]]] = []
-            for row, text in zip(batch["row_id"], batch["text"]):
+            for key, row, text in zip(batch["k"], batch["row_id"], batch["text"]):
                 words = byte_words(text)
                 at = [place.get(w, -1) for w in words]
                 tail = [w for w, n in zip(words, at) if n < 0]
@@ -240,7 +239,6 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                 rows.append((key, row, f" {key}", 1, len(classes), len(known) + (ends > 0), base, score))
                 if tail:
                     tails.append((key, tail))
-                key += 1
             yield pd.DataFrame(rows, columns=COLUMNS)
             if tails:
                 token = [w.decode("utf-8", "surrogatepass") for _, tail in tails for w in tail]
@@ -248,34 +246,36 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                 yield pd.DataFrame({"k": keys, "row_id": None, "token": token, "own": 0, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})
 
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("row_id"), F.col(text_col).alias("text")).mapInPandas(
+    row_id = F.col(id_col).cast("string")
+    # A row is known by its id and text, whatever task it is in; repeated rows are told from one another by their number alone.
+    keyed = docs.select(F.xxhash64(row_id, F.col(text_col)).alias("k"), row_id.alias("row_id"), F.col(text_col).alias("text"))
+    rows = keyed.mapInPandas(
         scan, "k long, row_id string, token string, own int, n_tokens long, n_known long, base double, score double"
     )
     # Words outside the head: their counts are joined; no word among them has more than 1 / head of all places.
     joined = rows.join(counts, "token", "left")
     log_count = F.when(F.col("own") == 0, F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).otherwise(0.0)
-    return (
-        joined.groupBy("k")
-        .agg(
-            F.max("row_id").alias("row_id"), F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when((F.col("own") == 0) & (F.col("c") > 0), 1).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + log_count).alias("base_score"), F.sum(F.col("score") + log_count).alias("score"),
-        )
-        .select(F.col("row_id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    known = F.col("n_known") + F.when((F.col("own") == 0) & (F.col("c") > 0), 1).otherwise(0)
+    summed = joined.groupBy("k").agg(
+        F.sum("own").alias("m"), F.max("row_id").alias("row_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"),
+        F.sum(F.col("base") + log_count).alias("base"), F.sum(F.col("score") + log_count).alias("score"),
     )
+    whole = lambda c: (F.col(c) / F.col("m")).cast("long").alias(c)
+    found = summed.select("row_id", whole("n_tokens"), whole("n_known"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"), F.explode(F.expr("array_repeat(0, cast(m as int))")))
+    return found.select(F.col("row_id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 COLUMNS = ["k", "row_id", "token", "own", "n_tokens", "n_known", "base", "score"]
 
 
 def train(texts: DataFrame, coder: Coder, share: np.ndarray, shape: Shape, n_all: int) -> Model:
-    """A warm start on about shape.sample_tokens tokens, then one pass over all texts in parallel, averaged."""
+    """A warm start on shape.sample_tokens tokens (and the rest of the last text), then one pass over all texts in parallel, averaged."""
     spark = texts.sparkSession
     model = start(coder.n, share, shape.dim)
     if not n_all:
         return model
     part = min(1.0, shape.sample_tokens / n_all)
-    some = texts.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000) + 1)
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(2 * part * 1_000_000) + 1)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -284,10 +284,12 @@ def train(texts: DataFrame, coder: Coder, share: np.ndarray, shape: Shape, n_all
     warm = Trainer(model, share, shape, seed=1)
     feed = Feed(warm, coder)
     sample, held = [], 0
-    for row in some.mapInPandas(coded, "c binary").orderBy(F.xxhash64("c")).limit(20_000).toLocalIterator():
+    # texts of the sample, each once, in the order of their hashes until they have sample_tokens tokens
+    once = some.mapInPandas(coded, "c binary").groupBy(F.xxhash64("c").alias("h")).agg(F.first("c").alias("c"))
+    for row in once.orderBy("h").toLocalIterator():
         sample.append(np.frombuffer(row["c"], np.int32))
         held += len(sample[-1])
-        if held >= 2 * shape.sample_tokens:
+        if held >= shape.sample_tokens:
             break
     for _ in range(3):
         for classes in sample:
