@@ -188,7 +188,7 @@ def choose_terms(seen: pd.DataFrame, n_toxic: int, n_clean: int, min_docs: int =
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = 16000, max_terms: int = 4000, seed_words: tuple[str, ...] = SEED_WORDS,
+    sample: int = 16000, seed_words: tuple[str, ...] = SEED_WORDS,
 ) -> ToxicityModel:
     """Lexicon and weights from at most about `sample` labelled documents, chosen by a hash of their ids.
 
@@ -208,7 +208,7 @@ def train(
     sizes = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sum(v for k, v in sizes.items() if k), sizes.get(0, 0)
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    words = F.array_distinct(F.filter(word, lambda w: F.length(w) <= 24))
+    words = F.array_distinct(word)
     terms = F.array_distinct(
         F.flatten(
             F.transform(
@@ -226,11 +226,10 @@ def train(
         .groupBy("term")
         .agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") != 0, 1).otherwise(0)).alias("n_tox"))
         .where((F.col("n_tox") >= min_docs) & (F.col("n_tox") * F.lit(max(1, n_clean)) >= 25.0 * max(1, n_toxic) * (F.col("clean") + 0.5)))
-        .orderBy(F.desc("n_tox"), "term").limit(max_terms)
-    )
+    )  # terms of at least min_docs of the sampled documents, so their number is bounded by the sample
     chosen_df = cut(counted)
     tox = rows.where("y <> 0").select("id", F.explode(terms).alias("term"))
-    seen = tox.join(F.broadcast(chosen_df), "term").groupBy("term", "clean").agg(F.collect_list("id").alias("toxic_ids")).toPandas()
+    seen = tox.join(chosen_df, "term").groupBy("term", "clean").agg(F.collect_list("id").alias("toxic_ids")).toPandas()
     learned = choose_terms(seen, n_toxic, n_clean, min_docs)
     lexicon_terms = list(dict.fromkeys([w + END for w in seed_words] + learned))
     fitted = rows.select("y", _feature_udf(lexicon_terms)(F.col("text")).alias("x")).toPandas()
