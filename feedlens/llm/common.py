@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share, as a path with its scheme: spark.checkpoint.dir.
+
+    Where that is unset, a folder of our own, on a single machine only (tests); elsewhere it is an error.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not found:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-checkpoint-"))
+        found = context._jsc.sc().getCheckpointDir().get()
+    return qualified(spark, found.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark reads it by, so that no task takes it for a folder of its own machine."""
+    if "://" in path:
+        return path
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(r"^file:/+", "file:///", at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -69,8 +84,8 @@ def lookup(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return light.unionByName(rows.join(F.broadcast(names.join(keys, key, "left_semi")), key))
 
 
-#: Rows of ids, or of ids and short lists, that may be broadcast.
-SMALL = 200_000
+#: Rows of a few numbers each that may be broadcast.
+SMALL = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
