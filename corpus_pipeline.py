@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+All stages take empty tables, null and empty texts, and further columns. A null text counts as empty for toxicity and near
+copies, and holds no passages and no benchmark item. Each stage says what it does with null ids and repeated ones.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import decontaminate, queries, simhash, substrings, toxicity
-from feedlens.llm.common import shared_dir, stored, table
+from feedlens.llm.common import WORD, shared_dir, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below one half."""
+    """Documents that the toxicity model scores below one half; every row is scored by its own text, whatever its id."""
     model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
     return toxicity.score_toxicity(docs, model, score_col="__score").where("__score < 0.5").select(*docs.columns)
 
@@ -34,23 +38,41 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that repeat one of a document with a smaller id are cut out."""
+    """Passages of 50 words or more that repeat one of a document with a smaller id are cut out.
+
+    Documents of which nothing is left go. Rows with a null id stay as they are; of rows that share an id and differ in text, those
+    with the least text are compared and cut.
+    """
     return substrings.cut_passages(docs, substrings.near_passages(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
-    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Documents in which no benchmark item occurs; rows go by their texts, so equal ones go together, with a null id too."""
+    hashed = docs.withColumn("__of", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = decontaminate.find_benchmark(hashed.select("__of", "text"), table(spark, sf_dir, "benchmark"), id_col="__of")
+    gone = found.select(F.col("__of").alias("__gone")).distinct()
+    return hashed.join(gone, F.col("__of") == F.col("__gone"), "left_anti").drop("__of")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with the epochs and tokens taken of each; columns of those names are replaced."""
-    added = ("domain", "n_tokens", "epochs", "part_tokens", "taken_tokens")
-    taken = queries.mixed(docs).where("taken_tokens > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(*[F.max(c).alias(c) for c in added])
-    return docs.drop(*added).join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """The mixed corpus: a row for each epoch that takes a document, with the text that it takes.
+
+    Whole epochs take the whole text, the last one, partial, the first part_tokens words, joined by single blanks; so the
+    rows' texts have the budgeted tokens, n_tokens each, and n_chars is their length. epoch counts from 1, and domain is the
+    document's. Columns of these names are replaced. Rows are known by id and text: equal rows, and rows with a null id, are rows like any other,
+    but of equal ones each takes what the one that takes most does. Texts without words are in no epoch.
+    """
+    keyed = docs.drop("domain", "epoch", "n_tokens").withColumn("__key", F.concat_ws("-", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    taken = queries.mixed(keyed.drop("doc_id").withColumnRenamed("__key", "doc_id")).where("taken_tokens > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(*[F.max(c).alias(f"__{c}") for c in ("domain", "n_tokens", "epochs", "part_tokens")])
+    last = (F.col("__part_tokens") > 0).cast("long")
+    rows = keyed.join(taken, F.col("__key") == F.col("__id")).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__epochs") + last)))
+    partial = F.col("epoch") > F.col("__epochs")
+    prefix = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__part_tokens").cast("int")), " ")
+    rows = rows.withColumns({
+        "text": F.when(partial, prefix).otherwise(F.col("text")), "domain": F.col("__domain"), "n_tokens": F.when(partial, F.col("__part_tokens")).otherwise(F.col("__n_tokens")),
+    })
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__key", "__id", "__domain", "__n_tokens", "__epochs", "__part_tokens")
 
 
 STAGES = [
