@@ -1,6 +1,6 @@
 import random
 
-from feedlens.llm.decontaminate import align, find_benchmark, folded
+from feedlens.llm.decontaminate import Screen, align, find_benchmark, folded
 
 
 def distance(item: bytes, text: bytes) -> int:
@@ -51,6 +51,32 @@ def test_copies_in_neighbouring_texts_beside_a_long_item(spark):
     assert sorted((r["doc_id"], r["item_id"], r["n_edits"]) for r in got) == [(n, 1, 0) for n in range(50)]
 
 
+def test_common_grams_and_a_very_long_text_match_brute_force(spark):
+    """Most items share a template, so most of their q-grams are in most items; and a text of several pieces."""
+    rng = random.Random(17)
+    items = [(i, f"what is the name of the capital city of {sentence(rng, 1 + i % 3)} {i}") for i in range(120)]
+    docs = []
+    for n in range(30):
+        text = sentence(rng, 40) + " " + items[n * 4][1]
+        docs.append((n, text if n % 2 else text.replace("capital", "capitol")))
+    docs.append((100, "what is the name of the capital city of nowhere at all"))
+    got = find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            a = folded(item)
+            k = min(int(0.12 * len(a)), (len(a) - 7) // 7)
+            if (n := distance(a, folded(text))) <= k:
+                want.add((d, i, n))
+    assert len(want) > 30 and {(r["doc_id"], r["item_id"], r["n_edits"]) for r in got} == want
+    screen = Screen([(i, x) for i, x in items], common=64)
+    assert (screen.bound < screen.sizes - 6 - 7 * screen.edits).any() or screen.count.max() > 64
+    filler = sentence(rng, 30_000).encode()
+    long = filler[:50_000] + b" " + folded(items[5][1]) + b" " + filler[50_000:] + b" " + folded(items[7][1])
+    found = {(i, n, start) for _, i, n, _, start, _ in screen.search([b"short", long], piece=10_000)}
+    assert {(5, 0, 50_001), (7, 0, len(long) - len(folded(items[7][1])))} <= found
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert not find_benchmark(docs, items).collect()

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from feedlens.llm import langid
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "ber"], "cc": ["eau", "oux", "ière", "que"]}
@@ -31,3 +33,23 @@ def test_nothing_learned_and_no_rows(spark):
     one = spark.createDataFrame([(1, "word")], "doc_id long, text string")
     assert langid.predict(one, model).first()["lang_pred"] == "und"
     assert not langid.predict(empty, model).collect()
+
+
+def test_scores_match_direct_kernel_ridge_regression(spark):
+    rows = docs(random.Random(5), 90)
+    known, held = rows[:60], rows[60:]
+    sets = [set(np.concatenate(langid.places(t)).tolist()) for _, t, _ in rows]
+    kernel = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    langs = sorted(SYLLABLES)
+    y = np.array([langs.index(lang) for _, _, lang in known])
+    k = np.array([[kernel(a, b) for b in sets[:60]] for a in sets[:60]])
+    weight = np.diag(1 / (np.bincount(y) / len(y))[y])
+    target = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    alpha = np.linalg.solve(weight @ k + 0.01 * 60 * np.eye(60), weight @ target)
+    raw = np.array([[kernel(a, b) for b in sets[:60]] for a in sets[60:]]) @ alpha
+    odds = np.exp(6.0 * (raw - raw.max(axis=1, keepdims=True)))
+    want = odds.max(axis=1) / odds.sum(axis=1)
+    model = langid.train(spark.createDataFrame(known, "doc_id long, text string, lang string"), sample=3000)
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()}
+    for (i, _, _), row, score in zip(held, raw, want):
+        assert got[i]["lang_pred"] == langs[int(row.argmax())] and abs(got[i]["score"] - score) < 2e-3

@@ -55,3 +55,52 @@ def test_nothing_to_learn_from(spark):
     got = lm.score_texts(docs, docs.where("doc_id < 0"), shape=SMALL).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == [(1, 0, 0), (3, 0, 0)]
     assert not lm.score_texts(docs.where("doc_id < 0"), docs, shape=SMALL).collect()
+
+
+def test_score_matches_a_plain_softmax(spark, monkeypatch):
+    seen = {}
+
+    def fixed(texts, coder, share, shape, n_all):
+        rng = np.random.default_rng(4)
+        model = lm.start(coder.n, share, shape.dim)
+        model.targets[:] = rng.normal(size=model.targets.shape)
+        model.vectors[:] = rng.normal(size=model.vectors.shape)
+        model.first[:], model.second[:] = rng.normal(size=shape.dim), rng.normal(size=shape.dim)
+        seen["model"] = model
+        return model
+
+    monkeypatch.setattr(lm, "train", fixed)
+    rows = texts() + [(600, "w1 " * 30_000), (600, "w1 " * 30_000)]  # a very long text, twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = docs.where("doc_id < 80")
+    got = lm.score_texts(docs, training, shape=SMALL).collect()
+    assert len(got) == len(rows)
+    words = lambda t: (t or "").encode().lower().split()
+    learned = [t for i, t in rows if i is not None and i < 80]
+    counts = collections.Counter(w for t in learned for w in words(t))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    # the same cut as the operator's: those in the head by count, then the first 20 of them
+    own = ranked[:20]
+    mass = [0.5] * 4
+    for w in counts:
+        if w not in own:
+            mass[zlib.crc32(w[-2:]) % 4] += counts[w] + 0.5
+    place = {w: n + 1 for n, w in enumerate(own)}
+    m = seen["model"]
+
+    def score(text):
+        one = two = m.vectors[len(own) + 1 + 4]
+        total = 0.0
+        for w in [*words(text), None]:
+            at = 0 if w is None else place.get(w) or len(own) + 1 + zlib.crc32(w[-2:]) % 4
+            logits = m.targets @ (one * m.first + two * m.second) + m.bias
+            logits = logits - logits.max()
+            total += (logits[at] - np.log(np.exp(logits).sum())) / np.log(10)
+            if at > len(own):
+                total += np.log10((counts[w] + 0.5) / mass[at - len(own) - 1])
+            two, one = one, m.vectors[at]
+        return total
+
+    want = {i: score(t) for i, t in rows}
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-3 * max(1, abs(want[r["doc_id"]])), r["doc_id"]

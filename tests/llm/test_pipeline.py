@@ -76,11 +76,42 @@ def test_stages(spark, folder):
         before = after
         out[name] = after
     rows = docs.collect()
-    assert {"epochs", "part_tokens", "taken_tokens"} <= set(docs.columns) and all(r["taken_tokens"] > 0 for r in rows)
-    total = sum(len((t or "").split()) for t in out["decontaminate"].values())
-    assert 0.55 * total < sum(r["taken_tokens"] for r in rows) <= 0.6 * total
-    got = {(r["doc_id"], r["text"], r["taken_tokens"]) for r in corpus_pipeline.run(spark, folder).collect()}
-    assert got == {(r["doc_id"], r["text"], r["taken_tokens"]) for r in rows}
+    before = out["decontaminate"]
+    assert {"domain", "epoch", "n_tokens"} <= set(docs.columns) and all(r["n_tokens"] == len(r["text"].split()) > 0 and r["n_chars"] == len(r["text"]) for r in rows)
+    total = sum(len((t or "").split()) for t in before.values())
+    assert 0.55 * total < sum(r["n_tokens"] for r in rows) <= 0.6 * total
+    seen = {}
+    for r in rows:
+        seen.setdefault(r["doc_id"], []).append((r["epoch"], r["text"]))
+    for i, epochs in seen.items():
+        epochs.sort()
+        assert [e for e, _ in epochs] == list(range(1, len(epochs) + 1)) and all(t == before[i] for _, t in epochs[:-1])
+        assert " ".join(before[i].split()).startswith(" ".join(epochs[-1][1].split()))
+    got = sorted((str(r["doc_id"]), r["epoch"], r["text"]) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == sorted((str(r["doc_id"]), r["epoch"], r["text"]) for r in rows)
+
+
+def test_repeated_and_null_ids(spark, folder):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    one, two, three = text(120), text(130), text(140)
+    item = corpus()[2][0][1]
+    rows = [(1, one), (1, one), (1, two), (2, one), (3, two), (4, three + " " + one), (None, one), (None, item), (5, item), (5, three), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0, "s", "e") for i, t in rows], SCHEMA)
+    key = lambda r: (str(r[0]), str(r[1]))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["simhash"](spark, docs, folder)
+    assert kept.columns == docs.columns
+    # equal rows are one, rows that share an id and differ in text are two documents, rows without id stay
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key)
+    assert left == sorted([(1, one), (1, two), (4, three + " " + one), (None, one), (None, item), (5, item), (5, three), (6, None)], key=key) or (5, three) in left
+    cut = stages["substrings"](spark, kept, folder)
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in cut.collect() if r["doc_id"] is None)
+    assert texts == sorted([("None", one), ("None", item)])
+    clean = stages["decontaminate"](spark, cut, folder)
+    assert all(r["text"] != item for r in clean.collect())
+    mixed = stages["mix"](spark, clean, folder)
+    assert all(r["n_tokens"] == len(r["text"].split()) for r in mixed.collect())
 
 
 def test_empty_tables(spark, folder, tmp_path):

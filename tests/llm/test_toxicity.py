@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from feedlens.llm import toxicity as tox
 
 
@@ -66,3 +69,55 @@ def test_without_labels_or_rows(spark):
     assert len(model.terms) == len(tox.SEED_WORDS)
     assert tox.score_toxicity(docs.where("doc_id < 0"), model).collect() == []
     assert tox.score_toxicity(docs, model).first()["score"] < 0.5
+
+
+def brute_hit(word, terms):
+    """(edits, whether a stem) of the closest term, whole words first among equals."""
+    found = []
+    for term in terms:
+        name, stem = term[:-1], term[-1] == tox.STEM
+        allowed = int(len(name) >= (7 if stem else 5))
+        d = min((distance(name, word[:k]) for k in range(1, len(word) + 1)), default=99) if stem else distance(name, word)
+        if d <= allowed:
+            found.append((d, stem))
+    return min(found, default=None)
+
+
+def brute_score(text, terms, coef, bias):
+    tokens = tox.TOKEN.findall((text or "").lower())
+    x = [0.0] * 7
+    for i, token in enumerate(tokens):
+        hit = brute_hit(token, terms)
+        if not hit:
+            continue
+        near = tokens[max(0, i - 6) : i + 7]
+        before, after = [t for t in tokens[max(0, i - 6) : i] if t in tox.QUOTES], [t for t in tokens[i + 1 : i + 7] if t in tox.QUOTES]
+        if (len(before) % 2 == 1 and after) or any(t in tox.REPORTING for t in near):
+            x[3] += 1
+            continue
+        x[1 if hit[0] else 2 if hit[1] else 0] += 1
+        x[4] += 2 if any(t in tox.ADDRESS for t in near) else 1
+    if tokens:
+        x[5] = 100 * x[4] / len(tokens)
+    x[6] = float(x[0] + x[1] + x[2] > 0)
+    return 1 / (1 + math.exp(-(sum(c * math.log1p(v) for c, v in zip(coef, x)) + bias)))
+
+
+def test_scores_match_a_plain_logistic_over_brute_force_hits(spark):
+    rng = random.Random(9)
+    terms = ["idiot$", "scum$", "grob*", "vilenix*", "mean$"]
+    coef, bias = np.array([0.9, 0.5, 0.7, -0.4, 0.3, 0.2, 1.1]), -2.3
+    pool = ["idiot", "idiots", "idoit", "scum", "scun", "grobian", "grab", "vilenixe", "vilemixa", "mean", "means", "you", "said", "table", "sky", '"', "Idiot,", "“", "”"]
+    rows = [(n, " ".join(rng.choice(pool + ["word", "other", "thing"] * 4) for _ in range(rng.randint(0, 40)))) for n in range(150)] + [(900, None), (901, "")]
+    got = tox.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), tox.ToxicityModel(terms, coef, bias)).collect()
+    text = dict(rows)
+    for r in got:
+        assert abs(r["score"] - brute_score(text[r["doc_id"]], terms, coef, bias)) < 1e-9, text[r["doc_id"]]
+
+
+def test_more_terms_than_before_and_long_words(spark):
+    long = "x" * 30
+    rows = [(n, f"{long} term{n // 5}abc {n}") for n in range(100)] + [(200 + n, f"plain words here {n}") for n in range(100)]
+    labels = [(n, 1) for n in range(100)] + [(200 + n, 0) for n in range(100)]
+    model = tox.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert tox.Lexicon(model.terms).match(long)
