@@ -29,18 +29,54 @@ def ingest(stream: DataFrame, articles: DataFrame, target: str, checkpoint: str)
     return out.trigger(availableNow=True).start()
 
 
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, state: str) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket of articles its versions, (batch, path), the newest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/v*/bucket=*")
+    found: dict[int, list[tuple[int, str]]] = {}
+    for entry in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or ():
+        path = entry.getPath()
+        found.setdefault(int(path.getName()[7:]), []).append((int(path.getParent().getName()[1:]), path.toString()))
+    return {k: sorted(v, reverse=True) for k, v in found.items()}
+
+
+COUNTERS = "article_id long, n long, last_seen_at timestamp_ntz"
+
+
+def counters(spark: SparkSession, state: str) -> DataFrame:
+    """The counters as of the last batch: the newest version of each bucket."""
+    paths = [v[0][1] for v in _versions(spark, state).values()]
+    return spark.read.schema(COUNTERS).parquet(*paths) if paths else spark.createDataFrame([], COUNTERS)
+
+
 def count_impressions(stream: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Impression counters, merged batch by batch. Each batch writes a new version named by its number, so a batch that
-    runs again writes the same version from the same predecessor."""
+    """Impression counters, merged batch by batch, in BUCKETS buckets of articles.
+
+    A batch writes only the buckets that it touches, each as a version named by the batch's number, from the newest version before
+    it; so a batch that runs again writes the same. Versions before that one are removed.
+    """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = status.impressions(batch)
-        if number:
-            old = spark.read.parquet(f"{state}/v{number - 1}")
+        new = status.impressions(batch).withColumn("bucket", F.pmod(F.xxhash64("article_id"), F.lit(BUCKETS)).cast("int")).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        versions = _versions(spark, state)
+        before = {k: next((path for n, path in versions.get(k, ()) if n < number), None) for k in touched}
+        old = [path for path in before.values() if path]
+        merged = new.drop("bucket")
+        if old:
             count = F.coalesce(F.col("old.n"), F.lit(0)) + F.coalesce(F.col("new.n"), F.lit(0))
-            new = rel.upsert(old, new, ["article_id"], {"n": count, "last_seen_at": F.greatest("old.last_seen_at", "new.last_seen_at")})
-        new.write.mode("overwrite").parquet(f"{state}/v{number}")
+            merged = rel.upsert(spark.read.schema(COUNTERS).parquet(*old), merged, ["article_id"], {"n": count, "last_seen_at": F.greatest("old.last_seen_at", "new.last_seen_at")})
+        merged = merged.withColumn("bucket", F.pmod(F.xxhash64("article_id"), F.lit(BUCKETS)).cast("int"))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/v{number}")
+        new.unpersist()
+        for k in touched:
+            for n, path in versions.get(k, ()):
+                if n < number and path != before[k]:
+                    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -62,16 +62,16 @@ def test_badges(spark):
 
 def candidates(n=60):
     rng = np.random.default_rng(0)
-    return [(1, i, int(rng.integers(5)), f"t{rng.integers(4)}", f"r{rng.integers(3)}", "News", None, 0, float(rng.normal())) for i in range(n)]
+    return [(1, i, int(rng.integers(5)), f"t{rng.integers(4)}", f"r{rng.integers(3)}", "News", None, 0, int(rng.integers(9)), float(rng.normal()), 0.0, 0.0, 0.0) for i in range(n)]
 
 
-COLUMNS = "page long, id long, source_id long, primary_topic string, region string, article_type string, vote string, times long, score double"
+COLUMNS = "page long, id long, source_id long, primary_topic string, region string, article_type string, vote string, times long, topic_votes long, score double, t_topic double, t_region double, t_type double"
 
 
 def test_rerank_is_a_permutation_and_spreads_feeds(spark):
     rows = candidates()
     for every in (0, 10):
-        got = rerank.rerank_pages(spark.createDataFrame(rows, COLUMNS), {"topic": {"t0": 1.0}, "region": {}, "type": {}}, every=every).collect()
+        got = rerank.rerank_pages(spark.createDataFrame(rows, COLUMNS).withColumn("t_topic", (F.col("primary_topic") == "t0").cast("double")), every=every).collect()
         assert sorted(r["id"] for r in got) == list(range(60)) and sorted(r["place"] for r in got) == list(range(1, 61))
     order = rerank.calibrated(np.array([3.0, 2.99, 2.98, 2.97, 1.0]), [(np.array([0, 0, 0, 1, 0]), np.array([0.5, 0.5]))])
     assert order[0] == 0 and order[1] == 3  # the other feed comes second though others score more
@@ -111,6 +111,70 @@ def test_exploration_moves_unseen_up():
     assert sorted(order) == list(range(n)) and order[9] == 15 and order[19] == 19  # 16, of another feed, stands above the slot already
 
 
+def test_exploration_matches_slot_by_slot():
+    """Each slot in turn looks through the pool: by score, then fewest topic votes, a feed without a slot first."""
+    rng = np.random.default_rng(5)
+    for n in (10, 11, 40, 100):
+        score, votes, feed, ok = rng.integers(0, 4, n).astype(float), rng.integers(0, 3, n), rng.integers(0, 4, n), rng.random(n) < 0.8
+        order = rng.permutation(n).tolist()
+        want, used = list(order), set()
+        pool = sorted((i for i in order[n // 2 :] if ok[i]), key=lambda i: (-score[i], votes[i])) if n > 10 else []
+        for slot in range(9, n, 10):
+            if pool:
+                chosen = next((i for i in pool if feed[i] not in used), pool[0])
+                pool.remove(chosen)
+                used.add(feed[chosen])
+                if want.index(chosen) > slot:
+                    want.remove(chosen)
+                    want.insert(slot, chosen)
+        assert rerank.explore(list(order), score, ok, feed, votes) == want
+
+
+def test_numbers_and_neighbours_of_a_large_group(spark):
+    rows = [(None if n % 50 == 0 else n % 50 % 2, n, (n * 37) % 101) for n in range(400)]
+    df = spark.createDataFrame(rows, "g long, id long, v long")
+    groups = {}
+    for g, i, v in rows:
+        groups.setdefault(g, []).append((-v, i, v))
+    want, near = {}, {}
+    for g, members in groups.items():
+        members.sort()
+        for k, (_, i, _) in enumerate(members):
+            want[i] = (k + 1, len(members), sum(m[2] for m in members[:k]), sum(m[2] for m in members))
+            near[i] = tuple(members[k + d][1] if 0 <= k + d < len(members) else None for d in (-1, -2, 1, 2))
+    got = rel.numbered(df, ["g"], [F.desc("v"), F.col("id")], "n", "c", {"run": "v"}).collect()
+    assert {r["id"]: (r["n"], r["c"], r["run"], r["run_all"]) for r in got} == want
+    got = rel.neighbours(df.select("g", "id", "v"), ["g"], [F.desc("v"), F.col("id")], "id", 2).collect()
+    assert {r["id"]: (r["before1"], r["before2"], r["after1"], r["after2"]) for r in got} == near
+    assert not rel.numbered(df.where("id < 0"), ["g"], [F.col("id")], "n").collect()
+
+
+def test_documents_as_files(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from feedlens.sources import sinks
+
+    sources = spark.createDataFrame([(1, 'A & "B"', "https://a.example", 1, 1), (2, "C", "https://c.example", None, 1), (3, "off", "https://o.example", 1, 0)], "id long, name string, url string, category_id long, enabled int")
+    categories = spark.createDataFrame([(1, "News <1>")], "id long, name string")
+    articles = spark.sql("SELECT 7L AS id, 1L AS source_id, '' AS title, 'https://a.example/7?x=1&y=2' AS url, '<p>x</p>' AS content, TIMESTAMP_NTZ '2024-01-05 06:07:08' AS created_at, 'https://a.example/i.webp' AS main_image")
+    sinks.write_lines(sinks.opml_lines(sources, categories, "https://r.example"), str(tmp_path / "opml"))
+    (path,) = (tmp_path / "opml").glob("part-*")
+    root = ElementTree.fromstring(path.read_bytes())
+    assert [(c.get("text"), [s.get("title") for s in c]) for c in root.find("body")] == [("News <1>", ['A & "B"']), ("Uncategorized", ["C"])]
+    sinks.write_documents(sinks.rss_documents(sources, articles, 5), "source_id", "xml", str(tmp_path / "rss"))
+    (path,) = (tmp_path / "rss" / "source_id=1").glob("part-*")
+    item = ElementTree.fromstring(path.read_bytes()).find("channel/item")
+    assert (item.findtext("title"), item.findtext("link"), item.findtext("pubDate")) == ("Untitled", "https://a.example/7?x=1&y=2", "Fri, 05 Jan 2024 06:07:08 +0000")
+    assert item.findtext("{http://purl.org/rss/1.0/modules/content/}encoded") == "<p>x</p>" and item.find("enclosure").get("type") == "image/webp"
+
+
+def test_trails_and_tags(spark):
+    strip = lambda s: one(spark, text.strip_breadcrumb(F.col("s")), s=s)
+    assert [strip(s) for s in ("TOP > News > The title", "TOP » A › B ＞ x > 1", "Only > one", "A sentence. Yes > b > c", "a > " + "b" * 25 + " > c", None)] == ["The title", "1", "Only > one", "A sentence. Yes > b > c", "a > " + "b" * 25 + " > c", ""]
+    clean = lambda s: one(spark, text.clean_translation_tag(F.col("s")), s=s)
+    assert [clean(s) for s in ("🌐 Translated by Qwen-MT (v2): The title", "translated BY DeepL — x", "plain", "a 🌐 Translated by B: c", None)] == ["The title", "x", "plain", "a c", ""]
+
+
 def test_packing_and_spacing(spark):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate([1000, 1000, 1000, 3000, 10])], "doc long, idx long, size long")
     got = rerank.packed(rows, "doc", "idx", "size", 2400).orderBy("idx").collect()
