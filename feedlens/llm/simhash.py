@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from feedlens.llm.common import SMALL, byte_words, lookup, shingle_bounds, stored
 from feedlens.llm.components import components, forest
-from feedlens.llm.substrings import of_function
+from feedlens.llm.substrings import mixed
 from feedlens.llm.substrings import shingle_hashes as rolling_hashes
 
 LOW_HALF = np.uint64(0xFFFFFFFF)
@@ -37,13 +37,18 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def print_of(hashes: np.ndarray) -> int:
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for part in range(0, len(hashes), 65536):
-        bits = np.unpackbits(hashes[part : part + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return prints_of(hashes[:, None])[0]
+
+
+def prints_of(hashes: np.ndarray) -> list[int]:
+    """The SimHash of each column of hashes, as a signed long; 0 without rows."""
+    n, columns = hashes.shape
+    if not n:
+        return [0] * columns
+    of_bytes, ones = np.ascontiguousarray(hashes).view(np.uint8).reshape(n, 8 * columns), np.zeros(64 * columns, np.int64)
+    for at in range(0, n, 255):  # sums of 255 bits fit a byte
+        ones += np.unpackbits(of_bytes[at : at + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
@@ -187,9 +192,12 @@ PRINTS, FIRST_RADIUS, RADIUS = 4, 22, 64
 NUMBERS = ["node", "n", "label", *(f"f{k}" for k in range(PRINTS))]
 
 
+SALTS = mixed(np.arange(1, PRINTS + 1, dtype=np.uint64))
+
+
 def wide_print(shingles: np.ndarray) -> list[int]:
     """PRINTS SimHashes of 64 bits of a set of shingle hashes, as signed longs."""
-    return [print_of(of_function(shingles, 100 + k)) for k in range(PRINTS)]
+    return prints_of(mixed(shingles[:, None] ^ SALTS))
 
 
 def _profile(rows: DataFrame, words: int) -> DataFrame:
