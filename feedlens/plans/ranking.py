@@ -172,12 +172,15 @@ def exploration_slots(r: Reader) -> DataFrame:
 
 @query("K12 W05")
 def feature_cards(r: Reader) -> DataFrame:
+    """Large cards of a page in the order of its scores: articles with an image among the page's best tenth, four others between two."""
     from pyspark.sql import Window
 
     rows = page_of(r)
-    by = Window.partitionBy("page")
+    by = Window.partitionBy("page")  # a page is bounded
     placed = rows.select("page", "id", "score", F.row_number().over(by.orderBy(F.desc("score"), "id")).alias("place"), F.count("*").over(by).alias("n"))
-    wanted = placed.select("page", "id", "place", (F.col("id") % 3 == 0).alias("wanted"))
+    threshold = F.min(F.when(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1)), F.col("score"))).over(by)
+    has_image = F.col("id") % 3 != 0
+    wanted = placed.withColumn("threshold", threshold).select("page", "id", "place", ((F.col("score") >= F.col("threshold")) & has_image).alias("wanted"))
     return rerank.spaced(wanted, "page", "place", "wanted", 4)
 
 

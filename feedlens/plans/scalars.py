@@ -203,9 +203,25 @@ def boilerplate_images(r: Reader) -> DataFrame:
     return rows.select("page_id", "src", markup.is_boilerplate_image(F.col("src"), F.col("w"), F.col("h")).alias("boilerplate"))
 
 
-@query("", """
-SELECT page_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN '' ELSE url END, ''), 'none') AS url, CASE WHEN length(html) < 2000 AND length(html || url) > length(html) THEN 'rendered' ELSE 'plain' END AS kept FROM pages""")
+@query("D13 D14", """
+WITH b AS (SELECT id, title, substr(content, 1, CAST(id % 400 AS BIGINT)) AS content, CASE WHEN id % 5 < 2 THEN '' ELSE 'payload ' || id END AS s_title, CASE id % 4 WHEN 0 THEN substr(content, 1, 300) WHEN 1 THEN NULL ELSE '' END AS s_content,
+ substr(content, 1, CAST(id % 350 AS BIGINT)) AS rendered, id % 6 = 0 AS blocked, id % 7 = 0 AS r_blocked FROM feed_articles),
+m AS (SELECT id, CASE WHEN coalesce(s_content, '') <> '' THEN coalesce(nullif(s_title, ''), title) ELSE title END AS title, CASE WHEN coalesce(s_content, '') <> '' THEN s_content ELSE content END AS content, rendered, blocked, r_blocked FROM b),
+r AS (SELECT *, length(content) < 200 AND (length(rendered) > length(content) OR (blocked AND NOT r_blocked)) AS again FROM m)
+SELECT id, title, CASE WHEN again THEN rendered ELSE content END AS content, again AS rendered FROM r WHERE NOT CASE WHEN again THEN r_blocked ELSE blocked END""")
 def override_and_retry(r: Reader) -> DataFrame:
-    given = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("url"))
-    retry = (F.length("html") < 2000) & (F.length(F.concat("html", "url")) > F.length("html"))
-    return r.pages.select("page_id", F.coalesce(F.nullif(given, F.lit("")), F.lit("none")).alias("url"), F.when(retry, "rendered").otherwise("plain").alias("kept"))
+    """What a page's own payload says goes before what was extracted, field by field, if it has content; thin articles take the
+    rendered page where that has more, or isn't blocked as theirs is; what is blocked in the end is left out."""
+    key, part = F.col("id"), lambda n: F.substring(F.col("content"), F.lit(1), (F.col("id") % n).cast("int"))
+    s_title = F.when(key % 5 < 2, "").otherwise(F.concat(F.lit("payload "), key.cast("string")))
+    s_content = F.when(key % 4 == 0, F.substring("content", 1, 300)).when(key % 4 == 1, None).otherwise("")
+    rows = r.feed_articles.select(
+        "id", "title", part(400).alias("content"), s_title.alias("s_title"), s_content.alias("s_content"), part(350).alias("rendered_content"), (key % 6 == 0).alias("blocked"), (key % 7 == 0).alias("r_blocked"),
+    )
+    said = F.coalesce("s_content", F.lit("")) != ""
+    over = lambda own, base: F.when(said, F.coalesce(F.nullif(own, F.lit("")), base)).otherwise(F.col(base))
+    rows = rows.withColumns({"title": over("s_title", "title"), "content": over("s_content", "content")})
+    longer = F.length("rendered_content") > F.length("content")
+    rows = rows.withColumn("rendered", (F.length("content") < 200) & (longer | (F.col("blocked") & ~F.col("r_blocked"))))
+    kept = rows.where(~F.when(F.col("rendered"), F.col("r_blocked")).otherwise(F.col("blocked")))
+    return kept.select("id", "title", F.when(F.col("rendered"), F.col("rendered_content")).otherwise(F.col("content")).alias("content"), "rendered")
