@@ -72,7 +72,7 @@ class Lexicon:
             if edits == 0:
                 to.add((node, 1))
                 to.update((other, 1) for other in self.children[node].values())
-        if len(self.steps) > 400_000:
+        if len(self.steps) > 50_000:
             self.steps.clear()
         out = self.steps[key] = self._closed(to)
         return out
@@ -98,7 +98,7 @@ class Lexicon:
         else:
             if (whole := self._best(state, self.word_at)) and (best is None or whole[1] <= best[1]):
                 best = whole
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         self.known[word] = best
         return best
