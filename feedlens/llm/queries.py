@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import bucket_of, table
-from feedlens.llm import chat, decontaminate, knn, langid, lm, mixing, substrings, warc
+from feedlens.llm.common import WORD, bucket_of, table
+from feedlens.llm import chat, decontaminate, knn, langid, lm, mixing, runs, substrings, warc
 from feedlens.llm.simhash import simhash_components
 from feedlens.llm.toxicity import score_toxicity, train, training_rows
 
@@ -88,8 +88,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"))
+    # Every tenth document is made periodic from one of its words on: the words up to there, then the next few over and over.
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(h div 10 % n as int)")))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + h div 10 % 8) as int)"))
+    turns = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    looped = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), F.col("n") - F.col("a")))
+    found = runs.find_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text")), least=12)
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length as minus, r.start as start, r.period as period)))")
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", (-F.col("best.minus")).alias("length"), "best.period",
+        F.expr("-1000 * best.minus div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op13_runs": op13_runs}
 
 
 def oracle_sql() -> dict[str, str]:
