@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import WORD, bucket_of, table
-from feedlens.llm import chat, decontaminate, knn, langid, lm, mixing, runs, substrings, warc
+from feedlens.llm import chat, collocations, decontaminate, knn, langid, lm, mixing, runs, substrings, warc
 from feedlens.llm.simhash import simhash_components
 from feedlens.llm.toxicity import score_toxicity, train, training_rows
 
@@ -88,6 +88,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, contained=80, top=2000)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"))
@@ -107,11 +111,11 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op13_runs": op13_runs}
+    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op12_collocations": op12_collocations, "op13_runs": op13_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn": KNN_SQL, "op6_warc": WARC_SQL, "op8_mix": MIX_SQL}
+    return {"op1_knn": KNN_SQL, "op6_warc": WARC_SQL, "op8_mix": MIX_SQL, "op12_collocations": COLLOCATIONS_SQL}
 
 
 KNN_SQL = """
@@ -163,3 +167,26 @@ z AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY
 SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(CASE WHEN n > 0 THEN epochs ELSE 0 END AS BIGINT) AS epochs, CAST(greatest(0, least(n, rest - bef)) AS BIGINT) AS part_tokens,
   CAST(epochs * n + greatest(0, least(n, rest - bef)) AS BIGINT) AS taken_tokens FROM z
 """
+
+COLLOCATIONS_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k)),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, cut, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score FROM cuts
+  JOIN f AS l ON l.lang = cuts.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f AS r ON r.lang = cuts.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+), one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (
+  SELECT DISTINCT lang, phrase FROM (
+    SELECT c.lang, array_to_string(c.ws[i:i + size - 1], ' ') AS phrase, c.a AS longer FROM c, (VALUES (2), (3)) AS z(size), (VALUES (1), (2), (3)) AS y(i) WHERE size < c.k AND i + size - 1 <= c.k
+  ) JOIN c AS own USING (lang, phrase) WHERE 100 * longer >= 80 * own.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one ANTI JOIN held USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
