@@ -1,17 +1,26 @@
 """Phrase collocations: n-grams counted per language, every cut scored exactly, parts of longer phrases left out.
 
-All of it is DataFrame work. Each place of a piece of text gives a row for each n-gram that begins there, up to `longest`
-words; hash aggregation (first in the task, then by language and phrase) leaves counts. Only phrases that occur often
-enough go on, with their parts, which occur at least as often: so the joins for the parts' counts move the frequent phrases,
-not the corpus.
+Each place of a piece of text gives a row for each n-gram that begins there, from one word up to `longest`; hash aggregation
+(in the batch, in the task, then by language and phrase) leaves counts. Most long n-grams occur once, and shuffling all of them
+takes more than ten times the text. So they are counted by length, and an n-gram is given out only if both its
+parts that are one word shorter may occur often enough: a bit table of bounded size, sent to the tasks, says so for all that do and
+for some that don't. Nothing is lost by that, and the counts are exact. Parts' counts are then joined to the frequent phrases.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.llm.common import LOWER, UPPER, lookup, stored
+from feedlens.llm.substrings import mixed
 
 #: What ends a piece of text, and what parts its words, in Java's and RE2's spelling.
 PIECE_END, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
@@ -32,14 +41,72 @@ def pieces(docs: DataFrame, text_col: str, lang_col: str, longest: int) -> DataF
     return chunks.select("lang", own.alias("w"), F.least(F.lit(CHUNK), F.size("words") - F.col("at") * CHUNK).alias("n"))
 
 
-def ngrams(rows: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase): a row for each n-gram of 1 to `longest` words that begins at one of the first n words of w."""
-    grown: list[Column] = [F.col("w")]
-    for k in range(2, longest + 1):
-        rows = rows.withColumn(f"w{k}", F.zip_with(grown[-1], F.slice("w", F.lit(k), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))
-        grown.append(F.col(f"w{k}"))
-    begun = F.concat(*[F.slice(g, F.lit(1), F.col("n")) for g in grown])
-    return rows.select("lang", F.explode(begun).alias("phrase")).where("phrase IS NOT NULL")
+def _hashes(words: np.ndarray, at: np.ndarray, size: int, salt: np.ndarray) -> np.ndarray:
+    """A hash of the `size` words from each place on, by the words' own hashes."""
+    out = salt
+    for k in range(size):
+        out = mixed(out ^ words[at + k])
+    return out
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in words.cast(pa.binary()).to_pylist()], np.uint64)
+
+
+def bit_table(frequent: DataFrame, size: int, most: int = 27) -> np.ndarray:
+    """A bit for each hash of (lang, phrase), packed in bytes: as many bits as 16 times the phrases, 2 ** most at most.
+
+    A set bit may be another phrase's, so the table lets some phrases through that it need not, but keeps none out.
+    """
+    bits = min(most, max(15, int(16 * frequent.count()).bit_length()))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.compute.split_pattern(batch["phrase"], " ").flatten()
+            hashed = _hashes(_word_hashes(words), np.arange(batch.num_rows) * size, size, _word_hashes(batch["lang"]))
+            yield pa.RecordBatch.from_arrays([pa.array((hashed & np.uint64((1 << bits) - 1)).astype(np.int64) + 1)], ["x"])
+
+    rows = frequent.select("lang", "phrase").mapInArrow(solve, "x long")
+    rows = rows.groupBy(F.bitmap_bucket_number("x").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for row in rows.collect():  # 4 KB each, 2 ** (most - 15) rows at most
+        table[(row["page"] - 1) * 4096 : row["page"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def ngrams(rows: DataFrame, size: int, table: np.ndarray | None) -> DataFrame:
+    """(lang, phrase, c): rows of counts, already added up in small batches, of the n-grams of `size` words that begin at one of the first n words of w.
+
+    An n-gram occurs no more often than its first and its last size - 1 words. So where table is given, those n-grams are left out
+    of which it lacks one of these.
+    """
+    mask = None if table is None else np.uint64(len(table) * 8 - 1)
+
+    def held(hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & mask).astype(np.int64)
+        return table[at >> 3] >> (at & 7) & 1 == 1
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["w"]
+            lengths, offsets = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            own = lists.flatten().dictionary_encode()
+            codes, begins = own.indices.to_numpy(), np.minimum(batch["n"].to_numpy(), lengths - size + 1).clip(0)
+            row = np.repeat(np.arange(batch.num_rows), begins)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(begins) - begins, begins) + offsets[row]
+            lang = batch["lang"].dictionary_encode()
+            if table is not None:
+                words, salt = _word_hashes(own.dictionary)[codes], _word_hashes(lang.dictionary)[lang.indices.to_numpy()]
+                for shift in (0, 1):
+                    keep = held(_hashes(words, at + shift, size - 1, salt[row]))
+                    row, at = row[keep], at[keep]
+            phrase = own.dictionary.take(pa.array(codes[at]))
+            for k in range(1, size):
+                phrase = pa.compute.binary_join_element_wise(phrase, own.dictionary.take(pa.array(codes[at + k])), " ")
+            added = pa.table({"lang": lang.dictionary.take(pa.array(lang.indices.to_numpy()[row])), "phrase": phrase}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+            yield from added.rename_columns(["lang", "phrase", "c"]).to_batches()
+
+    return rows.mapInArrow(solve, "lang string, phrase string, c long")
 
 
 def _key(lang: str, phrase: str | Column) -> Column:
@@ -67,11 +134,17 @@ def collocations(
     null and empty texts, and texts of marks and blanks, give nothing; repeated rows count as often as they are there; other
     columns aren't read; an empty table gives no rows. A very long piece is worked on in chunks that overlap.
     """
-    counts = ngrams(pieces(docs, text_col, lang_col, longest), longest).groupBy("lang", "phrase").agg(F.count("*").alias("a"))
-    # Single words stay for the languages' totals.
-    counts = stored(counts.where((F.col("a") >= least) | ~F.contains("phrase", F.lit(" "))).withColumn("size", F.size(F.split("phrase", " "))))
-    totals = stored(counts.where("size = 1").groupBy(F.col("lang").alias("of")).agg(F.sum("a").alias("n")))
-    counts = counts.where(F.col("a") >= least)
+    rows, levels, table = pieces(docs, text_col, lang_col, longest), [], None
+    for size in range(1, longest + 1):
+        counts = ngrams(rows, size, table).groupBy("lang", "phrase").agg(F.sum("c").alias("a")).withColumn("size", F.lit(size))
+        # All single words stay for the languages' totals.
+        counts = stored(counts.where(F.col("a") >= least) if size > 1 else counts)
+        if size == 1:
+            totals = stored(counts.groupBy(F.col("lang").alias("of")).agg(F.sum("a").alias("n")))
+        levels.append(counts.where(F.col("a") >= least))
+        if size < longest:
+            table = bit_table(levels[-1], size)
+    counts = reduce(DataFrame.union, levels)
     found = counts.where("size > 1")
 
     words = F.split("phrase", " ")
