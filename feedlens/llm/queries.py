@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlens.llm.common import WORD, bucket_of, table
 from feedlens.llm import chat, collocations, decontaminate, knn, langid, lm, mixing, runs, substrings, warc
+from feedlens.llm.minhash import minhash_components
 from feedlens.llm.simhash import simhash_components
 from feedlens.llm.toxicity import score_toxicity, train, training_rows
 
@@ -88,6 +89,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, radius=3)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=5, percent=85)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, contained=80, top=2000)
 
@@ -111,11 +116,11 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op12_collocations": op12_collocations, "op13_runs": op13_runs}
+    return {"op1_knn": op1_knn, "op2_lm": op2_lm, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_substrings": op5_substrings, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_mix": op8_mix, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash, "op11_minhash": op11_minhash, "op12_collocations": op12_collocations, "op13_runs": op13_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_knn": KNN_SQL, "op6_warc": WARC_SQL, "op8_mix": MIX_SQL, "op12_collocations": COLLOCATIONS_SQL}
+    return {"op1_knn": KNN_SQL, "op6_warc": WARC_SQL, "op8_mix": MIX_SQL, "op11_minhash": MINHASH_SQL, "op12_collocations": COLLOCATIONS_SQL}
 
 
 KNN_SQL = """
@@ -190,3 +195,19 @@ held AS (
 )
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
 """
+
+#: Two sets can only be linked if their sizes allow it and they share a shingle; every such pair is counted in full.
+MINHASH_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) BETWEEN 1 AND 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS own FROM d
+), e AS MATERIALIZED (SELECT doc_id, len(own) AS n, md5_number(unnest(own)) AS x FROM s),
+pairs AS MATERIALIZED (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM e AS p JOIN e AS q ON p.x = q.x AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)
+  GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.b)
+SELECT s.doc_id, CAST(len(own) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+"""
