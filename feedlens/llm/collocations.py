@@ -19,26 +19,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import LOWER, UPPER, lookup, stored
+from feedlens.llm.common import lookup, stored
 from feedlens.llm.substrings import mixed
 
-#: What ends a piece of text, and what parts its words, in Java's and RE2's spelling.
-PIECE_END, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
-#: Words of a long piece that one row holds.
-CHUNK = 2048
+#: Marks and line ends part a text into pieces; they all become line feeds.
+MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
+_ENDS = bytes.maketrans(MARKS, b"\n" * len(MARKS))
+#: Words that are counted together in a task before rows are given out.
+CHUNK = 1 << 19
 #: Tasks that each language's phrases are ranked in before the last ranking, which sees the best of each.
 RANKERS = 64
 
 
-def pieces(docs: DataFrame, text_col: str, lang_col: str, longest: int) -> DataFrame:
-    """(lang, w, n): the words of each piece; of a long one as many rows as need be, of which each begins n places and has the words behind them."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE_END)).alias("piece"))
-    words = rows.select("lang", F.array_remove(F.split("piece", BLANKS), "").alias("words")).where(F.size("words") > 0)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / CHUNK).cast("int")))
-    chunks = words.select("lang", "words", at.alias("at"))
-    own = F.when(F.size("words") <= CHUNK, F.col("words")).otherwise(F.slice("words", F.col("at") * CHUNK + 1, F.lit(CHUNK + longest - 1)))
-    return chunks.select("lang", own.alias("w"), F.least(F.lit(CHUNK), F.size("words") - F.col("at") * CHUNK).alias("n"))
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[int], list[str]]]:
+    """The words of texts, A-Z in lower case, the lengths of the pieces that they make up, and the pieces' languages; CHUNK words or somewhat more at once."""
+    words, lengths, langs = [], [], []
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            for piece in text.as_py().encode("utf-8", "surrogatepass").lower().translate(_ENDS).split(b"\n"):
+                if own := piece.split():
+                    words += own
+                    lengths.append(len(own))
+                    langs.append(lang)
+            if len(words) >= CHUNK:
+                yield words, lengths, langs
+                words, lengths, langs = [], [], []
+    if words:
+        yield words, lengths, langs
 
 
 def _hashes(words: np.ndarray, at: np.ndarray, size: int, salt: np.ndarray) -> np.ndarray:
@@ -75,7 +82,7 @@ def bit_table(frequent: DataFrame, size: int, most: int = 27) -> np.ndarray:
 
 
 def ngrams(rows: DataFrame, size: int, table: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, c): rows of counts, already added up in small batches, of the n-grams of `size` words that begin at one of the first n words of w.
+    """(lang, phrase, c): counts, added up over CHUNK words, of the n-grams of `size` words of rows (lang, text).
 
     An n-gram occurs no more often than its first and its last size - 1 words. So where table is given, those n-grams are left out
     of which it lacks one of these.
@@ -87,24 +94,29 @@ def ngrams(rows: DataFrame, size: int, table: np.ndarray | None) -> DataFrame:
         return table[at >> 3] >> (at & 7) & 1 == 1
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch["w"]
-            lengths, offsets = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-            own = lists.flatten().dictionary_encode()
-            codes, begins = own.indices.to_numpy(), np.minimum(batch["n"].to_numpy(), lengths - size + 1).clip(0)
-            row = np.repeat(np.arange(batch.num_rows), begins)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(begins) - begins, begins) + offsets[row]
-            lang = batch["lang"].dictionary_encode()
-            if table is not None:
-                words, salt = _word_hashes(own.dictionary)[codes], _word_hashes(lang.dictionary)[lang.indices.to_numpy()]
+        for words, counts, langs in pieces(batches):
+            own, lang = pa.array(words, pa.binary()).dictionary_encode(), pa.array(langs).dictionary_encode()
+            codes, lang_codes = own.indices.to_numpy().astype(np.int64), lang.indices.to_numpy()
+            lengths = np.array(counts)
+            begins = (lengths - size + 1).clip(0)
+            at = np.arange(begins.sum()) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(begins) - begins), begins)
+            of = np.repeat(lang_codes, begins)
+            if size == 1:
+                key = of * np.int64(len(own.dictionary)) + codes[at]
+            else:
+                hashed, salts = _word_hashes(own.dictionary)[codes], _word_hashes(lang.dictionary)
                 for shift in (0, 1):
-                    keep = held(_hashes(words, at + shift, size - 1, salt[row]))
-                    row, at = row[keep], at[keep]
-            phrase = own.dictionary.take(pa.array(codes[at]))
+                    keep = held(_hashes(hashed, at + shift, size - 1, salts[of]))
+                    of, at = of[keep], at[keep]
+                key = _hashes(hashed, at, size, salts[of]).view(np.int64)
+            # One place stands for all that have its key.
+            found = pa.table({"key": key, "at": np.arange(len(key))}).group_by("key", use_threads=False).aggregate([("at", "min"), ("at", "count")])
+            first = found["at_min"].to_numpy()
+            phrase = own.dictionary.take(pa.array(codes[at[first]]))
             for k in range(1, size):
-                phrase = pa.compute.binary_join_element_wise(phrase, own.dictionary.take(pa.array(codes[at + k])), " ")
-            added = pa.table({"lang": lang.dictionary.take(pa.array(lang.indices.to_numpy()[row])), "phrase": phrase}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-            yield from added.rename_columns(["lang", "phrase", "c"]).to_batches()
+                phrase = pa.compute.binary_join_element_wise(phrase, own.dictionary.take(pa.array(codes[at[first] + k])), b" ")
+            out = pa.table({"lang": lang.dictionary.take(pa.array(of[first])), "phrase": phrase.cast(pa.string()), "c": found["at_count"]})
+            yield from out.to_batches(max_chunksize=1 << 16)
 
     return rows.mapInArrow(solve, "lang string, phrase string, c long")
 
@@ -132,11 +144,12 @@ def collocations(
 
     Sums and products are decimals of 38 digits, and quotients whole numbers, so nothing is rounded. A null language is `und`;
     null and empty texts, and texts of marks and blanks, give nothing; repeated rows count as often as they are there; other
-    columns aren't read; an empty table gives no rows. A very long piece is worked on in chunks that overlap.
+    columns aren't read; an empty table gives no rows. A text is taken apart whole, in memory in proportion to its length.
     """
-    rows, levels, table = pieces(docs, text_col, lang_col, longest), [], None
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
+    levels, table = [], None
     for size in range(1, longest + 1):
-        counts = ngrams(rows, size, table).groupBy("lang", "phrase").agg(F.sum("c").alias("a")).withColumn("size", F.lit(size))
+        counts = ngrams(texts, size, table).groupBy("lang", "phrase").agg(F.sum("c").alias("a")).withColumn("size", F.lit(size))
         # All single words stay for the languages' totals.
         counts = stored(counts.where(F.col("a") >= least) if size > 1 else counts)
         if size == 1:

@@ -54,7 +54,7 @@ def test_matches_brute_force(spark):
     assert [t for _, t in got.dtypes] == ["string", "bigint", "string", *["bigint"] * 5]
 
 
-def test_long_pieces_are_cut_without_loss(spark, monkeypatch):
+def test_chunks_add_up(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(" ".join(rng.choice("abcdef") for _ in range(n)), "en") for n in (1, 2, 3, 9, 10, 11, 12, 13, 14, 57, 400)]
     monkeypatch.setattr(col, "CHUNK", 10)
