@@ -70,3 +70,28 @@ def file_stem(url: Column) -> Column:
 def nearest_width(wanted: Column) -> Column:
     """The nearest width offered, the smaller one of two."""
     return F.array_min(F.array(*[F.struct(F.abs(wanted - w).alias("d"), F.lit(w).alias("w")) for w in IMAGE_WIDTHS]))["w"]
+
+
+def _without_dots(p: Column) -> Column:
+    """A path whose . and .. steps are taken."""
+    steps = F.split(p, "/")
+    last = F.element_at(steps, -1)
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, step: F.when(step == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).when(step == ".", done).otherwise(F.array_append(done, step)),
+    )
+    return F.concat(F.array_join(walked, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+
+def absolute(base: Column, url: Column) -> Column:
+    """url as it is meant on a page at base: absolute, from the host, from the root, or from the page's folder; null stays null."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(path(base) == "", F.lit("/")).otherwise(F.regexp_extract(path(base), r"^(.*/)", 1))
+    own, rest = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    full = F.when(full.rlike(r"/[.]{1,2}(/|$)"), _without_dots(full)).otherwise(full)
+    return (
+        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]+:)", 1), url)).when(url == "", base)
+        .when(url.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), url)).when(url.startswith("?"), F.concat(page, url)).otherwise(F.concat(root, full, rest))
+    )

@@ -227,47 +227,6 @@ def discover_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return rows.mapInPandas(scan, "id long, place int, link string, title string, pattern string, headed boolean").withColumnRenamed("id", id_col)
 
 
-FEED = "url string, title string, place int, image string"
-
-
-def feed_links(text: str | None) -> list[tuple[str, str, int, str | None]]:
-    """(url, title, place, image) of the items of an RSS or Atom feed; an unreadable feed has none."""
-    from xml.etree import ElementTree
-
-    try:
-        root = ElementTree.fromstring(text or "")
-    except ElementTree.ParseError:
-        return []
-    name = lambda e: e.tag.rpartition("}")[2]
-    out = []
-    for n, item in enumerate(e for e in root.iter() if name(e) in ("item", "entry")):
-        link, title, image = "", "", None
-        ranked = []
-        for e in item:
-            if name(e) == "title":
-                title = (e.text or "").strip()
-            elif name(e) == "link":
-                ranked.append((0 if e.get("rel") == "alternate" or not e.get("href") else 1 if e.get("rel") is None else 2, len(ranked), e.get("href") or (e.text or "").strip()))
-            elif name(e) in ("content", "thumbnail") and e.get("url"):
-                image = image or e.get("url")
-            elif name(e) == "enclosure" and (e.get("type") or "").startswith("image"):
-                image = image or e.get("url")
-        link = min(ranked)[2] if ranked else ""
-        if link:
-            out.append((link, title, n, image))
-    return out
-
-
-def scan_feeds(feeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, url, title, place, image): a row an item of each feed text."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(i, *x) for i, t in zip(batch["id"], batch["text"]) for x in feed_links(t)], columns=["id", "url", "title", "place", "image"])
-
-    return feeds.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scan, f"id long, {FEED}").withColumnRenamed("id", id_col)
-
-
 def select(root: Node, selector: str) -> Node | None:
     """The first node that a selector of tags, .classes, #ids and descendants matches; commas give alternatives."""
     for option in selector.split(","):

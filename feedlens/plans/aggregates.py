@@ -114,7 +114,7 @@ def feed_rate(r: Reader) -> DataFrame:
     return r.feed_articles.groupBy("source_id").agg(rate.alias("per_day"))
 
 
-@query("A33 S20", """
+@query("A33", """
 WITH n AS (SELECT coalesce(primary_topic, 'none') AS label, count(*) AS k FROM feed_articles GROUP BY 1),
 e AS (SELECT coalesce(primary_topic, 'none') AS label, id, row_number() OVER (PARTITION BY coalesce(primary_topic, 'none') ORDER BY id) AS p FROM feed_articles)
 SELECT n.label, n.k, round(n.k * 100.0 / (SELECT sum(k) FROM n), 6) AS share, (SELECT string_agg(CAST(id AS VARCHAR), ';' ORDER BY id) FROM e WHERE e.label = n.label AND p <= 5) AS examples FROM n""")

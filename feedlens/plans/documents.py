@@ -14,7 +14,7 @@ from feedlens.sources import sinks
 from feedlens.sources.tables import Reader
 
 
-@query("D01 D02 D05 D06 D07 D08 D09 D12 D20 D22 F22 F26 F27 S01")
+@query("D01 D02 D05 D06 D07 D08 D09 D12 D20 D22 F22 F26 F27")
 def extract_articles(r: Reader) -> DataFrame:
     return html.extract_articles(r.pages)
 
@@ -86,17 +86,6 @@ def public_hosts(r: Reader) -> DataFrame:
     return r.pages.select("page_id", of("url").alias("public"))
 
 
-@query("S03 S04")
-def feed_scan(r: Reader) -> DataFrame:
-    """Every article, out of feed documents of up to 50 items."""
-    item = F.concat(F.lit("<item><title>"), F.col("id").cast("string"), F.lit("</title><link>"), "url", F.lit("</link></item>"))
-    document = F.xxhash64("source_id", F.floor(F.col("id") / 50))
-    texts = r.feed_articles.groupBy(document.alias("feed")).agg(
-        F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("text")
-    )
-    return html.scan_feeds(texts, "feed", "text")
-
-
 @query("S05", """
 SELECT id AS source_id, CASE id % 4 WHEN 0 THEN 'https://site' || id || '.example/' WHEN 1 THEN 'https://' || name || '.example/home' WHEN 2 THEN 'https://atom' || id || '.example' END AS site_url FROM feed_sources""")
 def channel_links(r: Reader) -> DataFrame:
@@ -171,14 +160,6 @@ def marker_reassembly(r: Reader) -> DataFrame:
     return back.select("l_orderkey", (ids == F.col("sent")).alias("accepted"))
 
 
-@query("S07", "SELECT page_id, CAST(page_id AS VARCHAR) AS title, 'a' || chr(10) || 'b' AS content FROM pages")
-def embedded_json(r: Reader) -> DataFrame:
-    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"title":"'), F.col("page_id").cast("string"), F.lit('","blocks":[{"t":"a"},{"t":"b"}]}</script>'), "html")
-    raw = F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
-    data = F.from_json(raw, "title string, blocks array<struct<t:string>>")
-    return r.pages.select("page_id", data["title"].alias("title"), F.array_join(F.transform(data["blocks"], lambda b: b["t"]), "\n").alias("content"))
-
-
 @query("F19")
 def content_dates(r: Reader) -> DataFrame:
     @pandas_udf("string")

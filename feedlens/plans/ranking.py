@@ -201,7 +201,7 @@ def seeded_random_page(r: Reader) -> DataFrame:
     return r.feed_articles.select("id", key.alias("key")).orderBy("key", "id").limit(100)
 
 
-@query("W09", """
+@query("O05", """
 SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY md5('visit-1-' || id), id) AS place FROM feed_articles WHERE is_read = 0""")
 def seeded_shuffle(r: Reader) -> DataFrame:
     """Unread articles of each source in an order that a visit's seed fixes, so that pages of it fit together."""

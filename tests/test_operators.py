@@ -199,9 +199,6 @@ def test_article():
 def test_links_feeds_selectors():
     page = '<nav><a href="/x">no</a></nav><div class="list"><h2><a href="/a#t">First</a></h2><a href="b">Second</a></div>'
     assert [(x[1], x[2]) for x in html.links_of(page, "https://h.e/")] == [("https://h.e/a", "First"), ("https://h.e/b", "Second")]
-    rss = "<rss><channel><link>https://s</link><item><title>T</title><link>https://a</link><enclosure type='image/png' url='i'/></item></channel></rss>"
-    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>E</title><link rel='self' href='s'/><link rel='alternate' href='https://e'/></entry></feed>"
-    assert html.feed_links(rss) == [("https://a", "T", 0, "i")] and html.feed_links(atom) == [("https://e", "E", 0, None)] and html.feed_links("<broken") == []
     root = html.tree('<div id="m" class="x y"><p>a</p><span class="z">b</span></div>')
     assert html.select(root, "div.x .z").text() == "b" and html.select(root, "#m p").text() == "a" and html.select(root, "ul, span").text() == "b" and html.select(root, "ul") is None
 
