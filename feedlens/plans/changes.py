@@ -77,7 +77,7 @@ def last_state(r: Reader) -> DataFrame:
     return last.select("user_id", "article_id", F.col("event_type").alias("state"), F.col("created_at").alias("changed"))
 
 
-@query("T11", """
+@query("T12", """
 WITH o AS (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS place, id % 97 = 96 AS fails FROM user_article_events WHERE event_type IN ('open', 'read_complete')),
 f AS (SELECT user_id, min(place) AS stop FROM o WHERE fails GROUP BY 1)
 SELECT id, user_id, place < coalesce(stop, place + 1) AS sent FROM o LEFT JOIN f USING (user_id)""")
@@ -233,7 +233,7 @@ def interaction_pairs(r: Reader) -> DataFrame:
     return r.feed_articles.select("id", boost.cast("double").alias("boost")).fillna(0.0, ["boost"])
 
 
-@query("T01 T02", """
+@query("T01", """
 SELECT e.article_id, count(*) AS n, max(e.created_at) AS last_seen_at FROM user_article_events e WHERE e.event_type = 'impression' GROUP BY 1""")
 def stream_ingest(r: Reader) -> DataFrame:
     """Impression counters kept by a stream over the event files, up to what has landed."""

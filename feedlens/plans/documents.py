@@ -127,7 +127,7 @@ def opml_sink(r: Reader) -> DataFrame:
     return sinks.opml_lines(r.feed_sources, r.categories, "https://reader.example")
 
 
-@query("J11 T09", r"""
+@query("J11", r"""
 SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN 'kept ' || id END, trim(substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 160))) AS snippet, id % 3 = 0 AS filled FROM feed_articles""".replace("\\\\", "\\"))
 def snippet_fallback(r: Reader) -> DataFrame:
     """Snippets as stored; contents are read for those rows alone that have none yet."""

@@ -170,7 +170,7 @@ def exploration_slots(r: Reader) -> DataFrame:
     return rerank.rerank_pages(page_of(r), every=10)
 
 
-@query("K12 W05")
+@query("W05")
 def feature_cards(r: Reader) -> DataFrame:
     """Large cards of a page in the order of its scores: articles with an image among the page's best tenth, four others between two."""
     from pyspark.sql import Window

@@ -86,6 +86,7 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     parts = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})".replace("TS '", "TIMESTAMP '") for n in used]
     body = sql.strip()
-    if parts and body.upper().startswith("WITH "):
-        return f"WITH {', '.join(parts)}, {body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if parts and body.upper().startswith(opening):
+            return f"{opening}{', '.join(parts)}, {body[len(opening):]}"
     return f"WITH {', '.join(parts)} {body}" if parts else body
