@@ -356,10 +356,11 @@ LEFT_OVER = "kind int, follows boolean, first long, last long, " + PLACES
 def left_over(places: DataFrame, found: DataFrame, seed: int, least: int) -> DataFrame:
     """What the found passages leave, in one pass over the places: rows of two kinds.
 
-    Kind 0 has PLACES: runs that follow a leader and of which no window lies in a found passage, under the signatures and
-    distances of two and of four shared runs of the document in a row; that is a longer agreement, under which others lead.
-    Kind 1 has k, doc, follows, first, last: windows of `least` shingles, by the run that they begin in, all of whose signatures two
-    documents have and that no found passage holds.
+    Kind 0 has PLACES: runs that follow a leader and of which no window lies in a found passage, under their signatures and
+    under those and the distances of two and of four shared runs of the document in a row. The leader that failed isn't among them,
+    so the next document leads; and a longer agreement has other leaders still.
+    Kind 1 has k, doc, first, last: windows of `least` shingles, by the run that they begin in, all of whose signatures two
+    documents have, in documents that follow, and that no found passage holds.
     """
     rows = places.select("doc", F.lit(1).alias("t"), F.col("at").alias("a"), F.col("k").alias("b"), (F.col("doc") > F.col("ldoc")).alias("follows"))
     spans = found.select("doc", F.lit(0).alias("t"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"), F.lit(False).alias("follows"))
@@ -385,7 +386,7 @@ def left_over(places: DataFrame, found: DataFrame, seed: int, least: int) -> Dat
             return (n >= 0) & (reach[n] >= end) if len(start) else np.zeros(len(begin), bool)
 
         alone = follows & ~held(last, first + seed + SHINGLE - 1)
-        for runs in (2, 4):
+        for runs in (1, 2, 4):
             n = len(at) - runs + 1
             if n < 1:
                 continue
@@ -404,7 +405,7 @@ def left_over(places: DataFrame, found: DataFrame, seed: int, least: int) -> Dat
         sizes = to[some] - first[some] + 1
         begins = np.cumsum(sizes) - sizes
         x = np.repeat(first[some] - begins, sizes) + np.arange(sizes.sum())
-        free = ~held(x, x + least + SHINGLE - 1)
+        free = ~held(x, x + least + SHINGLE - 1) & np.repeat(follows[some], sizes)
         low = np.minimum.reduceat(np.where(free, x, np.iinfo(np.int64).max), begins)
         high = np.maximum.reduceat(np.where(free, x, -1), begins)
         keep = high >= low
@@ -443,11 +444,15 @@ def _marked(ranges, n: int) -> np.ndarray:
     return np.cumsum(on)[:-1] > 0
 
 
-def exact_repeats(texts: DataFrame, left: DataFrame, least_words: int) -> DataFrame | None:
+def exact_repeats(texts: DataFrame, places: DataFrame, left: DataFrame, least_words: int) -> DataFrame | None:
     """FOUND, jaccard 1: runs of at least least_words words, beginning in the windows left (kind 1 of left_over), that a document
-    with a smaller id has; of equal runs the first leads. None where there are none."""
-    asked = left.where("follows").select("k").distinct()
-    wanted = stored(left.join(asked, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
+    with a smaller id has; of equal runs the first leads. None where there are none.
+
+    Any document that has a window's signature may lead, whether its own passage was found or not."""
+    asked, asking = stored(left.select("k").distinct()), stored(left.select("doc").distinct())
+    first = _first(F.col("at"))
+    holders = places.select("k", "doc", "at").join(asked, "k", "left_semi").select("doc", first.alias("first"), (first + _more(F.col("at"))).alias("last"))
+    wanted = stored(left.select("doc", "first", "last").union(holders).groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
     n = wanted.count()
     if not n:
         return None
@@ -466,7 +471,7 @@ def exact_repeats(texts: DataFrame, left: DataFrame, least_words: int) -> DataFr
                 yield chunk_places(w, d, c)
 
     rows = texts.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "ranges").mapInPandas(windows, PLACES)
-    met = led(rows).where("ldoc < doc").select("doc", F.col("at").alias("c"), F.col("ldoc").alias("rdoc"), F.col("lat").alias("rc"))
+    met = led(rows).where("ldoc < doc").join(asking, "doc", "left_semi").select("doc", F.col("at").alias("c"), F.col("ldoc").alias("rdoc"), F.col("lat").alias("rc"))
     shift = F.col("c") - F.col("rc")
     place = F.row_number().over(Window.partitionBy("doc", "rdoc", shift).orderBy("c"))
     joined = met.withColumn("run", F.col("c") - place).groupBy("doc", "rdoc", shift.alias("shift"), "run")
@@ -484,7 +489,8 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The copies of a passage link to the first document that has the signature, not to each other, and the document with the smallest
     id to none. All exact repeats are found. A near-duplicate (Jaccard under 1) is missed only if each of the signatures that it
-    shares with another document is led by a third that has the signature but not the passage. The rows are the same however
+    shares with another document, alone and in a row, is led by a third that has the signatures but not the passage, and by a fourth
+    among those that the third leaves unfound. The rows are the same however
     docs is partitioned. Words are lower case in A-Z. Null ids, null texts and texts of fewer words take no part. Of rows that share an id the
     least text counts (equal rows are one), and passages inside one text are not reported. text_hash is xxhash64 of
     the document's text. Other columns aren't read; an empty table gives no rows.
@@ -499,7 +505,7 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = stored(intervals(led(left.where("kind = 0")), seed))
     if again.limit(1).count():
         found = found.union(verified(again, asked_texts(texts, again), least, similarity, seed + SHINGLE))
-    more = exact_repeats(texts, left.where("kind = 1"), least_words)
+    more = exact_repeats(texts, places, left.where("kind = 1"), least_words)
     if more is not None:
         found = found.unionByName(more)
     found = found.distinct()

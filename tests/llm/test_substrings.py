@@ -191,3 +191,37 @@ def test_without_words_keeps_what_is_around():
     assert sub.without_words("a  b\nc d", [(1, 3)]) == "a  d"
     assert sub.without_words("a b c", [(0, 2), (1, 3)]) == ""
     assert sub.without_words("a b", [(5, 9)]) == "a b"
+
+
+def test_near_duplicates_behind_two_partial_quotes(spark):
+    rng, rows = random.Random(21), []
+    for n in range(100):
+        one = [f"w{rng.randrange(100_000)}" for _ in range(52)]
+        two = [*one[:26], "changed", *one[27:]]
+        pad = lambda: [f"p{rng.randrange(100_000)}" for _ in range(30)]
+        rows += [(4 * n, pad() + one[:26] + pad()), (4 * n + 1, pad() + one[-25:] + pad()), (4 * n + 2, pad() + one + pad()), (4 * n + 3, pad() + two + pad())]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_doc_id"]) for r in sub.near_passages(docs).collect()}
+    assert got <= {(4 * n + 3, 4 * n + 2) for n in range(100)} and len(got) >= 95
+
+
+def test_exact_repeats_beside_near_duplicates(spark):
+    """Windows whose first holder repeats an earlier document nearly, and is held by that."""
+    rng, rows = random.Random(22), []
+    word = lambda: f"w{rng.randrange(100_000)}"
+    for n in range(40):
+        base = [word() for _ in range(140)]
+        middle = [*base[:60], word(), *base[61:]]
+        cut = rng.randrange(5, 85)
+        last = [*[word() for _ in range(20)], *middle[cut : cut + 52], *[word() for _ in range(20)], *base[80:130]]
+        rows += [(3 * n, base), (3 * n + 1, middle), (3 * n + 2, last)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {}
+    for r in sub.near_passages(docs).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    seen, missed = set(), 0
+    for i, w in rows:
+        windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        missed += sum(x in seen and not any(s <= k and k + 50 <= e for s, e in found.get(i, ())) for k, x in enumerate(windows))
+        seen |= set(windows)
+    assert missed == 0
