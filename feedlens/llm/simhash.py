@@ -9,6 +9,7 @@ spanning forest of its links, never all of them, so a large group of near copies
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -379,6 +380,39 @@ def _verified(pairs: DataFrame, words_of: DataFrame, words: int, similarity: flo
     return both.where(alike("ta", "tb")).select("a", "b")
 
 
+#: Sets of at most so many shingles are linked exactly: beside them, few bits stand for a shingle, and radii lose links.
+SMALL_SET = 11
+
+
+def small_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the texts (node, text) of at most SMALL_SET shingles: links that join just those with the similarity.
+
+    Sets of similarity s are what is left of both after each lost a few elements, at most the (1 - s)th part. So each set is filed
+    under what is left of it by each such loss. Of the sets with the same rest that with the fewest others leads; if two of them are
+    similar by their common rest, both are similar to it.
+    """
+
+    def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, text in zip(batch["node"], batch["text"]):
+                own = shingle_set(byte_words(text), words)
+                if not byte_words(text) or len(own) > SMALL_SET:
+                    continue
+                whole = mixed(own).sum(dtype=np.uint64)
+                for lost in range(len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1):
+                    for some in combinations(mixed(own).tolist(), lost):
+                        out.append((int(whole) - sum(some), len(own) - lost, node, lost))
+            keys, rest, nodes, lost = (np.array(x, object) for x in zip(*out)) if out else ([],) * 4
+            keys = np.array([k % (1 << 64) for k in keys], np.uint64).view(np.int64)
+            yield pd.DataFrame({"key": keys, "rest": np.array(rest, np.int64), "node": np.array(nodes, np.int64), "lost": np.array(lost, np.int64)})
+
+    rows = stored(texts.select("node", "text").mapInPandas(filed, "key long, rest long, node long, lost long"))
+    leads = rows.groupBy("key", "rest").agg(F.min(F.struct("lost", "node")).alias("lead"), F.count("*").alias("m")).where("m > 1").select(F.struct("key", "rest").alias("of"), "lead")
+    met = lookup(rows.withColumn("of", F.struct("key", "rest")), stored(leads), "of").where("node <> lead.node")
+    return met.where(F.col("rest") >= similarity * (F.col("rest") + F.col("lost") + F.col("lead.lost")) - 1e-9).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = 2048, family_tile: int = 256,
 ) -> DataFrame:
@@ -390,9 +424,9 @@ def near_copies(
     other columns aren't read; an empty table gives no rows.
 
     Candidates lie within a quarter of the 256 bits of four fingerprints of the distinct shingles (and 22 of the first 64) and
-    have numbers of shingles that allow the similarity. Sets at a similarity of just 0.8 differ in more with a probability of
-    0.00002, more similar ones more seldom, and independent ones in no more with one of 1e-15, so neither links get lost nor
-    chance ones grow with the corpus. All links are verified on the shingles themselves: first each pair of tiles gives a
+    have numbers of shingles that allow the similarity. Sets of more than SMALL_SET shingles at a similarity of just 0.8 differ in more with a
+    probability of 0.00002, of 12 to 60 shingles 0.0002 at most, more similar ones more seldom, and independent ones in no more with one of 1e-15, so few links
+    get lost and chance ones don't grow with the corpus. Sets of at most SMALL_SET shingles are linked exactly (small_links). All other links are verified on the shingles themselves: first each pair of tiles gives a
     spanning forest of its candidates, closest first. Texts that then have candidates in another group are compared
     again, all of these candidates, with their shingle sets, family by family; no list of all pairs is ever written.
     """
@@ -411,7 +445,8 @@ def near_copies(
         return _texts_of(rows, stored(named.join(nodes.distinct(), "node", "left_semi")))
 
     pairs = stored(_candidates(texts.withColumn("label", F.col("node")), similarity, tile).distinct())
-    links_ = stored(_verified(pairs, among(pairs, "a", "b"), words, similarity))
+    tiny = stored(named.join(texts.where(F.col("n") <= SMALL_SET).select("node"), "node", "left_semi"))
+    links_ = stored(_verified(pairs, among(pairs, "a", "b"), words, similarity).union(small_links(_texts_of(rows, tiny), words, similarity)))
     groups = stored(components(links_))
     labelled = stored(texts.join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
     # Texts whose candidates belong to other groups, by family: the candidates of a text are all in its family.

@@ -106,3 +106,31 @@ def test_spanning_pairs_span():
     i, j = rng.integers(0, 50, 80), rng.integers(0, 50, 80)
     a, b = simhash.spanning_pairs(50, i, j, rng.integers(0, 5, 80))
     assert np.array_equal(simhash.forest(50, a, b), simhash.forest(50, i, j)) and len(a) == 50 - len(set(simhash.forest(50, i, j)))
+
+
+def test_near_copies_of_small_texts_are_all_found(spark):
+    rng, rows = random.Random(31), []
+    for n in range(3000):
+        size = rng.randint(8, 15)
+        words = [f"w{rng.randrange(50_000)}" for _ in range(size)]
+        rows += [(2 * n, words), (2 * n + 1, words[:-1] if n % 2 else ["new", *words])]
+    linked = [(a, a + 1) for a in range(0, 6000, 2) if simhash.jaccard(" ".join(rows[a][1]), " ".join(rows[a + 1][1]), 5) >= 0.8]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert len(linked) > 2500 and got == groups(range(6000), linked)
+
+
+def test_small_links_match_brute_force(spark):
+    rng = random.Random(32)
+    base = [f"w{k}" for k in range(16)]
+    rows = []
+    for n in range(300):
+        words = base[rng.randrange(3) : 16 - rng.randrange(4)]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(3)}"
+        rows.append((n, " ".join(words[: rng.randint(1, 16)])))
+    for similarity in (0.8, 0.7, 1.0):
+        sets = {i: set(simhash.shingle_set(t.encode().split(), 5).tolist()) for i, t in rows}
+        small = [i for i in sets if len(sets[i]) <= simhash.SMALL_SET]
+        linked = [(a, b) for a in small for b in small if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+        found = simhash.small_links(spark.createDataFrame([(i, t) for i, t in rows] + [(900, ""), (901, " ")], "node long, text string"), 5, similarity)
+        assert groups(sets, [tuple(r) for r in found.collect()]) == groups(sets, linked)
