@@ -59,20 +59,32 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole epochs take the whole text, the last one, partial, the first part_tokens words, joined by single blanks; so the
     rows' texts have the budgeted tokens, n_tokens each, and n_chars is their length. epoch counts from 1, and domain is the
-    document's. Columns of these names are replaced. Rows are known by id and text: equal rows, and rows with a null id, are rows like any other,
-    but of equal ones each takes what the one that takes most does. Texts without words are in no epoch.
+    document's. Columns of these names are replaced. Equal rows, and rows with a null id, are rows like any other. Of rows with the same id,
+    text, language and source as many are taken as the budget says, all with the further columns of one of them. Texts without words are in no epoch.
     """
     keyed = docs.drop("domain", "epoch", "n_tokens").withColumn("__key", F.concat_ws("-", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
-    taken = queries.mixed(keyed.drop("doc_id").withColumnRenamed("__key", "doc_id")).where("taken_tokens > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(*[F.max(c).alias(f"__{c}") for c in ("domain", "n_tokens", "epochs", "part_tokens")])
-    last = (F.col("__part_tokens") > 0).cast("long")
-    rows = keyed.join(taken, F.col("__key") == F.col("__id")).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__epochs") + last)))
+    columns = {"doc_id": "__id", "domain": "__domain", "lang": "__lang", "source": "__source", "n_tokens": "__n_tokens", "epochs": "__epochs", "part_tokens": "__part_tokens"}
+    taken = stored(queries.mixed(keyed.drop("doc_id").withColumnRenamed("__key", "doc_id")).select(*[F.col(c).alias(n) for c, n in columns.items()]))
+    several = stored(taken.groupBy("__id").agg(F.count("*").alias("__m")).where("__m > 1").select(F.col("__id").alias("__several")))
+    taken = taken.where("__epochs > 0 or __part_tokens > 0")
+    same = F.col("__key") == F.col("__id")
+    if several.limit(1).count():
+        # Rows that are alike are taken by their number: each task's count of each share, for one row that stands for them.
+        repeated = F.col("__id") == F.col("__several")
+        counts = taken.join(several, repeated, "left_semi").groupBy(*taken.columns, F.spark_partition_id().alias("__task")).agg(F.count("*").alias("__m"))
+        one = keyed.join(several, F.col("__key") == F.col("__several"), "left_semi").dropDuplicates(["__key", "lang", "source"])
+        alike = one.join(counts, same & F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
+        alike = alike.withColumn("__m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m")))).drop("__m", "__task")
+        rows = keyed.join(taken.join(several, repeated, "left_anti"), same).unionByName(alike)
+    else:
+        rows = keyed.join(taken, same)
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__epochs") + (F.col("__part_tokens") > 0).cast("long"))))
     partial = F.col("epoch") > F.col("__epochs")
     prefix = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__part_tokens").cast("int")), " ")
     rows = rows.withColumns({
         "text": F.when(partial, prefix).otherwise(F.col("text")), "domain": F.col("__domain"), "n_tokens": F.when(partial, F.col("__part_tokens")).otherwise(F.col("__n_tokens")),
     })
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__key", "__id", "__domain", "__n_tokens", "__epochs", "__part_tokens")
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__key", *columns.values())
 
 
 STAGES = [
