@@ -114,6 +114,18 @@ def test_repeated_and_null_ids(spark, folder):
     assert all(r["n_tokens"] == len(r["text"].split()) for r in mixed.collect())
 
 
+def test_equal_rows_take_no_more_than_the_budget(spark, folder):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    same, also = text(100), text(60)
+    rows = [(None, same)] * 50 + [(7, also)] * 30 + [(n, text(100)) for n in range(100, 150)]
+    docs = spark.createDataFrame([(i, t, "en", "src1" if n % 2 else None, 0, "s", "e") for n, (i, t) in enumerate(rows)], SCHEMA).repartition(5)
+    mixed = dict(corpus_pipeline.STAGES)["mix"](spark, docs, folder).collect()
+    total = sum(len(t.split()) for _, t in rows)
+    assert 0.55 * total < sum(r["n_tokens"] for r in mixed) <= 0.6 * total and all(r["n_tokens"] == len(r["text"].split()) for r in mixed)
+    assert 5 < sum(r["doc_id"] is None for r in mixed) < 50
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
