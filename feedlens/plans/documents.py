@@ -195,10 +195,15 @@ def restored_attributes(r: Reader) -> DataFrame:
 
 
 @query("F49", r"""
-WITH t AS (SELECT id, 'Translated by Qwen: ' || title AS a, 'TOP > News > ' || title AS b FROM feed_articles), p AS (SELECT id, a, b, string_split_regex(b, '[>＞›»]') AS parts FROM t),
+WITH t AS (SELECT id, ltrim(title, ':—–- ' || chr(9) || chr(10) || chr(13)) AS bare, title, 'TOP > News > ' || title AS b FROM feed_articles), p AS (SELECT *, string_split_regex(b, '[>＞›»]') AS parts FROM t),
 k AS (SELECT *, coalesce(list_min(list_filter(range(1, len(parts)), lambda i: NOT (length(trim(parts[i])) BETWEEN 1 AND 24 AND NOT regexp_matches(parts[i], '[。.!?！？\n]')))), len(parts)) - 1 AS steps FROM p)
-SELECT id, trim(ltrim(ltrim(substr(a, 15), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789()_,.- ' || chr(9) || chr(10) || chr(13)), ':—–- ' || chr(9) || chr(10) || chr(13))) AS title,
- CASE WHEN steps < 2 THEN b ELSE ltrim(substr(b, CAST(list_sum(list_transform(parts[1:steps], lambda x: length(x) + 1)) AS BIGINT) + 1)) END AS plain FROM k""")
+SELECT id, trim(CASE id % 5 WHEN 0 THEN bare WHEN 1 THEN 'A novel translated by Jane Doe wins: ' || title WHEN 2 THEN 'Also ' || bare WHEN 3 THEN bare ELSE 'Not translated by hand, but ' || title END) AS title,
+ CASE WHEN steps < 2 THEN b ELSE ltrim(substr(b, CAST(list_sum(list_transform(parts[1:steps], lambda x: length(x) + 1)) AS BIGINT) + 1)) END AS plain,
+ CASE id % 4 WHEN 0 THEN 'News' WHEN 1 THEN 'Japan' WHEN 2 THEN 'Plain 📰' ELSE '🔥' END AS category FROM k""")
 def display_texts(r: Reader) -> DataFrame:
-    title = F.col("title")
-    return r.feed_articles.select("id", text.clean_translation_tag(F.concat(F.lit("Translated by Qwen: "), title)).alias("title"), text.strip_breadcrumb(F.concat(F.lit("TOP > News > "), title)).alias("plain"))
+    """Titles without the translator's tag, which stands in front, or behind a globe, or is no tag but text; without trails; and categories without pictographs."""
+    title, n = F.col("title"), F.col("id") % 5
+    told = lambda words: F.concat(F.lit(words), title)
+    tagged = F.when(n == 0, told("Translated by Qwen: ")).when(n == 1, told("A novel translated by Jane Doe wins: ")).when(n == 2, told("Also 🌐 translated by Qwen 2.5 (max) — ")).when(n == 3, told(" 🌐 TRANSLATED BY lmt: ")).otherwise(told("Not translated by hand, but "))
+    names = F.array(F.lit("🗞️ News"), F.lit("🇯🇵 Japan"), F.lit("Plain 📰"), F.lit("🔥"))
+    return r.feed_articles.select("id", text.clean_translation_tag(tagged).alias("title"), text.strip_breadcrumb(told("TOP > News > ")).alias("plain"), text.category_label(F.get(names, (F.col("id") % 4).cast("int"))).alias("category"))

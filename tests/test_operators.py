@@ -226,3 +226,16 @@ def test_votes_cancel_out(spark):
     articles = spark.createDataFrame([(i, "T", '["A"]', "unknown", "News") for i in (1, 2)], "id long, primary_topic string, secondary_topics string, region string, article_type string")
     got = {(r["axis"], r["label"]): r for r in weights.vote_tally(votes, articles, F.to_timestamp_ntz(F.lit("2024-01-31"))).collect()}
     assert set(got) == {("topic", "T"), ("secondary", "a"), ("type", "News")} and all(r["tally"] == 0 and r["votes"] == 2 for r in got.values())
+
+
+def test_translation_tags_and_category_names(spark):
+    from feedlens.functions import text
+
+    tags = {
+        "A novel translated by Jane Doe wins": "A novel translated by Jane Doe wins", "🌐🌐 Translated by X-1 (v2): t": "t", " a 🌐  Translated by X — b": "a b", "Translated by A: Translated by B: c": "Translated by B: c",
+        "": "", "x 🌐Translated byZ": "x 🌐Translated byZ", "TRANSLATED BY q": "", "a 🌐 translated by X: b 🌐 translated by Y: c": "a b c",
+    }
+    names = {"🗞️ News": "News", "🇯🇵日本": "日本", "🔥": "🔥", "© 2024": "2024", "Plain 📰": "Plain 📰", "": ""}
+    for clean, want in ((text.clean_translation_tag, tags), (text.category_label, names)):
+        rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", clean(F.col("s")).alias("c"))
+        assert {r["s"]: r["c"] for r in rows.collect()} == want
