@@ -54,6 +54,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches have at most so many rows and bytes, fewer where it asks for fewer.
+
+    A batch of 10,000 texts is in memory several times over, outside the JVM's heap and in each Python worker; a small one costs little more time.
+    """
+    for name, most in ((ARROW_ROWS, rows), (ARROW_BYTES, size)):
+        given = re.match(r"-?\d+", spark.conf.get(name, None) or "")
+        if not given or not 0 < int(given[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
 def one_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text): one row for each id, of rows that share it the least text. Null ids and null texts are left out."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
