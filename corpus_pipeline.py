@@ -6,13 +6,15 @@ copies, and holds no passages and no benchmark item. Each stage says what it doe
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import decontaminate, queries, simhash, substrings, toxicity
-from feedlens.llm.common import WORD, shared_dir, stored, table
+from feedlens.llm.common import WORD, shared_dir, small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,12 +89,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__key", *columns.values())
 
 
+def light(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with small Arrow batches, which stay set: what a stage returns is worked on after it has returned."""
+
+    @functools.wraps(stage)
+    def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return of
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash", drop_near_copies),
-    ("substrings", cut_repeats),
-    ("decontaminate", drop_contaminated),
-    ("mix", mix_sources),
+    ("toxicity", light(drop_toxic)),
+    ("simhash", light(drop_near_copies)),
+    ("substrings", light(cut_repeats)),
+    ("decontaminate", light(drop_contaminated)),
+    ("mix", light(mix_sources)),
 ]
 
 #: Neither the fitted classifier nor the passage search can be said in SQL; tests hold run() against a brute-force version.
