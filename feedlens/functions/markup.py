@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the title rule, in the order in which they are tried.
 SEPARATORS = (" | ", " - ", " – ", " — ", " :: ", " » ", " ｜ ", "｜")
-AD_PARTS = ("logo", "ads.")
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
@@ -16,8 +15,10 @@ def _first(html: Column, pattern: str) -> Column:
 
 
 def language(html: Column) -> Column:
+    """The language that a page or feed states, in lower case: in its content-language, its html element, its language element, or anywhere by xml:lang; else en."""
     stated = _first(html, r"""(?i)<meta[^>]+http-equiv=["']content-language["'][^>]+content=["']([^"']+)""")
-    return F.coalesce(stated, _first(html, r"""(?i)<html[^>]*\slang=["']([^"']+)"""), F.lit("en"))
+    of_page, of_feed, of_xml = _first(html, r"""(?i)<html[^>]*\slang=["']?([^\s"'>]+)"""), _first(html, r"(?i)<language>\s*([^<]*?)\s*</language>"), _first(html, r"""(?i)xml:lang=["']([^"']+)""")
+    return F.lower(F.trim(F.coalesce(stated, of_page, of_feed, of_xml, F.lit("en"))))
 
 
 def _date(text: Column, pattern: str, form: str) -> Column:
@@ -79,13 +80,6 @@ def bounded_srcset(srcset: Column, most: int) -> Column:
     return F.coalesce(F.array_max(F.filter(found, lambda c: c["w"] <= most))["u"], F.array_max(found)["u"])
 
 
-def is_boilerplate_image(src: Column, width: Column, height: Column) -> Column:
-    marked = F.lit(False)
-    for part in AD_PARTS:
-        marked |= F.contains(F.lower(src), F.lit(part))
-    return marked | (width < 150) | (height < 10) | (width > 15 * F.greatest(height, F.lit(1)))
-
-
 def escaped(text: Column, quotes: bool = False) -> Column:
     """text as XML character data, or as an attribute's value."""
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"),) if quotes else ())):

@@ -59,12 +59,6 @@ def bilingual_blocks(r: Reader) -> DataFrame:
     return blocks.select("id", F.size("orig").alias("n"), F.array_join(both, "\n").alias("both"))
 
 
-@query("D17", r"""
-SELECT page_id, regexp_replace(html, '(<img[^>]+src=["''])(https?://[^"'']+)', '\1/cache?u=\2', 'g') AS html FROM pages""")
-def rewritten_sources(r: Reader) -> DataFrame:
-    return r.pages.select("page_id", F.regexp_replace("html", r"""(<img[^>]+src=["'])(https?://[^"']+)""", "$1/cache?u=$2").alias("html"))
-
-
 @query("F43 X04")
 def glossary_localize(r: Reader) -> DataFrame:
     return r.feed_articles.select("id", localize.localize(F.concat(F.lit("<the>"), "content"), {"the": "le", "there": "là", "of": "de"}).alias("content"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import urls
 from feedlens.operators import relational as rel
 from feedlens.plans.registry import query
-from feedlens.sources.tables import Reader
+from feedlens.sources.tables import Reader, timestamp
 
 
 def effective():
@@ -208,13 +208,17 @@ def feed_name_search(r: Reader) -> DataFrame:
 
 
 @query("P31", """
-WITH n AS (SELECT s.id, count(a.id) AS links, count(a.id) FILTER (WHERE a.is_read = 1) AS before FROM feed_sources s LEFT JOIN feed_articles a ON a.source_id = s.id AND a.id % 2 = 0 GROUP BY s.id)
-SELECT id, links, CASE WHEN links = 0 THEN 'red' WHEN links * 2 < before THEN 'yellow' WHEN id % 7 > 5 THEN 'yellow' ELSE 'green' END AS health FROM n""")
+WITH n AS (SELECT s.id, count(a.id) FILTER (WHERE a.created_at >= TIMESTAMP '2024-01-16 00:00:00') AS links, count(a.id) FILTER (WHERE a.created_at < TIMESTAMP '2024-01-16 00:00:00') AS before FROM feed_sources s LEFT JOIN feed_articles a ON a.source_id = s.id GROUP BY s.id),
+t AS (SELECT source_id AS id, max(completion_tokens) / 139.0 AS seconds FROM translation_usage GROUP BY 1)
+SELECT id, links, CASE WHEN links = 0 THEN 'red' WHEN coalesce(seconds, 0) > 5 OR (before > 0 AND links * 2 < before) THEN 'yellow' ELSE 'green' END AS health FROM n LEFT JOIN t USING (id)""")
 def source_health(r: Reader) -> DataFrame:
-    n = r.feed_articles.where("id % 2 = 0").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links"), F.count_if(F.col("is_read") == 1).alias("before"))
-    n = r.feed_sources.select("id").join(n, "id", "left").fillna(0)
-    slow = F.col("id") % 7 > 5
-    return n.select("id", "links", F.when(F.col("links") == 0, "red").when(F.col("links") * 2 < F.col("before"), "yellow").when(slow, "yellow").otherwise("green").alias("health"))
+    """A check of each source: its links of the month's second half against those of the first, and the time of its slowest request."""
+    late = F.col("created_at") >= timestamp("2024-01-16 00:00:00")
+    n = r.feed_articles.groupBy(F.col("source_id").alias("id")).agg(F.count_if(late).alias("links"), F.count_if(~late).alias("before"))
+    took = r.translation_usage.groupBy(F.col("source_id").alias("id")).agg((F.max("completion_tokens") / 139.0).alias("seconds"))
+    n = r.feed_sources.select("id").join(n, "id", "left").join(took, "id", "left").fillna(0)
+    fewer = (F.col("before") > 0) & (F.col("links") * 2 < F.col("before"))
+    return n.select("id", "links", F.when(F.col("links") == 0, "red").when((F.col("seconds") > 5) | fewer, "yellow").otherwise("green").alias("health"))
 
 
 @query("J02", "SELECT a.id, v.vote, v.updated_at AS voted_at FROM feed_articles a LEFT JOIN article_votes v ON v.article_id = a.id")

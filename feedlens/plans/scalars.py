@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.functions import markup, numbers, text, urls
+from feedlens.functions import images, markup, numbers, text, urls
 from feedlens.plans.registry import query
 from feedlens.sources.tables import Reader
 
@@ -52,9 +52,15 @@ def translated_from(r: Reader) -> DataFrame:
 
 
 @query("F16 F17", r"""
-SELECT page_id, lower(coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+http-equiv=["'']content-language["''][^>]+content=["'']([^"'']+)', 1), ''), nullif(regexp_extract(html, '(?i)<html[^>]*\slang=["'']([^"'']+)', 1), ''), 'en')) AS lang FROM pages""")
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN lower(coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+http-equiv=["'']content-language["''][^>]+content=["'']([^"'']+)', 1), ''), nullif(regexp_extract(html, '(?i)<html[^>]*\slang=["'']([^"'']+)', 1), ''), 'en'))
+ WHEN 1 THEN 'ja' WHEN 2 THEN 'zh-tw' WHEN 3 THEN 'fr-ca' ELSE 'en' END AS lang FROM pages""")
 def page_language(r: Reader) -> DataFrame:
-    return r.pages.select("page_id", F.lower(markup.language(F.col("html"))).alias("lang"))
+    """Of pages, and of the same as feeds or with other ways to say it."""
+    bare = F.regexp_replace("html", r"(?i)<html[^>]*>", "")
+    with_ = lambda before: F.concat(F.lit(before), bare)
+    n = F.col("page_id") % 5
+    html = F.when(n == 0, F.col("html")).when(n == 1, with_("<rss><channel><Language> JA\n</Language>")).when(n == 2, with_("<feed xml:lang='zh-TW'>")).when(n == 3, with_("<html class=x lang=fr-CA>")).otherwise(bare)
+    return r.pages.select("page_id", markup.language(html).alias("lang"))
 
 
 DATES = """WITH d AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT10:00:00Z') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y')
@@ -193,14 +199,70 @@ def display_choices(r: Reader) -> DataFrame:
     return r.feed_articles.select("id", native.alias("native"), focal.alias("focal"), source.alias("came_from"))
 
 
-@query("D11 P19", """
-WITH i AS (SELECT page_id, 'https://cdn.' || CASE page_id % 3 WHEN 0 THEN 'ads.example' ELSE 'img.example' END || '/' || CASE page_id % 4 WHEN 0 THEN 'logo' ELSE 'photo' END || page_id || '.jpg' AS src, page_id % 400 AS w, (page_id * 7) % 300 AS h FROM pages)
-SELECT page_id, src, contains(src, 'logo') OR contains(src, 'ads.') OR w < 150 OR h < 10 OR w > 15 * greatest(h, 1) AS boilerplate FROM i""")
+#: (source, srcset, width, height, alt, is no content, is furniture, is an icon, address where the source has none of its own) of images as pages have them.
+IMAGES = (
+    ("https://cdn.example/photo.jpg", "", "640", "480", "A view", False, False, False, None),
+    ("https://b.scorecardresearch.com/p?c=2", "", "", "", "", True, False, False, None),
+    ("https://notdoubleclick.net/a.jpg", "", "800px", "", "Sponsored", False, True, False, None),
+    ("https://cdn.example/x.SVG?v=1", "", "200", "200", "", True, False, True, None),
+    ("https://cdn.example/a.jpg?icon=b.svg", "", "200", "200", "A long text about an author who is so well known that it is no label", False, False, True, None),
+    ("https://site.example/G/Collect?id=1", "", "", "", "", True, False, False, None),
+    ("/img/view.png", "", "150", "150", "", False, False, False, "/img/view.png"),
+    ("https://cdn.example/photo-2.jpg", "", "1px", "400", "", True, True, False, None),
+    ("https://images.example.imgix.net/logo.png", "", "20", "20", "", False, False, True, None),
+    ("https://cdn.example/resize/100x/photo.jpg", "", "", "", "", False, True, False, None),
+    ("true", "/s-400.jpg 400w, /s-800.jpg 800w", "400", "400", "", False, False, False, "/s-800.jpg"),
+    ("https://cdn.example/wide.jpg", "", "3000", "180", "", False, True, False, None),
+    ("/cached/7.jpg", "/s.jpg 400w", "300", "", "share this", False, True, False, None),
+    ("//cdn.example/a b*.jpg", "", "300", "200", "adroit", False, False, False, None),
+    ("javascript:void(0)", "", "300", "200", "", False, False, False, None),
+    ("", "", "300", "200", "", False, True, False, None),
+    ("https://cdn.example/Emoji.png", "", "300", "200", "", False, False, True, None),
+)
+_VALUES = ", ".join("({}, {})".format(n, ", ".join("NULL" if v is None else str(v) if isinstance(v, bool) else f"'{v}'" for v in row)) for n, row in enumerate(IMAGES))
+IMAGES_SQL = f"i(n, src, srcset, w, h, alt, gone, furniture, icon, own) AS (VALUES {_VALUES})"
+IMAGE_COLUMNS = "n long, src string, srcset string, w string, h string, alt string, gone boolean, furniture boolean, icon boolean, own string"
+
+
+def page_images(r: Reader, many: int) -> DataFrame:
+    """(page_id, url, at, and an image's columns): `many` images of each page, in turn."""
+    sample = r.spark.createDataFrame([(n, *row) for n, row in enumerate(IMAGES)], IMAGE_COLUMNS)
+    asked = r.pages.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("at")).withColumn("n", (F.col("page_id") * 3 + F.col("at")) % len(IMAGES))
+    return asked.join(F.broadcast(sample), "n")
+
+
+@query("D11 P19", f"WITH {IMAGES_SQL} SELECT page_id, src, gone AS no_content, furniture AS boilerplate FROM pages JOIN i ON n = page_id * 3 % {len(IMAGES)}")
 def boilerplate_images(r: Reader) -> DataFrame:
-    key = F.col("page_id")
-    src = F.concat(F.lit("https://cdn."), F.when(key % 3 == 0, "ads.example").otherwise("img.example"), F.lit("/"), F.when(key % 4 == 0, "logo").otherwise("photo"), key.cast("string"), F.lit(".jpg"))
-    rows = r.pages.select("page_id", src.alias("src"), (key % 400).alias("w"), (key * 7 % 300).alias("h"))
-    return rows.select("page_id", "src", markup.is_boilerplate_image(F.col("src"), F.col("w"), F.col("h")).alias("boilerplate"))
+    """An image of each page, by the two rules."""
+    rows = page_images(r, 1)
+    c = {x: F.col(x) for x in ("src", "alt", "w", "h")}
+    return rows.select("page_id", "src", images.is_no_content(c["src"], c["w"], c["h"]).alias("no_content"), images.is_boilerplate(c["src"], c["alt"], F.lit(None), c["w"], c["h"]).alias("boilerplate"))
+
+
+@query("P32", f"""
+WITH {IMAGES_SQL}, s AS (SELECT page_id, k, src, icon FROM pages, (VALUES (0), (1), (2), (3), (4), (5)) AS z(k) JOIN i ON n = (page_id * 3 + k) % {len(IMAGES)}),
+m AS (SELECT page_id, src AS main, icon AS main_icon FROM s WHERE k = 4), f AS (SELECT page_id, src, min(CASE WHEN src = main THEN -1 ELSE k END) AS k FROM s JOIN m USING (page_id) WHERE NOT icon AND src <> '' GROUP BY ALL)
+SELECT page_id, coalesce(string_agg(src, ' ' ORDER BY f.k), '') AS slides FROM m LEFT JOIN f USING (page_id) GROUP BY page_id""")
+def page_slides(r: Reader) -> DataFrame:
+    """The slides of each page: its main image, the fifth, and all of them."""
+    rows = page_images(r, 6).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "src"))).alias("x"))
+    srcs = F.transform("x", lambda x: x["src"])
+    return rows.select("page_id", F.array_join(images.slides(F.get(srcs, 4), F.concat(srcs, srcs)), " ").alias("slides"))
+
+
+@query("D17 F26", f"""
+WITH {IMAGES_SQL}, p AS (SELECT page_id, k, i.*, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(url, '^([a-z]+:)', 1) AS scheme FROM pages, (VALUES (0), (1), (2)) AS z(k) JOIN i ON n = (page_id * 3 + k) % {len(IMAGES)}),
+a AS (SELECT *, CASE WHEN src = '' OR src LIKE 'javascript:%' THEN NULL WHEN own IS NOT NULL THEN root || own WHEN src LIKE '//%' THEN scheme || src ELSE src END AS address FROM p),
+t AS (SELECT page_id, k, CASE WHEN gone THEN '' WHEN src LIKE '/cached/%' THEN '<img alt="' || alt || '" src="' || src || '" width="' || w || '" height="' || h || '">'
+ WHEN address IS NULL THEN '<img alt="' || alt || '" src="' || src || '" srcset="' || srcset || '" width="' || w || '" height="' || h || '">'
+ ELSE '<img src="/image-proxy?url=' || replace(url_encode(address), '%2F', '/') || '&amp;w=800" alt="' || alt || '" width="' || w || '" height="' || h || '">' END AS tag FROM a)
+SELECT page_id, string_agg('<p>' || k || '</p>' || tag, '' ORDER BY k) AS html FROM t GROUP BY page_id""")
+def rewritten_sources(r: Reader) -> DataFrame:
+    """Bodies with three images each, taken from the proxy."""
+    attribute = lambda name, c: F.concat(F.lit(f' {name}="'), F.col(c), F.lit('"'))
+    tag = F.concat(F.lit("<p>"), F.col("at").cast("string"), F.lit("</p><img"), attribute("alt", "alt"), attribute("src", "src"), attribute("srcset", "srcset"), attribute("width", "w"), attribute("height", "h"), F.lit(">"))
+    bodies = page_images(r, 3).groupBy("page_id", "url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", tag.alias("x")))), lambda x: x["x"]), "").alias("html"))
+    return bodies.select("page_id", images.proxied(F.col("html"), F.col("url"), "/image-proxy", "/cached/").alias("html"))
 
 
 @query("D13 D14", """

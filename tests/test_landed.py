@@ -126,3 +126,16 @@ def test_review_files(spark, tmp_path):
     assert got == [("Region", "R", 1, 0.1, "100.0%", "line\nbreak"), ("Topic", "S", 1, 0.1, "12.5%", "d"), ("Topic", "T", 6, 0.6, "75.0%", ' a "q", x  | line\nbreak | g | h | i'), ("Topic", "U, V", 1, 0.1, "12.5%", "f")]
     first = next((tmp_path / "out" / "Axis=Topic").glob("*.csv")).read_text().splitlines()
     assert first[0].startswith("Name,Sample_Count,") and first[1].startswith("T,6,")
+
+
+def test_proxied_images(spark):
+    from feedlens.functions import images
+
+    pages = [
+        ("<p>a</p><img src='x/y.jpg' width=9><IMG alt=q SRCSET='/a.jpg 1x, /b.jpg 2x' src=\"data:image/gif;base64,x\">", "<p>a</p><img src=\"/p?url=https%3A//h.example/d/x/y.jpg&amp;w=800\" width=9><img src=\"/p?url=https%3A//h.example/b.jpg&amp;w=800\" alt=q>"),
+        ("<img src='/c/1.jpg' data-srcset='/z 1x'><img src='https://a.media.net/1.gif'><img src='true'>b<img height='1px' src='/q.jpg'>", "<img src='/c/1.jpg'><img src='true'>b"), ("no images", "no images"), ("", ""), (None, None),
+    ]
+    rows = spark.createDataFrame(pages, "html string, want string").withColumn("got", images.proxied(F.col("html"), F.lit("https://h.example/d/e?f"), "/p", "/c/"))
+    assert [r["got"] for r in rows.collect()] == [w for _, w in pages]
+    assert spark.range(1).select(images.slides(F.lit("m.jpg"), F.array(F.lit("a.jpg"), F.lit("m.jpg"), F.lit(None), F.lit("x.svg?1"), F.lit(""), F.lit("a.jpg"), F.lit("my-LOGO.png"))).alias("x")).first()[0] == ["m.jpg", "a.jpg"]
+    assert spark.range(1).select(images.slides(F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("x")).first()[0] == []
