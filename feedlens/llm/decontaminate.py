@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.common import stored
+
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SPREAD, PLACES = np.uint64(0x9E3779B97F4A7C15), 19
 FOUND = "item_id long, n_edits int, item_chars int, start int, end int"
@@ -159,6 +161,8 @@ class Screen:
         bands = int(band.max()) + 2
         key, n = np.unique(np.concatenate([item * bands + band, item * bands + band - 1]), return_counts=True)
         key = key[n >= self.bound[key // bands]]
+        if not len(key):
+            return
         run = np.flatnonzero(np.diff(key, prepend=-2) != 1)
         for lo, hi in zip(key[run].tolist(), key[np.append(run[1:], len(key)) - 1].tolist()):
             i = lo // bands
@@ -216,5 +220,7 @@ def find_benchmark(
             return pd.DataFrame(rows, columns=["row_id", "item_id", "n_edits", "item_chars", "start", "end"])
 
         part = docs.select(F.col(id_col).cast("string").alias("row_id"), F.col(text_col).alias("text")).mapInPandas(scan, "row_id string, " + FOUND)
+        if blocks > 1:
+            part = stored(part)  # so the driver holds one block's items at a time
         out = part if out is None else out.unionByName(part)
     return out.withColumn("row_id", F.col("row_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("row_id", id_col)

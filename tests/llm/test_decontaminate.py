@@ -89,3 +89,22 @@ def test_alignment_has_its_place():
     at = lambda s: np.frombuffer(s, np.uint8)
     assert align(at(b"hello world"), at(b"xx helo world yy"), 3) == (1, 3, 13)
     assert align(at(b"hello"), at(b"zzzzzzzz"), 2) is None
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    rng = random.Random(8)
+    items = [(i, sentence(rng, 12)) for i in range(9)]
+    docs = [(n, sentence(rng, 30) + " " + items[n % 9][1] if n % 2 else sentence(rng, 40)) for n in range(30)]
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, find_benchmark(frame, benchmark, block_chars=n).collect())) for n in (1 << 22, 100))
+    assert one == many and len(one) >= 15
+
+
+def test_texts_that_share_q_grams_but_no_band():
+    rng = random.Random(9)
+    item = sentence(rng, 12)
+    parts = [item[k : k + 12] for k in range(0, len(item) - 12, 12)]
+    for n in range(40):
+        rng.shuffle(parts)
+        text = folded((" " + sentence(rng, 60) + " ").join(parts))
+        assert all(edits > 0 for _, _, edits, *_ in Screen([(1, item)], 7, 0.12).search([text]))
