@@ -220,7 +220,7 @@ def train(
             )
         )
     )
-    min_docs = 4
+    min_docs = min(4, 2 + n_toxic // 1000)  # a rare term is chance where many documents are learned from, and all there is where few are
     counted = (
         rows.select("id", "y", F.explode(terms).alias("term"))
         .groupBy("term")
