@@ -95,3 +95,27 @@ def absolute(base: Column, url: Column) -> Column:
         F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]+:)", 1), url)).when(url == "", base)
         .when(url.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), url)).when(url.startswith("?"), F.concat(page, url)).otherwise(F.concat(root, full, rest))
     )
+
+
+#: Networks whose addresses aren't public, as first address and length of the prefix.
+PRIVATE_NETWORKS = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16),
+    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+PRIVATE_PREFIXES6 = r"^(::1?$|::ffff:|f[cd]|fe[89ab]|ff|2001:db8|100::|64:ff9b:1:)"
+
+
+def is_public(url: Column) -> Column:
+    """Whether a web address has a host that isn't a literal address of a private, local or reserved network, localhost or a .local name. Names aren't resolved."""
+    authority = F.lower(F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    six = F.nullif(F.regexp_extract(authority, r"^\[([^\]]*)\]", 1), F.lit(""))
+    name = F.regexp_replace(authority, r":\d*$", "")
+    parts = F.transform(F.split(name, r"\."), lambda x: x.try_cast("long"))
+    four = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(parts, lambda x: x > 255)
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x)
+    private = F.lit(False)
+    for first, bits in PRIVATE_NETWORKS:
+        low = sum(int(x) << 8 * (3 - k) for k, x in enumerate(first.split(".")))
+        private = private | number.between(low, low + (1 << 32 - bits) - 1)
+    local = name.isin("", "localhost") | name.endswith(".local")
+    return F.coalesce(F.when(six.isNotNull(), ~six.rlike(PRIVATE_PREFIXES6)).when(four, ~private).otherwise(~local), F.lit(False))

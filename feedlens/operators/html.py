@@ -1,20 +1,11 @@
-"""Documents from raw HTML: one tolerant pass builds a small tree, plain functions read it, Arrow batches carry it.
-
-Fields: title, language, date, main image, cleaned body, text, snippet, images, links. No network, no scripts run.
-"""
+"""A tolerant parser for raw HTML, and dates in text. What pages say is worked out of its rows in nodes."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html import escape
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlparse
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Fixed values of the HTML rules.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,7 +15,6 @@ BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "f
 VIDEO_HOSTS = ("youtube", "vimeo", "dailymotion", "player")
 CLOSES = {"p": frozenset(BLOCKS) | {"div", "section", "article", "ul", "ol", "table"}, "li": frozenset({"li"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 LAZY = ("data-src", "data-original", "data-lazy-src", "data-url")
-BOILERPLATE = re.compile(r"(^|[\s_-])(ad|ads|advert|share|social|related|newsletter|comments?|sidebar|promo)([\s_-]|$)", re.I)
 
 
 @dataclass
@@ -50,9 +40,6 @@ class Node:
                 todo += reversed(node.children)
         return " ".join(" ".join(out).split())
 
-    def find(self, *tags: str) -> Node | None:
-        return next((n for n in self.walk() if n.tag in tags), None)
-
 
 class _Builder(HTMLParser):
     """Open tags on a stack; void tags never stay, a new block ends an open paragraph, stray end tags are ignored."""
@@ -88,193 +75,6 @@ def tree(html: str | None) -> Node:
     return builder.root
 
 
-def pruned(node: Node) -> Node:
-    """Without scripts, forms, page furniture, boilerplate classes and frames other than video; lazy images made plain."""
-    kept = []
-    for child in node.children:
-        if isinstance(child, str):
-            kept.append(child)
-            continue
-        marks = f"{child.attrs.get('class', '')} {child.attrs.get('id', '')}"
-        if child.tag in DROPPED or child.tag in CHROME or (child.tag in ("div", "section", "ul") and BOILERPLATE.search(marks)):
-            continue
-        if child.tag == "iframe" and not any(v in child.attrs.get("src", "").lower() for v in VIDEO_HOSTS):
-            continue
-        if child.tag == "img":
-            for name in LAZY:
-                if child.attrs.get(name) and (not child.attrs.get("src") or child.attrs["src"].startswith("data:")):
-                    child.attrs["src"] = child.attrs[name]
-        kept.append(pruned(child))
-    attrs = {k: v for k, v in node.attrs.items() if k in ("href", "src", "srcset", "alt", "width", "height", "title")}
-    return Node(node.tag, attrs, kept)
-
-
-def markup(node: Node) -> str:
-    if node.tag == "#root":
-        return "".join(c if isinstance(c, str) else markup(c) for c in node.children)
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-    if node.tag in VOID:
-        return f"<{node.tag}{attrs}>"
-    inner = "".join(escape(c, quote=False) if isinstance(c, str) else markup(c) for c in node.children)
-    return f"<{node.tag}{attrs}>{inner}</{node.tag}>" if inner.strip() or node.tag in ("td", "th", "iframe", "video") else ""
-
-
-def body_of(root: Node) -> Node:
-    """The node with the most text in its own paragraphs, less what is link text; the article or body if that is half of it."""
-    best, most = root, -1.0
-    total = len(root.text())
-    for node in root.walk():
-        if node.tag not in ("article", "main", "div", "section", "body", "td"):
-            continue
-        own = sum(len(c.text()) for c in node.children if isinstance(c, Node) and c.tag in BLOCKS)
-        links = sum(len(a.text()) for a in node.walk() if a.tag == "a")
-        score = own - 2 * links + (25 if node.tag in ("article", "main") else 0)
-        if score > most:
-            best, most = node, score
-    article = root.find("article")
-    return article if article is not None and len(best.text()) < 0.5 * min(total, len(article.text())) else best
-
-
-def images(root: Node, base: str) -> list[dict]:
-    """Images with the text before them as an anchor, absolute, each address once."""
-    out, seen, before = [], set(), ""
-    todo: list = [root]
-    while todo:
-        node = todo.pop()
-        if isinstance(node, str):
-            before = (before + " " + " ".join(node.split())).strip()[-100:]
-            continue
-        if node.tag == "img" and node.attrs.get("src"):
-            src = urljoin(base, node.attrs["src"].strip())
-            if src not in seen and not src.startswith("data:"):
-                seen.add(src)
-                out.append({"src": src, "alt": node.attrs.get("alt", ""), "anchor": before})
-        todo += reversed(node.children)
-    return out
-
-
-def blocks(root: Node) -> list[tuple[str, str]]:
-    """(tag, text) of the topmost text blocks in order."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.tag in BLOCKS:
-            if said := node.text():
-                out.append((node.tag, said))
-            continue
-        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return out
-
-
-ARTICLE = "title string, lang string, main_image string, body string, text string, snippet string, featured string, n_blocks int, images array<struct<src:string,alt:string,anchor:string>>"
-
-
-def article(html: str | None, url: str | None) -> dict:
-    """All fields of a page; a null or empty page has an empty text and the title Untitled."""
-    root, base = tree(html), url or ""
-    meta = {}
-    for node in root.walk():
-        if node.tag == "meta" and (node.attrs.get("property") or node.attrs.get("name")):
-            meta.setdefault((node.attrs.get("property") or node.attrs["name"]).lower(), node.attrs.get("content", ""))
-    page, title, h1 = root.find("html"), root.find("title"), root.find("h1")
-    clean = pruned(body_of(root))
-    text, shots = clean.text(), images(clean, base)
-    main = meta.get("og:image") or meta.get("twitter:image") or (shots[0]["src"] if shots else "")
-    cut = lambda n: text if len(text) <= n else text[:n] + "..."
-    return {
-        "title": (meta.get("og:title") or (h1.text() if h1 else "") or (title.text() if title else "") or "Untitled").strip(),
-        "lang": (page.attrs.get("lang") if page else "") or "en", "main_image": urljoin(base, main) if main else None,
-        "body": re.sub(r"\s+", " ", markup(clean)).strip(), "text": text, "snippet": cut(200), "featured": cut(1200), "n_blocks": len(blocks(clean)), "images": shots,
-    }
-
-
-def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, fields of article()); a map over pages in Arrow batches."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([{"id": i, **article(h, u)} for i, u, h in zip(batch["id"], batch["url"], batch["html"])])
-
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(scan, "id long, " + ARTICLE).withColumnRenamed("id", id_col)
-
-
-def links_of(html: str | None, url: str | None) -> list[tuple[int, str, str, str, bool]]:
-    """(place, absolute address, title, pattern of the parents, under a heading) of a page's links outside its furniture."""
-    out = []
-    todo: list[tuple[Node, str, bool, bool]] = [(tree(html), "", False, False)]
-    while todo:
-        node, parent, headed, hidden = todo.pop()
-        hidden = hidden or node.tag in CHROME
-        if node.tag == "a" and node.attrs.get("href") and not hidden:
-            said = node.text()
-            out.append((len(out), urljoin(url or "", node.attrs["href"].strip()).split("#")[0], said, parent, headed or node.find("h1", "h2", "h3", "h4") is not None))
-        here = node.tag + ("." + ".".join(sorted(node.attrs.get("class", "").split())[:2]) if node.attrs.get("class") else "")
-        path = ">".join((parent.split(">") if parent else [])[-1:] + [here])
-        todo += [(c, path, headed or node.tag in ("h1", "h2", "h3", "h4"), hidden) for c in reversed(node.children) if isinstance(c, Node)]
-    return out
-
-
-def discover_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, place, link, title, pattern, headed): a row a link."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, *x) for i, u, h in zip(batch["id"], batch["url"], batch["html"]) for x in links_of(h, u)]
-            yield pd.DataFrame(rows, columns=["id", "place", "link", "title", "pattern", "headed"])
-
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(scan, "id long, place int, link string, title string, pattern string, headed boolean").withColumnRenamed("id", id_col)
-
-
-def select(root: Node, selector: str) -> Node | None:
-    """The first node that a selector of tags, .classes, #ids and descendants matches; commas give alternatives."""
-    for option in selector.split(","):
-        steps = option.split()
-        todo: list[tuple[Node, int]] = [(root, 0)]
-        while todo and steps:
-            node, n = todo.pop()
-            m = re.fullmatch(r"([a-zA-Z0-9]*)((?:[.#][\w-]+)*)", steps[n])
-            marks = re.findall(r"([.#])([\w-]+)", m[2]) if m else []
-            hit = bool(m) and (not m[1] or node.tag == m[1].lower()) and all(v in node.attrs.get("class", "").split() if k == "." else node.attrs.get("id") == v for k, v in marks)
-            if hit and node is not root:
-                if n + 1 == len(steps):
-                    return node
-                n += 1
-            todo += [(c, n) for c in reversed(node.children) if isinstance(c, Node)]
-    return None
-
-
-def parse_with_selectors(pages: DataFrame, selectors: dict[str, str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, one text column for each selector): a site's own selectors; null where nothing matches."""
-    names = list(selectors)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, h in zip(batch["id"], batch["html"]):
-                root = tree(h)
-                found = [select(root, selectors[n]) for n in names]
-                rows.append((i, *(f.text() if f else None for f in found)))
-            yield pd.DataFrame(rows, columns=["id", *names])
-
-    out = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(scan, "id long, " + ", ".join(f"`{n}` string" for n in names))
-    return out.withColumnRenamed("id", id_col)
-
-
-def public_literal(url: str | None) -> bool:
-    """False for addresses of private, local or reserved networks; names are not resolved."""
-    import ipaddress
-
-    host = urlparse(url or "").hostname or ""
-    if host in ("", "localhost") or host.endswith(".local"):
-        return False
-    try:
-        return ipaddress.ip_address(host).is_global
-    except ValueError:
-        return True
-
-
 #: Fixed values of the date search in text: words that announce a date, and the spellings that are tried in order.
 DATE_WORDS = ("published", "posted", "updated", "date", "発行", "公開", "发布", "發布", "日期")
 DATE_FORMS = (
@@ -296,33 +96,3 @@ def date_text(text: str | None, reach: int = 100) -> str | None:
                     return found[0]
                 at = low.find(word, at + 1)
     return next((found[0] for form in DATE_FORMS if (found := re.search(form, text))), None)
-
-
-def with_images(body: str, shots: list[dict], key: int = 20) -> str:
-    """A body with images put after the paragraph that has the end of their anchor text; others at the end. Images it has stay."""
-    root = tree(body)
-    have = {n.attrs.get("src") for n in root.walk() if n.tag == "img"}
-    paragraphs = [n for n in root.walk() if n.tag in BLOCKS]
-    said = [n.text() for n in paragraphs]
-    for shot in shots:
-        if shot["src"] in have:
-            continue
-        image = Node("img", {"src": shot["src"], "alt": shot.get("alt", "")})
-        tail = shot.get("anchor", "")[-key:].strip()
-        place = next((p for p, t in zip(paragraphs, said) if tail and tail in t), root)
-        place.children.append(image)
-        have.add(shot["src"])
-    return markup(root)
-
-
-def restore_attributes(translated: str, original: str) -> str:
-    """The translated markup with the attributes of the original: its n-th tag of a name gets those of the n-th there."""
-    kept: dict[str, list[dict]] = {}
-    for node in tree(original).walk():
-        kept.setdefault(node.tag, []).append(node.attrs)
-    root, seen = tree(translated), {}
-    for node in root.walk():
-        n = seen[node.tag] = seen.get(node.tag, -1) + 1
-        if n < len(kept.get(node.tag, ())):
-            node.attrs = {**node.attrs, **kept[node.tag][n]}
-    return markup(root)

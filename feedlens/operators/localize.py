@@ -32,18 +32,21 @@ def glossary(builtin: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def fuzzy_urls(left: DataFrame, right: DataFrame, group: str, least: float = 0.72, margin: float = 0.06, shortest: int = 24) -> DataFrame:
-    """(group, url, match, ratio): for each url of left its closest one of right in the group, if close and clearly closest.
+    """(group, url, match, ratio): for each url of left its closest one of right in the group, if close and clearly closer than the next.
 
-    A group is a site's page: bounded, and compared in one task.
+    A group is a page, so its pairs are bounded. Pairs whose lengths alone rule the ratio out are left out before they are compared; equal urls count
+    once, so a repeated one is no rival. Urls under `shortest` characters match nothing; nulls neither.
     """
 
-    def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for url in a["url"]:
-            ranked = sorted(((SequenceMatcher(None, url, o).ratio(), o) for o in b["url"]), reverse=True)[:2] if len(url) >= shortest else []
-            if ranked and ranked[0][0] >= least and (len(ranked) == 1 or ranked[0][0] - ranked[1][0] >= margin):
-                out.append((key[0], url, ranked[0][1], ranked[0][0]))
-        return pd.DataFrame(out, columns=[group, "url", "match", "ratio"])
-
-    kind = left.schema[group].dataType.simpleString()
-    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(one, f"`{group}` {kind}, url string, match string, ratio double")
+    @pandas_udf("double")
+    def ratio(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(one, two)], dtype="float64")
+
+    asked = left.where(F.length("url") >= shortest).select(group, "url").distinct()
+    pairs = asked.join(right.where("url IS NOT NULL").select(group, F.col("url").alias("match")).distinct(), group)
+    a, b = F.length("url"), F.length("match")
+    # No pair can have more in common than its shorter url; a rival a margin below the least ratio decides nothing.
+    near = pairs.where(2 * F.least(a, b) >= (least - margin) * (a + b) - 1e-9).withColumn("ratio", ratio("url", "match"))
+    best = near.groupBy(group, "url").agg(F.max(F.struct("ratio", "match")).alias("first"), F.slice(F.sort_array(F.collect_list("ratio"), asc=False), 2, 1).alias("next"))
+    found = best.where((F.col("first.ratio") >= least) & (F.coalesce(F.get("next", 0), F.lit(-1.0)) <= F.col("first.ratio") - margin))
+    return found.select(group, "url", F.col("first.match").alias("match"), F.col("first.ratio").alias("ratio"))

@@ -2,52 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from feedlens.functions import markup, text, urls
-from feedlens.operators import html, localize
+from feedlens.operators import html, localize, nodes
 from feedlens.operators import relational as rel
 from feedlens.plans.registry import query
 from feedlens.sources import sinks
+from feedlens.sources.shared import settled
 from feedlens.sources.tables import Reader
 
 
-@query("D01 D02 D05 D06 D07 D08 D09 D12 D20 D22 F22 F26 F27")
+ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+
+
+#: Pages leave their bold paragraphs open, which close at the end of the article.
+ARTICLES = fr"""a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inner_, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1 FROM pages),
+t AS (SELECT *, trim(regexp_replace({ENTITIES.format("regexp_replace(inner_, '<[^>]*>', ' ', 'g')")}, '[[:space:]]+', ' ', 'g')) AS t FROM a)"""
+
+
+@query("D01 D02 D05 D06 D07 D08 D09 D12 D20 D22 F22 F27", fr"""
+WITH {ARTICLES}
+SELECT page_id, trim({ENTITIES.format("h1")}) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, CAST(NULL AS VARCHAR) AS main_image, trim(regexp_replace('<article>' || replace(replace(inner_, '&quot;', '"'), '&#39;', chr(39)) || repeat('</b></p>', len(regexp_extract_all(inner_, '<p><b>'))) || '</article>', '[[:space:]]+', ' ', 'g')) AS body,
+ t AS text, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 200) || '...' END AS snippet, CASE WHEN length(t) <= 1200 THEN t ELSE substr(t, 1, 1200) || '...' END AS featured,
+ CAST(len(regexp_extract_all(string_split(inner_, '<p><b>')[1], '</p>|</h1>')) + CASE WHEN contains(inner_, '<p><b>') THEN 1 ELSE 0 END AS INTEGER) AS n_blocks, '[]' AS images FROM t""")
 def extract_articles(r: Reader) -> DataFrame:
-    return html.extract_articles(r.pages)
+    return nodes.articles(r.pages).withColumn("images", F.to_json("images"))
 
 
-@query("F10")
+@query("F10", f"WITH {ARTICLES} SELECT page_id, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 200) || '...' END AS snippet, CASE WHEN length(t) <= 1200 THEN t ELSE substr(t, 1, 1200) || '...' END AS featured FROM t")
 def snippets(r: Reader) -> DataFrame:
-    return html.extract_articles(r.pages).select("page_id", "snippet", "featured")
+    return nodes.articles(r.pages).select("page_id", "snippet", "featured")
 
 
-@query("D15 A19 F33")
+@query("D15 A19 F33", fr"""
+WITH n AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages WHERE page_id % 2 = 0),
+l AS (SELECT page_id, root, unnest(regexp_extract_all(nav, '<a href="([^"]+)">', 1)) AS href, unnest(regexp_extract_all(nav, '<a href="[^"]+">([^<]*)</a>', 1)) AS title, generate_subscripts(regexp_extract_all(nav, '<a href="([^"]+)">', 1), 1) AS n FROM n),
+u AS (SELECT page_id, string_split(CASE WHEN starts_with(href, '/') THEN root || href ELSE href END, '#')[1] AS link, trim({ENTITIES.format('title')}) AS title, n FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY length(title) DESC, n) AS first, lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM u)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS place, link, title, 'ul>li' AS pattern FROM k
+WHERE first = 1 AND path NOT IN ('', '/') AND NOT list_bool_or(list_transform([{", ".join(f"'{x}'" for x in urls.OTHER_PATHS)}], lambda p: starts_with(path, p)))""")
 def link_discovery(r: Reader) -> DataFrame:
-    found = html.discover_links(r.pages).where(urls.is_article_link(F.col("link")))
+    """The links of pages, of the group above all others: by number, length of titles and headings. Every second page has its menu as a list."""
+    list_ = F.replace(F.replace("html", F.lit("<nav>"), F.lit('<div class="list">')), F.lit("</nav>"), F.lit("</div>"))
+    pages = r.pages.select("page_id", "url", F.when(F.col("page_id") % 2 == 0, list_).otherwise(F.col("html")).alias("html"))
+    found = nodes.links(pages).where(urls.is_article_link(F.col("link")))
     found = rel.top_per_group(found, ["page_id", "link"], [F.desc(F.length("title")), F.col("place")])
     groups = found.groupBy("page_id", "pattern").agg(F.count("*").alias("n"), F.avg(F.length("title")).alias("mean_title"), F.max(F.col("headed").cast("int")).alias("headed"), F.min("place").alias("first"))
     score = F.least("n", F.lit(30)) * 1.0 + F.least("mean_title", F.lit(80.0)) / 4 + 10 * F.col("headed")
     best = groups.groupBy("page_id").agg(F.max_by("pattern", F.struct(score, -F.col("first"))).alias("pattern"))
-    return found.join(best, ["page_id", "pattern"]).select("page_id", "place", "link", "title", "pattern")
+    chosen = found.join(best, ["page_id", "pattern"])
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("place")) - 1  # a page is bounded
+    return chosen.select("page_id", number.cast("long").alias("place"), "link", "title", "pattern")
 
 
-@query("D03 D04 X02")
+@query("D03 D04 X02", fr"""
+WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS p, html LIKE '%<div class="ad">%' AS has_p, html LIKE '%<h1%' AS has_h, regexp_extract(html, '(?s)<nav><ul>(.*?)</ul>', 1) AS m, html LIKE '%<nav><ul>%' AS has_m FROM pages)
+SELECT page_id, {", ".join(f"CASE WHEN has_{c} THEN trim(regexp_replace({ENTITIES.format(f"regexp_replace({c}, '<[^>]*>', ' ', 'g')")}, '[[:space:]]+', ' ', 'g')) END AS {n}" for c, n in (("h", "heading"), ("p", "notice"), ("m", "menu")))} FROM t""")
 def selector_fields(r: Reader) -> DataFrame:
-    return html.parse_with_selectors(r.pages, {"heading": "article h1, h1", "first_paragraph": "article p, p", "menu": "nav ul"})
+    return nodes.selected(r.pages, {"heading": "article h1, h1", "notice": "body div.ad, aside.ad", "menu": "nav ul"})
 
 
-@query("D18")
+@query("D18", fr"""
+WITH {ARTICLES}, p AS (SELECT page_id, string_split(inner_, '<p><b>')[1] AS closed, CASE WHEN contains(inner_, '<p><b>') THEN [substr(inner_, strpos(inner_, '<p><b>'))] ELSE [] END AS rest FROM t),
+b AS (SELECT page_id, regexp_extract_all(closed, '(?s)<(h1|p)>.*?</(?:h1|p)>', 1) || list_transform(rest, lambda x: 'p') AS tags, regexp_extract_all(closed, '(?s)<(?:h1|p)>(.*?)</(?:h1|p)>', 1) || rest AS texts FROM p),
+l AS (SELECT page_id, unnest(tags) AS tag, unnest(texts) AS x, generate_subscripts(tags, 1) AS n FROM b),
+c AS (SELECT page_id, tag, n, trim(regexp_replace({ENTITIES.format("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '[[:space:]]+', ' ', 'g')) AS text FROM l)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS idx, tag, text FROM c WHERE text <> ''""")
 def text_blocks(r: Reader) -> DataFrame:
-    @pandas_udf("array<struct<tag:string,text:string>>")
-    def of(pages):
-        import pandas as pd
-
-        return pd.Series([[{"tag": t, "text": x} for t, x in html.blocks(html.pruned(html.body_of(html.tree(p))))] for p in pages])
-
-    return r.pages.select("page_id", F.posexplode(of("html")).alias("idx", "b")).select("page_id", "idx", "b.tag", "b.text")
+    found = nodes.blocks(nodes.cleaned(nodes.flat_nodes(r.pages)))
+    number = F.row_number().over(Window.partitionBy("page").orderBy("place")) - 1  # a page is bounded
+    return found.select(F.col("page").alias("page_id"), number.alias("idx"), "tag", "text")
 
 
 @query("D19", """
@@ -66,18 +93,24 @@ def glossary_localize(r: Reader) -> DataFrame:
 
 @query("J13")
 def fuzzy_url_match(r: Reader) -> DataFrame:
-    """Of the links of each page every second one is looked for among the others of the page."""
-    links = r.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""href=["']([^"']+)"""), F.lit(1))).alias("at", "url"))
-    return localize.fuzzy_urls(links.where("at % 2 = 0").select("page_id", "url"), links.where("at % 2 = 1").select("page_id", "url"), "page_id")
+    """Of the links of each page every second one comes back damaged, without its ninth character from the end, and is looked for among all of the page."""
+    links = r.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"""href=["']([^"']+)"""), F.lit(1))).alias("at", "href"))
+    whole = links.select("page_id", "at", urls.absolute(F.col("url"), F.col("href")).alias("url"))
+    n = F.length("url")
+    damaged = whole.where((F.col("at") % 2 == 0) & (n > 9)).select("page_id", F.concat(F.left("url", n - 9), F.right("url", F.lit(8))).alias("url"))
+    return localize.fuzzy_urls(damaged, whole.select("page_id", "url"), "page_id")
 
 
-@query("P20")
-def public_hosts(r: Reader) -> DataFrame:
-    @pandas_udf("boolean")
-    def of(batch):
-        return batch.map(html.public_literal)
+HOSTS = ("127.0.0.1", "10.1.2.3", "8.8.8.8", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.1.1", "100.64.0.1", "1.1.1.1:8080", "[::1]", "[2606:4700::1111]", "[fe80::1]", "[fd00::1]", "localhost", "printer.local", "0.0.0.0", "224.0.0.1", "300.1.1.1", "198.51.100.7", "203.0.114.1")
+PUBLIC_HOSTS = (2, 4, 8, 10, 17, 19)
 
-    return r.pages.select("page_id", of("url").alias("public"))
+
+@query("P20", f"SELECT page_id, page_id % 25 >= {len(HOSTS)} OR list_contains([{', '.join(map(str, PUBLIC_HOSTS))}], page_id % 25) AS public FROM pages")
+def public_hosts(r: Reader) -> DataFrame:
+    """Which pages may be fetched: literal addresses of private and reserved networks may not. Most pages have their host replaced by such an address."""
+    literal = F.get(F.array(*map(F.lit, HOSTS)), (F.col("page_id") % 25).cast("int"))
+    url = F.coalesce(F.concat(F.lit("http://user@"), literal, F.lit("/x?y")), F.col("url"))
+    return r.pages.select("page_id", urls.is_public(url).alias("public"))
 
 
 @query("S05", """
@@ -166,26 +199,17 @@ def content_dates(r: Reader) -> DataFrame:
 
 @query("D10")
 def merged_images(r: Reader) -> DataFrame:
-    @pandas_udf("string")
-    def of(bodies, urls_):
-        import pandas as pd
-
-        return pd.Series([html.with_images(b, [{"src": u, "anchor": html.tree(b).text()[:60]}]) for b, u in zip(bodies, urls_)])
-
-    return html.extract_articles(r.pages).join(r.pages.select("page_id", "url"), "page_id").select("page_id", of("body", "url").alias("body"))
+    """Bodies with an image, the page's address standing for it, behind the block that holds the end of the body's first 60 characters."""
+    found = settled(nodes.articles(r.pages).select(F.col("page_id").alias("page"), "body", "text"), "bodies")
+    shots = found.join(r.pages.select(F.col("page_id").alias("page"), "url"), "page").select("page", F.lit(0).alias("n"), F.col("url").alias("src"), F.lit("").alias("alt"), F.left("text", F.lit(60)).alias("anchor"))
+    return nodes.with_images(found.select("page", F.col("body").alias("html")), shots).select(F.col("page").alias("page_id"), F.col("html").alias("body"))
 
 
 @query("F54")
 def restored_attributes(r: Reader) -> DataFrame:
-    @pandas_udf("string")
-    def of(pages):
-        import re
-
-        import pandas as pd
-
-        return pd.Series([html.restore_attributes(re.sub(r"<(\w+)[^>]*>", r"<\1>", p), p) for p in pages])
-
-    return r.pages.select("page_id", of("html").alias("html"))
+    pages = r.pages.select(F.col("page_id").alias("page"), "html")
+    bare = pages.select("page", F.regexp_replace("html", r"<(\w+)[^>]*>", "<$1>").alias("html"))
+    return nodes.with_attributes(bare, pages).select(F.col("page").alias("page_id"), "html")
 
 
 @query("F49", r"""

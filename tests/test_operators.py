@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlens.functions import markup, numbers, text, urls
-from feedlens.operators import html, localize, rerank
+from feedlens.operators import localize, nodes, rerank
 from feedlens.operators import relational as rel
 from feedlens.operators import status, weights
 
@@ -188,19 +188,55 @@ PAGE = """<html lang="fr"><head><title>Head - Site</title><meta property="og:ima
 <article><h1>Title</h1><p>One <b>two<p>Three<script>x()</script><img data-src="/l.png" alt="a"><iframe src="https://ads.example/x"></iframe><iframe src="https://youtube.com/v"></iframe></article></body></html>"""
 
 
-def test_article():
-    got = html.article(PAGE, "https://h.example/p")
-    assert (got["title"], got["lang"], got["main_image"]) == ("Title", "fr", "https://h.example/i.jpg")
-    assert got["text"] == "Title One two Three" and "script" not in got["body"] and "ads.example" not in got["body"] and "youtube" in got["body"]
-    assert [i["src"] for i in got["images"]] == ["https://h.example/l.png"]
-    assert html.article(None, None)["title"] == "Untitled" and html.article("", "")["text"] == ""
-
-
-def test_links_feeds_selectors():
-    page = '<nav><a href="/x">no</a></nav><div class="list"><h2><a href="/a#t">First</a></h2><a href="b">Second</a></div>'
-    assert [(x[1], x[2]) for x in html.links_of(page, "https://h.e/")] == [("https://h.e/a", "First"), ("https://h.e/b", "Second")]
-    root = html.tree('<div id="m" class="x y"><p>a</p><span class="z">b</span></div>')
-    assert html.select(root, "div.x .z").text() == "b" and html.select(root, "#m p").text() == "a" and html.select(root, "ul, span").text() == "b" and html.select(root, "ul") is None
+def pages(spark, *rows):
+    return spark.createDataFrame([(n, u, h) for n, (u, h) in enumerate(rows)], "page_id int, url string, html string")
+
+
+def test_articles(spark):
+    more = '<div><p> </p><div class="share-box"><p>gone</p></div><table><tr><td></td></tr></table><p>a &lt; b "c"<br>e</p><img src="data:xx" data-original="/q.png" title="it\'s"><img src="/q.png"><ul><li>x<li>y</ul><b><i> </i></b></div>'
+    long = "<div>" + "".join(f"<p>{'word ' * 60}{n}</p>" for n in range(5)) + '</div><div><p><a href="/x">' + "link " * 400 + "</a></p></div>"
+    got = [r.asDict(True) for r in nodes.articles(pages(spark, ("https://h.example/p", PAGE), (None, None), ("", ""), ("https://h.example/d/", more), ("x", long))).orderBy("page_id").collect()]
+    assert (got[0]["title"], got[0]["lang"], got[0]["main_image"]) == ("Title", "fr", "https://h.example/i.jpg")
+    assert got[0]["text"] == "Title One two Three" and "script" not in got[0]["body"] and "ads.example" not in got[0]["body"] and "youtube" in got[0]["body"]
+    assert got[0]["images"] == [{"src": "https://h.example/l.png", "alt": "a", "anchor": "Title One two Three"}]
+    for empty in got[1:3]:
+        assert (empty["title"], empty["text"], empty["body"], empty["images"], empty["n_blocks"], empty["main_image"], empty["lang"]) == ("Untitled", "", "", [], 0, None, "en")
+    assert got[3]["body"] == '<div><table><tr><td></td></tr></table><p>a &lt; b "c"<br>e</p><img title="it&#x27;s" src="/q.png"><img src="/q.png"><ul><li>x</li><li>y</li></ul></div>'
+    assert [i["src"] for i in got[3]["images"]] == ["https://h.example/q.png"] and got[3]["n_blocks"] == 3
+    assert "link" not in got[4]["text"] and got[4]["snippet"] == got[4]["text"][:200] + "..." and got[4]["featured"] == got[4]["text"][:1200] + "..."
+
+
+def test_links_and_selectors(spark):
+    page = '<nav><a href="/x">no</a></nav><div class="list b a"><h2><a href="/a#t">First</a></h2><a href="b">Second <h3>x</h3></a></div><a href="">none</a><a href="c"></a>'
+    got = nodes.links(pages(spark, ("https://h.e/", page))).orderBy("place").collect()
+    assert [tuple(r)[2:] for r in got] == [("https://h.e/a", "First", "div.a.b>h2", True), ("https://h.e/b", "Second x", "div.a.b", True), ("https://h.e/c", "", "", False)]
+    page = '<div id="m" class="x y"><p>a</p><span class="z">b</span></div>'
+    got = nodes.selected(pages(spark, ("", page), ("", None)), {"one": "div.x .z", "two": "#m p", "three": "ul, span", "four": "ul", "five": "div div p"}).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(0, "b", "a", "b", None, None), (1, None, None, None, None, None)]
+
+
+def test_images_and_attributes_put_back(spark):
+    html = spark.createDataFrame([(1, "<div><p>One two three four five six</p><p>Seven</p></div>"), (2, ""), (3, '<p>x</p><img src="a">')], "page int, html string")
+    shots = [(1, 0, "a", None, "text before: three four five six"), (1, 1, "b", "q", "nowhere to be found"), (1, 2, "a", None, "Seven"), (1, 3, "c", "", "Seven"), (2, 0, "a", "", ""), (3, 0, "a", "", "x"), (3, 1, "b", "", "x"), (3, 2, "d", "", "x")]
+    got = {r["page"]: r["html"] for r in nodes.with_images(html, spark.createDataFrame(shots, "page int, n int, src string, alt string, anchor string")).collect()}
+    assert got == {1: '<div><p>One two three four five six<img src="a" alt=""></p><p>Seven<img src="c" alt=""></p></div><img src="b" alt="q">', 2: '<img src="a" alt="">', 3: '<p>x<img src="b" alt=""><img src="d" alt=""></p><img src="a">'}
+    one = spark.createDataFrame([(1, '<p lang="fr">Un <a>b</a><p><a href="own" rel="r">c</a><i>d</i>'), (2, None)], "page int, html string")
+    two = spark.createDataFrame([(1, '<p class="x">One <a href="1">b</a></p><p><a href="2" title="t">c</a></p><a href="3">e</a>'), (2, "<p>")], "page int, html string")
+    got = {r["page"]: r["html"] for r in nodes.with_attributes(one, two).collect()}
+    assert got == {1: '<p lang="fr" class="x">Un <a href="1">b</a></p><p><a rel="r" href="2" title="t">c</a><i>d</i></p>', 2: ""}
+
+
+def test_fuzzy_urls_and_public_addresses(spark):
+    base = "https://cdn.example/folder/of/images/"
+    right = [(1, base + "sunset-over-the-bay-4711.jpg"), (1, base + "sunset-over-the-bay-4711.jpg"), (1, base + "portrait-of-a-lady-0815.jpg"), (2, base + "a1.jpg"), (2, base + "a2.jpg"), (2, None)]
+    left = [(1, base + "sunset-over-the-bay-471.jpg"), (1, "https://short"), (2, base + "a3.jpg"), (3, base + "sunset-over-the-bay-4711.jpg"), (1, None)]
+    got = localize.fuzzy_urls(spark.createDataFrame(left, "page int, url string"), spark.createDataFrame(right, "page int, url string"), "page").collect()
+    assert [(r["page"], r["url"], r["match"]) for r in got] == [(1, left[0][1], right[0][1])] and 0.98 < got[0]["ratio"] < 1
+    import ipaddress
+
+    literals = ["0.1.2.3", "9.255.255.255", "10.0.0.1", "100.63.255.255", "100.64.0.0", "126.1.1.1", "127.8.8.8", "169.253.1.1", "169.254.0.9", "172.15.0.1", "172.31.255.255", "192.0.2.5", "198.18.0.1", "198.20.0.1", "203.0.113.9", "223.255.255.255", "224.0.0.1", "255.255.255.255", "8.8.4.4"]
+    rows = [(f"https://{x}:80/a", ipaddress.ip_address(x).is_global and not ipaddress.ip_address(x).is_multicast) for x in literals] + [("http://[::1]/", False), ("http://[2606:4700::1]:8/", True), ("HTTPS://Example.COM", True), ("ftp://example.com", False), ("http://", False), (None, False), ("http://LOCALHOST:3", False)]
+    assert [r["u"] for r in spark.createDataFrame(rows, "u string, w boolean").where(urls.is_public(F.col("u")) != F.col("w")).collect()] == []
 
 
 def test_localize_longest_first_outside_tags(spark):
