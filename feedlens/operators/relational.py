@@ -54,15 +54,33 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Rows of a group that one task may order by itself.
+ONE_TASK = 1_000_000
+
+
+def _ordered_in_a_task(df: DataFrame, group: list[str]) -> bool:
+    return (df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) <= ONE_TASK
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, total: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
     """df with `name`: 1, 2, ... in each group by order, however large a group is.
 
     Rows are dealt out in ranges of group and order, so a large group takes several tasks; a range's rows are numbered by
     themselves and moved on by the rows of the ranges before it. total: also the group's number of rows. sums: for
     {name: column} also the sum of the column over the rows before, and under name + "_all" over the group. The order must end in
-    a key that is unique in the group. Null groups are a group.
+    a key that is unique in the group. Null groups are a group. Where no group has more than ONE_TASK rows, which a count tells, each is
+    numbered in one task, to the same numbers; that saves writing the rows.
     """
     sums = sums or {}
+    if _ordered_in_a_task(df, group):
+        by, ordered = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(*order)
+        out = {name: F.row_number().over(ordered).cast("long")}
+        if total:
+            out[total] = F.count("*").over(by)
+        for n, c in sums.items():
+            out[n] = F.coalesce(F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            out[f"{n}_all"] = F.sum(c).over(by)
+        return df.withColumns(out).select(*df.columns, *out)
     placed = settled(df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn("__p", F.spark_partition_id()), "order")
     parts = placed.groupBy(*group, "__p").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
     whole = Window.partitionBy(*group)
@@ -88,6 +106,9 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, to
 
 def neighbours(df: DataFrame, group: list[str], order: list[Column], key: str, steps: int) -> DataFrame:
     """(group, key, before1, ..., after1, ...): the keys of the rows up to `steps` before and after each row of its group."""
+    if _ordered_in_a_task(df, group):
+        by, sides = Window.partitionBy(*group).orderBy(*order), range(1, steps + 1)
+        return df.select(*group, key, *[F.lag(key, k).over(by).alias(f"before{k}") for k in sides], *[F.lead(key, k).over(by).alias(f"after{k}") for k in sides])
     rows = settled(numbered(df.select(*group, key, *[c for c in df.columns if c not in (*group, key)]), group, order, "__i").select(*group, key, "__i"), "places")
     # every row is sent to the places around its own, where the row that stands there gathers them
     step = F.explode(F.array(*[F.lit(k) for k in range(-steps, steps + 1)])).alias("__d")

@@ -130,7 +130,9 @@ def test_exploration_matches_slot_by_slot():
         assert rerank.explore(list(order), score, ok, feed, votes) == want
 
 
-def test_numbers_and_neighbours_of_a_large_group(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_numbers_and_neighbours_of_a_large_group(spark, monkeypatch, one_task):
+    monkeypatch.setattr(rel, "ONE_TASK", one_task)
     rows = [(None if n % 50 == 0 else n % 50 % 2, n, (n * 37) % 101) for n in range(400)]
     df = spark.createDataFrame(rows, "g long, id long, v long")
     groups = {}
