@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +48,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The folders that stored() has written in this process, for tidy().
+_written: list[str] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside is deleted at the end, so nothing may read it then: results are written inside too."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        files = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written[before:]:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(files).delete(at, True)
+        del _written[before:]
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: as cut(), but compressed, read by column and of known size."""
+    """df, written as Parquet to the shared folder and read again: as cut(), but compressed, read by column and of known size.
+
+    The folder stays until the tidy() around it ends; without one it is the caller's to clear.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

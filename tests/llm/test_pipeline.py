@@ -126,6 +126,16 @@ def test_equal_rows_take_no_more_than_the_budget(spark, folder):
     assert 5 < sum(r["doc_id"] is None for r in mixed) < 50
 
 
+def test_intermediate_tables_go(spark, folder):
+    from pathlib import Path
+
+    from feedlens.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("stored-*"))
+    assert corpus_pipeline.run(spark, folder).count() and set(shared.glob("stored-*")) == before
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
