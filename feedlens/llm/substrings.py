@@ -544,7 +544,8 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
     def shorter(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_words(t, [(x["start"], x["end"]) for x in s]) if s is not None and t is not None else t for t, s in zip(texts, spans)], dtype=object)
 
-    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
+    # The texts stream by the spans of their partition; a sort would hold them in memory.
+    joined = docs.join(spans.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(shorter(F.col(text_col), F.col("__spans")))
     done = joined.withColumn("__text", text).where(F.col("__spans").isNull() | (F.trim(F.col("__text")) != ""))
     return done.withColumn(text_col, F.col("__text")).select(*docs.columns)
