@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_copies(docs, "doc_id", "text")
     gone = groups.where("not first").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     hashed = docs.withColumn("__of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__of") == F.col("__hash")), "left_anti")
+    kept = hashed.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__gone")) & (F.col("__of") == F.col("__hash")), "left_anti")
     again = stored(groups.where("first").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id"))
     if again.limit(1).count():
         once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "__of"])
@@ -53,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     hashed = docs.withColumn("__of", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = decontaminate.find_benchmark(hashed.select("__of", "text"), table(spark, sf_dir, "benchmark"), id_col="__of")
     gone = found.select(F.col("__of").alias("__gone")).distinct()
-    return hashed.join(gone, F.col("__of") == F.col("__gone"), "left_anti").drop("__of")
+    return hashed.join(gone.hint("shuffle_hash"), F.col("__of") == F.col("__gone"), "left_anti").drop("__of")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,11 +75,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         repeated = F.col("__id") == F.col("__several")
         counts = taken.join(several, repeated, "left_semi").groupBy(*taken.columns, F.spark_partition_id().alias("__task")).agg(F.count("*").alias("__m"))
         one = keyed.join(several, F.col("__key") == F.col("__several"), "left_semi").dropDuplicates(["__key", "lang", "source"])
-        alike = one.join(counts, same & F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
+        alike = one.join(counts.hint("shuffle_hash"), same & F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
         alike = alike.withColumn("__m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m")))).drop("__m", "__task")
-        rows = keyed.join(taken.join(several, repeated, "left_anti"), same).unionByName(alike)
+        rows = keyed.join(taken.join(several, repeated, "left_anti").hint("shuffle_hash"), same).unionByName(alike)
     else:
-        rows = keyed.join(taken, same)
+        rows = keyed.join(taken.hint("shuffle_hash"), same)
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__epochs") + (F.col("__part_tokens") > 0).cast("long"))))
     partial = F.col("epoch") > F.col("__epochs")
     prefix = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__part_tokens").cast("int")), " ")
