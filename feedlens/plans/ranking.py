@@ -170,17 +170,22 @@ def exploration_slots(r: Reader) -> DataFrame:
     return rerank.rerank_pages(page_of(r), every=10)
 
 
-@query("W05")
+@query("W05", f"""
+WITH RECURSIVE {SCORES}, c AS (SELECT t.id, coalesce(s.category_id, 0) AS page, round(topic + type + region + secondary + fresh + vote + exposure, 6) AS score FROM t JOIN feed_sources s ON s.id = t.source_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS place, count(*) OVER (PARTITION BY page) AS n FROM c),
+h AS (SELECT page, min(score) AS threshold FROM p WHERE place <= greatest(1, ceil(n * 0.1)) GROUP BY page),
+q AS MATERIALIZED (SELECT page, id, place, score >= threshold AND id % 3 <> 0 AS wanted FROM p JOIN h USING (page) WHERE place <= 200),
+f AS (SELECT page, id, place, wanted, wanted AS picked, CASE WHEN wanted THEN 0 ELSE 5 END AS since FROM q WHERE place = 1
+ UNION ALL SELECT q.page, q.id, q.place, q.wanted, q.wanted AND f.since >= 4, CASE WHEN q.wanted AND f.since >= 4 THEN 0 ELSE f.since + 1 END FROM f JOIN q ON q.page = f.page AND q.place = f.place + 1)
+SELECT page, id, place, wanted, picked FROM f""")
 def feature_cards(r: Reader) -> DataFrame:
-    """Large cards of a page in the order of its scores: articles with an image among the page's best tenth, four others between two."""
-    from pyspark.sql import Window
-
-    rows = page_of(r)
-    by = Window.partitionBy("page")  # a page is bounded
-    placed = rows.select("page", "id", "score", F.row_number().over(by.orderBy(F.desc("score"), "id")).alias("place"), F.count("*").over(by).alias("n"))
-    threshold = F.min(F.when(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1)), F.col("score"))).over(by)
-    has_image = F.col("id") % 3 != 0
-    wanted = placed.withColumn("threshold", threshold).select("page", "id", "place", ((F.col("score") >= F.col("threshold")) & has_image).alias("wanted"))
+    """Large cards of a page of 200 in the order of its scores: articles with an image among the best tenth of all in the category, four others between two."""
+    sources = r.feed_sources.select(F.col("id").alias("source_id"), F.coalesce("category_id", F.lit(0)).cast("long").alias("page"))
+    scored = the_scores(r).select("id", "source_id", F.round("score", 6).alias("score")).join(sources, "source_id").select("page", "id", "score")
+    placed = settled(rel.numbered(scored, ["page"], [F.desc("score"), F.col("id")], "place", "n"), "placed")
+    best = placed.where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))).groupBy("page").agg(F.min("score").alias("threshold"))  # a row a category
+    shown = placed.where("place <= 200").join(F.broadcast(best), "page")
+    wanted = shown.select("page", "id", "place", ((F.col("score") >= F.col("threshold")) & (F.col("id") % 3 != 0)).alias("wanted"))
     return rerank.spaced(wanted, "page", "place", "wanted", 4)
 
 
