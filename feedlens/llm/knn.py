@@ -62,6 +62,10 @@ def tour(pivots: np.ndarray) -> list[int]:
     return out
 
 
+#: No score: of a query with itself.
+NONE = np.iinfo(np.int64).min
+
+
 def top_k(
     data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector",
     n_pivots: int | None = None, group: int = 512, part: int = 2048,
@@ -143,15 +147,22 @@ def top_k(
     at_group = at_cell.withColumn("grp", (first + F.pmod(F.xxhash64("id"), many.cast("long"))).cast("int"))
     packed = at_group.groupBy("grp").agg(F.collect_list(F.struct("id", "q")).alias("qs"))  # about `group` queries each
 
+    # Each cell's bound is tested once for all its blocks: the groups' cells lie side by side, those of a split cell once.
+    used = list(dict.fromkeys(cell for own in groups for cell in own))
+    reach = np.array([cells["far"][c] + limit[c] * (1 + SLACK) + SLACK for c in used])
+    distinct = list(dict.fromkeys(tuple(own) for own in groups))
+    starts = np.cumsum([0] + [len(own) for own in distinct[:-1]])
+    column_of = {own: n for n, own in enumerate(distinct)}
+    columns = [column_of[tuple(own)] for own in groups]
+
     def needed_by(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(group, which rows) for the groups that need some of them: |q - x| >= |pivot - x| - |pivot - q|."""
-        d = distances(lifted(rows, top), pivots)
-        for g, own in enumerate(groups):
-            needed = np.zeros(len(rows), bool)
-            for cell in own:
-                needed |= d[:, cell] - cells["far"][cell] <= limit[cell] * (1 + SLACK) + SLACK
-            if needed.any():
-                yield g, needed
+        within = distances(lifted(rows, top), pivots)[:, used] <= reach
+        needed = np.logical_or.reduceat(within, starts, axis=1)
+        some = needed.any(axis=0)
+        for g, column in enumerate(columns):
+            if some[column]:
+                yield g, needed[:, column]
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(len(groups), np.int64)
@@ -197,10 +208,13 @@ def top_k(
             q = np.frombuffer(b"".join(bytes(r["q"]) for r in block), np.int64).reshape(-1, dim)
             largest = float(np.abs(q).max(initial=1)) * float(np.abs(x).max(initial=1)) * dim
             score = (q.astype(float) @ x.T.astype(float)).astype(np.int64) if largest < 2**53 else q @ x.T
-            for i, row in enumerate(score):
-                allowed = np.flatnonzero(ids != own[i])
-                best = allowed[np.argsort(-row[allowed], kind="stable")[:k]]
-                found.append(pd.DataFrame({"query_id": own[i], "id": ids[best], "score": row[best]}))
+            score[own[:, None] == ids[None, :]] = NONE
+            least = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            i, j = np.nonzero((score >= least[:, None]) & (score > NONE))  # the best of each query, and what ties with the last of them
+            order = np.lexsort((j, -score[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append(pd.DataFrame({"query_id": own[i[first]], "id": ids[j[first]], "score": score[i[first], j[first]]}))
         return pd.concat(found)
 
     local = asked.groupBy("grp", "part").cogroup(sent.groupBy("grp", "part")).applyInPandas(solve, "query_id long, id long, score long")
