@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import lookup, stored
+from feedlens.llm.common import lookup, small_batches, stored
 from feedlens.llm.substrings import mixed
 
 #: Marks and line ends part a text into pieces; they all become line feeds.
@@ -146,6 +146,7 @@ def collocations(
     null and empty texts, and texts of marks and blanks, give nothing; repeated rows count as often as they are there; other
     columns aren't read; an empty table gives no rows. A text is taken apart whole, in memory in proportion to its length.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
     levels, table = [], None
     for size in range(1, longest + 1):

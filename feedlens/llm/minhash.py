@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from feedlens.llm.common import SMALL, byte_words, lookup, stored
+from feedlens.llm.common import SMALL, byte_words, lookup, small_batches, stored
 from feedlens.llm.components import components, forest
 from feedlens.llm.simhash import overlaps, shingle_set
 from feedlens.llm.substrings import mixed
@@ -208,6 +208,7 @@ def minhash_components(
     Similarities below 0.85 are found with less certainty (the module says how much less): a set at 0.8 from another meets it with a
     probability of 0.9999.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("node"))
     profile = stored(_profile(rows, words))
