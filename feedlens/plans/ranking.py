@@ -160,12 +160,42 @@ def page_of(r: Reader, most: int = 200) -> DataFrame:
     return rows.join(votes, "primary_topic", "left")
 
 
-@query("K05 K06")
+def _wanted(k: int) -> str:
+    """Wanted shares of the labels in column l{k}: softmax of their weights w{k} in the page, none below 0.02."""
+    return f"""e{k} AS (SELECT page, l, exp(w - max(w) OVER (PARTITION BY page)) AS e FROM (SELECT page, l{k} AS l, arg_min(w{k}, i) AS w FROM p GROUP BY 1, 2)),
+g{k} AS (SELECT page, l, greatest(e / sum(e) OVER (PARTITION BY page), 0.02) AS g FROM e{k}), z{k} AS (SELECT page, l, g / sum(g) OVER (PARTITION BY page) AS q FROM g{k})"""
+
+
+#: A page's candidates are taken one by one: the best of score and of what its labels bring the page nearer to the wanted shares. What is the same for all candidates is left out.
+ORDERED = f"""{SCORES}, c AS (SELECT t.id, t.source_id AS l0, coalesce(s.category_id, 0) AS page, t.topic + t.type + t.region + t.secondary + t.fresh + t.vote + t.exposure AS score, coalesce(a.primary_topic, 'unknown') AS l1, coalesce(a.region, 'unknown') AS l2, coalesce(a.article_type, 'unknown') AS l3,
+ t.topic AS w1, t.region AS w2, t.type AS w3 FROM t JOIN feed_sources s ON s.id = t.source_id JOIN feed_articles a ON a.id = t.id),
+p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS i FROM c QUALIFY i <= 200), m AS (SELECT page, min(score) AS lo, max(score) AS hi, count(DISTINCT l0) AS feeds FROM p GROUP BY page),
+{", ".join(map(_wanted, (1, 2, 3)))},
+v AS MATERIALIZED (SELECT p.page, p.id, i, score, l0, l1, l2, l3, CASE WHEN hi - lo > 1e-9 THEN (score - lo) / (hi - lo) ELSE 1.0 END AS norm, 1.0::DOUBLE / feeds AS q0, z1.q AS q1, z2.q AS q2, z3.q AS q3
+ FROM p JOIN m USING (page) JOIN z1 ON z1.page = p.page AND z1.l = l1 JOIN z2 ON z2.page = p.page AND z2.l = l2 JOIN z3 ON z3.page = p.page AND z3.l = l3),
+r AS (SELECT DISTINCT page, 0 AS k, []::BIGINT[] AS ids, []::BIGINT[] AS s0, []::VARCHAR[] AS s1, []::VARCHAR[] AS s2, []::VARCHAR[] AS s3 FROM v
+ UNION ALL SELECT page, k + 1, list_append(ids, b.id), list_append(s0, b.l0), list_append(s1, b.l1), list_append(s2, b.l2), list_append(s3, b.l3) FROM (
+  SELECT r.page, r.k, any_value(ids) AS ids, {", ".join(f"any_value(s{k}) AS s{k}" for k in range(4))}, arg_max({{'id': r.id, 'l0': l0, 'l1': l1, 'l2': l2, 'l3': l3}}, {{'x': 0.7 * norm - 0.3 * ({" + ".join(f"q{k} * ln((n{k} + 0.01) / (n{k} + 1.01))" for k in range(4))}), 'i': -r.i}}) AS b
+  FROM (SELECT r.page, r.k, r.ids, s0, s1, s2, s3, v.id, v.i, l0, l1, l2, l3, norm, q0, q1, q2, q3, {", ".join(f"len(list_filter(s{k}, lambda x: x = l{k}))::DOUBLE AS n{k}" for k in range(4))} FROM r JOIN v ON v.page = r.page WHERE NOT list_contains(r.ids, v.id)) AS r GROUP BY r.page, r.k)),
+o AS (SELECT page, arg_max(ids, k) AS ids FROM r GROUP BY page)"""
+
+
+@query("K05 K06", f"WITH RECURSIVE {ORDERED} SELECT page, unnest(ids) AS id, CAST(generate_subscripts(ids, 1) AS INTEGER) AS place FROM o")
 def calibrated_rerank(r: Reader) -> DataFrame:
     return rerank.rerank_pages(page_of(r))
 
 
-@query("K07")
+@query("K07", f"""
+WITH RECURSIVE {ORDERED}, y AS (SELECT page, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos, len(ids) AS n FROM o),
+el AS (SELECT y.page, y.id, y.pos, v.score, v.l0, coalesce(w.votes, 0) AS votes FROM y JOIN v ON v.page = y.page AND v.id = y.id JOIN feed_articles a ON a.id = y.id LEFT JOIN w ON w.axis = 'topic' AND w.label = a.primary_topic
+ LEFT JOIN article_votes x ON x.article_id = y.id LEFT JOIN im ON im.article_id = y.id WHERE pos > y.n // 2 AND y.n > 10 AND coalesce(x.vote, '') <> 'show_less' AND coalesce(im.n, 0) = 0),
+kk AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, votes, pos) AS turn FROM el), ll AS (SELECT *, row_number() OVER (PARTITION BY page, l0 ORDER BY turn) > 1 AS again FROM kk),
+u AS (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY again, turn) AS nth FROM ll),
+xx AS (SELECT page, ids AS placed, 0::BIGINT AS nth FROM o UNION ALL
+ SELECT xx.page, CASE WHEN list_position(placed, u.id) > u.nth * 10 THEN list_filter(placed, lambda z: z <> u.id)[1:u.nth * 10 - 1] || [u.id] || list_filter(placed, lambda z: z <> u.id)[u.nth * 10:] ELSE placed END, u.nth
+ FROM xx JOIN u ON u.page = xx.page AND u.nth = xx.nth + 1 WHERE u.nth * 10 <= len(placed)),
+oo AS (SELECT page, arg_max(placed, nth) AS ids FROM xx GROUP BY page)
+SELECT page, unnest(ids) AS id, CAST(generate_subscripts(ids, 1) AS INTEGER) AS place FROM oo""")
 def exploration_slots(r: Reader) -> DataFrame:
     return rerank.rerank_pages(page_of(r), every=10)
 
