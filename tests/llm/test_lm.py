@@ -104,3 +104,38 @@ def test_score_matches_a_plain_softmax(spark, monkeypatch):
     want = {i: score(t) for i, t in rows}
     for r in got:
         assert abs(r["score"] - want[r["doc_id"]]) < 1e-3 * max(1, abs(want[r["doc_id"]])), r["doc_id"]
+
+
+def test_a_training_step_follows_the_gradient_of_noise_contrastive_estimation():
+    from feedlens.llm import lm
+
+    rng = np.random.default_rng(3)
+    classes, dim, shape = 6, 3, lm.Shape(noise=4, rate=0.5)
+    share = np.full(classes, 1 / classes)
+    sizes = {"targets": (classes, dim), "bias": (classes,), "vectors": (classes + 1, dim), "first": (dim,), "second": (dim,)}
+    p = {k: rng.normal(0, 0.5, n) for k, n in sizes.items()}
+    trainer = lm.Trainer(lm.Model(**p), share, shape, seed=5)
+    word, one, two = (rng.integers(0, n, 7) for n in (classes, classes + 1, classes + 1))
+    noise = np.searchsorted(np.cumsum(share), np.random.default_rng(5).random(shape.noise))
+
+    def objective(q):
+        context = q["vectors"][one] * q["first"] + q["vectors"][two] * q["second"]
+        floor = np.log(shape.noise / classes)
+        true = (context * q["targets"][word]).sum(1) + q["bias"][word] - floor
+        false = context @ q["targets"][noise].T + q["bias"][noise] - floor
+        return -np.log1p(np.exp(-true)).sum() - np.log1p(np.exp(false)).sum()
+
+    trainer.step(word, one, two)
+    for name, before in p.items():
+        gradient = np.zeros_like(before)
+        for at in np.ndindex(before.shape):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in p.items()}
+                moved[name][at] += step
+                ends.append(objective(moved))
+            gradient[at] = (ends[0] - ends[1]) / 2e-5
+        if name in ("first", "second"):  # the two factors take ten times the mean
+            gradient *= 10 / len(word)
+        want = before + shape.rate * gradient / np.sqrt(1 + gradient**2)
+        assert np.allclose(trainer.p[name], want, atol=2e-4), name
