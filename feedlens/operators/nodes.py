@@ -26,6 +26,8 @@ KEPT_ATTRIBUTES = ("href", "src", "srcset", "alt", "width", "height", "title")
 KEPT_EMPTY = ("td", "th", "iframe", "video")
 BOILERPLATE = r"(?i)(^|[\s_-])(ad|ads|advert|share|social|related|newsletter|comments?|sidebar|promo)([\s_-]|$)"
 PAGE = ["page"]
+#: Elements that a path may hold. What lies deeper counts as lying in the last of them, so that a row's size is bounded.
+DEEPEST = 200
 
 
 def _rows(html: str | None) -> Iterator[tuple]:
@@ -38,7 +40,7 @@ def _rows(html: str | None) -> Iterator[tuple]:
         mark = node.attrs.get("src", "") if node.tag == "iframe" else f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".strip()
         place = len(rows)
         rows.append([place, place, node.tag, node.attrs, None, mark, path])
-        below = (*path, {"place": place, "tag": node.tag, "mark": mark})
+        below = path if len(path) >= DEEPEST else (*path, {"place": place, "tag": node.tag, "mark": mark})
         todo += [(c, below) for c in reversed(node.children)]
     for row in rows:
         for above in row[6]:

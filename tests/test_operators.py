@@ -208,6 +208,12 @@ def test_articles(spark):
     assert "link" not in got[4]["text"] and got[4]["snippet"] == got[4]["text"][:200] + "..." and got[4]["featured"] == got[4]["text"][:1200] + "..."
 
 
+def test_very_deep_and_very_long_pages(spark):
+    deep, long = "<div>" * 3000 + "<p>core</p>" + "</div>" * 3000, "<article>" + "<p>some words</p>" * 5000 + "</article>"
+    got = [r for r in nodes.articles(pages(spark, ("", deep), ("", long))).orderBy("page_id").collect()]
+    assert got[0]["text"] == "core" and got[1]["n_blocks"] == 5000 and got[1]["text"].count("words") == 5000
+
+
 def test_links_and_selectors(spark):
     page = '<nav><a href="/x">no</a></nav><div class="list b a"><h2><a href="/a#t">First</a></h2><a href="b">Second <h3>x</h3></a></div><a href="">none</a><a href="c"></a>'
     got = nodes.links(pages(spark, ("https://h.e/", page))).orderBy("place").collect()
