@@ -112,5 +112,4 @@ def proxied(html: Column, base: Column, proxy: str, cached: str, width: int = 80
         return F.when(gone, "").when(src.startswith(cached), bare).when(address.isNull(), tag).otherwise(own)
 
     between, tags = F.split(html, _IMAGE, -1), F.regexp_extract_all(html, F.lit(_IMAGE), F.lit(0))
-    made = F.transform(tags, shown)
-    return F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get(made, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(between, F.transform(tags, shown), lambda t, made: F.concat(t, F.coalesce(made, F.lit("")))), "")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 VIEWS = ("original", "both", "translation")
 #: An original in a quotation of its own and the element of the same kind behind it: tag, attributes, original, attributes, translation.
-#: Neither text holds another element of its kind.
-_INSIDE = r"((?:(?!<\1[\s>])[\s\S])*?)"
+#: Neither text holds another element of its kind. What stands before a text's first tag is taken at once, the rest character by character.
+_INSIDE = r"([^<]*+(?:(?!<\1[\s>])[\s\S])*?)"
 PAIR = rf"(?i)<blockquote>\s*<(p|h[1-6]|li)((?:\s[^>]*)?)>{_INSIDE}</\1>\s*</blockquote>\s*<\1((?:\s[^>]*)?)>{_INSIDE}</\1>"
 BADGE = r"(?is)^\s*<p(?:\s[^>]*)?>(?:(?!</p>).)*?Translated by(?:(?!</p>).)*</p>"
 
@@ -48,6 +48,6 @@ def view(body: Column, found: Column, kind: str, lang: Column | None = None) ->
             return element(F.concat(p["attrs"], number, language), p["original"])
         return F.concat(F.lit("<blockquote"), number, language, F.lit(">"), element(p["attrs"], p["original"]), F.lit("</blockquote>"), element(p["translated_attrs"], p["translation"]))
 
-    parts = F.transform(found, shown)
-    whole = F.array_join(F.transform(between, lambda text, i: F.concat(text, F.coalesce(F.get(parts, i), F.lit("")))), "")
+    # side by side: an array that is indexed inside a lambda is made again for each element
+    whole = F.array_join(F.zip_with(between, F.transform(found, shown), lambda text, part: F.concat(text, F.coalesce(part, F.lit("")))), "")
     return F.when(F.size(found) > 0, F.regexp_replace(whole, BADGE, "")).otherwise(body)

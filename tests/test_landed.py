@@ -139,3 +139,22 @@ def test_proxied_images(spark):
     assert [r["got"] for r in rows.collect()] == [w for _, w in pages]
     assert spark.range(1).select(images.slides(F.lit("m.jpg"), F.array(F.lit("a.jpg"), F.lit("m.jpg"), F.lit(None), F.lit("x.svg?1"), F.lit(""), F.lit("a.jpg"), F.lit("my-LOGO.png"))).alias("x")).first()[0] == ["m.jpg", "a.jpg"]
     assert spark.range(1).select(images.slides(F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("x")).first()[0] == []
+
+
+def test_views_of_long_bodies_take_time_by_their_length(spark):
+    import time
+
+    from feedlens.functions import images, text
+
+    def took(column, n):
+        began = time.perf_counter()
+        rows = spark.range(1).select(F.repeat(F.lit("<blockquote><p>x &lt; y</p></blockquote><p>X</p>"), F.lit(n)).alias("b"), F.repeat(F.lit("<img src='/a.jpg'>b"), F.lit(n)).alias("i"), F.repeat(F.lit("a 🌐 Translated by X: b"), F.lit(n)).alias("t"))
+        rows = rows.repartition(1).withColumn("pairs", bilingual.pairs(F.col("b")))
+        assert rows.select(F.length(column).alias("n")).first()["n"] > n
+        return time.perf_counter() - began
+
+    for column in (bilingual.view(F.col("b"), F.col("pairs"), "both"), images.proxied(F.col("i"), F.lit("https://h.example/"), "/p", "/c/")):
+        took(column, 10)
+        assert took(column, 3000) < 20
+    took(text.clean_translation_tag(F.col("t")), 10)
+    assert took(text.clean_translation_tag(F.col("t")), 2000) < 20
