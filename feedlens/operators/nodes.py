@@ -17,8 +17,8 @@ from feedlens.operators.html import BLOCKS, CHROME, DROPPED, LAZY, VIDEO_HOSTS,
 from feedlens.sources.shared import settled
 
 #: place counts elements and texts in the order of the page, from 0 for the page itself; last is the last place inside. mark: class and id, of an iframe
-#: its address. path: what lies above, from the page down. Texts have the tag #text.
-NODE = "place int, last int, tag string, attrs map<string, string>, text string, mark string, path array<struct<place: int, tag: string, mark: string>>"
+#: its address. path: what lies above, from the page down. Texts have the tag #text; markup: as html.Text has it.
+NODE = "place int, last int, tag string, attrs map<string, string>, text string, markup string, mark string, path array<struct<place: int, tag: string, mark: string>>"
 CONTAINERS = ("article", "main", "div", "section", "body", "td")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Attributes that a cleaned body keeps, elements that it keeps when they are empty, and words in class or id that mark page furniture.
@@ -31,20 +31,20 @@ DEEPEST = 200
 
 
 def _rows(html: str | None) -> Iterator[tuple]:
-    rows, todo = [], [(tree(html), ())]
+    rows, above, todo = [], [], [(tree(html), (), 0)]
     while todo:
-        node, path = todo.pop()
+        node, path, parent = todo.pop()
+        above.append(parent)
         if isinstance(node, str):
-            rows.append([len(rows), len(rows), "#text", {}, node, "", path])
+            rows.append([len(rows), len(rows), "#text", {}, str(node), node.markup, "", path])
             continue
         mark = node.attrs.get("src", "") if node.tag == "iframe" else f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".strip()
         place = len(rows)
-        rows.append([place, place, node.tag, node.attrs, None, mark, path])
+        rows.append([place, place, node.tag, node.attrs, None, None, mark, path])
         below = path if len(path) >= DEEPEST else (*path, {"place": place, "tag": node.tag, "mark": mark})
-        todo += [(c, below) for c in reversed(node.children)]
-    for row in rows:
-        for above in row[6]:
-            rows[above["place"]][1] = row[0]
+        todo += [(c, below, place) for c in reversed(node.children)]
+    for row, parent in zip(reversed(rows), reversed(above)):
+        rows[parent][1] = max(rows[parent][1], row[1])
     yield from rows
 
 
@@ -52,7 +52,7 @@ def flat_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """(page, NODE): the rows of every page; a null or empty one has its #root alone. Settled, as what reads them reads them often."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page", *(c.split(":")[0].split()[0] for c in ("place", "last", "tag", "attrs", "text", "mark", "path"))]
+        names = ["page", *(c.split(":")[0].split()[0] for c in ("place", "last", "tag", "attrs", "text", "markup", "mark", "path"))]
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.iloc[at : at + 64]
@@ -140,9 +140,9 @@ def _tag_text(tag: Column, attrs: Column) -> Column:
 
 def serialized(rows: DataFrame, name: str, more: DataFrame | None = None) -> DataFrame:
     """(page, name): the rows as HTML again, elements around what is inside them. more: (page, pos, kind, depth, s) of text to put in:
-    kind 0 opens at a place, 1 closes behind one, the deeper first."""
-    opened = F.when(F.col("tag") == "#text", markup.escaped(F.col("text"))).otherwise(_tag_text(F.col("tag"), F.col("attrs")))
-    depth = -F.size("path")
+    kind 0 opens at a place, 1 closes behind one, the deeper first, which is the one that opened later: an element has -2 times its place."""
+    opened = F.when(F.col("tag") == "#text", F.coalesce("markup", markup.escaped(F.col("text")))).otherwise(_tag_text(F.col("tag"), F.col("attrs")))
+    depth = -2 * F.col("place")
     begins = rows.where("tag <> '#root'").select("page", F.col("place").alias("pos"), F.lit(0).alias("kind"), depth.alias("depth"), opened.alias("s"))
     closing = rows.where(~F.col("tag").isin("#text", "#root", *VOID))
     ends = closing.select("page", F.col("last").alias("pos"), F.lit(1).alias("kind"), depth.alias("depth"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("s"))
@@ -154,7 +154,11 @@ def without_empty(rows: DataFrame) -> DataFrame:
     """rows without elements in which there is nothing: no text but white space, no void element, no cell or frame."""
     full = rows.where(((F.col("tag") == "#text") & (plain(F.col("text")) != "")) | F.col("tag").isin(*VOID, *KEPT_EMPTY))
     own = full.where("tag <> '#text'").select("page", "place")
-    kept = full.select("page", F.explode("path.place").alias("place")).union(own).distinct().withColumn("kept", F.lit(True))
+    kept = full.select("page", F.explode("path.place").alias("place")).union(own).distinct()
+    # no path names elements below DEEPEST; few others come here
+    rest = rows.where("tag <> '#text' and last > place").select("page", "place", "last").join(kept, ["page", "place"], "left_anti").alias("e")
+    within = (F.col("e.page") == F.col("f.page")) & (F.col("f.place") > F.col("e.place")) & (F.col("f.place") <= F.col("e.last"))
+    kept = kept.union(rest.join(full.select("page", "place").alias("f"), within, "left_semi").select("page", "place"))
     holder = F.when(F.col("tag") == "#text", F.coalesce(F.element_at("path", -1)["place"], F.col("place"))).otherwise(F.col("place"))
     return rows.withColumn("holder", holder).join(kept.withColumnRenamed("place", "holder"), ["page", "holder"]).select(*rows.columns)
 
@@ -276,15 +280,15 @@ def with_images(html: DataFrame, shots: DataFrame, key: int = 20) -> DataFrame:
     nodes = flat_nodes(html, "page", "html")
     have = nodes.where("tag = 'img'").select("page", F.col("attrs")["src"].alias("src"))
     new = shots.groupBy("page", "src").agg(F.min(F.struct("n", "alt", "anchor")).alias("x")).select("page", "src", "x.*").join(have, ["page", "src"], "left_anti")
-    paragraphs = nodes.where(F.col("tag").isin(*BLOCKS)).select("page", "place", "last", F.size("path").alias("depth"))
+    paragraphs = nodes.where(F.col("tag").isin(*BLOCKS)).select("page", "place", "last")
     texts = paragraphs.join(texts_of(nodes, paragraphs), ["page", "place"])
     tail = new.withColumn("tail", F.trim(F.right(F.coalesce("anchor", F.lit("")), F.lit(key))))
-    at = tail.join(texts, "page").where("tail <> '' and contains(said, tail)").groupBy("page", "src").agg(F.min_by(F.struct("last", "depth"), "place").alias("p"))
+    at = tail.join(texts, "page").where("tail <> '' and contains(said, tail)").groupBy("page", "src").agg(F.min_by(F.struct("last", "place"), "place").alias("p"))
     ends = nodes.where("place = 0").select("page", F.col("last").alias("end"))
     put = tail.join(at, ["page", "src"], "left").join(ends, "page")
     image = _tag_text(F.lit("img"), F.create_map(F.lit("src"), F.col("src"), F.lit("alt"), F.coalesce("alt", F.lit(""))))
     # behind the block's content: before its closing tag, which has its own depth; several in the order of n
-    several = put.select("page", F.coalesce("p.last", "end").alias("pos"), F.coalesce(-F.col("p.depth") - 1, F.lit(1)).alias("depth"), F.struct("n", image.alias("s")).alias("x"))
+    several = put.select("page", F.coalesce("p.last", "end").alias("pos"), F.coalesce(-2 * F.col("p.place") - 1, F.lit(1)).alias("depth"), F.struct("n", image.alias("s")).alias("x"))
     more = several.groupBy("page", "pos", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("s"))
     return _of_all(html, serialized(nodes, "html", more.select("page", "pos", F.lit(1).alias("kind"), "depth", "s")))
 

@@ -283,3 +283,28 @@ def test_translation_tags_and_category_names(spark):
     for clean, want in ((text.clean_translation_tag, tags), (text.category_label, names)):
         rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", clean(F.col("s")).alias("c"))
         assert {r["s"]: r["c"] for r in rows.collect()} == want
+
+
+def test_references_without_semicolon_are_text(spark):
+    from feedlens.operators import html
+
+    assert [(str(t), t.markup) for t in html.tree("a&amp;b &amp &am &copy; &foo; &#65; &#39 &").children] == [("a&b &amp &am © &foo; A &#39 &", "a&amp;b &amp &am © &foo; A &#39 &")]
+    assert html.tree("<a href='/x?a=1&copy=2&amp;b'>\U000f0000&</a>").children[0] == html.Node("a", {"href": "/x?a=1&copy=2&b"}, ["\U000f0000&"])
+    page = "<html><body><article><h1>A &amp;&amp; b&amp</h1><p>c&am</p><p>&amp;amp &lt;i&gt;</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "https://e.example/", page)], "page_id int, url string, html string")
+    got = nodes.articles(pages).first()
+    assert (got["title"], got["text"]) == ("A && b&amp", "A && b&amp c&am &amp <i>")
+    assert got["body"] == "<article><h1>A &amp;&amp; b&amp</h1><p>c&am</p><p>&amp;amp &lt;i&gt;</p></article>"
+    assert nodes.selected(pages, {"heading": "h1"}).first()["heading"] == "A && b&amp"
+    assert [r["text"] for r in nodes.blocks(nodes.cleaned(nodes.flat_nodes(pages))).orderBy("place").collect()] == ["A && b&amp", "c&am", "&amp <i>"]
+    with_page = pages.withColumnRenamed("page_id", "page")
+    assert nodes.with_attributes(with_page, with_page).first()["html"] == page
+    shots = spark.createDataFrame([(1, 0, "/i", "", "c&am")], "page int, n int, src string, alt string, anchor string")
+    assert nodes.with_images(with_page.select("page", "html"), shots).first()["html"] == page.replace("c&am", 'c&am<img src="/i" alt="">')
+
+
+def test_elements_that_are_never_closed_end_with_what_is_around_them(spark):
+    deep = "<article>" + "<p><b>x" * 120 + "</article></i><footer>y</footer>"
+    page = spark.createDataFrame([(1, deep)], "page int, html string")
+    assert nodes.with_attributes(page, page).first()["html"] == "<article>" + "<p><b>x" * 120 + "</b></p>" * 120 + "</article><footer>y</footer>"
+    assert nodes.articles(page.selectExpr("1 AS page_id", "'' AS url", "html")).first()["body"] == "<article>" + "<p><b>x" * 120 + "</b></p>" * 120 + "</article>"
