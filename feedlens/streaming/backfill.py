@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedlens.sources.shared import settled
 
+#: Batches that a long list is worked off in, about; each costs the same to plan, commit and list the table's partitions, whatever it holds.
+MOST_BATCHES = 24
+
 
 def fill(spark: SparkSession, target: str, schema: str, part: str, late: DataFrame, key: str, values: list[str], over: bool = False) -> int:
     """Puts late's values (key, *values) into all rows of the table at target with that key, and says how many partitions were written.
@@ -43,7 +46,8 @@ def fill_missing(spark: SparkSession, target: str, schema: str, part: str, key:
     """Computes what rows lack, in batches until none is left: made gives each column from the others of its row.
 
     The rows that lack one are listed first, in files of rows_a_batch rows; a stream takes a file a batch and remembers how far it came,
-    so a pass that stops goes on where it was, and contents are read for listed rows alone.
+    so a pass that stops goes on where it was, and contents are read for listed rows alone. Of a list of more than MOST_BATCHES files a batch
+    takes as many as bring the batches down to that number: they grow with the list, not their number.
     """
     table = spark.read.schema(schema).parquet(target)
     lacking = F.lit(False)
@@ -51,10 +55,11 @@ def fill_missing(spark: SparkSession, target: str, schema: str, part: str, key:
         lacking = lacking | F.col(c).isNull()
     listed, listing = f"{work}/listed", f"{key} {table.schema[key].dataType.simpleString()}, {part} {table.schema[part].dataType.simpleString()}"
     table.where(lacking).select(key, part).repartitionByRange(part, key).sortWithinPartitions(part, key).write.mode("ignore").option("maxRecordsPerFile", rows_a_batch).parquet(listed)
-    stream = spark.readStream.schema(listing).option("maxFilesPerTrigger", 1).parquet(listed)
+    files_a_batch = max(1, -(-len(spark.read.schema(listing).parquet(listed).inputFiles()) // MOST_BATCHES))
+    stream = spark.readStream.schema(listing).option("maxFilesPerTrigger", files_a_batch).parquet(listed)
 
     def batch(rows: DataFrame, _: int) -> None:
-        late = spark.read.schema(schema).parquet(target).join(F.broadcast(rows) if rows_a_batch <= 100_000 else rows, [key, part], "left_semi")
+        late = spark.read.schema(schema).parquet(target).join(F.broadcast(rows) if files_a_batch * rows_a_batch <= 100_000 else rows, [key, part], "left_semi")
         fill(spark, target, schema, part, settled(late.select(key, part, *[c.alias(n) for n, c in made.items()]), "made"), key, list(made))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()

@@ -107,3 +107,13 @@ def test_missing_values_are_made_in_batches_until_none_is_left(spark, tmp_path):
     assert listed >= 7 and len(list((tmp_path / "w" / "checkpoint" / "commits").glob("[0-9]*"))) == listed
     got = {r["id"]: r["a"] for r in spark.read.schema(SCHEMA).parquet(target).collect()}
     assert got == {n: "kept" if n % 4 == 0 else f"made {n}" for n in range(60)}
+
+
+def test_batches_grow_with_a_long_list_and_not_their_number(spark, tmp_path):
+    target = str(tmp_path / "t")
+    spark.createDataFrame([(n, None, n, n % 3) for n in range(60)], SCHEMA).coalesce(1).write.partitionBy("part").parquet(target)
+    made = {"a": F.concat(F.lit("made "), F.col("b").cast("string"))}
+    backfill.fill_missing(spark, target, SCHEMA, "part", "id", made, str(tmp_path / "w"), rows_a_batch=1).awaitTermination(300)
+    assert len(list((tmp_path / "w" / "listed").glob("*.parquet"))) == 60
+    assert len(list((tmp_path / "w" / "checkpoint" / "commits").glob("[0-9]*"))) == 20
+    assert {r["id"]: r["a"] for r in spark.read.schema(SCHEMA).parquet(target).collect()} == {n: f"made {n}" for n in range(60)}
