@@ -6,7 +6,7 @@ A parser in Arrow batches gives the rows and nothing else. Every aggregate is by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,8 +48,9 @@ def _rows(html: str | None) -> Iterator[tuple]:
     yield from rows
 
 
-def flat_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page, NODE): the rows of every page; a null or empty one has its #root alone. Settled, as what reads them reads them often."""
+def flat_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", asked: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """(page, NODE): the rows of every page; a null or empty one has its #root alone. Settled, as what reads them reads them often; asked leaves
+    out what none of them reads."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page", *(c.split(":")[0].split()[0] for c in ("place", "last", "tag", "attrs", "text", "markup", "mark", "path"))]
@@ -59,7 +60,7 @@ def flat_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                 yield pd.DataFrame([(i, *row) for i, html in zip(part["page"], part["html"]) for row in _rows(html)], columns=names)
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return settled(pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html")).mapInPandas(parse, f"page {kind}, {NODE}"), "nodes")
+    return settled(asked(pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html")).mapInPandas(parse, f"page {kind}, {NODE}")), "nodes")
 
 
 def _in(path: Column, test) -> Column:
@@ -81,9 +82,11 @@ def said(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("tag") == "#text") & ~_in(F.col("path"), lambda p: p["tag"].isin("script", "style")))
 
 
-def texts_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page, place, said): the text inside each wanted element (page, place); an empty one where there is none."""
-    inside = said(nodes).select("page", F.col("place").alias("at"), "text", F.explode("path.place").alias("place"))
+def texts_of(nodes: DataFrame, wanted: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(page, place, said): the text inside each wanted element (page, place); an empty one where there is none. tags: those that wanted elements
+    have, where they are known, so that texts go to no other elements above them."""
+    above = F.filter("path", lambda p: p["tag"].isin(*tags)) if tags else F.col("path")
+    inside = said(nodes).select("page", F.col("place").alias("at"), "text", F.explode(F.transform(above, lambda p: p["place"])).alias("place"))
     wanted = wanted.select("page", "place").distinct()
     found = _joined(inside.join(wanted, ["page", "place"], "left_semi"), ["page", "place"], F.col("at"), F.col("text"), "said")
     return wanted.join(found, ["page", "place"], "left").select("page", "place", plain(F.coalesce("said", F.lit(""))).alias("said"))
@@ -105,9 +108,9 @@ def bodies(nodes: DataFrame) -> DataFrame:
     """
     holders = nodes.where(F.col("tag").isin(*CONTAINERS)).select("page", "place", "tag")
     blocks = nodes.where(F.col("tag").isin(*BLOCKS) & F.element_at("path", -1)["tag"].isin(*CONTAINERS)).select("page", "place", F.element_at("path", -1)["place"].alias("holder"))
-    own = texts_of(nodes, blocks).join(blocks, ["page", "place"]).groupBy("page", F.col("holder").alias("place")).agg(F.sum(F.length("said")).alias("own"))
+    own = texts_of(nodes, blocks, BLOCKS).join(blocks, ["page", "place"]).groupBy("page", F.col("holder").alias("place")).agg(F.sum(F.length("said")).alias("own"))
     anchors = nodes.where("tag = 'a'").select("page", "place", F.explode("path.place").alias("holder"))
-    links = texts_of(nodes, anchors).join(anchors, ["page", "place"]).groupBy("page", F.col("holder").alias("place")).agg(F.sum(F.length("said")).alias("links"))
+    links = texts_of(nodes, anchors, ("a",)).join(anchors, ["page", "place"]).groupBy("page", F.col("holder").alias("place")).agg(F.sum(F.length("said")).alias("links"))
     scored = holders.join(own, ["page", "place"], "left").join(links, ["page", "place"], "left").fillna(0, ["own", "links"])
     score = F.col("own") - 2 * F.col("links") + F.when(F.col("tag").isin("article", "main"), 25).otherwise(0)
     best = scored.withColumn("score", score).where("score > -1").groupBy("page").agg(F.max_by("place", F.struct("score", -F.col("place"))).alias("best"))
@@ -176,7 +179,7 @@ def images(rows: DataFrame, bases: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame) -> DataFrame:
     """(page, place, tag, text): the topmost blocks of cleaned rows that have text."""
     top = rows.where(F.col("tag").isin(*BLOCKS) & ~_in(F.col("path"), lambda p: p["tag"].isin(*BLOCKS))).select("page", "place", "tag")
-    return top.join(texts_of(rows, top), ["page", "place"]).where("said <> ''").select("page", "place", "tag", F.col("said").alias("text"))
+    return top.join(texts_of(rows, top, BLOCKS), ["page", "place"]).where("said <> ''").select("page", "place", "tag", F.col("said").alias("text"))
 
 
 def articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -191,7 +194,7 @@ def articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     told = lambda k: F.min_by(F.when(name == k, F.coalesce(F.col("attrs")["content"], F.lit(""))), F.when(name == k, F.col("place")))
     meta = nodes.where("tag = 'meta'").groupBy("page").agg(told("og:title").alias("og_title"), told("og:image").alias("og_image"), told("twitter:image").alias("twitter_image"))
     firsts = nodes.where("tag in ('h1', 'title')").groupBy("page", "tag").agg(F.min("place").alias("place"))
-    heads = firsts.join(texts_of(nodes, firsts), ["page", "place"]).groupBy("page").agg(F.max(F.when(F.col("tag") == "h1", F.col("said"))).alias("h1"), F.max(F.when(F.col("tag") == "title", F.col("said"))).alias("head"))
+    heads = firsts.join(texts_of(nodes, firsts, ("h1", "title")), ["page", "place"]).groupBy("page").agg(F.max(F.when(F.col("tag") == "h1", F.col("said"))).alias("h1"), F.max(F.when(F.col("tag") == "title", F.col("said"))).alias("head"))
     langs = nodes.where("tag = 'html'").groupBy("page").agg(F.min_by(F.col("attrs")["lang"], "place").alias("lang"))
     text = _joined(said(rows), PAGE, F.col("place"), F.col("text"), "raw").select("page", plain(F.col("raw")).alias("text"))
     body = serialized(without_empty(rows), "body")
@@ -216,7 +219,13 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     pattern: the two elements above, each as tag.class.class of its first two classes by name; headed: under or around a heading.
     """
-    nodes = flat_nodes(pages, id_col, html_col)
+    def asked(rows: DataFrame) -> DataFrame:
+        """Elements, and the texts of links; what lies above is read of links, their texts and headings."""
+        told = F.when(F.col("tag").isin("#text", "a", *HEADINGS[:4]), F.col("path")).otherwise(F.array().cast(rows.schema["path"].dataType))
+        rows = rows.where((F.col("tag") != "#text") | _in(F.col("path"), lambda p: p["tag"] == "a"))
+        return rows.select("page", "place", "tag", F.map_filter("attrs", lambda k, v: k.isin("href", "class")).alias("attrs"), "text", told.alias("path"))
+
+    nodes = flat_nodes(pages, id_col, html_col, asked)
     anchors = nodes.where((F.col("tag") == "a") & (F.col("attrs")["href"] != "") & ~_in(F.col("path"), lambda p: p["tag"].isin(*CHROME)))
     above = F.filter("path", lambda p: p["tag"] != "#root")
     classes = nodes.where("place > 0 and tag <> '#text'").select("page", "place", F.array_sort(F.filter(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), lambda c: c != "")).alias("classes"))
@@ -225,7 +234,7 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     patterns = _joined(named, ["page", "a"], F.col("at"), F.col("step"), "pattern", ">").withColumnRenamed("a", "place")
     around = nodes.where(F.col("tag").isin(*HEADINGS[:4])).select("page", F.explode("path.place").alias("place")).distinct().withColumn("around", F.lit(True))
     under = _in(F.col("path"), lambda p: p["tag"].isin(*HEADINGS[:4]))
-    rows = anchors.select("page", "place", F.col("attrs")["href"].alias("href"), under.alias("under")).join(texts_of(nodes, anchors), ["page", "place"])
+    rows = anchors.select("page", "place", F.col("attrs")["href"].alias("href"), under.alias("under")).join(texts_of(nodes, anchors, ("a",)), ["page", "place"])
     rows = rows.join(patterns, ["page", "place"], "left").join(around, ["page", "place"], "left").join(pages.select(F.col(id_col).alias("page"), F.coalesce(url_col, F.lit("")).alias("url")), "page")
     link = F.substring_index(urls.absolute(F.col("url"), F.trim("href")), "#", 1)
     return rows.select(F.col("page").alias(id_col), "place", link.alias("link"), F.col("said").alias("title"), F.coalesce("pattern", F.lit("")).alias("pattern"), (F.col("under") | F.coalesce("around", F.lit(False))).alias("headed"))
@@ -281,7 +290,7 @@ def with_images(html: DataFrame, shots: DataFrame, key: int = 20) -> DataFrame:
     have = nodes.where("tag = 'img'").select("page", F.col("attrs")["src"].alias("src"))
     new = shots.groupBy("page", "src").agg(F.min(F.struct("n", "alt", "anchor")).alias("x")).select("page", "src", "x.*").join(have, ["page", "src"], "left_anti")
     paragraphs = nodes.where(F.col("tag").isin(*BLOCKS)).select("page", "place", "last")
-    texts = paragraphs.join(texts_of(nodes, paragraphs), ["page", "place"])
+    texts = paragraphs.join(texts_of(nodes, paragraphs, BLOCKS), ["page", "place"])
     tail = new.withColumn("tail", F.trim(F.right(F.coalesce("anchor", F.lit("")), F.lit(key))))
     at = tail.join(texts, "page").where("tail <> '' and contains(said, tail)").groupBy("page", "src").agg(F.min_by(F.struct("last", "place"), "place").alias("p"))
     ends = nodes.where("place = 0").select("page", F.col("last").alias("end"))

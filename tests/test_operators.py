@@ -308,3 +308,13 @@ def test_elements_that_are_never_closed_end_with_what_is_around_them(spark):
     page = spark.createDataFrame([(1, deep)], "page int, html string")
     assert nodes.with_attributes(page, page).first()["html"] == "<article>" + "<p><b>x" * 120 + "</b></p>" * 120 + "</article><footer>y</footer>"
     assert nodes.articles(page.selectExpr("1 AS page_id", "'' AS url", "html")).first()["body"] == "<article>" + "<p><b>x" * 120 + "</b></p>" * 120 + "</article>"
+
+
+def test_links_keep_no_other_texts(spark, monkeypatch):
+    kept, settled = [], nodes.settled
+    monkeypatch.setattr(nodes, "settled", lambda df, name: kept.append(settled(df, name)) or kept[-1])
+    page = "<body><div class='b a'><p>long text</p><h2><a href='/x#y'>X <b>Y</b></a></h2></div><a href='z'><h3>Z</h3></a>text<a>none</a></body>"
+    pages = spark.createDataFrame([(1, "https://e.example/d/", page)], "page_id int, url string, html string")
+    got = sorted(tuple(r)[2:] for r in nodes.links(pages).collect())
+    assert got == [("https://e.example/d/z", "Z", "body", True), ("https://e.example/x", "X Y", "div.a.b>h2", True)]
+    assert sorted(r["text"] for r in kept[0].where("tag = '#text'").collect()) == ["X ", "Y", "Z", "none"]
